@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnwright.llm import langid, quality
+from turnwright.llm import bpe, langid, packing, quality, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,9 +24,24 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.detect(table(spark, sf_dir, "documents"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents")).drop("queue")
+
+
+def op9_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.read_shards(wavelet.write_shards(table(spark, sf_dir, "documents")))
+
+
+def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
+    "op3_packing": op3_packing,
+    "op9_wavelet_shards": op9_wavelet_shards,
+    "op10_bpe_round_trip": op10_bpe_round_trip,
 }
 
 _STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(quality.STOP_WORDS))
@@ -36,7 +51,7 @@ ORACLES: dict[str, str] = {
 with d as (
   select row_number() over () as rid, doc_id, coalesce(text, '') as t,
     regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws,
-    list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) as ls
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls
   from documents),
 win as (
   select rid, i, count(*) over (partition by rid, k) as c from (
@@ -46,11 +61,11 @@ rep as (
   select rid, count(distinct p) as n from (select rid, unnest(range(i, i + 5)) as p from win where c > 1) group by rid),
 m as (
   select doc_id, cast(len(ws) as bigint) as n_words,
-    cast(coalesce(list_sum(list_transform(ws, x -> length(x))), 0) as bigint) as word_chars,
+    cast(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) as bigint) as word_chars,
     cast(length(t) - length(translate(t, '#*$%&|<>', '')) as bigint) as n_symbols,
     cast(len(ls) - len(list_distinct(ls)) as bigint) as n_dup_lines,
     cast(coalesce(rep.n, 0) as bigint) as n_repeat_words,
-    len(list_filter(ws, x -> lower(x) in ({_STOP}))) as stops, len(ls) as n_lines
+    len(list_filter(ws, lambda x: lower(x) in ({_STOP}))) as stops, len(ls) as n_lines
   from d left join rep using (rid)),
 b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
