@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnwright.llm import bpe, langid, packing, quality, wavelet
+from turnwright.llm import bpe, langid, licenses, packing, quality, sharding, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).drop("queue")
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_shards(wavelet.write_shards(table(spark, sf_dir, "documents")))
 
@@ -40,6 +48,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
     "op3_packing": op3_packing,
+    "op5_sharding": op5_sharding,
+    "op6_license_scan": op6_license_scan,
     "op9_wavelet_shards": op9_wavelet_shards,
     "op10_bpe_round_trip": op10_bpe_round_trip,
 }
@@ -77,4 +87,5 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   and (n_words < 50 or n_lines / n_words <= 0.6) as kept
 from b
 """,
+    "op6_license_scan": licenses.duckdb_sql(),
 }
