@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnwright.llm import bpe, langid, licenses, packing, quality, sharding, vectors, wavelet
+from turnwright.llm import bpe, langid, licenses, minhash, packing, quality, sharding, vectors, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.link(table(spark, sf_dir, "embeddings"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op5_sharding": op5_sharding,
     "op6_license_scan": op6_license_scan,
+    "op7_minhash_dedup": op7_minhash_dedup,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_wavelet_shards": op9_wavelet_shards,
     "op10_bpe_round_trip": op10_bpe_round_trip,
