@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -80,7 +82,7 @@ class Codec:
     """Encodes and decodes whole texts as the library does, without special tokens added."""
 
     def __init__(self, path: str, leaf: int = LEAF):
-        self.chunks = ChunkEncoder(path, limit=300_000)
+        self.chunks = ChunkEncoder(path)
         self.tok = self.chunks.tok
         self.leaf = leaf
         spec = json.load(open(path))
@@ -89,7 +91,6 @@ class Codec:
         self.splittable = kinds[-1:] == ["ByteLevel"] and spec["model"]["type"] == "BPE" and self.chunks.by_chunk
         self.tree = TreeEncoder(path, leaf) if self.splittable else None
         self.joined = self.tok.decoder is None
-        self.text: dict[str, bytes] = {}
 
     def encode_long(self, chunk: str) -> list[int]:
         """Ids of a chunk without white space, its long pieces by tree concatenation."""
@@ -100,47 +101,39 @@ class Codec:
             out += self.tree.encode(piece) if len(piece) > self.leaf else [t.id for t in self.tok.model.tokenize(piece)]
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        return self.tok.decode(ids, skip_special_tokens=False)
-
-    def _prepare(self, lists: list[list[str]]) -> None:
-        short = [[w for w in x if len(w) <= self.leaf] if any(len(w) > self.leaf for w in x) else x for x in lists]
-        before = len(self.chunks.ids)
-        self.chunks.prepare(short)
-        if len(self.chunks.ids) < before:
-            self.text.clear()
+    def decoded(self, ids: list[int]) -> bytes:
+        """The library's decoded text in UTF-8; without a decoder that is the tokens with blanks between."""
         if self.joined:
-            names = self.names
-            for w in set().union(*short).difference(self.text) if short else ():
-                ids = np.frombuffer(self.chunks.ids[w], "<u4").tolist()
-                self.text[w] = b" ".join([names[i] for i in ids])
+            return b" ".join(map(self.names.__getitem__, ids))
+        return self.tok.decode(ids, skip_special_tokens=False).encode()
 
-    @property
+    @cached_property
     def names(self) -> list[bytes]:
-        if not hasattr(self, "_names"):
-            vocab = self.tok.get_vocab(with_added_tokens=True)
-            self._names = [b""] * (max(vocab.values()) + 1)
-            for token, i in vocab.items():
-                self._names[i] = token.encode()
-        return self._names
+        """The tokens by id."""
+        vocab = self.tok.get_vocab(with_added_tokens=True)
+        out = [b""] * (max(vocab.values()) + 1)
+        for token, i in vocab.items():
+            out[i] = token.encode()
+        return out
+
+    def _with_long(self, text: str, long: re.Pattern) -> bytes:
+        """Ids of a text with long chunks: these by tree concatenation, what lies between as usual."""
+        out, at = [], 0
+        for m in long.finditer(text):
+            out += self.chunks.encode([text[at : m.start()]])
+            out.append(np.array(self.encode_long(m[0]), "<u4").tobytes())
+            at = m.end()
+        return b"".join(out + self.chunks.encode([text[at:]]))
 
     def digest(self, texts: list[str]) -> tuple[list[int], list[str], list[str]]:
         """Number of ids, and SHA-256 of the ids and of the decoded text, of each text."""
-        lists = [self.chunks.chunks(t) for t in texts]
-        self._prepare([x for x in lists if x])
         counts, ids_hash, text_hash = [], [], []
-        for text, x in zip(texts, lists):
-            if x is None:
-                whole = self.tok.encode(text, add_special_tokens=False).ids
-                raw, back = np.array(whole, "<u4").tobytes(), self.decode(whole).encode()
-            else:
-                get = self.chunks.ids
-                parts = [get[w] if len(w) <= self.leaf else np.array(self.encode_long(w), "<u4").tobytes() for w in x]
-                raw = b"".join(parts)
-                if self.joined and max(map(len, x), default=0) <= self.leaf:
-                    back = b" ".join([t for t in map(self.text.__getitem__, x) if t])
-                else:
-                    back = self.decode(np.frombuffer(raw, "<u4").tolist()).encode()
+        long = re.compile(r"[^ \t\n\x0b\x0c\r]{%d,}" % (self.leaf + 1))
+        hard = {i for i, t in enumerate(texts) if self.tree is not None and long.search(t)}
+        easy = iter(self.chunks.encode([t for i, t in enumerate(texts) if i not in hard]))
+        for i, text in enumerate(texts):
+            raw = self._with_long(text, long) if i in hard else next(easy)
+            back = self.decoded(np.frombuffer(raw, "<u4").tolist())
             counts.append(len(raw) // 4)
             ids_hash.append(hashlib.sha256(raw).hexdigest())
             text_hash.append(hashlib.sha256(back).hexdigest())

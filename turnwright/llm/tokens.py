@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from itertools import chain
 
 import numpy as np
 
+from turnwright.llm.common import text_slices
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Python's str.split() treats these as white space, the tokenizer does not.
-_CONTROL = re.compile("[\x1c-\x1f]")
 _MARKUP = re.compile("[<|>]")
+#: Marks that may follow a word; each run of them is one piece of text for a tokenizer that splits words off.
+_MARKS = '.,!?;:*#$%&"()[]-+=/@~^`{}_'
 
 PRODUCTION_VOCABULARY = "word_bpe_49k.json"
 
@@ -27,10 +29,10 @@ class ChunkEncoder:
     """Encodes texts exactly as the library does without special tokens.
 
     Where the tokenizer drops white space (checked on probes), the ids of a text are those of its
-    white-space chunks one after the other; the ids of distinct chunks are kept between texts, up to
-    ``limit`` of them. New chunks go to the library many at a time, set apart by a special token."""
+    white-space chunks one after the other; the ids of distinct chunks are kept between texts. New chunks go to
+    the library many at a time. Beyond ``limit`` chunks the store starts anew."""
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 600_000):
         from tokenizers import Tokenizer
 
         self.path, self.limit = path, limit
@@ -40,7 +42,8 @@ class ChunkEncoder:
         special = [(i, t.content) for i, t in sorted(self.tok.get_added_tokens_decoder().items()) if t.special]
         self.mark = special[0] if special else None
         self.by_chunk = self.mark is not None and self._drops_space()
-        self.ids: dict[str, bytes] = {}
+        self.ids: dict[bytes, bytes] = {}
+        self.words = self._word_encoder() if self.by_chunk else None
 
     def _drops_space(self) -> bool:
         for a, b in (("one", "two"), ("Ünder", "it's"), ("x.", "(y"), ("12", "éa")):
@@ -74,30 +77,180 @@ class ChunkEncoder:
             out.append(raw[start * 4 :])
         return out
 
-    def learn(self, new: set[str]) -> None:
-        """Add the ids of new chunks."""
-        plain = [w for w in new if not _MARKUP.search(w)]
-        self.ids.update((w, self._bytes(w)) for w in new.difference(plain))
-        self.ids.update(zip(plain, self._marked(plain)))
+    def _word_encoder(self):
+        """A tokenizer for lower-case words of Latin letters alone, or None where words do not stand alone.
+
+        It has the same model, without the normaliser and the splitting pattern, which leave such words as
+        they are; each word's last id is one that ends a word."""
+        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers.models import BPE
+
+        spec = json.load(open(self.path))
+        model, suffix = spec["model"], spec["model"].get("end_of_word_suffix")
+        pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        plain = {"dropout": None, "unk_token": None, "continuing_subword_prefix": None, "ignore_merges": False}
+        if model["type"] != "BPE" or not suffix or any(model.get(k, v) != v for k, v in plain.items()):
+            return None
+        if [p["type"] for p in pre] != ["Split", "ByteLevel"] or pre[1]["add_prefix_space"] or pre[1]["use_regex"]:
+            return None
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        tok = Tokenizer(BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=suffix))
+        split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        tok.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), split])
+        self._letters = frozenset("abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, [*range(0xDF, 0xF7), *range(0xF8, 0x100)])))
+        self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+        self.ends[[i for t, i in model["vocab"].items() if t.endswith(suffix)]] = True
+        for stem, tail in (("straße", "."), ("ärger", "!!"), ("naïvement", ',"'), ("abc", "&&&*"), ("on", "-")):
+            for text in (stem, stem + tail, stem.title() + tail, tail):
+                apart = [] if text == tail else tok.encode(stem).ids
+                if self._library(text) != apart + (self._library(tail) if text.endswith(tail) else []):
+                    return None
+        return tok
+
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of lower-case words, some thousands a call."""
+        out: list[bytes] = []
+        for i in range(0, len(words), 4000):
+            part = words[i : i + 4000]
+            ids = np.array(self.words.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(cuts) != len(part):
+                out += map(self._bytes, part)
+                continue
+            raw, start = ids.tobytes(), 0
+            for cut in cuts:
+                out.append(raw[start * 4 : cut * 4])
+                start = cut
+        return out
 
-    def prepare(self, lists: list[list[str]]) -> None:
-        new = set(chain.from_iterable(lists)).difference(self.ids)
-        if new and len(self.ids) + len(new) > self.limit:
-            self.ids.clear()
-            new = set(chain.from_iterable(lists))
-        self.learn(new)
+    def learn(self, new: list[bytes]) -> None:
+        """Add the ids of pieces: words of Latin letters, marks, and any other chunks."""
+        letters = self._letters if self.words is not None else ()
+        words = [w.decode() for w in new if w.isalpha() or (len(w) <= LONGEST and all(c in letters for c in w.decode()))] if letters else []
+        self.ids.update(zip(map(str.encode, words), self._word_ids(words)))
+        rest = [w.decode() for w in new if w not in self.ids]
+        plain = [w for w in rest if not _MARKUP.search(w)]
+        self.ids.update((w.encode(), self._bytes(w)) for w in rest if _MARKUP.search(w))
+        self.ids.update(zip(map(str.encode, plain), self._marked(plain)))
 
-    def chunks(self, text: str) -> list[str] | None:
-        """White-space chunks, or None where the text must go to the library whole."""
-        return text.split() if self.by_chunk and not _CONTROL.search(text) else None
+    def table(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of distinct pieces."""
+        get = self.ids.get
+        found = list(map(get, pieces))
+        new = [p for p, f in zip(pieces, found) if f is None]
+        if new:
+            if len(self.ids) + len(new) > self.limit and self.ids:
+                self.ids = {p: f for p, f in zip(pieces, found) if f is not None}
+            self.learn(new)
+            found = list(map(self.ids.__getitem__, pieces))
+        return found
+
+    def arrays(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of all texts in one array, and where each text's ids begin and end.
+
+        Chunks are cut, lower-cased and told apart as byte arrays: a chunk of Latin letters and marks after them is two
+        pieces, any other chunk one. Pieces are compared by a 64-bit hash; only distinct ones become objects."""
+        raw = [t.encode() for t in texts]
+        data = b"\n".join([*raw, b""])
+        edges = np.zeros(len(raw) + 1, np.int64)
+        np.cumsum([len(r) + 1 for r in raw], out=edges[1:])
+        b = np.frombuffer(data, np.uint8)
+        space = _CLASS[b] == 1
+        change = np.flatnonzero(space[1:] != space[:-1]) + 1
+        if len(b) and not space[0]:
+            change = np.concatenate([[0], change])
+        start, end = change[::2], change[1::2]
+        low = _LOWER[b]
+        second = np.flatnonzero(b[:-1] == 0xC3) + 1
+        upper = second[(b[second] >= 0x80) & (b[second] <= 0x9E) & (b[second] != 0x97)]
+        low[upper] += 0x20
+        letter = _CLASS[b] == 2
+        accented = second[(b[second] >= 0x80) & (b[second] <= 0xBF) & (b[second] != 0x97) & (b[second] != 0xB7)]
+        letter[accented] = letter[accented - 1] = True
+        letters = np.zeros(len(b) + 1, np.int32)
+        np.cumsum(letter, out=letters[1:])
+        marks = np.zeros(len(b) + 1, np.int32)
+        np.cumsum(_CLASS[b] == 3, out=marks[1:])
+        n = letters[end] - letters[start]
+        middle = start + n
+        simple = (n > 0) & (letters[middle] - letters[start] == n) & (marks[end] - marks[middle] == end - middle)
+        simple &= (end - start <= LONGEST) & (self.words is not None)
+        two = simple & (middle < end)
+        # Pieces in the order of the text.
+        first = np.arange(len(start)) + np.concatenate([[0], np.cumsum(two)[:-1]]) if len(start) else start
+        count = len(start) + int(two.sum())
+        at, to = np.empty(count, np.int64), np.empty(count, np.int64)
+        at[first], to[first] = start, np.where(simple, middle, end)
+        at[first[two] + 1], to[first[two] + 1] = middle[two], end[two]
+        other = np.ones(count, bool)
+        other[first[simple]] = False
+        other[first[two] + 1] = False
+        power, inverse = _powers(len(b) + 1)
+        sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(_RANDOM[low] * power[: len(b)], out=sums[1:])
+        good = np.flatnonzero(~other)
+        keys = (sums[to[good]] - sums[at[good]]) * inverse[at[good]]
+        _, one, code = np.unique(keys, return_index=True, return_inverse=True)
+        lowered = low.tobytes()
+        one = good[one]
+        pieces = [lowered[i:j] for i, j in zip(at[one].tolist(), to[one].tolist())]
+        whole = np.flatnonzero(other)
+        chunks = [data[i:j] for i, j in zip(at[whole].tolist(), to[whole].tolist())]
+        names = {c: i for i, c in enumerate(dict.fromkeys(chunks), len(pieces))}
+        found = self.table(pieces + list(names))
+        codes = np.empty(count, np.int64)
+        codes[good] = code
+        codes[whole] = np.fromiter(map(names.__getitem__, chunks), np.int64, len(chunks))
+        flat = np.frombuffer(b"".join(found), "<u4")
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        begin = np.cumsum(size) - size
+        sizes = size[codes]
+        ends = np.zeros(count + 1, np.int64)
+        np.cumsum(sizes, out=ends[1:])
+        where = np.repeat(begin[codes] - ends[:-1], sizes) + np.arange(ends[-1])
+        return flat[where], ends[np.searchsorted(at, edges)]
 
     def encode(self, texts: list[str], end: int | None = None) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, ``end`` after each if given."""
         tail = b"" if end is None else np.array([end], dtype="<u4").tobytes()
-        lists = [self.chunks(t) for t in texts]
-        self.prepare([x for x in lists if x])
-        get = self.ids.__getitem__
-        return [(self._bytes(t) if x is None else b"".join(map(get, x))) + tail for t, x in zip(texts, lists)]
+        if not self.by_chunk:
+            return [self._bytes(t) + tail for t in texts]
+        out: list[bytes] = []
+        for s in text_slices(texts, SLICE):
+            ids, ends = self.arrays(texts[s])
+            raw = ids.tobytes()
+            out += [raw[i:j] + tail for i, j in zip((ends[:-1] * 4).tolist(), (ends[1:] * 4).tolist())]
+        return out
+
+
+#: Characters that are worked on at once; a longer text stands alone.
+SLICE = 1_500_000
+
+#: Longest chunk, in bytes, that is told apart by its hash.
+LONGEST = 60
+
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[[9, 10, 11, 12, 13, 32]] = 1
+_CLASS[[*range(65, 91), *range(97, 123)]] = 2
+_CLASS[[ord(c) for c in _MARKS]] = 3
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_RANDOM = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64)
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2^64."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        base = 0x9E3779B97F4A7C15
+        size = max(n, 1 << 21)
+        out = []
+        for x in (base, pow(base, -1, 1 << 64)):
+            p = np.full(size, x, np.uint64)
+            p[0] = 1
+            out.append(np.cumprod(p, dtype=np.uint64))
+        _POWERS[:] = out
+    return _POWERS[0], _POWERS[1]
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
