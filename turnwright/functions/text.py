@@ -66,7 +66,7 @@ def answer(text: Column) -> Column:
 def uncertainty_value(text: Column, name: str) -> Column:
     """``internal_uq`` or ``external_uq`` of the think block, within 0 and 1."""
     raw = found(think(text), rf"(?i){name}\s*=\s*([0-9]*\.?[0-9]+)").try_cast("double")
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw))
+    return F.when(raw.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)))
 
 
 def source(text: Column) -> Column:

@@ -77,7 +77,7 @@ per_response("d2_answer", tx.answer, _ANSWER)
 per_response(
     "d3_internal_uq",
     lambda c: tx.uncertainty_value(c, "internal_uq"),
-    f"greatest(0e0, least(1e0, cast({_x(f'({_THINK})', 'internal_uq\\s*=\\s*([0-9]*\\.?[0-9]+)')} as double)))",
+    f"case when regexp_matches(({_THINK}), 'internal_uq\\s*=\\s*[0-9.]', 'i') then greatest(0e0, least(1e0, cast({_x(f'({_THINK})', 'internal_uq\\s*=\\s*([0-9]*\\.?[0-9]+)')} as double))) end",
 )
 per_response("d4_source", tx.source, _SOURCE)
 per_response("d5_suggested", tx.suggested_letter, _SUGGESTED)
