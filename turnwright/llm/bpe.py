@@ -17,7 +17,7 @@ from functools import cached_property
 import numpy as np
 from pyspark.sql import DataFrame
 
-from turnwright.llm.common import append, as_documents, text_slices
+from turnwright.llm.common import append, as_documents, text_slices, worker_state
 from turnwright.llm.tokens import ChunkEncoder, production_path
 
 LEAF = 512
@@ -140,13 +140,8 @@ class Codec:
         return counts, ids_hash, text_hash
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
-    if path not in _CODECS:
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
+    return worker_state(("codec", path), lambda: Codec(path))
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -23,6 +23,18 @@ DOCUMENT_COLUMNS = {"doc_id": "bigint", "text": "string", "lang": "string", "sou
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
+#: Bytes of an Arrow batch between Spark and Python: texts are large, and two workers share an executor's memory.
+BATCH_BYTES = "8388608b"
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session, its workers able to import this package, and Arrow batches small unless they were set."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) == "67108864b":  # Spark's default
+        spark.conf.set(key, BATCH_BYTES)
+    return ship(spark)
+
+
 def document_columns(docs: DataFrame, *names: str) -> list[Column]:
     """The named document columns, typed; a missing one is null."""
     have = {c.lower(): c for c in docs.columns}
@@ -38,7 +50,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and every executor see, from spark.checkpoint.dir.
 
     Only where that is unset (tests, one machine) a temporary folder takes its place."""
-    sc = ship(spark).sparkContext
+    sc = prepared(spark).sparkContext
     path = sc.getConf().get("spark.checkpoint.dir")
     if not path:
         path = sc.getCheckpointDir()
@@ -62,7 +74,7 @@ class Lexicon:
     ``compute`` maps a list of new chunks to a list of numpy arrays (one row a chunk each).
     Beyond ``limit`` chunks the store starts anew, so memory stays bounded."""
 
-    def __init__(self, compute: Callable[[list[str]], list[np.ndarray]], limit: int = 500_000):
+    def __init__(self, compute: Callable[[list[str]], list[np.ndarray]], limit: int = 300_000):
         self.compute, self.limit = compute, limit
         self.index: dict[str, int] = {}
         self.rows: list[np.ndarray] = []
@@ -82,7 +94,18 @@ class Lexicon:
         return np.fromiter(map(self.index.__getitem__, chain.from_iterable(lists)), np.int64, total)
 
 
-def text_slices(texts: list, most: int = 4_000_000) -> Iterator[slice]:
+_STATE: dict = {}
+
+
+def worker_state(key, make: Callable):
+    """What this Python worker keeps between tasks: the one thing used last, so that memory stays bounded."""
+    if key not in _STATE:
+        _STATE.clear()
+        _STATE[key] = make()
+    return _STATE[key]
+
+
+def text_slices(texts: list, most: int = 1_500_000) -> Iterator[slice]:
     """Runs of consecutive texts of about ``most`` characters; a longer text stands alone."""
     start = size = 0
     for i, t in enumerate(texts):
@@ -108,7 +131,7 @@ def summed_vector(
 
     Partial sums meet in two steps (salted by partition, then by block), so that no task
     gathers what grows with the number of partitions; the driver gets ``width`` numbers."""
-    ship(df.sparkSession)
+    prepared(df.sparkSession)
     step = -(-width // blocks)
 
     def partial(batches):
@@ -144,7 +167,7 @@ def append(df: DataFrame, added: str, make: Callable, *inputs: str) -> DataFrame
 
     ``make`` takes one Python list for each input and returns one sequence for each new column.
     The other columns pass through as Arrow data, whatever their types."""
-    spark = ship(df.sparkSession)
+    spark = prepared(df.sparkSession)
     new = T._parse_datatype_string(added)
     schema = T.StructType([*df.schema.fields, *new.fields])
     kinds = [to_arrow_type(f.dataType) for f in new.fields]

@@ -19,8 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnwright.llm.common import Lexicon, append, as_documents, boxed, held_out, offsets, summed_vector, text_slices
-from turnwright.session import ship
+from turnwright.llm.common import Lexicon, append, as_documents, boxed, held_out, offsets, prepared, summed_vector, text_slices, worker_state
 
 WIDTH = 1 << 15
 ORDERS = (2, 3, 4)
@@ -156,7 +155,7 @@ SCALE = 20.0
 
 def train(docs: DataFrame, held: Column, max_rows: int = MAX_TRAIN_ROWS) -> Model | None:
     """Fit on rows that are not held out and have a language; None if there are none."""
-    ship(docs.sparkSession)
+    prepared(docs.sparkSession)
     known = as_documents(docs, "doc_id", "text", "lang").where(~held & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
     if not counts:
@@ -233,7 +232,7 @@ def document_frequencies(batches) -> np.ndarray:
 
 def identify(frame: DataFrame, model: Model | None) -> DataFrame:
     """``frame`` with _lang and _score, from its column text."""
-    shared = ship(frame.sparkSession).sparkContext.broadcast(model)
+    shared = prepared(frame.sparkSession).sparkContext.broadcast(model)
     key = uuid.uuid4().hex
 
     def predict(texts):
@@ -241,11 +240,9 @@ def identify(frame: DataFrame, model: Model | None) -> DataFrame:
         texts = [t if t and LETTER.search(t) else "" for t in texts]
         lang, score = np.full(len(texts), "und", object), np.zeros(len(texts))
         if m:
-            if key not in _LEXICONS:
-                _LEXICONS.clear()
-                _LEXICONS[key] = m.lexicon()
+            lexicon = worker_state(key, m.lexicon)
             for part in text_slices(texts):
-                p = m.probabilities(_LEXICONS[key], texts[part])
+                p = m.probabilities(lexicon, texts[part])
                 good = np.array([bool(t) for t in texts[part]])
                 best = p.argmax(1)
                 lang[part] = np.where(good, np.array(m.languages, object)[best], "und")
@@ -255,9 +252,6 @@ def identify(frame: DataFrame, model: Model | None) -> DataFrame:
     return append(frame, "_lang string, _score double", predict, "text")
 
 
-#: This worker's chunk scores of the model in use.
-_LEXICONS: dict[str, Lexicon] = {}
-
 
 def detect(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row; learned from rows that are not held out."""

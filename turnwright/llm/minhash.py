@@ -35,12 +35,13 @@ from turnwright.llm.common import (
     broadcast_if_small,
     components,
     offsets,
+    prepared,
     summed_vector,
     text_slices,
+    worker_state,
     write_table,
 )
 from turnwright.llm.vectors import forest
-from turnwright.session import ship
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -86,18 +87,14 @@ def word_lexicon() -> Lexicon:
     return Lexicon(compute)
 
 
-_WORDS: list[Lexicon] = []
-
-
 def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, shingle of 44 bits, count) of each text's distinct shingles, sorted."""
-    if not _WORDS:
-        _WORDS.append(word_lexicon())
+    lexicon = worker_state("words", word_lexicon)
     lists = [t.split() for t in texts]
-    ids = _WORDS[0].lookup(lists)
+    ids = lexicon.lookup(lists)
     if not len(ids):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = _WORDS[0].rows[0][ids]
+    h = lexicon.rows[0][ids]
     lengths = np.array([len(x) for x in lists])
     starts = offsets(lengths)[:-1]
     # A text of n words has max(1, n - 4) shingles, of min(n, 5) words each.
@@ -230,7 +227,7 @@ def block_edges(texts: list[str], comp: np.ndarray, left: np.ndarray, right: np.
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id (the least doc_id of the class) and kept of every row."""
-    spark = ship(docs.sparkSession)
+    spark = prepared(docs.sparkSession)
     base = as_documents(docs, "doc_id", "text")
     ids = base.select(
         "doc_id",

@@ -23,9 +23,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnwright.llm.common import as_documents, text_slices, write_table
+from turnwright.llm.common import as_documents, prepared, text_slices, write_table
 from turnwright.llm.tokens import encoder, production_path
-from turnwright.session import ship
 
 SEQUENCE = 4096
 END = 2
@@ -158,7 +157,7 @@ def tokenized(docs: DataFrame, path: str, end: int, queues: int = MAX_QUEUES) ->
     name = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
     queue = name if few else F.pmod(F.xxhash64("source"), F.lit(queues)).cast("string")
     frame = base.select("doc_id", queue.alias("queue"), "text")
-    ship(docs.sparkSession)
+    prepared(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa
@@ -204,7 +203,7 @@ def pack(
     targets: dict[str | None, float] | None = None,
 ) -> DataFrame:
     """Pieces of all documents; ``targets`` gives shares by source, else each has its part of all tokens."""
-    spark = ship(docs.sparkSession)
+    spark = prepared(docs.sparkSession)
     tokens = tokenized(docs, path or production_path(), end)
     parts = write_table(tokens.groupBy("queue", "part").agg(F.sum("n_tokens").alias("n")), "packing-parts")
     totals = {r["queue"]: r["n"] for r in parts.groupBy("queue").agg(F.sum("n").alias("n")).collect()}

@@ -7,8 +7,9 @@ import os
 import re
 
 import numpy as np
+from xxhash import xxh3_64_intdigest
 
-from turnwright.llm.common import text_slices
+from turnwright.llm.common import text_slices, worker_state
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -25,14 +26,76 @@ def production_path() -> str:
     return public_tokenizers.path(PRODUCTION_VOCABULARY)
 
 
+class Store:
+    """Ids by 64-bit key, in arrays: a table with open addresses, and the ids one after the other.
+
+    Beyond ``limit`` keys it starts anew."""
+
+    def __init__(self, limit: int):
+        self.limit, self.bits = limit, max(10, (2 * limit).bit_length())
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys = np.zeros(1 << self.bits, np.uint64)
+        self.places = np.zeros(1 << self.bits, np.int32)
+        self.flat = np.zeros(1 << 16, "<u4")
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.used = 0
+
+    def _slots(self, key: np.ndarray) -> np.ndarray:
+        return (key >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """Each key's place, -1 where it is not known."""
+        out = np.full(len(key), -1, np.int64)
+        left, slot = np.arange(len(key)), self._slots(key)
+        while len(left):
+            held = self.keys[slot]
+            hit = held == key[left]
+            out[left[hit]] = self.places[slot[hit]]
+            go = ~hit & (held != 0)
+            left, slot = left[go], (slot[go] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def add(self, key: np.ndarray, place: np.ndarray, ids: list[bytes]) -> np.ndarray:
+        """Places of all keys after those without one have got ``ids``."""
+        new = np.flatnonzero(place < 0)
+        if len(self.size) + len(new) > self.limit and len(self.size):
+            # Start anew with what these keys need.
+            known = np.flatnonzero(place >= 0)
+            kept = [self.flat[b : b + n].tobytes() for b, n in zip(self.begin[place[known]].tolist(), self.size[place[known]].tolist())]
+            self._clear()
+            ids, new = kept + ids, np.concatenate([known, new])
+            place = np.full(len(key), -1, np.int64)
+        raw = np.frombuffer(b"".join(ids), "<u4")
+        if self.used + len(raw) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(raw), len(self.flat)), "<u4")])
+        self.flat[self.used : self.used + len(raw)] = raw
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first = len(self.size)
+        self.begin = np.concatenate([self.begin, self.used + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.used += len(raw)
+        place[new] = first + np.arange(len(new))
+        left, slot = new, self._slots(key[new])
+        while len(left):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = key[left[free]]
+            mine = free & (self.keys[slot] == key[left])
+            self.places[slot[mine]] = place[left[mine]]
+            go = ~mine
+            left, slot = left[go], (slot[go] + 1) & ((1 << self.bits) - 1)
+        return place
+
+
 class ChunkEncoder:
     """Encodes texts exactly as the library does without special tokens.
 
     Where the tokenizer drops white space (checked on probes), the ids of a text are those of its
     white-space chunks one after the other; the ids of distinct chunks are kept between texts. New chunks go to
-    the library many at a time. Beyond ``limit`` chunks the store starts anew."""
+    the library many at a time. see ``Store``."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 800_000):
         from tokenizers import Tokenizer
 
         self.path, self.limit = path, limit
@@ -42,7 +105,7 @@ class ChunkEncoder:
         special = [(i, t.content) for i, t in sorted(self.tok.get_added_tokens_decoder().items()) if t.special]
         self.mark = special[0] if special else None
         self.by_chunk = self.mark is not None and self._drops_space()
-        self.ids: dict[bytes, bytes] = {}
+        self.store = Store(limit)
         self.words = self._word_encoder() if self.by_chunk else None
 
     def _drops_space(self) -> bool:
@@ -123,27 +186,17 @@ class ChunkEncoder:
                 start = cut
         return out
 
-    def learn(self, new: list[bytes]) -> None:
-        """Add the ids of pieces: words of Latin letters, marks, and any other chunks."""
-        letters = self._letters if self.words is not None else ()
-        words = [w.decode() for w in new if w.isalpha() or (len(w) <= LONGEST and all(c in letters for c in w.decode()))] if letters else []
-        self.ids.update(zip(map(str.encode, words), self._word_ids(words)))
-        rest = [w.decode() for w in new if w not in self.ids]
+    def learn(self, new: list[bytes]) -> list[bytes]:
+        """The ids of pieces: words of Latin letters, marks, and any other chunks."""
+        texts = [p.decode() for p in new]
+        letters = self._letters if self.words is not None else frozenset()
+        found: dict[str, bytes] = {}
+        words = [w for w in texts if len(w) <= LONGEST and letters.issuperset(w)] if letters else []
+        found.update(zip(words, self._word_ids(words)))
+        rest = [w for w in texts if w not in found]
         plain = [w for w in rest if not _MARKUP.search(w)]
-        self.ids.update((w.encode(), self._bytes(w)) for w in rest if _MARKUP.search(w))
-        self.ids.update(zip(map(str.encode, plain), self._marked(plain)))
-
-    def table(self, pieces: list[bytes]) -> list[bytes]:
-        """The ids of distinct pieces."""
-        get = self.ids.get
-        found = list(map(get, pieces))
-        new = [p for p, f in zip(pieces, found) if f is None]
-        if new:
-            if len(self.ids) + len(new) > self.limit and self.ids:
-                self.ids = {p: f for p, f in zip(pieces, found) if f is not None}
-            self.learn(new)
-            found = list(map(self.ids.__getitem__, pieces))
-        return found
+        found.update(zip(plain, self._marked(plain)))
+        return [found[w] if w in found else self._bytes(w) for w in texts]
 
     def arrays(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts in one array, and where each text's ids begin and end.
@@ -190,20 +243,26 @@ class ChunkEncoder:
         np.cumsum(_RANDOM[low] * power[: len(b)], out=sums[1:])
         good = np.flatnonzero(~other)
         keys = (sums[to[good]] - sums[at[good]]) * inverse[at[good]]
-        _, one, code = np.unique(keys, return_index=True, return_inverse=True)
+        one, code = distinct(keys)
         lowered = low.tobytes()
         one = good[one]
-        pieces = [lowered[i:j] for i, j in zip(at[one].tolist(), to[one].tolist())]
         whole = np.flatnonzero(other)
         chunks = [data[i:j] for i, j in zip(at[whole].tolist(), to[whole].tolist())]
-        names = {c: i for i, c in enumerate(dict.fromkeys(chunks), len(pieces))}
-        found = self.table(pieces + list(names))
+        names = {c: i for i, c in enumerate(dict.fromkeys(chunks), len(one))}
         codes = np.empty(count, np.int64)
         codes[good] = code
         codes[whole] = np.fromiter(map(names.__getitem__, chunks), np.int64, len(chunks))
-        flat = np.frombuffer(b"".join(found), "<u4")
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        begin = np.cumsum(size) - size
+        wide = np.fromiter(map(xxh3_64_intdigest, names), np.uint64, len(names))
+        key = np.concatenate([(sums[to[one]] - sums[at[one]]) * inverse[at[one]], wide])
+        lowered = low.tobytes()
+        place = self.store.find(key)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            listed = list(names)
+            span = zip(new.tolist(), at[one[new[new < len(one)]]].tolist(), to[one[new[new < len(one)]]].tolist())
+            pieces = [lowered[i:j] for _, i, j in span] + [listed[i - len(one)] for i in new[new >= len(one)].tolist()]
+            place = self.store.add(key, place, self.learn(pieces))
+        flat, begin, size = self.store.flat, self.store.begin[place], self.store.size[place]
         sizes = size[codes]
         ends = np.zeros(count + 1, np.int64)
         np.cumsum(sizes, out=ends[1:])
@@ -224,7 +283,7 @@ class ChunkEncoder:
 
 
 #: Characters that are worked on at once; a longer text stands alone.
-SLICE = 1_500_000
+SLICE = 500_000
 
 #: Longest chunk, in bytes, that is told apart by its hash.
 LONGEST = 60
@@ -239,11 +298,32 @@ _RANDOM = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64)
 _POWERS: list[np.ndarray] = []
 
 
+def distinct(keys: np.ndarray, bits: int = 19) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the distinct keys, number of each key among them): by a table of slots, clashes by sorting."""
+    slot = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    table = np.zeros(1 << bits, np.int32)
+    table[slot] = np.arange(len(keys), dtype=np.int32)
+    rep = table[slot]
+    same = keys[rep] == keys
+    chosen = np.zeros(len(keys), bool)
+    chosen[rep[same]] = True
+    one = np.flatnonzero(chosen)
+    number = np.empty(len(keys), np.int64)
+    number[one] = np.arange(len(one))
+    code = number[rep]
+    rest = np.flatnonzero(~same)
+    if len(rest):
+        _, first, inverse = np.unique(keys[rest], return_index=True, return_inverse=True)
+        code[rest] = inverse + len(one)
+        one = np.concatenate([one, rest[first]])
+    return one, code
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2^64."""
     if not _POWERS or len(_POWERS[0]) < n:
         base = 0x9E3779B97F4A7C15
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 20)
         out = []
         for x in (base, pow(base, -1, 1 << 64)):
             p = np.full(size, x, np.uint64)
@@ -253,11 +333,6 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
-
-
 def encoder(path: str) -> ChunkEncoder:
     """This Python process's encoder of ``path``."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
+    return worker_state(("encoder", path), lambda: ChunkEncoder(path))

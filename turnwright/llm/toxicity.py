@@ -29,8 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnwright.llm.common import Lexicon, append, as_documents, held_out, offsets, text_slices
-from turnwright.session import ship
+from turnwright.llm.common import Lexicon, append, as_documents, held_out, offsets, prepared, text_slices, worker_state
 
 MAX_TOXIC = 1500
 MAX_CLEAN = 3000
@@ -319,7 +318,7 @@ def platt(m: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, float]:
 
 def train(docs: DataFrame, labels: DataFrame, held: Column) -> Model | None:
     """Fit on labelled rows that are not held out, up to the bounds above, chosen by a hash of doc_id."""
-    ship(docs.sparkSession)
+    prepared(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where(~held & F.col("toxic").isNotNull())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     pick = lambda y, n: known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
@@ -335,19 +334,17 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row; learned from rows that are not held out."""
     held = held_out(0, 5)
     model = train(docs, labels, held)
-    shared = ship(docs.sparkSession).sparkContext.broadcast(model)
+    shared = prepared(docs.sparkSession).sparkContext.broadcast(model)
     key = uuid.uuid4().hex
 
     def run(texts):
         m = shared.value
         out = np.zeros(len(texts))
         if m:
-            if key not in _LEXICONS:
-                _LEXICONS.clear()
-                _LEXICONS[key] = m.lexicon()
+            lexicon = worker_state(key, m.lexicon)
             texts = [t or "" for t in texts]
             for s in text_slices(texts):
-                out[s] = m.probability(m.margins(_LEXICONS[key], texts[s]))
+                out[s] = m.probability(m.margins(lexicon, texts[s]))
         return (out,)
 
     found = append(as_documents(docs, "doc_id", "text"), "_score double", run, "text")
@@ -358,6 +355,3 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         (F.col("_score") >= 0.5).cast("int").alias("predicted"),
     )
 
-
-#: This worker's window scores under the model in use.
-_LEXICONS: dict[str, Lexicon] = {}

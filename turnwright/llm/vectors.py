@@ -22,8 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnwright.llm.common import components, write_table
-from turnwright.session import ship
+from turnwright.llm.common import components, prepared, write_table
 
 COSINE = 0.98
 WIDTH = 2.0
@@ -78,7 +77,7 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
 
 def link(embeddings: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
-    spark = ship(embeddings.sparkSession)
+    spark = prepared(embeddings.sparkSession)
     have = {c.lower(): c for c in embeddings.columns}
     base = embeddings.select(
         embeddings[have["vec_id"]].cast("long").alias("vec_id"),

@@ -20,9 +20,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnwright.llm.common import as_documents, text_slices, write_table
+from turnwright.llm.common import as_documents, broadcast_if_small, prepared, text_slices, write_table
 from turnwright.llm.tokens import encoder, production_path
-from turnwright.session import ship
 
 MAGIC = b"WVM1"
 BLOCK = 512
@@ -193,7 +192,7 @@ def write_shards(docs: DataFrame, path: str | None = None, end: int = END, most:
     """Written table of shard files: shard, file, documents, tokens, data."""
     path = path or production_path()
     base = as_documents(docs, "doc_id", "text")
-    spark = ship(docs.sparkSession)
+    spark = prepared(docs.sparkSession)
     # Bounds of shards: quantiles of doc_id alone, read without the texts.
     rows = base.count()
     shards = max(1, rows // SHARD_ROWS)
@@ -279,5 +278,6 @@ def read_shards(files: DataFrame) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
+    begins = broadcast_if_small(begins, small.count())
     placed = files.join(begins, ["shard", "file"]).select("data", "begin")
     return placed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
