@@ -32,10 +32,12 @@ class Store:
     Beyond ``limit`` keys it starts anew."""
 
     def __init__(self, limit: int):
-        self.limit, self.bits = limit, max(10, (2 * limit).bit_length())
-        self._clear()
+        self.limit = limit
+        self._clear(limit)
 
-    def _clear(self) -> None:
+    def _clear(self, entries: int) -> None:
+        """No entries, and room for so many at half the slots."""
+        self.bits = max(10, (2 * entries).bit_length())
         self.keys = np.zeros(1 << self.bits, np.uint64)
         self.places = np.zeros(1 << self.bits, np.int32)
         self.flat = np.zeros(1 << 16, "<u4")
@@ -60,11 +62,11 @@ class Store:
     def add(self, key: np.ndarray, place: np.ndarray, ids: list[bytes]) -> np.ndarray:
         """Places of all keys after those without one have got ``ids``."""
         new = np.flatnonzero(place < 0)
-        if len(self.size) + len(new) > self.limit and len(self.size):
+        if len(self.size) + len(new) > self.limit:
             # Start anew with what these keys need.
             known = np.flatnonzero(place >= 0)
             kept = [self.flat[b : b + n].tobytes() for b, n in zip(self.begin[place[known]].tolist(), self.size[place[known]].tolist())]
-            self._clear()
+            self._clear(max(self.limit, len(key)))
             ids, new = kept + ids, np.concatenate([known, new])
             place = np.full(len(key), -1, np.int64)
         raw = np.frombuffer(b"".join(ids), "<u4")
@@ -275,7 +277,7 @@ class ChunkEncoder:
         if not self.by_chunk:
             return [self._bytes(t) + tail for t in texts]
         out: list[bytes] = []
-        for s in text_slices(texts, SLICE):
+        for s in text_slices(texts, SLICE, free=False):
             ids, ends = self.arrays(texts[s])
             raw = ids.tobytes()
             out += [raw[i:j] + tail for i, j in zip((ends[:-1] * 4).tolist(), (ends[1:] * 4).tolist())]
