@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -68,13 +71,17 @@ def write_table(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Chunks that a lexicon works on at once.
+STEP = 20_000
+
+
 class Lexicon:
     """Feature rows of distinct white-space chunks, kept between batches of one Python worker.
 
     ``compute`` maps a list of new chunks to a list of numpy arrays (one row a chunk each).
     Beyond ``limit`` chunks the store starts anew, so memory stays bounded."""
 
-    def __init__(self, compute: Callable[[list[str]], list[np.ndarray]], limit: int = 300_000):
+    def __init__(self, compute: Callable[[list[str]], list[np.ndarray]], limit: int = 250_000):
         self.compute, self.limit = compute, limit
         self.index: dict[str, int] = {}
         self.rows: list[np.ndarray] = []
@@ -85,11 +92,11 @@ class Lexicon:
         if new and len(self.index) + len(new) > self.limit and self.index:
             self.index, self.rows = {}, []
             new = list(set().union(*lists))
-        if new:
-            made = self.compute(new)
+        made = [self.compute(new[i : i + STEP]) for i in range(0, len(new), STEP)]
+        if made:
             base = len(self.index)
             self.index.update(zip(new, range(base, base + len(new))))
-            self.rows = [np.concatenate([a, b]) for a, b in zip(self.rows, made)] if self.rows else made
+            self.rows = [np.concatenate(parts) for parts in zip(*([self.rows] if self.rows else []), *made)]
         total = sum(map(len, lists))
         return np.fromiter(map(self.index.__getitem__, chain.from_iterable(lists)), np.int64, total)
 
@@ -97,16 +104,29 @@ class Lexicon:
 _STATE: dict = {}
 
 
+def release() -> None:
+    """Give memory that this process no longer needs back to the system."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def worker_state(key, make: Callable):
     """What this Python worker keeps between tasks: the one thing used last, so that memory stays bounded."""
     if key not in _STATE:
         _STATE.clear()
+        release()
         _STATE[key] = make()
     return _STATE[key]
 
 
-def text_slices(texts: list, most: int = 1_500_000) -> Iterator[slice]:
-    """Runs of consecutive texts of about ``most`` characters; a longer text stands alone."""
+def text_slices(texts: list, most: int = 1_500_000, free: bool = True) -> Iterator[slice]:
+    """Runs of consecutive texts of about ``most`` characters; a longer text stands alone.
+
+    After the last one unused memory is released, if ``free``: two workers share an executor with its JVM."""
     start = size = 0
     for i, t in enumerate(texts):
         n = len(t) if t else 0
@@ -116,6 +136,8 @@ def text_slices(texts: list, most: int = 1_500_000) -> Iterator[slice]:
         size += n
     if start < len(texts):
         yield slice(start, len(texts))
+    if free:
+        release()
 
 
 def offsets(lengths: list[int]) -> np.ndarray:

@@ -143,7 +143,7 @@ def signatures(doc: np.ndarray, sh: np.ndarray, weight: np.ndarray, n: int, band
         if a == b:
             continue
         empty = np.flatnonzero(out[d] == 0)
-        step = max(1, 2_000_000 // (b - a))
+        step = max(1, 200_000 // (b - a))
         for i in range(0, len(empty), step):
             part = empty[i : i + step]
             draw = np.log(gamma2(mix(sh[a:b, None] + seeds[part][None, :]))) - base[a:b, None]
