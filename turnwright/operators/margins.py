@@ -47,7 +47,7 @@ def turn_means(scores: DataFrame, by: list[str], turn: str = "turn", value: str
     return scores.groupBy(*by, turn).agg(F.avg(value).alias("score"), F.count(value).alias("n"))
 
 
-def runtime_fields(rollouts: DataFrame, mode: str = "default", expected: int = 8) -> DataFrame:
+def runtime_fields(rollouts: DataFrame, mode: str = "default", expected: int = 8, digits: int = 6) -> DataFrame:
     """Route, negative letter, perplexities, margin and its source, without an external scorer."""
     key = F.col("rollout_key")
     step = filled(rollouts, expected)
@@ -56,9 +56,9 @@ def runtime_fields(rollouts: DataFrame, mode: str = "default", expected: int = 8
         *rollouts.columns,
         way.alias("neg_type"),
         F.when(way == "hard", uq.hard_negative(F.col("gt_letter"))).otherwise("").alias("neg_letter"),
-        F.round("ppl_gt", 6).alias("ppl_gt"),
-        F.round("ppl_neg", 6).alias("ppl_neg"),
-        F.round(F.col("ppl_neg") - F.col("ppl_gt"), 6).alias("margin"),
+        F.round("ppl_gt", digits).alias("ppl_gt"),
+        F.round("ppl_neg", digits).alias("ppl_neg"),
+        F.round(F.col("ppl_neg") - F.col("ppl_gt"), digits).alias("margin"),
         "margin_source",
     )
 

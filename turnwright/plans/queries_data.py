@@ -391,22 +391,22 @@ _FILL = f"""{_GROUP}, f as (select r.*, coalesce(case when pred_letter = gt_lett
   case when n >= 8 then 'group_rollout:complete' else 'group_rollout:partial' end as margin_source from rollouts r join g using (group_key))"""
 
 
-@query(f"with {_GROUP} select group_key, round(mc, 6) as mean_correct, round(mw, 6) as mean_wrong, n from g")
+@query(f"with {_GROUP} select group_key, round(mc, 12) as mean_correct, round(mw, 12) as mean_wrong, n from g")
 def g11_group_means(spark, sf_dir):
     m = margins.group_means(fixture(spark, sf_dir, "rollouts"))
-    return m.select("group_key", F.round("mean_correct", 6).alias("mean_correct"), F.round("mean_wrong", 6).alias("mean_wrong"), "n")
+    return m.select("group_key", F.round("mean_correct", 12).alias("mean_correct"), F.round("mean_wrong", 12).alias("mean_wrong"), "n")
 
 
-@query(f"with {_FILL} select event_id, round(pg, 6) as ppl_gt, round(pn, 6) as ppl_neg, margin_source from f")
+@query(f"with {_FILL} select event_id, round(pg, 12) as ppl_gt, round(pn, 12) as ppl_neg, margin_source from f")
 def g12_group_margin(spark, sf_dir):
     m = margins.filled(fixture(spark, sf_dir, "rollouts"))
-    return m.select("event_id", F.round("ppl_gt", 6).alias("ppl_gt"), F.round("ppl_neg", 6).alias("ppl_neg"), "margin_source")
+    return m.select("event_id", F.round("ppl_gt", 12).alias("ppl_gt"), F.round("ppl_neg", 12).alias("ppl_neg"), "margin_source")
 
 
-@query("select user_id, event_id % 5 as turn, round(avg(seq_ppl), 6) as score, count(seq_ppl) as n from rollouts group by all")
+@query("select user_id, event_id % 5 as turn, round(avg(seq_ppl), 12) as score, count(seq_ppl) as n from rollouts group by all")
 def g13_turn_mean(spark, sf_dir):
     df = fixture(spark, sf_dir, "rollouts").select("user_id", (F.col("event_id") % 5).alias("turn"), F.col("seq_ppl").alias("value"))
-    return margins.turn_means(df, ["user_id"]).withColumn("score", F.round("score", 6))
+    return margins.turn_means(df, ["user_id"]).withColumn("score", F.round("score", 12))
 
 
 @query("with c as (select gt_action, count(*) as n from mixed_annotations group by all) select gt_action, n, n = min(n) over () as under, n = max(n) over () as over from c")
@@ -666,9 +666,9 @@ def j3_group_key(spark, sf_dir):
     return fixture(spark, sf_dir, "events").select("event_id", key.alias("key"))
 
 
-@query(f"""with {_FILL} select event_id, {_ROUTE} as neg_type, case when {_ROUTE} = 'hard' then {_HARD} else '' end as neg_letter, round(pg, 6) as ppl_gt, round(pn, 6) as ppl_neg, round(pn - pg, 6) as margin, margin_source from f""")
+@query(f"""with {_FILL} select event_id, {_ROUTE} as neg_type, case when {_ROUTE} = 'hard' then {_HARD} else '' end as neg_letter, round(pg, 12) as ppl_gt, round(pn, 12) as ppl_neg, round(pn - pg, 12) as margin, margin_source from f""")
 def j5_runtime_fields(spark, sf_dir):
-    m = margins.runtime_fields(fixture(spark, sf_dir, "rollouts"))
+    m = margins.runtime_fields(fixture(spark, sf_dir, "rollouts"), digits=12)
     return m.select("event_id", "neg_type", "neg_letter", "ppl_gt", "ppl_neg", "margin", "margin_source")
 
 
