@@ -314,11 +314,20 @@ def f1_tokens(text: Column) -> Column:
 
 def token_f1(a: Column, b: Column) -> Column:
     """Multiset F1 of two short texts; 0 where one has no tokens. For long texts see ``pairwise_token_f1``."""
-    ta, tb = f1_tokens(a), f1_tokens(b)
     count = lambda xs, t: F.size(F.filter(xs, lambda x: x == t))
-    inter = F.aggregate(F.array_distinct(ta), F.lit(0), lambda acc, t: acc + F.least(count(ta, t), count(tb, t)))
-    both = F.size(ta) + F.size(tb)
-    return F.when((F.size(ta) > 0) & (F.size(tb) > 0) & (inter > 0), 2.0 * inter / both).otherwise(F.lit(0.0))
+
+    def score(ta: Column, tb: Column) -> Column:
+        inter = F.aggregate(F.array_distinct(ta), F.lit(0), lambda acc, t: acc + F.least(count(ta, t), count(tb, t)))
+        both = F.size(ta) + F.size(tb)
+        return F.when((F.size(ta) > 0) & (F.size(tb) > 0) & (inter > 0), 2.0 * inter / both).otherwise(F.lit(0.0))
+
+    return bound(score, f1_tokens(a), f1_tokens(b))
+
+
+def bound(f, *values: Column) -> Column:
+    """``f`` of values that are worked out once, also where ``f`` uses them within a lambda."""
+    row = F.struct(*[v.alias(f"_{i}") for i, v in enumerate(values)])
+    return F.get(F.transform(F.array(row), lambda s: f(*[s[f"_{i}"] for i in range(len(values))])), 0)
 
 
 def tool_name_and_arguments(text: Column) -> Column:
