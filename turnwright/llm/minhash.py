@@ -1,6 +1,6 @@
 """Near-duplicate documents by improved consistent weighted sampling over TF-IDF shingles.
 
-Words are white-space chunks; a shingle is five consecutive words (all words of a shorter text), weighted by
+Words stand between ASCII white space; a shingle is five consecutive words (all words of a shorter text), weighted by
 its count in the text times idf = 1 + ln((N+1)/(df+1)) / ln(N+1), from 1 for what every document has to 2. df counts
 all documents, in ``CELLS`` hashed cells: a cell's share of the corpus that stems from unlike shingles is the mean number
 of shingles a document over ``CELLS``, at any corpus size, so that frequent passages stand out alike everywhere.
@@ -30,7 +30,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnwright.llm.common import (
-    Lexicon,
     as_documents,
     broadcast_if_small,
     components,
@@ -38,9 +37,9 @@ from turnwright.llm.common import (
     prepared,
     summed_vector,
     text_slices,
-    worker_state,
     write_table,
 )
+from turnwright.llm.tokens import word_hashes
 from turnwright.llm.vectors import forest
 
 WORDS = 5
@@ -78,28 +77,29 @@ def gamma2(x: np.ndarray) -> np.ndarray:
     return -np.log(a * b)
 
 
-def word_lexicon() -> Lexicon:
-    import xxhash
+def fresh_draws(sh: np.ndarray, log_weight: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, levels) of improved consistent weighted sampling, one column a seed, in single precision.
 
-    def compute(words):
-        return [np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))]
-
-    return Lexicon(compute)
+    Each column has numbers of its own: with a shared r one shingle of a large r would win in most columns."""
+    x = mix(sh[:, None] + seeds[None, :])
+    y = mix(x + np.uint64(_GOLD))
+    unit = lambda v, bits: ((v >> np.uint64(bits)) & np.uint64(0xFFFFFF)).astype(np.float32) * np.float32(2.0**-24) + np.float32(2.0**-25)
+    r = -np.log(unit(x, 0) * unit(x, 24))
+    beta = (x >> np.uint64(48)).astype(np.float32) * np.float32(2.0**-16)
+    level = np.floor(log_weight.astype(np.float32)[:, None] / r + beta)
+    return np.log(-np.log(unit(y, 0) * unit(y, 24))) - r * (level - beta + 1), level
 
 
 def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, shingle of 44 bits, count) of each text's distinct shingles, sorted."""
-    lexicon = worker_state("words", word_lexicon)
-    lists = [t.split() for t in texts]
-    ids = lexicon.lookup(lists)
-    if not len(ids):
+    h, lengths = word_hashes(texts)
+    if not len(h):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = lexicon.rows[0][ids]
-    lengths = np.array([len(x) for x in lists])
+    h = mix(h)
     starts = offsets(lengths)[:-1]
     # A text of n words has max(1, n - 4) shingles, of min(n, 5) words each.
     count = np.where(lengths > 0, np.maximum(lengths - WORDS + 1, 1), 0)
-    doc = np.repeat(np.arange(len(lists)), count)
+    doc = np.repeat(np.arange(len(lengths)), count)
     at = np.arange(count.sum()) - np.repeat(offsets(count)[:-1], count) + starts[doc]
     key = np.zeros(len(at), np.uint64)
     for k in range(WORDS):
@@ -123,9 +123,9 @@ def signatures(doc: np.ndarray, sh: np.ndarray, weight: np.ndarray, n: int, band
     out = np.zeros((n, bins), np.uint64)
     r = gamma2(keyed(sh, 1))
     beta, _ = halves(keyed(sh, 2))
-    level = np.floor(np.log(weight) / r + beta)
-    base = r * (level - beta) + r  # ln(y e^r)
-    value = np.log(gamma2(keyed(sh, 3))) - base
+    log_weight = np.log(weight)
+    level = np.floor(log_weight / r + beta)
+    value = np.log(gamma2(keyed(sh, 3))) - r * (level - beta + 1)
     sample = mix(sh ^ keyed(level.astype(np.int64).astype(np.uint64), 4))
     # Bins follow the order of the shingles, so that each is a run.
     slot = doc * bins + ((sh * np.uint64(bins)) >> BITS).astype(np.int64)
@@ -146,8 +146,10 @@ def signatures(doc: np.ndarray, sh: np.ndarray, weight: np.ndarray, n: int, band
         step = max(1, 200_000 // (b - a))
         for i in range(0, len(empty), step):
             part = empty[i : i + step]
-            draw = np.log(gamma2(mix(sh[a:b, None] + seeds[part][None, :]))) - base[a:b, None]
-            out[d, part] = sample[a:b][draw.argmin(0)] | np.uint64(1)
+            value, found = fresh_draws(sh[a:b], log_weight[a:b], seeds[part])
+            win = value.argmin(0)
+            chosen = found[win, np.arange(len(part))].astype(np.int64).astype(np.uint64)
+            out[d, part] = mix(sh[a:b][win] ^ keyed(chosen, 4)) | np.uint64(1)
     by = out.reshape(n, bands, rows)
     key = np.zeros((n, bands), np.uint64)
     for k in range(rows):

@@ -321,6 +321,23 @@ def distinct(keys: np.ndarray, bits: int = 19) -> tuple[np.ndarray, np.ndarray]:
     return one, code
 
 
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words (by ASCII white space) of all texts, and how many words each text has."""
+    raw = [t.encode() for t in texts]
+    b = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
+    space = _CLASS[b] == 1
+    change = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if len(b) and not space[0]:
+        change = np.concatenate([[0], change])
+    start, end = change[::2], change[1::2]
+    power, inverse = _powers(len(b) + 1)
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_RANDOM[b] * power[: len(b)], out=sums[1:])
+    edges = np.cumsum([0] + [len(r) + 1 for r in raw])
+    count = np.diff(np.searchsorted(start, edges))
+    return (sums[end] - sums[start]) * inverse[start], count
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2^64."""
     if not _POWERS or len(_POWERS[0]) < n:
