@@ -61,6 +61,29 @@ def test_sharding(spark, docs, no_docs):
     assert sharding.assign(no_docs).count() == 0
 
 
+def test_sharding_keeps_groups_together(spark):
+    """Hot groups take no more shards than their rows need; small ones stay whole, by rounds and by the driver."""
+    texts = ["hot"] * 320 + ["warm"] * 100 + [f"pair {i // 2}" for i in range(240)] + [f"single {i}" for i in range(300)]
+    random.Random(5).shuffle(texts)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    for few in (sharding.FEW, 0):
+        out = sharding.assign(df, few=few).toPandas()
+        assert sorted(out.doc_id) == list(range(960)) and set(out.groupby("shard").size()) == {40}
+        assert all(sorted(x.slot) == list(range(40)) for _, x in out.groupby("shard"))
+        spread = out.assign(text=[texts[i] for i in out.doc_id]).groupby("text").shard.nunique()
+        assert spread["hot"] == 8 and spread["warm"] == 3
+        assert (spread[spread.index.str.startswith("pair")] == 1).all()
+
+
+def test_sharding_splits_what_fits_nowhere(spark):
+    """Groups of five and nothing else: each shard has room for four whole ones, the others fill the gaps."""
+    df = spark.createDataFrame([(i, f"text {i // 5}") for i in range(575)], "doc_id long, text string").repartition(3)
+    out = sharding.assign(df, few=0).toPandas()
+    counts = out.groupby("shard").size()
+    assert sorted(out.doc_id) == list(range(575)) and len(counts) == 24 and counts.max() - counts.min() <= 1
+    assert (out.assign(text=out.doc_id // 5).groupby("text").shard.nunique() == 1).sum() == 96
+
+
 def brute_vectors(x, labels):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = (u @ u.T >= 0.98) & (labels[:, None] == labels[None, :])

@@ -2,23 +2,26 @@
 
 Documents of equal text are linked. Each group of linked documents is a node joined to its members (no pairs);
 the labels of the members are shards. In each round every group that has no settled shard looks at its members'
-shards and moves towards the one that holds most of them, among the shards with room; groups are admitted in
-hash order while the shard's quota lasts, and the rest try again among the shards left. Groups beyond a
-quarter of a shard are split into parts that move towards the same shard. Documents without links cost no
-edge wherever they lie, so they fill what is left. The law is ``rows``: counts differ by one at most.
+shards and moves towards the one that holds most of them, among the shards with room for all of it; groups are
+admitted in hash order while the shard's quota lasts, and the rest try again among the shards left. Rounds go on
+until at most ``FEW`` groups are open. These, and before the rounds the groups beyond a quarter of a shard (fewer
+than about four a shard), are placed by the driver, the largest first: a group stays whole where a shard has room
+for it, else it fills the roomiest shards one after the other. Documents without links cost no edge wherever they
+lie, so they fill what is left. The law is ``rows``: counts differ by one at most.
 
 Cases: a null text counts no bytes, has crc32 0 and is linked to nothing; an empty text is a text like any
 other. Rows that repeat a doc_id are placed each on its own. An empty table gives no rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from turnwright.llm.common import as_documents, ranked, write_table
 
 SHARDS = 24
-ROUNDS = 6
+#: Groups that the driver places after the rounds. Fewer than ``SHARDS`` can fit no shard whole, so that rounds end.
+FEW = 2_000
 
 _GROUP = ["h1", "text_crc32", "size"]
 
@@ -27,7 +30,25 @@ def _numbers(values: list[int]) -> Column:
     return F.array(*[F.lit(int(v)).cast("long") for v in values])
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def place(groups: list[Row], room: list[int]) -> list[tuple]:
+    """(h1, text_crc32, size, first, last, shard): members first..last-1 of every group, taken out of ``room``."""
+    spans = []
+    for g in sorted(groups, key=lambda g: (-g["members"], g["h1"], g["text_crc32"], g["size"])):
+        at, end = 0, g["members"]
+        while at < end:
+            whole = [i for i, r in enumerate(room) if r >= end - at]
+            if whole:
+                shard = max(whole, key=lambda i: (g["near"][i], room[i]))
+            else:
+                shard = max(range(len(room)), key=lambda i: (room[i], g["near"][i]))
+            n = min(room[shard], end - at)
+            spans.append((g["h1"], g["text_crc32"], g["size"], at, at + n, shard))
+            room[shard] -= n
+            at += n
+    return spans
+
+
+def assign(docs: DataFrame, shards: int = SHARDS, few: int = FEW) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = as_documents(docs, "doc_id", "text").select(
@@ -46,61 +67,55 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
     label = F.pmod(F.xxhash64("uid"), F.lit(shards))
     seen = [F.count(F.when(label == i, 1)).alias(f"n{i}") for i in range(shards)]
     groups = rows.where("h1 is not null").groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("members"), *seen)
-    groups = groups.where("members > 1").select(
-        *_GROUP, "members", F.array(*[f"n{i}" for i in range(shards)]).alias("near"), F.ceil(F.col("members") / part).cast("int").alias("parts")
-    )
+    groups = groups.where("members > 1").select(*_GROUP, "members", F.array(*[f"n{i}" for i in range(shards)]).alias("near"))
     groups = write_table(groups, "sharding-groups")
-    # Parts of groups: one for most, several for a group beyond the quota of a quarter shard.
-    linked = rows.join(groups.select(*_GROUP, "parts"), _GROUP).select(
-        "uid", *_GROUP, F.when(F.col("parts") > 1, F.pmod(F.xxhash64("uid", F.lit(1)), F.col("parts"))).otherwise(0).cast("int").alias("sub")
-    )
-    units = linked.groupBy(*_GROUP, "sub").agg(F.count(F.lit(1)).alias("rows"))
-    open_units = write_table(units.join(groups.select(*_GROUP, "near"), _GROUP), "sharding-units")
+    room = list(caps)
+    spans = place(groups.where(F.col("members") > part).collect(), room)
+    open_groups = groups.where(F.col("members") <= part)
     settled = None
-    room, caps_left = list(caps), list(caps)
-    left = open_units.count()
-    for _ in range(rounds):
-        if not left or not any(room):
-            break
-        # The shard with room that holds most members; ties by a hash of group and shard.
+    left = open_groups.count()
+    while left > max(few, shards):
+        # The shard with room for the group that holds most members; ties by a hash of group and shard.
         best = F.array_max(
             F.transform(
                 F.sequence(F.lit(0), F.lit(shards - 1)),
                 lambda i: F.struct(
-                    (F.get(_numbers(room), i) > 0).alias("open"),
+                    (F.get(_numbers(room), i) >= F.col("members")).alias("open"),
                     F.get(F.col("near"), i).alias("members"),
                     F.xxhash64(F.col("h1"), i).alias("tie"),
                     i.cast("int").alias("shard"),
                 ),
             )
         )
-        wanted = open_units.withColumn("shard", best["shard"])
-        order = [*_GROUP, "sub"]
+        wanted = open_groups.withColumn("shard", best["shard"])
         buckets = max(1, left // 20_000)
         wanted = wanted.withColumn("_b", F.pmod(F.xxhash64(*_GROUP), F.lit(buckets)))
-        sums = wanted.groupBy("shard", "_b").agg(F.sum("rows").alias("_s"))
+        # Groups that fit nowhere count for no shard; the driver splits them.
+        wanted = wanted.withColumn("_rows", F.when(best["open"], F.col("members")).otherwise(0))
+        sums = wanted.groupBy("shard", "_b").agg(F.sum("_rows").alias("_s"))
         before = Window.partitionBy("shard").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
         sums = sums.select("shard", "_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
-        upto = Window.partitionBy("shard", "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        moved = wanted.withColumn("_upto", F.sum("rows").over(upto)).join(sums, ["shard", "_b"])
-        moved = moved.withColumn("fits", F.col("_before") + F.col("_upto") <= F.get(_numbers(room), F.col("shard")))
-        moved = write_table(moved.select(*order, "rows", "near", "shard", "fits"), "sharding-moves")
-        taken = {r["shard"]: r["n"] for r in moved.where("fits").groupBy("shard").agg(F.sum("rows").alias("n")).collect()}
-        refused = {r["shard"] for r in moved.where(~F.col("fits")).select("shard").distinct().collect()}
-        new = moved.where("fits").select(*order, "shard")
+        upto = Window.partitionBy("shard", "_b").orderBy(*_GROUP).rowsBetween(Window.unboundedPreceding, 0)
+        moved = wanted.withColumn("_upto", F.sum("_rows").over(upto)).join(sums, ["shard", "_b"])
+        fits = (F.col("_rows") > 0) & (F.col("_before") + F.col("_upto") <= F.get(_numbers(room), F.col("shard")))
+        moved = write_table(moved.select(*_GROUP, "members", "near", "shard", fits.alias("fits")), "sharding-moves")
+        taken = {r["shard"]: r["n"] for r in moved.where("fits").groupBy("shard").agg(F.sum("members").alias("n")).collect()}
+        new = moved.where("fits").select(*_GROUP, "shard")
         settled = new if settled is None else settled.union(new)
-        open_units = moved.where(~F.col("fits")).select(*order, "rows", "near")
-        caps_left = [r - taken.get(i, 0) for i, r in enumerate(caps_left)]
-        # A shard that refused a group is closed for the next round, unless all have.
-        room = [0 if i in refused else r for i, r in enumerate(caps_left)]
-        room = room if any(room) else list(caps_left)
-        left = open_units.count()
+        open_groups = moved.where(~F.col("fits")).select(*_GROUP, "members", "near")
+        room = [r - taken.get(i, 0) for i, r in enumerate(room)]
+        left = open_groups.count()
+    spans += place(open_groups.collect(), room)
 
-    # Members follow their unit; all other rows fill the shards up to their caps.
-    placed = rows.withColumn("shard", F.lit(None).cast("int"))
+    # Members follow their group; all other rows fill the shards up to their caps.
+    kind = "h1 long, text_crc32 long, size long, first long, last long, home int"
+    cuts = F.broadcast(write_table(docs.sparkSession.createDataFrame(spans, kind), "sharding-spans"))
+    mine = rows.join(cuts.select(*_GROUP).distinct(), _GROUP, "left_semi")
+    within = (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last"))
+    homes = ranked(mine, _GROUP, ["uid"], n, target=5_000).join(cuts, _GROUP).where(within).select("uid", "home")
     if settled is not None:
-        homes = linked.join(settled, [*_GROUP, "sub"]).select("uid", F.col("shard").alias("home"))
-        placed = rows.join(homes, "uid", "left").withColumn("shard", F.col("home").cast("int")).drop("home")
+        homes = homes.union(rows.join(settled, _GROUP).select("uid", F.col("shard").alias("home")))
+    placed = rows.join(homes, "uid", "left").withColumn("shard", F.col("home").cast("int")).drop("home")
     placed = write_table(placed, "sharding-placed")
     used = {r["shard"]: r["n"] for r in placed.where("shard is not null").groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
     held = [used.get(i, 0) for i in range(shards)]
