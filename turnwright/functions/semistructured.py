@@ -79,6 +79,19 @@ def tool_list(cell: Column) -> Column:
     return F.when(cell.isNull(), empty).when(kind(cell) == "array", ensure_array(cell)).otherwise(F.array(cell))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def dumped_items(cells: pd.Series) -> pd.Series:
+    """Items of each JSON list: strings as they are, others with the usual separators and ASCII escapes."""
+    one = lambda cell: [t if isinstance(t, str) else json.dumps(t) for t in json.loads(cell)] if cell else []
+    return cells.map(one)
+
+
+def tool_texts(cell: Column) -> Column:
+    """``tool_list`` with a list's items as the prompt shows them."""
+    items = F.when(kind(cell) == "array", cell)
+    return F.when(items.isNotNull(), dumped_items(items)).otherwise(tool_list(cell))
+
+
 def tool_prompt(tools: Column) -> Column:
     """Tools between quotes of blanks, with a blank line between."""
     return F.array_join(F.transform(tools, lambda t: F.concat(F.lit('" '), t, F.lit(' "'))), "\n\n")

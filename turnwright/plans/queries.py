@@ -32,12 +32,10 @@ def query(sql: str | None = None):
 
 
 def per_response(name: str, value: Callable[[Column], Column], sql: str, where: str | None = None) -> None:
-    """A text function over the fixture of responses: conv_id, turn, value."""
+    """A text function over the fixture of responses: conv_id, turn, value; ``where`` has the rows that the SQL is for."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = fixture(spark, sf_dir, "responses")
-        df = df.where(where) if where else df
-        return df.select("conv_id", "turn", value(F.col("response")).alias("value"))
+        return fixture(spark, sf_dir, "responses").select("conv_id", "turn", value(F.col("response")).alias("value"))
 
     QUERIES[name] = run
     ORACLES[name] = with_fixtures(
@@ -99,6 +97,7 @@ per_response(
 )
 per_response("d21_pred_letter", tx.tagged_letter, f"coalesce(upper({_x('response', f'\\b({_ACT})\\s*<\\s*([ABCD])\\s*>', 2)}), '')")
 
+# The responses whose unified form DuckDB's SQL can give; the queries take all of them.
 _PLAIN = "(conv_id * 3 + turn) % 6 in (0, 2, 3)"
 _UACT = f"lower({_x('response', f'({_ACT})\\s*<\\s*([ABCD])\\s*>', 1)})"
 _ULAB = f"upper({_x('response', f'({_ACT})\\s*<\\s*([ABCD])\\s*>', 2)})"
@@ -110,20 +109,24 @@ _UANS = f"trim({_x('response', '<answer>(.*?)</answer>')})"
 from responses where {_PLAIN}""")
 def d10_unified_parse(spark, sf_dir):
     r = F.col("response")
-    return fixture(spark, sf_dir, "responses").where(_PLAIN).select(
-        "conv_id", "turn", tx.unified_action(r).alias("action"), tx.unified_label(r).alias("label"), tx.think_only(r).alias("thought"), tx.unified_answer(r).alias("answer")
+    answer = tx.unified_answer(r, ss.rendered_tool_calls(r))
+    return fixture(spark, sf_dir, "responses").select(
+        "conv_id", "turn", tx.unified_action(r).alias("action"), tx.unified_label(r).alias("label"), tx.think_only(r).alias("thought"), answer.alias("answer")
     )
 
 
 _UNIFIED = f"'<think>' || {_UTHINK} || '</think>' || chr(10) || '<action>' || {_UACT} || '</action>' || chr(10) || '<label>' || {_ULAB} || '</label>' || chr(10) || {_UANS}"
-per_response("d11_normalize", tx.normalized, _UNIFIED, _PLAIN)
+per_response("d11_normalize", lambda c: tx.normalized(c, ss.rendered_tool_calls(c)), _UNIFIED, _PLAIN)
 _CANON = f"'<think>' || {_UTHINK} || '</think>' || chr(10) || {_UACT} || '<' || {_ULAB} || '>' || chr(10) || '<answer>' || {_UANS} || '</answer>'"
 per_response(
-    "d16_canonical", lambda c: tx.canonical(tx.unified_action(c), tx.unified_label(c), tx.unified_answer(c), tx.think_only(c)), _CANON, _PLAIN
+    "d16_canonical",
+    lambda c: tx.canonical(tx.unified_action(c), tx.unified_label(c), tx.unified_answer(c, ss.rendered_tool_calls(c)), tx.think_only(c)),
+    _CANON,
+    _PLAIN,
 )
 # The unified form has no answer tag, so that the canonical one's answer is the text without wrappers.
-per_response("d17_reward_input", tx.reward_input, _CANON, _PLAIN)
-per_response("d19_forced_surface", lambda c: tx.forced_surface(c, "A"), _UANS, _PLAIN)
+per_response("d17_reward_input", lambda c: tx.reward_input(c, ss.rendered_tool_calls(c)), _CANON, _PLAIN)
+per_response("d19_forced_surface", lambda c: tx.forced_surface(c, "A", ss.rendered_tool_calls(c)), _UANS, _PLAIN)
 
 
 @query(r"""select conv_id, turn, json_extract_string(b, '$.name') as tool_name, json_extract_string(b, '$.arguments.id') as arg_id

@@ -80,8 +80,7 @@ def b9_tools_list(spark, sf_dir):
 
 @query("""select id, case when tools is null then '' else '" ' || tools || ' "' end as prompt from tool_cells where id % 6 in (2, 3, 5)""")
 def b10_tools_text(spark, sf_dir):
-    df = fixture(spark, sf_dir, "tool_cells").where("id % 6 in (2, 3, 5)")
-    return df.select("id", ss.tool_prompt(ss.tool_list(F.col("tools"))).alias("prompt"))
+    return fixture(spark, sf_dir, "tool_cells").select("id", ss.tool_prompt(ss.tool_texts(F.col("tools"))).alias("prompt"))
 
 
 @query("""select conv_id, 'checklist' as name, count(*) as n_full, coalesce(min(turn) filter (where role = 'user') + 1, 0) as n_prompt, true as need_tools_kwargs, cast(conv_id as varchar) as original_index
@@ -303,7 +302,7 @@ def f7_distinct_tools(spark, sf_dir):
 def f8_membership(spark, sf_dir):
     names = ss.flat_tool_names(ss.tool_items(F.col("tools")))
     hit = F.array_contains(names, "look_up") | F.array_contains(names, "single")
-    return fixture(spark, sf_dir, "tool_cells").where("id % 6 < 3").select("id", hit.alias("known"))
+    return fixture(spark, sf_dir, "tool_cells").select("id", hit.alias("known"))
 
 
 # Samples.
@@ -650,7 +649,8 @@ def i5_tail_alignment(spark, sf_dir):
 
 @query()
 def i6_strict_scores(spark, sf_dir):
-    df = fixture(spark, sf_dir, "responses").where("(conv_id * 3 + turn) % 6 in (0, 2, 3)").select("conv_id", "turn", tx.forced_surface(F.col("response"), "A").alias("prompt"))
+    surface = tx.forced_surface(F.col("response"), "A", ss.rendered_tool_calls("response"))
+    df = fixture(spark, sf_dir, "responses").select("conv_id", "turn", surface.alias("prompt"))
     scored = providers.calls(df, "prompt", providers.length_scorer)
     return scored.select("conv_id", "turn", F.round(uq.perplexity(F.from_json("reply", "array<double>")), 6).alias("ppl"))
 
