@@ -217,3 +217,45 @@ def test_stream_emits_each_member_once(spark, tmp_path):
     out = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted(r.event_id for r in out) == list(range(14))
     assert {r.margin_source for r in out} == {"group_rollout:complete", "group_rollout:timeout"}
+
+
+def test_drain_waits_for_all_groups_and_raises(spark, tmp_path, monkeypatch):
+    from turnwright.streaming import group_margin
+
+    clock = [0.0]
+
+    class Slow:
+        """Reads for 100 seconds, then holds groups for another 100."""
+
+        isActive, stopped = True, None
+
+        @property
+        def lastProgress(self):
+            if clock[0] < 1:
+                return None
+            return {"numInputRows": int(clock[0] < 100), "stateOperators": [{"numRowsTotal": int(clock[0] < 200)}]}
+
+        def exception(self):
+            return None
+
+        def stop(self):
+            self.stopped = clock[0]
+
+    with monkeypatch.context() as m:
+        m.setattr(group_margin.time, "time", lambda: clock[0])
+        m.setattr(group_margin.time, "sleep", lambda s: clock.__setitem__(0, clock[0] + s))
+        job = Slow()
+        group_margin.drain(job, 1000)
+        assert job.stopped >= 200
+        Slow.isActive = False
+        with pytest.raises(RuntimeError):
+            group_margin.drain(Slow(), 1000)
+
+    def broken(batch, number):
+        raise ValueError("no sink")
+
+    spark.range(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+    job = stream.writeStream.foreachBatch(broken).option("checkpointLocation", str(tmp_path / "marks")).start()
+    with pytest.raises(Exception, match="no sink"):
+        group_margin.drain(job, 200)

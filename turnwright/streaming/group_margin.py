@@ -61,17 +61,21 @@ def group_margins(stream: DataFrame, expected: int = 8, timeout_ms: int = 2000)
     return grouped.applyInPandasWithState(waiter(expected, timeout_ms), MEMBERS, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def drain(job: StreamingQuery, timeout_ms: int, patience_s: float = 60.0) -> None:
+def drain(job: StreamingQuery, timeout_ms: int) -> None:
     """Wait until a group-margin stream has read its input and emitted all groups, then stop it.
 
-    Time-outs fire by the clock, so that the stream itself never ends."""
-    end = time.time() + patience_s
-    while time.time() < end and job.isActive:
+    Time-outs fire by the clock, so that the stream itself never ends. A stream that fails, or that somebody
+    else stops before its groups are out, raises an error."""
+    done = False
+    while job.isActive and not done:
         time.sleep(timeout_ms / 4000)
-        last = job.lastProgress or {}
-        state = last.get("stateOperators") or [{}]
-        if last.get("numInputRows", 1) == 0 and state[0].get("numRowsTotal", 1) == 0:
-            break
+        if last := job.lastProgress:
+            # Without any batch so far there are no state operators: nothing to read, nothing to wait for.
+            done = last["numInputRows"] == 0 and all(s["numRowsTotal"] == 0 for s in last["stateOperators"])
+    if failure := job.exception():
+        raise failure
+    if not done:
+        raise RuntimeError("the stream was stopped before all groups were emitted")
     job.stop()
 
 
