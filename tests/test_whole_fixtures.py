@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import os
 import re
 
@@ -94,9 +95,61 @@ def test_whole_unified_parse(spark, responses):
     assert got == {k: parts(t) for k, t in responses.items()}
 
 
-def test_whole_strict_scores(spark, responses):
-    got = {(r.conv_id, r.turn) for r in catalog.QUERIES["i6_strict_scores"](spark, SF).collect()}
-    assert got == set(responses)
+def suffix(letter):
+    action = {v: k for k, v in LETTERS.items()}[letter]
+    if letter == "B":
+        rules = "You MUST perform a tool call.\nYou MUST output only <tool_call>...</tool_call> blocks.\nYou MUST NOT output action tags, <answer> tags, or extra prose.\n"
+    else:
+        rules = (
+            f"You MUST output plain assistant text consistent with action {action}<{letter}>.\n"
+            "You MUST NOT output action tags, <answer> tags, or any tool-call XML unless the action is tool_call<B>.\n"
+        )
+    return "\n\n[Forced Action]\n" + rules
+
+
+def forced(text, letter):
+    if letter == "B":
+        return rendered(text) or text.strip()
+    return surface(text)  # the forced tag is taken out again, whichever it is
+
+
+def test_prompt_suffix(spark):
+    from pyspark.sql import functions as F
+
+    from turnwright.functions import text as tx
+
+    df = spark.createDataFrame([(x,) for x in ["A", "B", "C", "D", "", "E"]], "x string")
+    got = df.select("x", tx.prompt_suffix(F.col("x")), tx.prompt_suffix_v2(F.col("x"))).collect()
+    assert [r[1] for r in got] == [suffix(x) for x in "ABCD"] + [None, None]
+    assert got[1][2] == "\n\n[Forced Action]\nYou MUST output action tag tool_call<B> and keep content consistent with this action.\n"
+    assert got[4][2] is None
+
+
+def test_whole_prompt_suffix(spark):
+    rows = fixture(spark, SF, "responses").collect()
+    got = {(r.conv_id, r.turn): r.value for r in catalog.QUERIES["d20_prompt_suffix"](spark, SF).collect()}
+    assert got == {(r.conv_id, r.turn): "Choose an action." + suffix(r.gt_letter) + "\nassistant: " + r.response for r in rows}
+
+
+def test_whole_strict_scores(spark):
+    rows = fixture(spark, SF, "responses").collect()
+    got = {(r.conv_id, r.turn): r.ppl for r in catalog.QUERIES["i6_strict_scores"](spark, SF).collect()}
+    # The offline scorer's log-probability of a word is a tenth of its length, whatever goes before.
+    lengths = {(r.conv_id, r.turn): [len(w) for w in forced(r.response, r.gt_letter).split()] for r in rows}
+    assert set(got) == set(lengths) and all(lengths.values())
+    assert all(abs(got[k] - math.exp(sum(n) / 10 / len(n))) < 1e-5 * got[k] + 1e-6 for k, n in lengths.items())
+
+
+def test_strict_scores_see_prompt_and_suffix(spark, monkeypatch):
+    """A scorer whose every number is the count of the request's forced-action lines after a user's message."""
+    from turnwright.operators import providers
+
+    def scorer():
+        return lambda requests: [json.dumps([-float("user: " in r["prompt"].split("[Forced Action]")[0])] * len(r["prompt"].split())) for r in requests]
+
+    monkeypatch.setattr(providers, "length_scorer", scorer)
+    got = [r.ppl for r in catalog.QUERIES["i6_strict_scores"](spark, SF).collect()]
+    assert got and all(abs(x - math.e) < 1e-5 for x in got)
 
 
 def test_whole_tools(spark):

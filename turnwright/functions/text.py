@@ -258,6 +258,34 @@ def forced_surface(text: Column, letter_to: str, rendered: Column | None = None)
     return F.coalesce(body, rest)
 
 
+def prompt_suffix(letter: Column) -> Column:
+    """The instruction that a prompt ends with to force the action of a letter; null for another letter."""
+    tools = (
+        "\n\n[Forced Action]\nYou MUST perform a tool call.\nYou MUST output only <tool_call>...</tool_call> blocks.\n"
+        "You MUST NOT output action tags, <answer> tags, or extra prose.\n"
+    )
+    plain = F.concat(
+        F.lit("\n\n[Forced Action]\nYou MUST output plain assistant text consistent with action "),
+        action_of_letter(letter),
+        F.lit("<"),
+        letter,
+        F.lit(">.\nYou MUST NOT output action tags, <answer> tags, or any tool-call XML unless the action is tool_call<B>.\n"),
+    )
+    return F.when(letter == "B", F.lit(tools)).when(action_of_letter(letter) != "", plain)
+
+
+def prompt_suffix_v2(letter: Column) -> Column:
+    """The same of the older format, one text for all letters."""
+    text = F.concat(
+        F.lit("\n\n[Forced Action]\nYou MUST output action tag "),
+        action_of_letter(letter),
+        F.lit("<"),
+        letter,
+        F.lit("> and keep content consistent with this action.\n"),
+    )
+    return F.when(action_of_letter(letter) != "", text)
+
+
 def letter_of_action(action: Column) -> Column:
     out = F
     for name, value in LETTERS.items():

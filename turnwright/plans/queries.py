@@ -149,7 +149,7 @@ def d14_surface(spark, sf_dir):
 @query("""select conv_id, turn, 'Choose an action.' || chr(10) || '[Forced Action]' || chr(10) || 'action: ' || gt_letter || chr(10) || substr(response, 1, 100) as value
 from responses""")
 def d20_prompt_suffix(spark, sf_dir):
-    value = F.concat_ws("\n", F.lit("Choose an action."), F.lit("[Forced Action]"), F.concat(F.lit("action: "), "gt_letter"), F.substring("response", 1, 100))
+    value = F.concat(F.lit("Choose an action."), tx.prompt_suffix(F.col("gt_letter")), F.lit("\nassistant: "), "response")
     return fixture(spark, sf_dir, "responses").select("conv_id", "turn", value.alias("value"))
 
 

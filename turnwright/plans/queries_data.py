@@ -649,10 +649,17 @@ def i5_tail_alignment(spark, sf_dir):
 
 @query()
 def i6_strict_scores(spark, sf_dir):
-    surface = tx.forced_surface(F.col("response"), "A", ss.rendered_tool_calls("response"))
-    df = fixture(spark, sf_dir, "responses").select("conv_id", "turn", surface.alias("prompt"))
-    scored = providers.calls(df, "prompt", providers.length_scorer)
-    return scored.select("conv_id", "turn", F.round(uq.perplexity(F.from_json("reply", "array<double>")), 6).alias("ppl"))
+    """Each response in the form of its true action, scored after its prompt with that action's suffix."""
+    response, letter = F.col("response"), F.col("gt_letter")
+    rendered = ss.rendered_tool_calls(response)
+    surface = F.coalesce(*[F.when(letter == x, tx.forced_surface(response, x, rendered)) for x in tx.ACTIONS])
+    prompts = turns.as_arrays(_conversations(spark, sf_dir)).select("conv_id", turns.rendered_prompt(turns.through_first_user(F.col("messages"))).alias("asked"))
+    df = fixture(spark, sf_dir, "responses").join(prompts, "conv_id").withColumn("surface", surface)
+    words = F.size(F.regexp_extract_all("surface", F.lit(r"(?U)[^\s\x1c-\x1f]+"), F.lit(0)))
+    whole = F.concat("asked", tx.prompt_suffix(letter), F.lit("\nassistant: "), "surface")
+    scored = providers.calls(df.select("conv_id", "turn", whole.alias("prompt"), words.alias("n")), "prompt", providers.length_scorer)
+    tail = uq.aligned_tail(F.from_json("reply", "array<double>"), F.col("n"))
+    return scored.select("conv_id", "turn", F.round(uq.perplexity(tail), 6).alias("ppl"))
 
 
 # Groups of rollouts, in batch and as a stream.
