@@ -132,6 +132,16 @@ def test_targets_hold_while_sources_last(spark):
     assert first["=a"] == 1600 and first["=b"] == 400 and out.length.sum() == 200 * 31
 
 
+def test_targets_hold_among_many_sources(spark):
+    rows = [(i, "word " * 30, ["a", None, f"s{i % 97}"][i % 3]) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    out = packing.pack(df, size=4096, targets={"a": 0.75, None: 0.25}).toPandas()
+    first = out[out.sequence_id < 2].groupby("queue").length.sum()
+    assert first["=a"] == 6144 and first["null"] == 2048 and out.length.sum() == 900 * 31
+    with pytest.raises(ValueError):
+        packing.pack(df, targets={f"s{i}": 1.0 for i in range(64)})
+
+
 def test_wavelet_matrix_queries():
     ids = (np.random.default_rng(2).zipf(1.5, 4000) % 700).astype(np.uint32)
     w = wavelet.WaveletMatrix(wavelet.build(ids, np.array([1, 2]), np.array([1000, 3000])))

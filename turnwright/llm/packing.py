@@ -11,7 +11,8 @@ With shares equal to the queues' parts of all tokens (the default) all queues en
 targets a queue may end early; the rest then share its credit in proportion (a new phase of the schedule).
 
 Cases: a null text is empty and has only the end id. A null source is a queue of its own. More than
-``MAX_QUEUES`` sources share that many queues by a hash. Repeated rows are packed each. An empty table
+``MAX_QUEUES`` sources share that many queues by a hash, but a source with a target always has its own; so many
+targets that no queue is left for the other sources are refused. Repeated rows are packed each. An empty table
 gives no pieces. Sequences are full but the last one (and where targets end a phase none is left open)."""
 
 from __future__ import annotations
@@ -150,12 +151,23 @@ def cut(schedule: Schedule, queue: np.ndarray, begin: np.ndarray, end: np.ndarra
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def tokenized(docs: DataFrame, path: str, end: int, queues: int = MAX_QUEUES) -> DataFrame:
+def queue_name(source: str | None) -> str:
+    return "null" if source is None else f"={source}"
+
+
+def tokenized(docs: DataFrame, path: str, end: int, queues: int = MAX_QUEUES, own: tuple[str | None, ...] = ()) -> DataFrame:
     """Written table: part, queue, doc_id, ids (16 or 32 bits each), n_tokens, and tokens before in part and queue."""
     base = as_documents(docs, "doc_id", "text", "source")
     few = base.select("source").distinct().limit(queues + 1).count() <= queues
     name = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
-    queue = name if few else F.pmod(F.xxhash64("source"), F.lit(queues)).cast("string")
+    if few:
+        queue = name
+    else:
+        if len(own) >= queues:
+            raise ValueError(f"more than {queues} sources, of which {len(own)} have a target: no queue is left for the others")
+        hashed = F.pmod(F.xxhash64("source"), F.lit(queues - len(own))).cast("string")
+        alone = name.isin([queue_name(x) for x in own]) if own else F.lit(False)
+        queue = F.when(alone, name).otherwise(hashed)
     frame = base.select("doc_id", queue.alias("queue"), "text")
     prepared(docs.sparkSession)
 
@@ -204,13 +216,13 @@ def pack(
 ) -> DataFrame:
     """Pieces of all documents; ``targets`` gives shares by source, else each has its part of all tokens."""
     spark = prepared(docs.sparkSession)
-    tokens = tokenized(docs, path or production_path(), end)
+    tokens = tokenized(docs, path or production_path(), end, own=tuple(targets or ()))
     parts = write_table(tokens.groupBy("queue", "part").agg(F.sum("n_tokens").alias("n")), "packing-parts")
     totals = {r["queue"]: r["n"] for r in parts.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
     names = sorted(totals)
     shares = None
     if targets is not None:
-        by = {("null" if s is None else f"={s}"): t for s, t in targets.items()}
+        by = {queue_name(s): t for s, t in targets.items()}
         shares = [float(by.get(q, 0.0)) for q in names]
     schedule = make_schedule([totals[q] for q in names], size, shares)
     # Where each part of a queue begins: a running sum over its parts, one row for each part.
