@@ -159,3 +159,69 @@ def test_licences(spark, docs, no_docs):
     got = {r.doc_id: (r.licenses, r.n_matches) for r in licenses.scan(df).collect()}
     assert got == {1: ("Apache-2.0", 1), 2: ("MIT", 1), 3: ("MIT", 1), 4: ("GPL-3.0,CC-BY-NC-4.0", 2), 5: ("", 0), 6: ("", 0), 7: ("", 0), 8: ("MIT", 2)}
     assert licenses.scan(docs).count() == docs.count() and licenses.scan(no_docs).count() == 0
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 A. N. Author
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE
+LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY.
+"""
+GPL = """A program's name
+This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY.
+
+You should have received a copy of the GNU General Public License
+along with this program.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above
+   copyright notice, this list of conditions.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS "AS
+IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.
+"""
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// ", "-- "])
+def test_wrapped_licences(spark, mark):
+    from turnwright.llm import licenses
+
+    texts = ["\n".join((mark + line).rstrip() if mark else line for line in t.splitlines()) for t in (MIT, GPL, APACHE, BSD)]
+    df = spark.createDataFrame(list(enumerate([*texts, "A licence.\nNo\npermission\nof any kind"])), "doc_id long, text string")
+    got = [(r.licenses, r.n_matches) for r in licenses.scan(df).orderBy("doc_id").collect()]
+    assert got == [("MIT", 1), ("GPL-3.0", 1), ("Apache-2.0", 1), ("BSD-2-Clause", 1), ("", 0)]
+    ids = licenses.scan(df).where("doc_id = 2").first().sentence_ids.split(",")
+    assert ids == ["ApacheNotice", "ApacheUse", "ApacheCopy", "ApacheAsIs", "ApacheSee"]

@@ -5,6 +5,9 @@ digits as one blank). Known sentences have identifiers; the identifiers of a tex
 sentences that are not known, are matched against the ordered licence rules. A rule is a sequence of identifiers;
 what an earlier rule has matched is used up, so that a full licence text is not taken for its parts as well.
 
+Sentences may be wrapped: where no line of a sentence is known by itself, its lines are read as one, from any of
+them to its end, up to a terminator or a blank line (in comments, a line of the comment mark alone).
+
 Cases: a null or empty text has no sentences. Rows that repeat are scanned each. Sentences may stand anywhere in a
 text of any length, and a licence is listed as often as it is found in ``n_matches`` but once in ``licenses``."""
 
@@ -65,6 +68,9 @@ CUE = (
     r"(?i)licen|permission|warrant|liable|redistribut|endorse|copy of the|all rights|free software"
 )
 END = r"([.!?;])[ \t\r\n]+"
+#: Between sentences that may be wrapped.
+BREAK = r"(?<=[.!?;])[ \t\r\n]+|\n(?:[ \t\r]*(?:[#*;%/]+|--+)?[ \t\r]*\n)+"
+WRAPPED_CUE = CUE.replace(" ", "[^a-z0-9]+")
 
 
 def normal_form(sentence: Column) -> Column:
@@ -79,13 +85,30 @@ def sentence_id(form: Column) -> Column:
     return out
 
 
+def wrapped_id(sentence: Column) -> Column:
+    """The identifier of what begins at one of the sentence's lines and ends with it, null if it is not known."""
+    form = F.regexp_replace(F.regexp_replace(F.lower(sentence), r"[^a-z0-9\n]+", " "), r" ?\n[ \n]*", "~")
+    form = F.trim(form, F.lit(" ~"))
+    out = F
+    for name, pattern in SENTENCES.items():
+        out = out.when(form.rlike(rf"(\A|~)({pattern.replace(' ', '[ ~]')})\z"), F.lit(name))
+    return out
+
+
+def sentence_ids(sentence: Column) -> Column:
+    """Identifiers of a sentence's lines, else the one of its lines together."""
+    lines = F.filter(F.split(sentence, "\n"), lambda x: x.rlike(CUE))
+    known = F.array_compact(F.transform(lines, lambda x: sentence_id(normal_form(x))))
+    return F.when((F.size(known) > 0) | ~sentence.contains("\n"), known).otherwise(F.array_compact(F.array(wrapped_id(sentence))))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences, sentence_ids, licenses, n_matches of every row; lists are joined by commas."""
     base = as_documents(docs, "doc_id", "text")
     lines = F.split(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), END, "$1\n"), "\n")
     step = base.withColumn("_lines", F.filter(lines, lambda x: F.length(F.trim(x, F.lit(" \t\r"))) > 0))
-    step = step.withColumn("_cued", F.filter("_lines", lambda x: x.rlike(CUE)))
-    step = step.withColumn("_ids", F.filter(F.transform("_cued", lambda x: sentence_id(normal_form(x))), lambda x: x.isNotNull()))
+    step = step.withColumn("_cued", F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), BREAK), lambda x: x.rlike(WRAPPED_CUE)))
+    step = step.withColumn("_ids", F.flatten(F.transform("_cued", sentence_ids)))
     step = step.withColumn("_rest", F.concat(F.lit(","), F.array_join("_ids", ",,"), F.lit(",")))
     # Each rule takes its matches out of the sequence; a bar keeps what lay around them apart.
     hits, counts = [], []
