@@ -180,66 +180,96 @@ def has_call(text: Column) -> Column:
     return F.size(tool_calls(text)) > 0
 
 
+def unified_parts(text: Column, rendered: Column | None = None) -> Column:
+    """(action, label, thought, answer, bare) of an output in any form; ``bare`` is the text without its wrappers.
+
+    Every part that is used more than once is bound, so that the expression stays small wherever it is put in.
+    The answer is the tool calls (``rendered`` where given, else their raw blocks), else the answer tag, else ``bare``."""
+    blocks = rendered if rendered is not None else F.array_join(every(text, TOOL_BLOCK), "\n")
+    tag = LOOSE_ACTION_TAG.replace(r"\b", "")
+
+    def tags(t: Column, calls: Column, blocks: Column) -> Column:
+        first = F.coalesce(F.lower(found(t, ACTION_XML)), F.lower(found(t, tag)))
+        letter = F.coalesce(F.upper(found(t, LABEL_XML)), F.upper(found(t, tag, 2)))
+        inside = strip(found(t, ANSWER))
+        return bound(lambda *p: join(calls, blocks, *p), first, letter, think_only(t), inside, unwrapped(t))
+
+    def join(calls: Column, blocks: Column, first: Column, letter: Column, thought: Column, inside: Column, bare: Column) -> Column:
+        has = F.size(calls) > 0
+        action = F.coalesce(first, F.lower(found(thought, SUGGESTED)), F.when(has, F.lit("tool_call")))
+        given = F.coalesce(letter, F.upper(found(thought, SUGGESTED, 2)), F.when(has, F.lit("B")))
+        answer = F.when(has, blocks).otherwise(F.coalesce(inside, blank_to_null(bare)))
+        return bound(
+            lambda action, given, answer: F.struct(
+                action.alias("action"),
+                F.coalesce(given, letter_of_action(action)).alias("label"),
+                thought.alias("thought"),
+                answer.alias("answer"),
+                bare.alias("bare"),
+            ),
+            action,
+            given,
+            answer,
+        )
+
+    return bound(tags, text, tool_calls(text), blocks)
+
+
 def unified_action(text: Column) -> Column:
-    return F.coalesce(
-        F.lower(found(text, ACTION_XML)),
-        F.lower(found(text, LOOSE_ACTION_TAG.replace(r"\b", ""))),
-        F.lower(found(think_only(text), SUGGESTED)),
-        F.when(has_call(text), F.lit("tool_call")),
-    )
+    return unified_parts(text)["action"]
 
 
 def unified_label(text: Column) -> Column:
-    return F.coalesce(
-        F.upper(found(text, LABEL_XML)),
-        F.upper(found(text, LOOSE_ACTION_TAG.replace(r"\b", ""), 2)),
-        F.upper(found(think_only(text), SUGGESTED, 2)),
-        F.when(has_call(text), F.lit("B")),
-        letter_of_action(unified_action(text)),
-    )
+    return unified_parts(text)["label"]
 
 
 def unified_answer(text: Column, rendered: Column | None = None) -> Column:
     """Tool calls rendered (``rendered`` where given, else their raw blocks), else the answer tag, else the unwrapped text."""
-    blocks = rendered if rendered is not None else F.array_join(every(text, TOOL_BLOCK), "\n")
-    return F.when(has_call(text), blocks).otherwise(
-        F.coalesce(strip(found(text, ANSWER)), blank_to_null(unwrapped(text)))
-    )
+    return unified_parts(text, rendered)["answer"]
 
 
 def normalized(text: Column, rendered: Column | None = None) -> Column:
     """The unified format of any output; empty text stays empty."""
-    raw = strip(text)
     part = lambda tag, value: F.when(value != "", F.concat(F.lit(f"<{tag}>"), value, F.lit(f"</{tag}>")))
-    body = F.coalesce(unified_answer(raw, rendered), unwrapped(raw))
-    joined = F.concat_ws(
-        "\n",
-        part("think", think_only(raw)),
-        part("action", unified_action(raw)),
-        part("label", unified_label(raw)),
-        blank_to_null(strip(body)),
-    )
-    return F.when(raw == "", raw).otherwise(strip(joined))
+
+    def joined(raw: Column, p: Column) -> Column:
+        body = blank_to_null(strip(F.coalesce(p["answer"], p["bare"])))
+        whole = F.concat_ws("\n", part("think", p["thought"]), part("action", p["action"]), part("label", p["label"]), body)
+        return F.when(raw == "", raw).otherwise(strip(whole))
+
+    raw = strip(text)
+    return bound(joined, raw, unified_parts(raw, rendered))
 
 
 def canonical(action: Column, label: Column, body: Column, thought: Column, origin: str = "trajectory_or_when2call") -> Column:
     """Think block, action tag and answer block; just the answer where action or label is missing."""
-    act = F.lower(strip(F.coalesce(action, F.lit(""))))
-    lab = F.coalesce(blank_to_null(F.upper(strip(F.coalesce(label, F.lit(""))))), letter_of_action(act), F.lit(""))
-    text = strip(F.coalesce(body, F.lit("")))
-    inner = strip(F.coalesce(thought, F.lit("")))
-    given = F.concat(F.lit(f"source={origin} suggested_action="), act, F.lit(" <"), lab, F.lit(">"))
-    inner = F.when(inner.contains("suggested_action"), inner).otherwise(given)
-    whole = F.concat(F.lit("<think>"), inner, F.lit("</think>\n"), act, F.lit("<"), lab, F.lit(">\n<answer>"), text, F.lit("</answer>"))
-    return F.when((act == "") | (lab == ""), text).otherwise(whole)
+
+    def whole(act: Column, lab: Column, text: Column, inner: Column) -> Column:
+        given = F.concat(F.lit(f"source={origin} suggested_action="), act, F.lit(" <"), lab, F.lit(">"))
+        inner = F.when(inner.contains("suggested_action"), inner).otherwise(given)
+        made = F.concat(F.lit("<think>"), inner, F.lit("</think>\n"), act, F.lit("<"), lab, F.lit(">\n<answer>"), text, F.lit("</answer>"))
+        return F.when((act == "") | (lab == ""), text).otherwise(made)
+
+    def labelled(act: Column, lab: Column, text: Column, inner: Column) -> Column:
+        return bound(whole, act, F.coalesce(blank_to_null(lab), letter_of_action(act), F.lit("")), text, inner)
+
+    plain = lambda c: strip(F.coalesce(c, F.lit("")))
+    return bound(labelled, F.lower(plain(action)), F.upper(plain(label)), plain(body), plain(thought))
+
+
+def canonical_output(text: Column, rendered: Column | None = None) -> Column:
+    """The canonical form of any output."""
+    return bound(lambda p: canonical(p["action"], p["label"], p["answer"], p["thought"]), unified_parts(text, rendered))
 
 
 def reward_input(text: Column, rendered: Column | None = None) -> Column:
     """Unified, then canonical where action, label and answer are there."""
-    unified = normalized(text, rendered)
-    action, label, body = unified_action(unified), unified_label(unified), unified_answer(unified)
-    whole = canonical(action, label, body, F.coalesce(think_only(unified), F.lit("")))
-    return F.when(unified == "", unified).when(action.isNotNull() & label.isNotNull() & body.isNotNull(), whole).otherwise(unified)
+
+    def made(unified: Column, p: Column) -> Column:
+        there = p["action"].isNotNull() & p["label"].isNotNull() & p["answer"].isNotNull()
+        return F.when((unified != "") & there, canonical(p["action"], p["label"], p["answer"], p["thought"])).otherwise(unified)
+
+    return bound(lambda unified: bound(made, unified, unified_parts(unified)), normalized(text, rendered))
 
 
 def forced_action(text: Column, letter_to: str) -> Column:
@@ -250,12 +280,14 @@ def forced_action(text: Column, letter_to: str) -> Column:
 def forced_surface(text: Column, letter_to: str, rendered: Column | None = None) -> Column:
     """What a response must look like for a forced action: the tool calls alone for B, else the plain answer."""
     raw = strip(F.coalesce(text, F.lit("")))
-    body = unified_answer(raw, rendered)
-    if letter_to == "B":
-        return F.when(has_call(raw), body).otherwise(raw)
-    rest = F.regexp_replace(forced_action(raw, letter_to), r"(?i)</?answer>", "")
-    rest = strip(F.regexp_replace(strip(rest), LOOSE_ACTION_TAG, ""))
-    return F.coalesce(body, rest)
+
+    def surface(raw: Column, calls: Column, p: Column) -> Column:
+        if letter_to == "B":
+            return F.when(F.size(calls) > 0, p["answer"]).otherwise(raw)
+        rest = F.regexp_replace(forced_action(raw, letter_to), r"(?i)</?answer>", "")
+        return F.coalesce(p["answer"], strip(F.regexp_replace(strip(rest), LOOSE_ACTION_TAG, "")))
+
+    return bound(surface, raw, tool_calls(raw), unified_parts(raw, rendered))
 
 
 def prompt_suffix(letter: Column) -> Column:

@@ -31,16 +31,14 @@ def query(sql: str | None = None):
     return add
 
 
-def per_response(name: str, value: Callable[[Column], Column], sql: str, where: str | None = None) -> None:
-    """A text function over the fixture of responses: conv_id, turn, value; ``where`` has the rows that the SQL is for."""
+def per_response(name: str, value: Callable[[Column], Column], sql: str) -> None:
+    """A text function over the fixture of responses: conv_id, turn, value."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return fixture(spark, sf_dir, "responses").select("conv_id", "turn", value(F.col("response")).alias("value"))
 
     QUERIES[name] = run
-    ORACLES[name] = with_fixtures(
-        f"select conv_id, turn, {sql} as value from responses" + (f" where {where}" if where else "")
-    )
+    ORACLES[name] = with_fixtures(f"select conv_id, turn, {sql} as value from responses")
 
 
 # DuckDB's forms of common parts.
@@ -97,36 +95,78 @@ per_response(
 )
 per_response("d21_pred_letter", tx.tagged_letter, f"coalesce(upper({_x('response', f'\\b({_ACT})\\s*<\\s*([ABCD])\\s*>', 2)}), '')")
 
-# The responses whose unified form DuckDB's SQL can give; the queries take all of them.
-_PLAIN = "(conv_id * 3 + turn) % 6 in (0, 2, 3)"
-_UACT = f"lower({_x('response', f'({_ACT})\\s*<\\s*([ABCD])\\s*>', 1)})"
-_ULAB = f"upper({_x('response', f'({_ACT})\\s*<\\s*([ABCD])\\s*>', 2)})"
-_UTHINK = f"trim({_x('response', '<think>(.*?)</think>')})"
-_UANS = f"trim({_x('response', '<answer>(.*?)</answer>')})"
+# The unified format in DuckDB's SQL, from a column ``r``: any form of output.
+_ACT_XML, _LAB_XML = f"<action>\\s*({_ACT})\\s*</action>", "<label>\\s*([ABCD])\\s*</label>"
+_GIVEN = f"suggested_action\\s*=\\s*({_ACT})\\s*<\\s*([ABCD])\\s*>"
+_LOOSE = f"({_ACT})\\s*<\\s*([ABCD])\\s*>"
+_R_BLOCKS = "regexp_extract_all(r, '<tool_call>\\s*(.*?)\\s*</tool_call>', 1, 'is')"
 
 
-@query(f"""select conv_id, turn, {_UACT} as action, {_ULAB} as label, {_UTHINK} as thought, {_UANS} as answer
-from responses where {_PLAIN}""")
+def _cut(text: str) -> str:
+    return f"trim({text}, ' ' || chr(9) || chr(10) || chr(13))"
+
+
+def _bare(text: str) -> str:
+    for pattern in ("<think>.*?</think>", f"<action>\\s*({_ACT})\\s*</action>", _LAB_XML, _LOOSE):
+        text = _cut(f"regexp_replace({_cut(text)}, '{pattern}', '', 'gis')")
+    return text
+
+
+def _dumped(value: str) -> str:
+    """JSON text without blanks or marks inside strings, with the usual separators."""
+    return f"replace(replace({value}, '\":', '\": '), ',\"', ', \"')"
+
+
+#: A block's call with sorted keys; the fixtures' calls have a name and arguments without strings.
+_CALL = f"'<tool_call>' || chr(10) || '{{\"arguments\": ' || {_dumped("cast(json_extract(b, '$.arguments') as varchar)")} || ', \"name\": \"' || json_extract_string(b, '$.name') || '\"}}' || chr(10) || '</tool_call>'"
+_RENDERED = f"array_to_string(list_transform({_R_BLOCKS}, lambda b: {_CALL}), chr(10))"
+
+
+def _unified(name: str, source: str) -> str:
+    """Common table expressions: ``name`` has the parts of the column ``r`` of ``source``."""
+    return f"""{name}0 as (select *, {_cut(_x('r', '<think>(.*?)</think>'))} as thought, len({_R_BLOCKS}) > 0 as has, {_bare('r')} as bare from {source}),
+{name}1 as (select *, coalesce(lower({_x('r', _ACT_XML)}), lower({_x('r', _LOOSE)}), lower({_x('thought', _GIVEN)}), case when has then 'tool_call' end) as action,
+  coalesce(upper({_x('r', _LAB_XML)}), upper({_x('r', _LOOSE, 2)}), upper({_x('thought', _GIVEN, 2)}), case when has then 'B' end) as given,
+  case when has then {_RENDERED} else coalesce({_cut(_x('r', '<answer>(.*?)</answer>'))}, nullif(bare, '')) end as answer from {name}0),
+{name} as (select *, coalesce(given, case action when 'direct_answer' then 'A' when 'tool_call' then 'B' when 'request_for_info' then 'C' when 'cannot_answer' then 'D' end) as label from {name}1)"""
+
+
+_FORMS = _unified("u", f"(select conv_id, turn, gt_letter, {_cut('response')} as r from responses)")
+_UNIFIED = """case when r = '' then r else trim(concat_ws(chr(10), case when thought <> '' then '<think>' || thought || '</think>' end, case when action <> '' then '<action>' || action || '</action>' end,
+  case when label <> '' then '<label>' || label || '</label>' end, nullif(trim(coalesce(answer, bare), ' ' || chr(9) || chr(10) || chr(13)), '')), ' ' || chr(9) || chr(10) || chr(13)) end"""
+_CANON = """case when coalesce(action, '') = '' or coalesce(label, '') = '' then coalesce(answer, '') else '<think>' || case when contains(coalesce(thought, ''), 'suggested_action') then thought
+  else 'source=trajectory_or_when2call suggested_action=' || action || ' <' || label || '>' end || '</think>' || chr(10) || action || '<' || label || '>' || chr(10) || '<answer>' || coalesce(answer, '') || '</answer>' end"""
+_REST = f"trim(regexp_replace(regexp_replace(regexp_replace(r, '{_LOOSE}', 'direct_answer<A>', 'i'), '</?answer>', '', 'gi'), '{_LOOSE}', '', 'gi'), ' ' || chr(9) || chr(10) || chr(13))"
+_SURFACE = f"coalesce(answer, {_REST})"
+
+
+def _per_unified(name: str, value: Callable[[Column], Column], sql: str) -> None:
+    """A text function over all responses, with SQL over their unified parts ``u``."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fixture(spark, sf_dir, "responses").select("conv_id", "turn", value(F.col("response")).alias("value"))
+
+    QUERIES[name] = run
+    ORACLES[name] = with_fixtures(sql)
+
+
+@query(f"with {_FORMS} select conv_id, turn, action, label, thought, answer from u")
 def d10_unified_parse(spark, sf_dir):
     r = F.col("response")
-    answer = tx.unified_answer(r, ss.rendered_tool_calls(r))
-    return fixture(spark, sf_dir, "responses").select(
-        "conv_id", "turn", tx.unified_action(r).alias("action"), tx.unified_label(r).alias("label"), tx.think_only(r).alias("thought"), answer.alias("answer")
-    )
+    df = fixture(spark, sf_dir, "responses").select("conv_id", "turn", tx.unified_parts(r, ss.rendered_tool_calls(r)).alias("p"))
+    return df.select("conv_id", "turn", *[F.col(f"p.{c}").alias(c) for c in ("action", "label", "thought", "answer")])
 
 
-_UNIFIED = f"'<think>' || {_UTHINK} || '</think>' || chr(10) || '<action>' || {_UACT} || '</action>' || chr(10) || '<label>' || {_ULAB} || '</label>' || chr(10) || {_UANS}"
-per_response("d11_normalize", lambda c: tx.normalized(c, ss.rendered_tool_calls(c)), _UNIFIED, _PLAIN)
-_CANON = f"'<think>' || {_UTHINK} || '</think>' || chr(10) || {_UACT} || '<' || {_ULAB} || '>' || chr(10) || '<answer>' || {_UANS} || '</answer>'"
-per_response(
-    "d16_canonical",
-    lambda c: tx.canonical(tx.unified_action(c), tx.unified_label(c), tx.unified_answer(c, ss.rendered_tool_calls(c)), tx.think_only(c)),
-    _CANON,
-    _PLAIN,
-)
+_per_unified("d11_normalize", lambda c: tx.normalized(c, ss.rendered_tool_calls(c)), f"with {_FORMS} select conv_id, turn, {_UNIFIED} as value from u")
+_per_unified("d16_canonical", lambda c: tx.canonical_output(c, ss.rendered_tool_calls(c)), f"with {_FORMS} select conv_id, turn, {_CANON} as value from u")
 # The unified form has no answer tag, so that the canonical one's answer is the text without wrappers.
-per_response("d17_reward_input", lambda c: tx.reward_input(c, ss.rendered_tool_calls(c)), _CANON, _PLAIN)
-per_response("d19_forced_surface", lambda c: tx.forced_surface(c, "A", ss.rendered_tool_calls(c)), _UANS, _PLAIN)
+_V = _unified("v", f"(select conv_id, turn, {_UNIFIED} as r from u)")
+_per_unified(
+    "d17_reward_input",
+    lambda c: tx.reward_input(c, ss.rendered_tool_calls(c)),
+    f"with {_FORMS}, {_V} select conv_id, turn, case when r <> '' and action is not null and label is not null and answer is not null then {_CANON} else r end as value from v",
+)
+_per_unified("d19_forced_surface", lambda c: tx.forced_surface(c, "A", ss.rendered_tool_calls(c)), f"with {_FORMS} select conv_id, turn, {_SURFACE} as value from u")
 
 
 @query(r"""select conv_id, turn, json_extract_string(b, '$.name') as tool_name, json_extract_string(b, '$.arguments.id') as arg_id
@@ -136,18 +176,22 @@ def d12_tool_blocks(spark, sf_dir):
     return df.select("conv_id", "turn", F.col("c.name").alias("tool_name"), F.get_json_object("c.arguments", "$.id").alias("arg_id"))
 
 
-@query()
+@query(f"select conv_id, turn, {_RENDERED} as value from (select conv_id, turn, response as r from responses)")
 def d13_render(spark, sf_dir):
     return fixture(spark, sf_dir, "responses").select("conv_id", "turn", ss.rendered_tool_calls("response").alias("value"))
 
 
-@query()
+@query(f"select conv_id, turn, case when len({_R_BLOCKS}) > 0 then {_RENDERED} else {_cut('r')} end as value from (select conv_id, turn, chosen_response as r from responses)")
 def d14_surface(spark, sf_dir):
     return fixture(spark, sf_dir, "responses").select("conv_id", "turn", ss.tool_surface("chosen_response").alias("value"))
 
 
-@query("""select conv_id, turn, 'Choose an action.' || chr(10) || '[Forced Action]' || chr(10) || 'action: ' || gt_letter || chr(10) || substr(response, 1, 100) as value
-from responses""")
+#: The instruction of a forced action.
+_FORCED = """chr(10) || chr(10) || '[Forced Action]' || chr(10) || case gt_letter when 'B' then 'You MUST perform a tool call.' || chr(10) || 'You MUST output only <tool_call>...</tool_call> blocks.' || chr(10) || 'You MUST NOT output action tags, <answer> tags, or extra prose.'
+  else 'You MUST output plain assistant text consistent with action ' || case gt_letter when 'A' then 'direct_answer' when 'C' then 'request_for_info' else 'cannot_answer' end || '<' || gt_letter || '>.' || chr(10) || 'You MUST NOT output action tags, <answer> tags, or any tool-call XML unless the action is tool_call<B>.' end || chr(10)"""
+
+
+@query(f"select conv_id, turn, 'Choose an action.' || {_FORCED} || chr(10) || 'assistant: ' || response as value from responses")
 def d20_prompt_suffix(spark, sf_dir):
     value = F.concat(F.lit("Choose an action."), tx.prompt_suffix(F.col("gt_letter")), F.lit("\nassistant: "), "response")
     return fixture(spark, sf_dir, "responses").select("conv_id", "turn", value.alias("value"))
@@ -166,7 +210,8 @@ def d23_tokens(spark, sf_dir):
     return fixture(spark, sf_dir, "documents").select("doc_id", F.size(tx.f1_tokens(F.col("text"))).cast("long").alias("n_tokens"))
 
 
-@query()
+@query(f"""select event_id, case event_id % 6 when 0 then '{{"k": ' || json_extract_string(cell, '$.k') || '}}' when 1 then '{{"k": ' || json_extract_string(cell, '$[0].k') || '}}'
+  when 5 then '{{"gt_action": "' || json_extract_string(cell, '$.gt_action') || '", "turn_idx": ' || json_extract_string(cell, '$.turn_idx') || '}}' end as value from json_cells""")
 def d24_json_from_text(spark, sf_dir):
     cells = fixture(spark, sf_dir, "json_cells")
     return cells.select("event_id", ss.object_in_text(F.concat(F.lit("Reply: "), "cell")).alias("value"))

@@ -14,7 +14,7 @@ from turnwright.functions import text as tx
 from turnwright.functions import uncertainty as uq
 from turnwright.operators import annotate, margins, merge, providers, reward, sampling, turns
 from turnwright.plans.fixtures import fixture
-from turnwright.plans.queries import _CM2, _LETTER, _SOURCE, _SUGGESTED, _TC, _THINK, _ANSWER, _CATEGORY, _any, _conversations, _marked, _turned, query
+from turnwright.plans.queries import _CM2, _LETTER, _SOURCE, _SUGGESTED, _TC, _THINK, _ANSWER, _CATEGORY, _any, _conversations, _CAND, _cut, _dumped, _marked, _turned, _RENDERED, _SURFACE, _TM, _FORMS, _FIRST, _E2, query
 from turnwright.sources import io
 
 # Semi-structured cells.
@@ -39,13 +39,14 @@ def b3_coerce(spark, sf_dir):
     return fixture(spark, sf_dir, "json_cells").select("event_id", value.alias("value"))
 
 
-@query()
+@query("""select event_id, '{' || concat_ws(',', '"ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || '"', '"user_id":' || user_id, '"event_type":"' || event_type || '"', '"value":' || value,
+  '"props":"' || replace(props, '"', '\\"') || '"') || '}' as cell from events""")
 def b4_json_safe(spark, sf_dir):
     df = fixture(spark, sf_dir, "events")
     return df.select("event_id", F.to_json(F.struct("ts", "user_id", "event_type", "value", "props")).alias("cell"))
 
 
-@query()
+@query("select id, case when id % 5 = 2 then 'null' when json_valid(extra) then " + _dumped("extra") + " else extra end as value from extra_cells")
 def b5_empty_objects(spark, sf_dir):
     return fixture(spark, sf_dir, "extra_cells").select("id", ss.without_empty_objects("extra").alias("value"))
 
@@ -78,7 +79,8 @@ def b9_tools_list(spark, sf_dir):
     return fixture(spark, sf_dir, "tool_cells").select("id", F.size(ss.tool_list(F.col("tools"))).cast("long").alias("n"))
 
 
-@query("""select id, case when tools is null then '' else '" ' || tools || ' "' end as prompt from tool_cells where id % 6 in (2, 3, 5)""")
+@query("""select id, case when tools is null then '' when json_valid(tools) and json_type(tools) = 'ARRAY' then coalesce(array_to_string(list_transform(json_extract(tools, '$[*]'), lambda x: '" ' || """ + _dumped("x::varchar") + """ || ' "'), chr(10) || chr(10)), '')
+  else '" ' || tools || ' "' end as prompt from tool_cells""")
 def b10_tools_text(spark, sf_dir):
     return fixture(spark, sf_dir, "tool_cells").select("id", ss.tool_prompt(ss.tool_texts(F.col("tools"))).alias("prompt"))
 
@@ -298,7 +300,7 @@ def f7_distinct_tools(spark, sf_dir):
     return merge.distinct_tools(calls.select(F.col("c.name").alias("tool_name")))
 
 
-@query("select id, id % 6 in (1, 2) as known from tool_cells where id % 6 < 3")
+@query("select id, id % 6 in (1, 2) as known from tool_cells")
 def f8_membership(spark, sf_dir):
     names = ss.flat_tool_names(ss.tool_items(F.col("tools")))
     hit = F.array_contains(names, "look_up") | F.array_contains(names, "single")
@@ -378,7 +380,7 @@ def g9_greedy_topk1(spark, sf_dir):
     return annotate.balanced_one(notes, sampling.label_counts(notes))
 
 
-@query()
+@query("select distinct row_id, turn_idx::bigint as turn_idx, gt_action from mixed_annotations")
 def g10_greedy_topk2(spark, sf_dir):
     notes = fixture(spark, sf_dir, "mixed_annotations").select("row_id", F.col("turn_idx").cast("long").alias("turn_idx"), "gt_action", F.lit("low").alias("uq_target_type"))
     counts = {r["gt_action"]: r["n"] for r in sampling.label_counts(notes).collect()}
@@ -601,15 +603,28 @@ def h7_token_f1(spark, sf_dir):
     return out.select("pair_id", F.round("f1", 6).alias("f1"))
 
 
-@query()
+_SAID = f"""{_TM}, {_FIRST},
+n as (select conv_id, turn_idx, case when has then 'B' else {_E2} end as gt_letter, case when has then content else body end as chosen_response from g where has or body <> ''),
+o as (select conv_id, turn_idx, coalesce(min_by(content, turn) filter (where contains(content, '<tool_call>')), max_by(content, turn)) as said, bool_or(contains(content, '<tool_call>')) as tool from t where role = 'assistant' group by all),
+z as (select conv_id, turn_idx, max(turn) as position from t group by all),
+q as (select conv_id, turn_idx as turn, position, gt_letter, chosen_response, case when tool then '<think>source=structured suggested_action=tool_call <B></think>' || chr(10) || 'tool_call<B>' || chr(10) || '<answer>' || said || '</answer>' else trim(said, ' ' || chr(10)) end as response
+  from o join n using (conv_id, turn_idx) join z using (conv_id, turn_idx))"""
+#: A turn's call, where it has to be one, is the annotated one.
+_SCORED = _PARSED[: _PARSED.index(",\nm as")].replace("from responses", "from q").replace("case when conv_id = conv_id % 10 then 1e0 else 0.5e0 end", "1e0")
+_SCORED = _SCORED.replace("\nf as (", "\nff as (").replace("from f)", "from ff)")
+
+
+@query(f"""with {_SAID}, {_SCORED} select a.conv_id, turn as turn_idx, position, round(round((r_fmt + least(2e0, r_align + case when formed then 0.5e0 else 0e0 end) + 0.5e0 * r_cls) / 6.15e0, 4), 4) as reward, 1 as n
+from (select *, letter is not null and coalesce(pa, '') <> '' as formed from a) a join q using (conv_id, turn)""")
 def h8_trajectory_reward(spark, sf_dir):
     """Each annotated turn's response in canonical form, scored against its annotation, at the turn's end."""
     turned = _marked(spark, sf_dir)
     said = turns.tool_or_last(turned)
     thought = F.when(F.col("has_tool"), F.lit("source=structured suggested_action=tool_call <B>")).otherwise(F.coalesce(tx.think_only(F.col("content")), F.lit("")))
-    action = F.when(F.col("has_tool"), F.lit("tool_call")).otherwise(tx.unified_action(F.col("content")))
-    label = F.when(F.col("has_tool"), F.lit("B")).otherwise(tx.unified_label(F.col("content")))
-    whole = tx.canonical(action, label, tx.unified_answer(F.col("content")), thought)
+    said = said.withColumn("p", tx.unified_parts(F.col("content")))
+    action = F.when(F.col("has_tool"), F.lit("tool_call")).otherwise(F.col("p.action"))
+    label = F.when(F.col("has_tool"), F.lit("B")).otherwise(F.col("p.label"))
+    whole = tx.canonical(action, label, F.col("p.answer"), thought)
     outputs = said.select("conv_id", "turn_idx", F.when(action.isNotNull() & label.isNotNull(), whole).otherwise(tx.strip(F.col("content"))).alias("response"))
     notes = annotate.candidates(turned).select("conv_id", "turn_idx", F.col("gt_action").alias("gt_letter"), F.col("target_answer").alias("chosen_response"))
     scored = reward.score(outputs.join(notes, ["conv_id", "turn_idx"]), ["conv_id", "turn_idx"])
@@ -628,14 +643,15 @@ def h9_sentence_ppl(spark, sf_dir):
 # Providers.
 
 
-@query()
+@query("""select conv_id, 0 as turn_idx, case when contains(l, 'sorry') then 'D' when contains(l, '?') then 'C' else 'A' end as gt_action
+from (select conv_id, lower(regexp_extract(string_agg(role || ': ' || trim(text), chr(10) order by turn), '[^\n]*$')) as l from conversations group by conv_id)""")
 def i1_label(spark, sf_dir):
     prompts = turns.as_arrays(_conversations(spark, sf_dir)).select("conv_id", turns.rendered_prompt(F.col("messages")).alias("prompt"))
     replies = providers.calls(prompts, "prompt", providers.rule_labeller)
     return replies.select("conv_id", F.explode(annotate.parse_reply(F.col("reply"))).alias("a")).select("conv_id", "a.turn_idx", "a.gt_action")
 
 
-@query()
+@query(f"with {_FORMS} select conv_id, turn, coalesce(label, '') as label from u")
 def i3_judge(spark, sf_dir):
     df = fixture(spark, sf_dir, "responses").select("conv_id", "turn", tx.unified_label(F.col("response")).alias("label"), F.col("response").alias("prompt"))
     return providers.judged(df, "label", "prompt").select("conv_id", "turn", F.coalesce("label", F.lit("")).alias("label"))
@@ -647,7 +663,8 @@ def i5_tail_alignment(spark, sf_dir):
     return _logprobs(spark, sf_dir).select("vec_id", F.size(tail).cast("long").alias("n"), F.round(uq.total(tail), 6).alias("total"))
 
 
-@query()
+@query(f"""with {_FORMS}, w as (select conv_id, turn, regexp_extract_all(case when gt_letter = 'B' then case when has then answer else r end else {_SURFACE} end, '\\S+') as w from u)
+select conv_id, turn, round(exp(list_sum(list_transform(w, lambda x: length(x) / 10e0)) / len(w)), 6) as ppl from w""")
 def i6_strict_scores(spark, sf_dir):
     """Each response in the form of its true action, scored after its prompt with that action's suffix."""
     response, letter = F.col("response"), F.col("gt_letter")
@@ -693,7 +710,7 @@ def j1_group_wait(spark, sf_dir):
     return spark.read.schema("event_id long, group_key string, ppl_gt double, ppl_neg double, margin_source string").parquet(sink)
 
 
-@query()
+@query(f"with {_CAND} select conv_id, turn_idx, gt_action from h")
 def j6_resume_stream(spark, sf_dir):
     from turnwright.streaming.group_margin import label_stream
 
