@@ -156,6 +156,39 @@ def test_near_duplicates(spark, docs, no_docs):
     assert minhash.classes(no_docs).count() == 0 and minhash.filter_documents(no_docs).count() == 0
 
 
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    """No text is lost by its id; of equal rows one stays, also where one text holds most rows."""
+    rng = random.Random(2)
+    text = lambda n: " ".join(rng.choices([f"w{i}" for i in range(500)], k=n))
+    a, b, c, d = (text(60) for _ in range(4))
+    rows = [(3, b), (7, a), (7, b), (7, a), (8, c), (8, d), (8, c), (2, d), (None, a), (9, None), (9, None), (9, "")] + [(50, "hot text of few words")] * 40 + [(60 + i, "hot text of few words") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted(((r.doc_id, r.text) for r in minhash.filter_documents(df).collect()), key=repr)
+    want = [(3, b), (7, a), (8, c), (2, d), (None, a), (9, None), (9, None), (9, ""), (50, "hot text of few words")]
+    assert kept == sorted(want, key=repr)
+    out = sorted(((r.doc_id, r.class_id, r.kept) for r in minhash.classes(df).where("doc_id < 50").collect()))
+    assert out == [(2, 2, True), (3, 3, True), (7, 3, False), (7, 7, False), (7, 7, True), (8, 2, False), (8, 8, False), (8, 8, True), (9, 9, True), (9, 9, True), (9, 9, True)]
+    for hot in (1, 4096):
+        old, minhash.HOT = minhash.HOT, hot
+        try:
+            got = minhash.classes(df.where("doc_id >= 50")).collect()
+        finally:
+            minhash.HOT = old
+        assert {r.class_id for r in got} == {50} and sum(r.kept for r in got) == 1
+
+
+def test_blocks_are_bounded_in_rows_and_bytes(spark, monkeypatch):
+    """The same classes whatever the size of blocks, and with salted leaders."""
+    texts = near_texts()
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    want = [r.class_id for r in minhash.classes(df).orderBy("doc_id").collect()]
+    monkeypatch.setattr(minhash, "BLOCK", 5)
+    monkeypatch.setattr(minhash, "HOT", 4)
+    assert [r.class_id for r in minhash.classes(df).orderBy("doc_id").collect()] == want
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 3000)
+    assert [r.class_id for r in minhash.classes(df).orderBy("doc_id").collect()] == want
+
+
 @pytest.mark.parametrize("size", [18, 90, 900])
 def test_signature_agreement_estimates_similarity(size):
     """On average and pair by pair, for texts with fewer and with more shingles than bins."""

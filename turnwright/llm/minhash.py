@@ -1,36 +1,41 @@
 """Near-duplicate documents by improved consistent weighted sampling over TF-IDF shingles.
 
 Words stand between ASCII white space; a shingle is five consecutive words (all words of a shorter text), weighted by
-its count in the text times idf = 1 + ln((N+1)/(df+1)) / ln(N+1), from 1 for what every document has to 2. df counts
-all documents, in ``CELLS`` hashed cells: a cell's share of the corpus that stems from unlike shingles is the mean number
-of shingles a document over ``CELLS``, at any corpus size, so that frequent passages stand out alike everywhere.
+its count in the text times idf = 1 + ln((N+1)/(df+1)) / ln(CELLS). df counts all documents, in ``CELLS`` hashed cells: a
+cell's share of the corpus that stems from unlike shingles is the mean number of shingles a document over ``CELLS``, so
+that a rare shingle has about the same idf, at most 2, at any corpus size, and one that every document has 1.
 
 Samples are drawn bin-wise: a shingle falls by its hash into one of BANDS * ROWS bins, and each bin keeps the
 (shingle, level) of the least improved-consistent-weighted-sampling value; a bin without a shingle draws anew over
-all of the text's shingles. ROWS samples make a band. Documents that share a band are candidates:
+all of the text's shingles. ROWS samples make a band. BANDS suit the least weighted similarity that a plain similarity
+of 0.8 can have (see ``SIMILARITY``): a pair there is missed with probability 0.001. Distinct texts are the nodes, told
+apart by two 64-bit hashes of the whole text, and nodes that share a band are candidates:
 
-1. Equal texts are one class from the start (two 64-bit hashes of the whole text); the rest works on one of each.
-2. In each bucket the most central document (most bucket mates over all bands) is the leader, and each other
-   member is verified against it: as many pairs as members.
-3. Buckets whose members still lie in several components are compared in blocks; only pairs of different
-   components count, and a block gives the edges of a spanning forest, not pairs.
+1. In each bucket the most central node (most bucket mates over all bands) is the leader, and each other
+   member is verified against it: as many pairs as members. A leader of many pairs is salted.
+2. In a bucket whose members still lie in several components only pairs of different components count: members
+   outside the largest component are compared with each other and with it, in blocks bounded in rows and bytes. The
+   largest component is not compared with itself, so that its rows are sent once for each block of the others. A
+   block gives the edges of a spanning forest, not pairs.
 
 A pair is verified on the whole texts: the weighted Jaccard similarity of the TF-IDF weights, or of the counts alone
 (so that the idf damping of a frequent passage cannot lose a copy), is at least ``SIMILARITY``.
 Classes are connected components.
 
 Cases: a null text is a class of its own; empty texts are equal to each other; texts without words that differ
-stay apart. Rows that share a doc_id are in one class. A null doc_id is a class of its own. An empty table gives
-no rows."""
+stay apart. Each row is judged by its own text: rows that share a doc_id but not a text may be in different classes,
+and of a class one row stays, with the least doc_id (of rows that repeat doc_id and text, one). A null doc_id is a
+class of its own. An empty table gives no rows."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnwright.llm.common import (
     as_documents,
+    boxed,
     broadcast_if_small,
     components,
     offsets,
@@ -44,10 +49,14 @@ from turnwright.llm.vectors import forest
 
 WORDS = 5
 SIMILARITY = 0.8
-BANDS = 24
+BANDS = 32
 ROWS = 5
 CELLS = 1 << 18
+#: Most rows of a block, and most bytes of its texts beyond which a larger share of rows waits in other blocks.
 BLOCK = 512
+BLOCK_BYTES = 4 << 20
+#: Pairs of one leader, and rows of one text, beyond which a join deals them out by a salt.
+HOT = 4096
 BITS = np.uint64(44)
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -158,11 +167,11 @@ def signatures(doc: np.ndarray, sh: np.ndarray, weight: np.ndarray, n: int, band
 
 
 class Weights:
-    """idf of the hashed cells."""
+    """idf of the hashed cells, from 1 to 2."""
 
     def __init__(self, df: np.ndarray, documents: int):
-        top = np.log(documents + 1.0) or 1.0
-        self.idf = (1.0 + np.log((documents + 1.0) / (np.minimum(df, documents) + 1.0)) / top).astype(np.float32)
+        rare = np.log((documents + 1.0) / (np.minimum(df, documents) + 1.0)) / np.log(CELLS)
+        self.idf = (1.0 + np.minimum(rare, 1.0)).astype(np.float32)
 
     def of(self, sh: np.ndarray) -> np.ndarray:
         return self.idf[cells(sh)].astype(np.float64)
@@ -204,83 +213,89 @@ def block_edges(texts: list[str], comp: np.ndarray, left: np.ndarray, right: np.
     who, idf = doc[row], weights.of(sh[row])
     n = len(texts)
     size = np.stack([np.bincount(who, idf, n), np.bincount(who, minlength=n)])
-    names, place, df = np.unique(element, return_inverse=True, return_counts=True)
+    _, place, df = np.unique(element, return_inverse=True, return_counts=True)
     shared = df[place] > 1
     who, idf, place = who[shared], idf[shared], place[shared]
     _, place = np.unique(place, return_inverse=True)
     order = np.argsort(place, kind="stable")
     who, idf, place = who[order], idf[order], place[order]
-    inter = np.zeros((2, n, n), np.float32)
-    for a in range(0, int(place[-1]) + 1 if len(place) else 0, 4096):
+    side = np.full((2, n), -1)
+    side[0, left], side[1, right] = np.arange(len(left)), np.arange(len(right))
+    inter = np.zeros((2, len(left), len(right)), np.float32)
+    last = int(place[-1]) + 1 if len(place) else 0
+    for a in range(0, last, 4096):
         i, j = np.searchsorted(place, [a, a + 4096])
-        m = np.zeros((2, n, min(4096, int(place[-1]) + 1 - a)), np.float32)
+        m = np.zeros((2, n, min(4096, last - a)), np.float32)
         m[0, who[i:j], place[i:j] - a] = np.sqrt(idf[i:j])
         m[1, who[i:j], place[i:j] - a] = 1.0
-        inter[0] += m[0] @ m[0].T
-        inter[1] += m[1] @ m[1].T
-    total = size[:, :, None] + size[:, None, :] - inter
+        inter += m[:, left] @ m[:, right].transpose(0, 2, 1)
+    total = size[:, left, None] + size[:, None, right] - inter
     near = ((inter >= (threshold - 1e-6) * total) & (total > 0)).any(0)
-    near &= comp[:, None] != comp[None, :]
-    mask = np.zeros((n, n), bool)
-    mask[np.ix_(left, right)] = True
-    i, j = np.nonzero(near & (mask | mask.T))
-    return forest(n, i, j)
+    near &= comp[left][:, None] != comp[right][None, :]
+    i, j = np.nonzero(near)
+    return forest(n, left[i], right[j])
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id (the least doc_id of the class) and kept of every row."""
-    spark = prepared(docs.sparkSession)
-    base = as_documents(docs, "doc_id", "text")
-    ids = base.select(
-        "doc_id",
-        F.when(F.col("text").isNotNull() & F.col("doc_id").isNotNull(), F.xxhash64("text")).alias("h1"),
-        F.xxhash64(F.lit(7), "text").alias("h2"),
-    )
-    exact = ids.where("h1 is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
+def text_keys(text: Column, usable: Column) -> list[Column]:
+    """Two 64-bit hashes of the whole text, null where a row is not ``usable``."""
+    return [F.when(usable, F.xxhash64(text)).alias("h1"), F.when(usable, F.xxhash64(F.lit(7), text)).alias("h2")]
+
+
+def verdicts(base: DataFrame, ids: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Written table of the texts that have a twin: h1, h2, n rows, class_id, and where the class's row has this text its
+    doc_id (keep_id), one row's uid (keep_uid) and how often the row is repeated (again).
+
+    ``base`` has doc_id, text, h1, h2; ``ids`` is a written table of uid, doc_id, h1, h2 and bytes."""
+    spark = prepared(base.sparkSession)
+    text = ["h1", "h2"]
+    # By text and id first: what a frequent text sends to one task is one row a task and id.
+    exact = ids.where("h1 is not null").groupBy(*text, "doc_id").agg(F.count(F.lit(1)).alias("again"), F.min("uid").alias("uid"), F.first("bytes").alias("bytes"))
+    first = F.min(F.struct("doc_id", "again", "uid")).alias("f")
+    exact = exact.groupBy(*text).agg(first, F.sum("again").alias("n"), F.first("bytes").alias("bytes"))
+    exact = exact.select(*text, "n", "bytes", F.col("f.doc_id").alias("rep"), "f.again", F.col("f.uid").alias("node"))
     exact = write_table(exact, "minhash-exact")
-    usable = base.where("text is not null and doc_id is not null")
-    documents = usable.count()
+    usable = base.where("h1 is not null").select(*text, "text")
+    documents = exact.agg(F.sum("n")).first()[0] or 0
     weights = spark.sparkContext.broadcast(Weights(document_frequencies(usable.select("text")), documents))
 
     def sign(batches):
         import pyarrow as pa
 
+        seen: set[tuple[int, int]] = set()
         for b in batches:
             texts = b.column("text").to_pylist()
-            for s in text_slices(texts):
-                part = texts[s]
-                doc, sh, times = shingles(part)
+            names = list(zip(b.column("h1").to_pylist(), b.column("h2").to_pylist()))
+            # One of each text that this task has met of late; the rest are told apart later.
+            fresh = [i for i, k in enumerate(names) if k not in seen and not seen.add(k)]
+            if len(seen) > 200_000:
+                seen = set()
+            for s in text_slices([texts[i] for i in fresh]):
+                part = fresh[s]
+                doc, sh, times = shingles([texts[i] for i in part])
                 made = signatures(doc, sh, times * weights.value.of(sh), len(part))
                 full = np.flatnonzero(np.bincount(doc, minlength=len(part)))
-                row = pa.array(np.repeat(full, BANDS) + s.start)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column("doc_id").take(row),
-                        pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(full))),
-                        pa.array(made[full].reshape(-1).view(np.int64)),
-                    ],
-                    names=["doc", "band", "key"],
-                )
-
-    banded = write_table(usable.mapInArrow(sign, "doc long, band int, key long"), "minhash-bands")
+                row = pa.array(np.repeat(np.array(part, np.int64)[full], BANDS))
+                band = np.tile(np.arange(BANDS, dtype=np.int32), len(full))
+                columns = [b.column("h1").take(row), b.column("h2").take(row), pa.array(band), pa.array(made[full].reshape(-1).view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "band", "key"])
+
+    banded = write_table(usable.mapInArrow(sign, "h1 long, h2 long, band int, key long"), "minhash-bands")
     bucket = ["band", "key"]
-    # Buckets of two or more documents; copies of a text meet in all bands, so one of each is enough.
-    banded = banded.join(exact.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi")
-    banded = banded.groupBy(*bucket, "doc").agg(F.lit(1).alias("_")).drop("_")
+    # Buckets of two or more texts.
+    banded = banded.groupBy(*bucket, *text).agg(F.lit(1).alias("_")).drop("_")
     sizes = banded.groupBy(*bucket).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = write_table(banded.join(sizes, bucket), "minhash-members")
-    central = members.groupBy("doc").agg(F.sum("size").alias("mates"))
-    led = members.select(*bucket, "doc").join(central, "doc").groupBy(*bucket)
-    leaders = led.agg(F.max(F.struct("mates", (-F.col("doc")).alias("minus"))).alias("m")).select(
+    members = banded.join(sizes, bucket).join(exact.select(*text, "node", "bytes"), text).drop(*text)
+    members = write_table(members, "minhash-members")
+    central = members.groupBy("node").agg(F.sum("size").alias("mates"))
+    led = members.select(*bucket, "node").join(central, "node").groupBy(*bucket)
+    leaders = led.agg(F.max(F.struct("mates", (-F.col("node")).alias("minus"))).alias("m")).select(
         *bucket, (-F.col("m.minus")).alias("leader")
     )
-    pairs = members.join(leaders, bucket).where("doc <> leader").groupBy("leader", "doc").agg(F.lit(1).alias("_")).drop("_")
+    pairs = members.join(leaders, bucket).where("node <> leader").groupBy("leader", "node").agg(F.lit(1).alias("_")).drop("_")
     pairs = write_table(pairs, "minhash-pairs")
-    involved = write_table(members.select("doc").distinct(), "minhash-involved")
-    some = broadcast_if_small(involved, involved.count())
-    texts = usable.join(some, F.col("doc_id") == F.col("doc"), "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    involved = write_table(central.select("node").join(exact, "node").select(*text, "node"), "minhash-involved")
+    texts = usable.join(broadcast_if_small(involved, involved.count()), text).groupBy("node").agg(F.first("text").alias("text"))
     texts = write_table(texts, "minhash-texts")
-    one, two = texts.toDF("leader", "text_a"), texts.toDF("doc", "text_b")
 
     def verify(batches):
         import pyarrow as pa
@@ -295,45 +310,120 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
                 of = lambda t: (sh[(x := slice(spans[distinct[t]], spans[distinct[t] + 1]))], times[x])  # noqa: B023, E731
                 good += [s.start + i for i, (x, y) in enumerate(zip(a[s], c[s])) if similar(of(x), of(y), weights.value, similarity)]
             row = pa.array(np.array(good, np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("leader").take(row), b.column("doc").take(row)], names=["a", "b"])
-
-    near = pairs.join(two, "doc").join(one, "leader").select("leader", "doc", "text_a", "text_b")
+            yield pa.RecordBatch.from_arrays([b.column("leader").take(row), b.column("node").take(row)], names=["a", "b"])
+
+    # A leader of more than HOT pairs has its text in several parts of the join.
+    hot = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias("parts")).where("parts > 1")
+    hot = write_table(hot, "minhash-hot")
+    hot = broadcast_if_small(hot, hot.count())
+    parts = F.coalesce("parts", F.lit(1))
+    many = pairs.join(hot, "leader", "left").select("leader", "node", F.pmod(F.xxhash64("node"), parts).cast("int").alias("salt"))
+    one = texts.toDF("leader", "text_a").join(pairs.select("leader").distinct(), "leader", "left_semi").join(hot, "leader", "left")
+    one = one.select("leader", "text_a", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
+    near = many.join(texts.toDF("node", "text_b"), "node").join(one, ["leader", "salt"]).select("leader", "node", "text_a", "text_b")
     edges = write_table(near.mapInArrow(verify, "a long, b long"), "minhash-edges")
     roots = components(edges, "minhash-components")
-    # What is left: buckets of several components.
-    placed = members.join(roots, F.col("doc") == F.col("node"), "left").select(*bucket, "doc", "size", F.coalesce("root", "doc").alias("comp"))
-    mixed = placed.groupBy(*bucket).agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select(*bucket)
-    rest = placed.join(mixed, bucket)
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rest = rest.withColumn("mine", F.pmod(F.xxhash64("doc", F.lit(3)), blocks).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rest = rest.select(*bucket, "doc", "comp", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
-    rest = rest.join(two, "doc")
+
+    # What is left: buckets of several components. Side 0 is outside the largest one.
+    placed = members.join(roots.toDF("node", "root"), "node", "left").select(*bucket, "node", "bytes", F.coalesce("root", "node").alias("comp"))
+    comps = placed.groupBy(*bucket, "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("bytes").alias("b"))
+    most = F.max(F.struct("c", "comp", "b"))
+    whole = comps.groupBy(*bucket).agg(most.alias("m"), F.sum("c").alias("c"), F.sum("b").alias("b"), F.count(F.lit(1)).alias("k"))
+    cuts = lambda c, b: F.ceil(F.greatest(c / BLOCK, b / BLOCK_BYTES)).cast("int")
+    mixed = whole.where("k > 1").select(
+        *bucket,
+        F.col("m.comp").alias("main"),
+        cuts(F.col("c") - F.col("m.c"), F.col("b") - F.col("m.b")).alias("others"),
+        cuts(F.col("m.c"), F.col("m.b")).alias("mains"),
+    )
+    rest = placed.join(mixed, bucket).withColumn("inner", F.col("comp") == F.col("main"))
+    rest = rest.withColumn("mine", F.pmod(F.xxhash64("node", F.lit(3)), F.when(F.col("inner"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    # Block (0, i, j): parts i and j of the others; block (1, i, j): part i of the others with part j of the largest.
+    block = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("lo"), j.alias("hi"))
+    mine = F.col("mine")
+    among = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda j: block(0, F.least(mine, j), F.greatest(mine, j)))
+    across = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda j: block(1, mine, j))
+    inside = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda i: block(1, i, mine))
+    rest = rest.withColumn("x", F.explode(F.when(F.col("inner"), inside).otherwise(F.concat(among, across))))
+    rest = rest.select(*bucket, "node", "comp", "inner", "mine", "x.kind", "x.lo", "x.hi").join(texts, "node")
 
     def compare(table):
         import pyarrow as pa
 
-        mine, names = table.column("mine").to_numpy(), table.column("doc").to_numpy()
-        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-        left, right = np.flatnonzero(mine == lo), np.flatnonzero(mine == hi)
-        tree = block_edges(table.column("text_b").to_pylist(), table.column("comp").to_numpy(), left, right, weights.value, similarity)
+        mine, names = table.column("mine").to_numpy(), table.column("node").to_numpy()
+        kind, lo, hi = (table.column(c)[0].as_py() for c in ("kind", "lo", "hi"))
+        inner = table.column("inner").to_numpy(zero_copy_only=False)
+        left = np.flatnonzero(~inner) if kind else np.flatnonzero(mine == lo)
+        right = np.flatnonzero(inner) if kind else np.flatnonzero(mine == hi)
+        tree = block_edges(table.column("text").to_pylist(), table.column("comp").to_numpy(), left, right, weights.value, similarity)
         a = np.array([names[i] for i, _ in tree], np.int64)
         b = np.array([names[j] for _, j in tree], np.int64)
         return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
-    more = write_table(rest.groupBy(*bucket, "lo", "hi").applyInArrow(compare, "a long, b long"), "minhash-more")
-    roots = components(edges.union(more), "minhash-components")
-    known = exact.join(roots, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("root", "rep").alias("class"))
-    out = ids.join(known, ["h1", "h2"], "left").select("doc_id", F.coalesce("class", "doc_id").alias("class_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+    more = write_table(rest.groupBy(*bucket, "kind", "lo", "hi").applyInArrow(compare, "a long, b long"), "minhash-more")
+    roots = write_table(components(edges.union(more), "minhash-components"), "minhash-roots")
+    # The class's row is the one of the least doc_id; texts alone in their class have their own.
+    together = roots.union(roots.select("root", "root").distinct())
+    classed = exact.join(together.toDF("node", "class"), "node")
+    best = classed.groupBy("class").agg(F.min(F.struct("rep", "node")).alias("best"))
+    classed = classed.join(best, "class")
+    alone = exact.where("n > 1").join(together.select("node"), "node", "left_anti")
+    alone = alone.withColumn("best", F.struct("rep", "node"))
+    out = classed.drop("class").unionByName(alone)
+    won = F.col("best.node") == F.col("node")
+    out = out.select(*text, "n", F.col("best.rep").alias("class_id"), *[F.when(won, F.col(c)).alias(k) for c, k in (("rep", "keep_id"), ("node", "keep_uid"), ("again", "again"))])
+    return write_table(out, "minhash-verdicts")
+
+
+def with_verdicts(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` (with h1, h2) and the columns of ``found``, null where a text has no twin.
+
+    Texts of more than HOT rows are joined apart: at most one for HOT rows of the table, so that they are broadcast,
+    and their rows need not meet in one task."""
+    names = [c for c in found.columns if c not in ("h1", "h2", "n")]
+    packed = found.select("h1", "h2", "n", F.struct(*names).alias("_v"))
+    often = packed.where(F.col("n") > HOT).select(F.col("h1").alias("_a"), F.col("h2").alias("_b"), F.col("_v").alias("_often"))
+    often = broadcast_if_small(often, often.count())
+    rows = rows.join(often, (F.col("h1") == F.col("_a")) & (F.col("h2") == F.col("_b")), "left").drop("_a", "_b")
+    seldom = packed.where(F.col("n") <= HOT).select(F.col("h1").alias("_a"), F.col("h2").alias("_b"), F.col("_v").alias("_seldom"))
+    # A row that is settled, or has no text, takes a random key, so that such rows spread out.
+    spread = F.when(F.col("_often").isNull() & F.col("h1").isNotNull(), F.col("h1")).otherwise(F.xxhash64(F.monotonically_increasing_id()))
+    rows = rows.withColumn("_k", spread)
+    rows = rows.join(seldom, (F.col("_k") == F.col("_a")) & (F.col("h2") == F.col("_b")) & F.col("_often").isNull(), "left")
+    value = F.coalesce("_often", "_seldom")
+    return rows.select(*[c for c in rows.columns if c not in ("_k", "_often")], *[value[c].alias(c) for c in names])
+
+
+def _base(docs: DataFrame) -> DataFrame:
+    usable = F.col("text").isNotNull() & F.col("doc_id").isNotNull()
+    return as_documents(docs, "doc_id", "text").select("doc_id", "text", *text_keys(F.col("text"), usable))
+
+
+def _ids(base: DataFrame) -> DataFrame:
+    size = F.octet_length("text").cast("long").alias("bytes")
+    return write_table(base.select("doc_id", "h1", "h2", size, F.monotonically_increasing_id().alias("uid")), "minhash-ids")
+
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, class_id (the least doc_id of the class) and kept of every row."""
+    base = _base(docs)
+    ids = _ids(base)
+    out = with_verdicts(ids, verdicts(base, ids, similarity))
+    kept = F.col("class_id").isNull() | F.coalesce(F.col("keep_uid") == F.col("uid"), F.lit(False))
+    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), kept.alias("kept"))
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """One row of each class, with its own columns: the row whose doc_id names the class."""
-    found = write_table(classes(docs), "minhash-classes")
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    name = {c.lower(): c for c in docs.columns}["doc_id"]
-    gone = broadcast_if_small(gone, gone.count())
-    out = docs.join(gone, docs[name].cast("long") == F.col("_gone"), "left_anti")
-    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return out.dropDuplicates([name]) if again else out
+    """One row of each class, with its own columns: a row of the least doc_id."""
+    base = _base(docs)
+    found = verdicts(base, _ids(base))
+    usable = F.col("text").isNotNull() & F.col("doc_id").isNotNull()
+    rows = boxed(docs, "doc_id", "text").select("_row", "doc_id", *text_keys(F.col("text"), usable))
+    rows = with_verdicts(rows, found)
+    out = rows.where(F.col("class_id").isNull() | (F.col("keep_id") == F.col("doc_id")))
+    if found.where("again > 1").limit(1).count():
+        # Rows that repeat id and text: the first of each in a task goes on, so that frequent ones are few.
+        again = F.coalesce("again", F.lit(1)) > 1
+        once = out.where(again).groupBy("h1", "h2").agg(F.first("_row").alias("_row"))
+        return out.where(~again).select("_row.*").unionByName(once.select("_row.*"))
+    return out.select("_row.*")
