@@ -111,19 +111,61 @@ def test_every_window_keeps_the_mixture(spark):
     assert (abs(table[short].iloc[:-1].cumsum() - np.outer(np.arange(1, len(table)), 128 * share[short])) < 1.0001).all().all()
 
 
-@pytest.mark.parametrize("totals", [[10, 0, 5], [1000, 3, 1], [7], [64] * 5, [4096 * 3, 4096]])
+MANY = {71: 40, 300: 7, 2000: 3}
+
+
+@pytest.mark.parametrize("totals", [[10, 0, 5], [1000, 3, 1], [7], [64] * 5, [4096 * 3, 4096], [3920] * 63, [10**7, 1, 2, 3], *([n] * k for k, n in MANY.items())])
 @pytest.mark.parametrize("targets", [None, [0.5, 0.25, 0.25, 0.1, 0.9]])
-def test_schedule_serves_all_once(totals, targets):
-    plan = packing.make_schedule(totals, 64, targets and targets[: len(totals)])
+@pytest.mark.parametrize("size", [64, 100, 4096])
+def test_schedule_serves_all_once(totals, targets, size):
+    given = None if targets is None else [targets[i] if i < len(targets) else 0.0 for i in range(len(totals))]
+    plan = packing.make_schedule(totals, size, given)
     served = np.zeros(len(totals), np.int64)
     for p in plan.phases:
-        steps = plan.served(p, np.arange(p.last - p.first + 1))
-        assert (np.diff(steps, axis=0) >= 0).all() and steps[0].tolist() == served.tolist()
-        assert (np.diff(steps.sum(1)) <= 64).all()
+        far = p.last - p.first
+        windows = np.arange(far + 1) if far < 5000 else np.unique(np.concatenate([np.arange(2000), np.arange(far - 2000, far + 1)]))
+        steps = plan.served(p, windows)
+        assert (np.diff(steps, axis=0) >= 0).all() and steps[0].tolist() == served.tolist() == p.base.tolist()
+        assert (np.diff(steps.sum(1)) <= size * np.diff(windows)).all() and (p.last == p.first + 1 or (np.diff(steps.sum(1)) == size * np.diff(windows)).all())
         served = steps[-1]
+        assert served.tolist() == p.upto.tolist()
     assert served.tolist() == totals
 
 
+@pytest.mark.parametrize("queues", [1, 3, 71, 700])
+def test_cut_gives_each_token_one_place(queues):
+    """All documents of all queues, in small and large windows, against a walk through the windows."""
+    rng = np.random.default_rng(queues)
+    lengths = rng.integers(1, 90, 900)
+    queue = np.concatenate([np.arange(queues), rng.zipf(1.6, 900) % queues])[:900].astype(np.int64)
+    begin = np.zeros(900, np.int64)
+    totals = [0] * queues
+    for i, q in enumerate(queue):
+        begin[i] = totals[q]
+        totals[q] += int(lengths[i])
+    for size in (50, 256, 8192):
+        for targets in (None, [1.0 / (i + 1) if i < 3 else 0.0 for i in range(queues)]):
+            plan = packing.make_schedule(totals, size, targets)
+            doc, start, stop, window, offset = packing.cut(plan, queue, begin, begin + lengths)
+            seen = np.zeros((int(window.max()) + 1, size), np.int64)
+            got = [np.zeros(n, np.int64) for n in lengths]
+            for d, a, b, w, o in zip(doc, start, stop, window, offset):
+                seen[w, o : o + b - a] += 1
+                got[d][a - begin[d] : b - begin[d]] += 1
+                assert 0 <= o and o + b - a <= size
+            assert all((g == 1).all() for g in got) and seen.max() == 1
+            fill = seen.sum(1)
+            assert all((seen[w, : fill[w]] == 1).all() for w in range(len(seen))) and fill.sum() == lengths.sum()
+            assert (fill[:-1] == size).all() if targets is None else True
+
+
+def test_small_sources_are_not_searched_window_by_window():
+    """A document of a source that has a billionth of all tokens lies in windows far apart."""
+    plan = packing.make_schedule([10**13, 1000], 4096)
+    doc, start, stop, window, offset = packing.cut(plan, np.array([1]), np.array([0]), np.array([1000]))
+    assert (stop - start).sum() == 1000 and 60 <= len(doc) <= 70 and window.max() - window.min() > 10**9
+
+
 def test_targets_hold_while_sources_last(spark):
     rows = [(i, "word " * 30, "ab"[i % 2]) for i in range(200)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -138,8 +180,17 @@ def test_targets_hold_among_many_sources(spark):
     out = packing.pack(df, size=4096, targets={"a": 0.75, None: 0.25}).toPandas()
     first = out[out.sequence_id < 2].groupby("queue").length.sum()
     assert first["=a"] == 6144 and first["null"] == 2048 and out.length.sum() == 900 * 31
-    with pytest.raises(ValueError):
-        packing.pack(df, targets={f"s{i}": 1.0 for i in range(64)})
+
+
+def test_many_sources(spark):
+    rows = [(i, "word " * (1 + i % 4), f"s{i % 5000}") for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    out = packing.pack(df, size=4096).toPandas()
+    assert out.length.sum() == sum(2 + i % 4 for i in range(6000)) and out.queue.nunique() == 5000
+    assert (out.groupby("sequence_id").length.sum().iloc[:-1] == 4096).all()
+    more = packing.pack(df, size=4096, targets={"s7": 0.5, "s9": 0.5}).toPandas()
+    first = more[more.queue.isin(["=s7", "=s9"])]
+    assert set(first.sequence_id) == {0} and more.length.sum() == out.length.sum()
 
 
 def test_wavelet_matrix_queries():

@@ -1,18 +1,24 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
-Each source is a queue of its documents' token ids in storage order. Every window of ``size`` tokens
-serves the queues in a fixed order; queue q earns share(q) * size tokens of credit a window and is
-served the whole tokens of its credit. The fraction left is its deficit, carried to the next window.
-Because a queue's credit after w windows is share(q) * size * w, what it has been served by then is the
-floor of that, whatever partition a document lies in: deficits carry across windows and partitions
-without any sequential pass. The queue of the largest share takes what the floors leave of a window.
+Each source is a queue of its documents' token ids in storage order. Windows of ``size`` tokens are served from the
+queues one quantum (``quantum`` tokens) at a time; a queue's credit grows with its share of what is served, a quantum
+worth of credit is served, and what it has earned beyond that is its deficit, carried on. Windows are cut out of
+this service one after the other; a quantum may lie across a cut.
+
+The service has a closed form. By the end of the first x tokens a queue has been served its share of x, rounded to
+whole quanta; the queue of the largest share takes what the others leave. With so many queues that their rounding might
+take more than a window has left, the later ones (shares ascend) are measured against what the earlier ones have left:
+of its first x tokens, the quanta numbered floor(x / quantum) and less. So what any queue has been served by the end of
+any window follows from the totals alone, whatever partition a document lies in: deficits carry across windows and
+partitions without a sequential pass. Counts never fall, each window is full, and a queue strays from its share by about
+a quantum, for any number of queues and any size of window. Within a window the queues' tokens lie one after the other.
 
 With shares equal to the queues' parts of all tokens (the default) all queues end together. With given
-targets a queue may end early; the rest then share its credit in proportion (a new phase of the schedule).
+targets a queue may end early; the rest then share its credit in proportion (two more phases of the schedule for each
+such queue). Queues without target wait until those with one have ended.
 
-Cases: a null text is empty and has only the end id. A null source is a queue of its own. More than
-``MAX_QUEUES`` sources share that many queues by a hash, but a source with a target always has its own; so many
-targets that no queue is left for the other sources are refused. Repeated rows are packed each. An empty table
+Cases: a null text is empty and has only the end id. A null source is a queue of its own, and so is every other
+source, however many there are; the driver keeps one number a source. Repeated rows are packed each. An empty table
 gives no pieces. Sequences are full but the last one (and where targets end a phase none is left open)."""
 
 from __future__ import annotations
@@ -29,105 +35,175 @@ from turnwright.llm.tokens import encoder, production_path
 
 SEQUENCE = 4096
 END = 2
-MAX_QUEUES = 64
+#: A queue is served at least so many parts of a window at once, so that documents of small sources are not cut to single
+#: tokens; with many queues the quantum grows, so that a window has about SHREDS of them at most.
+QUANTA = 256
+SHREDS = 16
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string"
 )
 
 
+def quantum(queues: int, size: int) -> int:
+    """Tokens that a queue is served at once."""
+    return max(1, size // QUANTA, SHREDS * queues // size)
+
+
 @dataclass(frozen=True)
 class Phase:
-    """Windows first..last-1, in which queue q is served cumulative(q, w) - cumulative(q, first)."""
+    """Windows first..last-1, before which the queues have been served ``base`` and after which ``upto``.
+
+    ``order`` has the queues that are served, by share; ``whole`` tells whether a queue's ``share`` is one of all tokens, or of
+    what it and the ones after it get; ``most`` is the tokens that it has and ``rest`` those that they have. Without
+    ``order`` one window serves all up to ``upto``."""
 
     first: int
     last: int
-    base: tuple[int, ...]  # served before the phase
-    parts: tuple[int, ...]  # shares as whole numbers
-    fixed: tuple[int, ...] | None = None  # one window of given quotas instead
+    base: np.ndarray
+    upto: np.ndarray
+    order: tuple[int, ...] = ()
+    whole: tuple[bool, ...] = ()
+    share: tuple[float, ...] = ()
+    most: tuple[int, ...] = ()
+    rest: tuple[int, ...] = ()
+
+
+def split(rates: np.ndarray, left: np.ndarray | None, size: int, quantum: int) -> tuple[tuple, ...]:
+    """order, whole, share, most and rest of a phase; without ``left`` no queue ends."""
+    order = [int(q) for q in np.argsort(rates, kind="stable") if rates[q] > 0]
+    some = rates[order] / rates[order].sum()
+    after = np.cumsum(some[::-1])[::-1]
+    # A window leaves something for the rest, also where all of so many queues are rounded up.
+    whole = np.append(after[1:], 0.0) * size >= quantum * (np.arange(len(order)) + 1.0)
+    whole = np.logical_and.accumulate(whole)
+    share = np.where(whole, some, some / after)
+    if left is None:
+        return tuple(order), tuple(whole.tolist()), tuple(share.tolist()), (ENDLESS,) * len(order), (ENDLESS,) * len(order)
+    rest = np.cumsum(left[order][::-1])[::-1] - left[order]
+    return tuple(order), tuple(whole.tolist()), tuple(share.tolist()), tuple(left[order].tolist()), tuple(rest.tolist())
+
+
+#: More tokens than any queue has.
+ENDLESS = 1 << 60
 
 
-@dataclass(frozen=True)
 class Schedule:
-    size: int
-    phases: tuple[Phase, ...]
+    """What the queues have been served by the end of each window."""
+
+    def __init__(self, size: int, quantum: int):
+        self.size, self.quantum = size, quantum
+        self.phases: list[Phase] = []
 
-    def served(self, phase: Phase, windows: np.ndarray) -> np.ndarray:
+    def served(self, p: Phase, windows: np.ndarray) -> np.ndarray:
         """Tokens of every queue served by the end of ``windows`` windows of the phase."""
-        base = np.array(phase.base, object)
-        k = np.asarray(windows, object)
-        if phase.fixed is not None:
-            return (base + np.minimum(k, 1)[:, None] * np.array(phase.fixed, object)).astype(np.int64)
-        parts = np.array(phase.parts, object)
-        whole = k[:, None] * self.size * parts // max(1, sum(phase.parts))
-        big = max(range(len(phase.parts)), key=lambda q: (phase.parts[q], -q))
-        whole[:, big] = k * self.size - (whole.sum(1) - whole[:, big])
-        return (base + whole).astype(np.int64)
+        k = np.asarray(windows, np.int64)
+        if not p.order:
+            return np.where(k[:, None] > 0, p.upto, p.base)
+        out = np.repeat(p.base[None, :], len(k), 0)
+        x, u = k * self.size, self.quantum
+        quanta = lambda n, share: np.floor(n * share + 0.5).astype(np.int64)
+        for q, whole, share, most, rest in zip(p.order[:-1], p.whole, p.share, p.most, p.rest):
+            if whole:
+                own = quanta(k * (self.size / u), share) * u
+            else:
+                block = x // u
+                first = quanta(block, share)
+                own = u * first + (x - u * block) * (quanta(block + 1, share) - first)
+            own = np.clip(own, x - rest, most)
+            out[:, q] += own
+            x = x - own
+        out[:, p.order[-1]] += x
+        return out
+
+    def window_of(self, p: Phase, at: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """The window of the phase that serves token ``at`` of queue ``q``, by bisection: counts never fall."""
+        low, high = np.zeros(len(at), np.int64), np.full(len(at), p.last - p.first - 1)
+        while True:
+            open_ = np.flatnonzero(low < high)
+            if not len(open_):
+                return low
+            mid = (low[open_] + high[open_]) // 2
+            need, place = np.unique(mid + 1, return_inverse=True)
+            done = self.served(p, need)[place, q[open_]] > at[open_]
+            high[open_] = np.where(done, mid, high[open_])
+            low[open_] = np.where(done, low[open_], mid + 1)
 
 
 def make_schedule(totals: list[int], size: int = SEQUENCE, targets: list[float] | None = None) -> Schedule:
-    """The phases for queues of ``totals`` tokens; at most two for each queue."""
-    left = list(totals)
-    want = list(totals) if targets is None else [round(t * 1_000_000) for t in targets]
-    phases: list[Phase] = []
-    window, base = 0, [0] * len(totals)
-    while any(left):
-        parts = tuple(w if n else 0 for w, n in zip(want, left))
-        if not sum(parts):
-            parts = tuple(left)
-        plan = Schedule(size, ())
-        zero = Phase(0, 0, (0,) * len(left), parts)
-        low, high = 0, sum(left) // size
+    """The phases for queues of ``totals`` tokens; at most two for each queue that has a target."""
+    u = quantum(len(totals), size)
+    out = Schedule(size, u)
+    base, left = np.zeros(len(totals), np.int64), np.array(totals, np.int64)
+    want = None if targets is None else np.array(targets, np.float64)
+    window = 0
+
+    def add(windows: int, upto: np.ndarray, *how: tuple) -> None:
+        nonlocal window, base, left
+        out.phases.append(Phase(window, window + windows, base, upto, *how))
+        window, base, left = window + windows, upto, left - (upto - base)
+
+    while left.any():
+        part = None if want is None else np.where(left > 0, want, 0.0)
+        if part is None or not part.sum() > 0:
+            # All that is left, in proportion: the queues end together.
+            how = split(left.astype(np.float64), left, size, u)
+            windows = int(left.sum()) // size
+            if windows:
+                add(windows, out.served(Phase(0, 0, base, base, *how), np.array([windows]))[0], *how)
+            if left.any():
+                add(1, base + left)
+            break
+        how = split(part, None, size, u)
+        plan = Phase(0, 0, base, base, *how)
+        fits = lambda w: (out.served(plan, np.array([w]))[0] - base <= left).all()  # noqa: B023, E731
+        low, high = 0, int(left.sum()) // size
         while low < high:  # most windows that no queue is too short for
             mid = (low + high + 1) // 2
-            fits = (plan.served(zero, np.array([mid]))[0] <= np.array(left)).all()
-            low, high = (mid, high) if fits else (low, mid - 1)
+            low, high = (mid, high) if fits(mid) else (low, mid - 1)
         if low:
-            phases.append(Phase(window, window + low, tuple(base), parts))
-            got = plan.served(zero, np.array([low]))[0].tolist()
-            base, left = [b + g for b, g in zip(base, got)], [n - g for n, g in zip(left, got)]
-            window += low
-        if any(left):  # one window in which a queue ends: what there is of each quota, then of the rest
-            quota = plan.served(zero, np.array([1]))[0].tolist()
-            got = [min(a, b) for a, b in zip(quota, left)]
-            for q in range(len(left)):
-                got[q] += min(left[q] - got[q], size - sum(got))
-            phases.append(Phase(window, window + 1, tuple(base), parts, tuple(got)))
-            base, left = [b + g for b, g in zip(base, got)], [n - g for n, g in zip(left, got)]
-            window += 1
-    return Schedule(size, tuple(phases))
+            add(low, out.served(plan, np.array([low]))[0], *how)
+        if left.any():  # one window in which a queue ends: what there is of each quota, then of the rest
+            quota = out.served(Phase(0, 0, base * 0, base, *how), np.array([1]))[0]
+            got = np.minimum(quota, left)
+            spare = size - int(got.sum())
+            more = left - got
+            got = got + np.clip(spare - (np.cumsum(more) - more), 0, more)
+            add(1, base + got)
+    return out
 
 
 def cut(schedule: Schedule, queue: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
     """(document, first, last, window, offset) of all pieces of documents that fill [begin, end) of their queues."""
     out = []
+    u = schedule.quantum
     for p in schedule.phases:
-        lo, hi = schedule.served(p, np.array([0, p.last - p.first]))
-        mine = np.flatnonzero((begin < hi[queue]) & (end > lo[queue]))
+        mine = np.flatnonzero(np.minimum(end, p.upto[queue]) > np.maximum(begin, p.base[queue]))
         if not len(mine):
             continue
         q = queue[mine]
-        a, b = np.maximum(begin[mine], lo[q]), np.minimum(end[mine], hi[q])
-
-        def window_of(at, q, p=p):
-            """The window that serves token ``at`` of queue q: guess by the share, then step."""
-            n = p.last - p.first
-            span = np.maximum(schedule.served(p, np.array([n]))[0] - np.array(p.base), 1)
-            w = np.clip(((at - np.array(p.base)[q]) * (n / span[q])).astype(np.int64), 0, n - 1)
-            while True:
-                need = np.unique(np.concatenate([w, w + 1]))
-                table = schedule.served(p, need)
-                left = table[np.searchsorted(need, w), q]
-                right = table[np.searchsorted(need, w + 1), q]
-                move = (at >= right).astype(np.int64) - (at < left)
-                if not move.any():
-                    return w
-                w = w + move
-
-        first, last = window_of(a, q), window_of(b - 1, q)
-        count = last - first + 1
+        a, b = np.maximum(begin[mine], p.base[q]), np.minimum(end[mine], p.upto[q])
+        first, last = np.split(schedule.window_of(p, np.concatenate([a, b - 1]), np.concatenate([q, q])), 2)
+        # A document is in all windows from first to last, or, where its queue is seldom served, in those of its quanta.
+        rank_a, rank_b = (a - p.base[q]) // u, (b - 1 - p.base[q]) // u
+        seldom = (last - first + 1 > 2 * (rank_b - rank_a + 1)) if p.order else np.zeros(len(mine), bool)
+        count = np.where(seldom, 0, last - first + 1)
         row = np.repeat(np.arange(len(mine)), count)
         w = first[row] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        if seldom.any():
+            quanta = np.where(seldom, rank_b - rank_a + 1, 0)
+            r = np.repeat(np.arange(len(mine)), quanta)
+            e = rank_a[r] + np.arange(quanta.sum()) - np.repeat(np.cumsum(quanta) - quanta, quanta)
+            start, stop = np.maximum(p.base[q[r]] + e * u, a[r]), np.minimum(p.base[q[r]] + (e + 1) * u, b[r])
+            one = schedule.window_of(p, np.concatenate([start, stop - 1]), np.concatenate([q[r], q[r]]))
+            head, tail = np.split(one, 2)
+            spans = tail - head + 1
+            rr = np.repeat(np.arange(len(r)), spans)
+            ww = head[rr] + np.arange(spans.sum()) - np.repeat(np.cumsum(spans) - spans, spans)
+            both = np.unique(np.stack([r[rr], ww]), axis=1)
+            row, w = np.concatenate([row, both[0]]), np.concatenate([w, both[1]])
+            order = np.lexsort((w, row))
+            row, w = row[order], w[order]
         need = np.unique(np.concatenate([w, w + 1]))
         table = schedule.served(p, need)
         at, nxt = np.searchsorted(need, w), np.searchsorted(need, w + 1)
@@ -136,16 +212,8 @@ def cut(schedule: Schedule, queue: np.ndarray, begin: np.ndarray, end: np.ndarra
         gained = np.cumsum(np.diff(table, axis=0, append=table[-1:]), axis=1)
         before = np.where(q[row] > 0, gained[at, np.maximum(q[row] - 1, 0)], 0)
         good = stop > start  # a window may give a queue nothing
-        keep = lambda x, good=good: x[good]
-        out.append(
-            (
-                keep(mine[row]),
-                keep(start),
-                keep(stop),
-                keep(w + p.first),
-                keep(before + start - table[at, q[row]]),
-            )
-        )
+        columns = (mine[row], start, stop, w + p.first, before + start - table[at, q[row]])
+        out.append(tuple(x[good] for x in columns))
     if not out:
         return tuple(np.zeros(0, np.int64) for _ in range(5))
     return tuple(np.concatenate(x) for x in zip(*out))
@@ -155,19 +223,10 @@ def queue_name(source: str | None) -> str:
     return "null" if source is None else f"={source}"
 
 
-def tokenized(docs: DataFrame, path: str, end: int, queues: int = MAX_QUEUES, own: tuple[str | None, ...] = ()) -> DataFrame:
+def tokenized(docs: DataFrame, path: str, end: int) -> DataFrame:
     """Written table: part, queue, doc_id, ids (16 or 32 bits each), n_tokens, and tokens before in part and queue."""
     base = as_documents(docs, "doc_id", "text", "source")
-    few = base.select("source").distinct().limit(queues + 1).count() <= queues
-    name = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
-    if few:
-        queue = name
-    else:
-        if len(own) >= queues:
-            raise ValueError(f"more than {queues} sources, of which {len(own)} have a target: no queue is left for the others")
-        hashed = F.pmod(F.xxhash64("source"), F.lit(queues - len(own))).cast("string")
-        alone = name.isin([queue_name(x) for x in own]) if own else F.lit(False)
-        queue = F.when(alone, name).otherwise(hashed)
+    queue = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
     frame = base.select("doc_id", queue.alias("queue"), "text")
     prepared(docs.sparkSession)
 
@@ -216,7 +275,7 @@ def pack(
 ) -> DataFrame:
     """Pieces of all documents; ``targets`` gives shares by source, else each has its part of all tokens."""
     spark = prepared(docs.sparkSession)
-    tokens = tokenized(docs, path or production_path(), end, own=tuple(targets or ()))
+    tokens = tokenized(docs, path or production_path(), end)
     parts = write_table(tokens.groupBy("queue", "part").agg(F.sum("n_tokens").alias("n")), "packing-parts")
     totals = {r["queue"]: r["n"] for r in parts.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
     names = sorted(totals)
@@ -242,7 +301,7 @@ def pack(
             n = b.column("n_tokens").to_numpy(zero_copy_only=False)
             begin = b.column("begin").to_numpy(zero_copy_only=False) + b.column("before").to_numpy(zero_copy_only=False)
             queue = np.array([number[q] for q in b.column("queue").to_pylist()], np.int64)
-            row, start, stop, window, offset = cut(schedule, queue, begin, begin + n)
+            row, start, stop, window, offset = cut(schedule, queue, begin, begin + n)  # in the order of the phases
             order = np.argsort(row, kind="stable")
             row, start, stop, window, offset = (x[order] for x in (row, start, stop, window, offset))
             start, stop = start - begin[row], stop - begin[row]
