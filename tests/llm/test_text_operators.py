@@ -84,6 +84,36 @@ def test_language_edge_rows(spark, docs, no_docs):
     assert kept.columns == docs.columns and langid.filter_documents(no_docs).count() == 0
 
 
+def test_letters_and_many_languages_and_frequent_ids(spark):
+    """Number signs are no letters; hundreds of languages are learned; an id on most rows does not fill the sample."""
+    assert [langid.has_letter(t) for t in ("²½", "Ⅷ ①", "1_2", "", "²a", "日", "½ß")] == [False, False, False, False, True, True, True]
+    rows = []
+    for n in range(300):
+        word = f"{chr(0x4E00 + 7 * n)}{chr(0x4E03 + 7 * n)}"
+        rows += [(1000 * n + i, f"{word} {word}{chr(0x4E01 + 7 * n)} " * 4, f"l{n:03}") for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df, langid.held_out(2, 4))
+    assert len(model.languages) == 300
+    out = langid.identify(df, model).collect()
+    assert np.mean([r._lang == r.lang for r in out]) > 0.95
+    hot = spark.range(100_000).selectExpr("cast(7 as long) as doc_id", "concat('the same ', 'text') as text", "'en' as lang")
+    mixed = hot.unionByName(spark.createDataFrame(corpus(90), "doc_id long, text string, lang string"))
+    assert len(langid.train(mixed, langid.held_out(2, 4), max_rows=300).languages) == 3
+
+
+def test_language_scores_equal_plain_regression(spark):
+    """Predictions of the stored chunks against the model applied n-gram by n-gram."""
+    df = spark.createDataFrame(corpus(90), "doc_id long, text string, lang string")
+    m = langid.train(df, langid.held_out(2, 4))
+    got = {r.doc_id: r for r in langid.identify(df, m).collect()}
+    for i, text, _ in corpus(90):
+        cells = langid.text_cells(text)
+        s = (m.table[cells].sum(0) / len(cells) * langid.SCALE + m.bias) / m.temperature
+        p = np.exp(s - s.max())
+        p /= p.sum()
+        assert got[i]._lang == m.languages[int(p.argmax())] and got[i]._score == pytest.approx(p.max(), rel=1e-3)
+
+
 def test_label_and_id_are_no_inputs(spark):
     df = spark.createDataFrame(corpus(120), "doc_id long, text string, lang string")
     model = langid.train(df, langid.held_out(2, 4))

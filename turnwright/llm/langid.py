@@ -3,10 +3,12 @@
 Features are hashed n-grams of each lower-cased white-space chunk with a space before and after it.
 Document frequencies cover every document that may be learned from; the weights are fitted by
 follow-the-regularised-leader with elastic-net penalties on a bounded, documented sample of those
-rows, and a temperature is fitted on a part of the sample that the weights did not see.
+rows, and a temperature is fitted on a part of the sample that the weights did not see. The languages are those of the
+sample, which has about as many rows of each: all of them up to the sample's size.
 
-Cases: a null text, or one without a letter, is ``und`` with score 0. Where nothing can be learned
-(no language given) every text is ``und``. Repeated rows get equal predictions."""
+Cases: a null text, or one without a letter (number signs such as "²" or "Ⅷ" are none), is ``und`` with score 0. Where
+nothing can be learned (no language given) every text is ``und``. Repeated rows get equal predictions, and count once
+in the sample."""
 
 from __future__ import annotations
 
@@ -19,15 +21,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnwright.llm.common import Lexicon, append, as_documents, boxed, held_out, offsets, prepared, summed_vector, text_slices, worker_state
+from turnwright.llm.common import Lexicon, append, as_documents, boxed, broadcast_if_small, held_out, offsets, prepared, summed_vector, text_slices, worker_state
 
 WIDTH = 1 << 15
 ORDERS = (2, 3, 4)
 #: Most rows that the classifier is fitted on, as many of each language as there are.
 MAX_TRAIN_ROWS = 3000
-#: Most languages; the most frequent ones are learned.
-MAX_LANGUAGES = 256
-LETTER = re.compile(r"[^\W\d_]")
+_WORD = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter; the pattern alone would take number signs for letters."""
+    found = _WORD.search(text)
+    return found is not None and (found[0].isalpha() or any(c.isalpha() for c in text[found.end() :]))
 
 
 def gram_cells(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -157,47 +163,44 @@ def train(docs: DataFrame, held: Column, max_rows: int = MAX_TRAIN_ROWS) -> Mode
     """Fit on rows that are not held out and have a language; None if there are none."""
     prepared(docs.sparkSession)
     known = as_documents(docs, "doc_id", "text", "lang").where(~held & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not counts:
+    known = known.withColumn("k", F.xxhash64("doc_id", "text"))
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    total, languages = sizes.agg(F.sum("n"), F.count(F.lit(1))).first()
+    if not languages:
         return None
-    languages = tuple(sorted(r["lang"] for r in counts))
-
     df = summed_vector(known.select("text"), document_frequencies, WIDTH)
-    idf = np.log((1.0 + sum(r["count"] for r in counts)) / (1.0 + df)) + 1.0
-    # Rows in the order of a hash, each language's hash scaled by its count: near equal numbers of each.
-    size = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], float(r["count"]))])
-    order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).cast("double") * size[F.col("lang")]
-    picked = known.where(F.col("lang").isin(list(languages))).select("doc_id", "lang", order.alias("o"))
-    ids = picked.orderBy("o", "doc_id").limit(max_rows).select("doc_id").distinct()
+    idf = np.log((1.0 + total) / (1.0 + df)) + 1.0
+    # Distinct rows in the order of a hash, each language's hash scaled by its count: near equal numbers of each.
+    order = F.pmod(F.xxhash64("k", F.lit(5)), F.lit(1 << 40)).cast("double") * F.col("n")
+    distinct = known.groupBy("lang", "k").agg(F.lit(1).alias("_")).join(broadcast_if_small(sizes, languages), "lang")
+    chosen = distinct.select("lang", "k", order.alias("o")).orderBy("o", "k", "lang").limit(max_rows).select("lang", "k")
 
     def features(batches):
         for pdf in batches:
             out = []
-            for i, text, lang in zip(pdf["doc_id"], pdf["text"], pdf["lang"]):
+            for k, text, lang in zip(pdf["k"], pdf["text"], pdf["lang"]):
                 counts = np.bincount(text_cells(text), minlength=WIDTH)
                 at = np.flatnonzero(counts)
                 x = (counts[at] / max(1, counts.sum())).astype("<f4")
-                out.append((i, lang, at.astype("<u2").tobytes(), x.tobytes()))
-            yield pd.DataFrame(out, columns=["doc_id", "lang", "at", "x"])
-
-    rows = (
-        known.where(F.col("lang").isin(list(languages)))
-        .join(F.broadcast(ids), "doc_id", "left_semi")
-        .select("doc_id", "text", "lang")
-        .mapInPandas(features, "doc_id long, lang string, at binary, x binary")
-        .collect()
-    )
-    rows = sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.lang))[: 2 * max_rows]
+                out.append((k, lang, at.astype("<u2").tobytes(), x.tobytes()))
+            yield pd.DataFrame(out, columns=["k", "lang", "at", "x"])
+
+    # At most max_rows keys, and one text of each: however often a row is repeated, one of it goes on.
+    texts = known.join(F.broadcast(chosen), ["lang", "k"]).groupBy("lang", "k").agg(F.first("text").alias("text"))
+    rows = texts.select("k", "text", "lang").mapInPandas(features, "k long, lang string, at binary, x binary").collect()
+    rows = sorted(rows, key=lambda r: (r.k, r.lang))
+    names = tuple(sorted({r.lang for r in rows}))
+    number = {name: i for i, name in enumerate(names)}
     data = []
     for r in rows:
         at = np.frombuffer(bytes(r.at), "<u2").astype(np.int64)
         data.append((at, np.frombuffer(bytes(r.x), "<f4").astype(np.float64) * idf[at] * SCALE))
-    y = np.array([languages.index(r.lang) for r in rows])
+    y = np.array([number[r.lang] for r in rows])
     tune = np.arange(len(rows)) % 5 == 4
     fit = np.flatnonzero(~tune) if (~tune).any() else np.arange(len(rows))
-    w, bias = fit_ftrl([data[i] for i in fit], y[fit], len(languages))
-    logits = np.array([data[i][1] @ w[data[i][0]] + bias for i in np.flatnonzero(tune)]).reshape(-1, len(languages))
-    return Model(languages, idf[:, None] * w, bias, fit_temperature(logits, y[tune]))
+    w, bias = fit_ftrl([data[i] for i in fit], y[fit], len(names))
+    logits = np.array([data[i][1] @ w[data[i][0]] + bias for i in np.flatnonzero(tune)]).reshape(-1, len(names))
+    return Model(names, (idf[:, None] * w).astype(np.float32), bias, fit_temperature(logits, y[tune]))
 
 
 def document_frequencies(batches) -> np.ndarray:
@@ -237,7 +240,7 @@ def identify(frame: DataFrame, model: Model | None) -> DataFrame:
 
     def predict(texts):
         m = shared.value
-        texts = [t if t and LETTER.search(t) else "" for t in texts]
+        texts = [t if t and has_letter(t) else "" for t in texts]
         lang, score = np.full(len(texts), "und", object), np.zeros(len(texts))
         if m:
             lexicon = worker_state(key, m.lexicon)
