@@ -84,6 +84,56 @@ def test_sharding_splits_what_fits_nowhere(spark):
     assert (out.assign(text=out.doc_id // 5).groupby("text").shard.nunique() == 1).sum() == 96
 
 
+def least_cut(sizes, caps):
+    """Fewest pairs of equal texts on different shards, by trying all placements; the rest of the room is for single rows."""
+    best = [10**9]
+
+    def go(i, room, cut):
+        if cut >= best[0]:
+            return
+        if i == len(sizes):
+            best[0] = cut
+            return
+
+        def deal(left, s, parts):
+            if s == len(room):
+                if not left:
+                    here = sum(a * b for k, a in enumerate(parts) for b in parts[:k])
+                    go(i + 1, [r - p for r, p in zip(room, parts)], cut + here)
+                return
+            for p in range(min(left, room[s]) + 1):
+                deal(left - p, s + 1, [*parts, p])
+
+        deal(sizes[i], 0, [])
+
+    go(0, caps, 0)
+    return best[0]
+
+
+@pytest.mark.parametrize("few", [2000, 0])
+@pytest.mark.parametrize("sizes, single", [([4, 3, 3, 2], 3), ([9, 2, 2], 2), ([5, 5, 5], 0), ([2, 2, 2, 2, 2], 5), ([7, 4], 4)])
+def test_sharding_cuts_as_few_links_as_any_placement(spark, sizes, single, few):
+    texts = [f"g{i}" for i, k in enumerate(sizes) for _ in range(k)] + [f"s{i}" for i in range(single)]
+    random.Random(1).shuffle(texts)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    out = sharding.assign(df, shards=3, few=few).toPandas()
+    out["text"] = [texts[i] for i in out.doc_id]
+    counts = out.groupby("shard").size()
+    assert counts.max() - counts.min() <= 1 and len(out) == len(texts)
+    cut = sum((len(g) ** 2 - sum(len(x) ** 2 for _, x in g.groupby("shard"))) // 2 for _, g in out.groupby("text"))
+    n = len(texts)
+    assert cut <= least_cut(sizes, [n // 3 + (i < n % 3) for i in range(3)]) + (few == 0)
+
+
+def test_sharding_renews_labels(spark):
+    """Many groups for little room: refused ones look for other shards, round after round, and all but a few stay whole."""
+    texts = [f"group {i // 3}" for i in range(24 * 60)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    out = sharding.assign(df, few=0).toPandas()
+    assert set(out.groupby("shard").size()) == {60}
+    assert (out.assign(text=out.doc_id // 3).groupby("text").shard.nunique() == 1).all()
+
+
 def brute_vectors(x, labels):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = (u @ u.T >= 0.98) & (labels[:, None] == labels[None, :])

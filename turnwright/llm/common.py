@@ -8,6 +8,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -52,11 +53,14 @@ def as_documents(docs: DataFrame, *names: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and every executor see, from spark.checkpoint.dir.
 
-    Only where that is unset (tests, one machine) a temporary folder takes its place."""
+    Only where that is unset and everything runs on one machine (tests) a temporary folder takes its place; on a
+    cluster without it this raises."""
     sc = prepared(spark).sparkContext
     path = sc.getConf().get("spark.checkpoint.dir")
     if not path:
         path = sc.getCheckpointDir()
+        if not path and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not path:
             path = "file://" + tempfile.mkdtemp(prefix="turnwright-")
             sc.setCheckpointDir(path)
@@ -217,16 +221,21 @@ def held_out(remainder: int, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
-def ranked(df: DataFrame, by: list[str], order: list[str], rows: int, target: int = 20_000) -> DataFrame:
+def ranked(df: DataFrame, by: list[str], order: list[str], rows: int, target: int = 4_000) -> DataFrame:
     """Add ``rank``: 0, 1, ... within ``by`` without gaps, no window partition over about ``target`` rows.
 
     Rows are dealt into hash buckets of ``order``; a bucket's first rank is the number of rows in
-    the buckets before it. The order is that of the buckets, then of ``order``."""
+    the buckets before it, summed in two steps. The order is that of the buckets, then of ``order``."""
     n = max(1, rows // target)
     bucketed = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(n)))
     counts = bucketed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(*by, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    counts = counts.withColumn("_super", F.floor(F.col("_bucket") / SUPER))
+    sums = counts.groupBy(*by, "_super").agg(F.sum("_n").alias("_s"))
+    upto = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*by, "_super", F.coalesce(F.sum("_s").over(upto(*by).orderBy("_super")), F.lit(0)).alias("_first"))
+    before = F.coalesce(F.sum("_n").over(upto(*by, "_super").orderBy("_bucket")), F.lit(0))
+    counts = counts.withColumn("_in", before).join(sums, [*by, "_super"])
+    counts = counts.select(*by, "_bucket", (F.col("_first") + F.col("_in")).alias("_before"))
     within = Window.partitionBy(*by, "_bucket").orderBy(*order)
     out = bucketed.withColumn("_within", F.row_number().over(within) - 1)
     return out.join(counts, [*by, "_bucket"]).withColumn("rank", (F.col("_before") + F.col("_within")).cast("long")).drop(
@@ -234,6 +243,32 @@ def ranked(df: DataFrame, by: list[str], order: list[str], rows: int, target: in
     )
 
 
+#: Buckets whose running sum one task works out.
+SUPER = 4096
+
+
+def with_facts(rows: DataFrame, facts: DataFrame, key: list[str], size: str, hot: int) -> DataFrame:
+    """``rows`` and the other columns of ``facts`` by ``key``, null where it has none.
+
+    ``size`` is how many rows a fact is for. Facts for more than ``hot`` rows are joined apart: there is at most one
+    for ``hot`` rows, so that they are broadcast, and their rows need not meet in one task."""
+    names = [c for c in facts.columns if c not in (*key, size)]
+    side = [F.col(c).alias(f"_k{i}") for i, c in enumerate(key)]
+    packed = F.struct(*names)
+    often = facts.where(F.col(size) > hot).select(*side, packed.alias("_often"))
+    often = broadcast_if_small(often, often.count())
+    match = lambda first: (first == F.col("_k0")) & reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_k{i}") for i, c in enumerate(key) if i], F.lit(True))
+    drop = [f"_k{i}" for i in range(len(key))]
+    rows = rows.join(often, match(F.col(key[0])), "left").drop(*drop)
+    seldom = facts.where(F.col(size) <= hot).select(*side, packed.alias("_seldom"))
+    # A row that is settled, or has no key, takes a random one, so that such rows spread out.
+    there = F.col("_often").isNull() & F.col(key[0]).isNotNull()
+    rows = rows.withColumn("_key", F.when(there, F.col(key[0])).otherwise(F.xxhash64(F.monotonically_increasing_id())))
+    rows = rows.join(seldom, match(F.col("_key")) & F.col("_often").isNull(), "left").drop(*drop)
+    value = F.coalesce("_often", "_seldom")
+    return rows.select(*[c for c in rows.columns if c not in ("_key", "_often", "_seldom")], *[value[c].alias(c) for c in names])
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of undirected ``edges`` (a, b): rows (node, root), root the least node.
 

@@ -42,6 +42,7 @@ from turnwright.llm.common import (
     prepared,
     summed_vector,
     text_slices,
+    with_facts,
     write_table,
 )
 from turnwright.llm.tokens import word_hashes
@@ -375,25 +376,6 @@ def verdicts(base: DataFrame, ids: DataFrame, similarity: float = SIMILARITY) ->
     return write_table(out, "minhash-verdicts")
 
 
-def with_verdicts(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """``rows`` (with h1, h2) and the columns of ``found``, null where a text has no twin.
-
-    Texts of more than HOT rows are joined apart: at most one for HOT rows of the table, so that they are broadcast,
-    and their rows need not meet in one task."""
-    names = [c for c in found.columns if c not in ("h1", "h2", "n")]
-    packed = found.select("h1", "h2", "n", F.struct(*names).alias("_v"))
-    often = packed.where(F.col("n") > HOT).select(F.col("h1").alias("_a"), F.col("h2").alias("_b"), F.col("_v").alias("_often"))
-    often = broadcast_if_small(often, often.count())
-    rows = rows.join(often, (F.col("h1") == F.col("_a")) & (F.col("h2") == F.col("_b")), "left").drop("_a", "_b")
-    seldom = packed.where(F.col("n") <= HOT).select(F.col("h1").alias("_a"), F.col("h2").alias("_b"), F.col("_v").alias("_seldom"))
-    # A row that is settled, or has no text, takes a random key, so that such rows spread out.
-    spread = F.when(F.col("_often").isNull() & F.col("h1").isNotNull(), F.col("h1")).otherwise(F.xxhash64(F.monotonically_increasing_id()))
-    rows = rows.withColumn("_k", spread)
-    rows = rows.join(seldom, (F.col("_k") == F.col("_a")) & (F.col("h2") == F.col("_b")) & F.col("_often").isNull(), "left")
-    value = F.coalesce("_often", "_seldom")
-    return rows.select(*[c for c in rows.columns if c not in ("_k", "_often")], *[value[c].alias(c) for c in names])
-
-
 def _base(docs: DataFrame) -> DataFrame:
     usable = F.col("text").isNotNull() & F.col("doc_id").isNotNull()
     return as_documents(docs, "doc_id", "text").select("doc_id", "text", *text_keys(F.col("text"), usable))
@@ -408,7 +390,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id (the least doc_id of the class) and kept of every row."""
     base = _base(docs)
     ids = _ids(base)
-    out = with_verdicts(ids, verdicts(base, ids, similarity))
+    out = with_facts(ids, verdicts(base, ids, similarity), ["h1", "h2"], "n", HOT)
     kept = F.col("class_id").isNull() | F.coalesce(F.col("keep_uid") == F.col("uid"), F.lit(False))
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), kept.alias("kept"))
 
@@ -419,7 +401,7 @@ def filter_documents(docs: DataFrame) -> DataFrame:
     found = verdicts(base, _ids(base))
     usable = F.col("text").isNotNull() & F.col("doc_id").isNotNull()
     rows = boxed(docs, "doc_id", "text").select("_row", "doc_id", *text_keys(F.col("text"), usable))
-    rows = with_verdicts(rows, found)
+    rows = with_facts(rows, found, ["h1", "h2"], "n", HOT)
     out = rows.where(F.col("class_id").isNull() | (F.col("keep_id") == F.col("doc_id")))
     if found.where("again > 1").limit(1).count():
         # Rows that repeat id and text: the first of each in a task goes on, so that frequent ones are few.

@@ -1,13 +1,17 @@
 """Balanced label propagation of documents onto shards, with DataFrame operations only.
 
-Documents of equal text are linked. Each group of linked documents is a node joined to its members (no pairs);
-the labels of the members are shards. In each round every group that has no settled shard looks at its members'
-shards and moves towards the one that holds most of them, among the shards with room for all of it; groups are
-admitted in hash order while the shard's quota lasts, and the rest try again among the shards left. Rounds go on
-until at most ``FEW`` groups are open. These, and before the rounds the groups beyond a quarter of a shard (fewer
-than about four a shard), are placed by the driver, the largest first: a group stays whole where a shard has room
-for it, else it fills the roomiest shards one after the other. Documents without links cost no edge wherever they
-lie, so they fill what is left. The law is ``rows``: counts differ by one at most.
+Documents of equal text are linked. Each group of linked documents is a node joined to its members (no pairs); the labels
+of the members are shards, at first by a hash. The table of labels has how many members of each group have which
+label. In each round it is counted anew, a group's members move towards the label that most of them have, among the
+shards with room for all of them, and groups are admitted in hash order while the shard's quota lasts. The labels of
+the others are joined with what they chose and written again: the chosen shard where it still has room, else a
+member's own, else another by a hash; from these labels the next round counts. Rounds go on until at most ``FEW`` groups
+are open. These, and before the rounds the groups beyond a quarter of a shard (fewer than about four a shard), are
+placed by the driver, the largest first: a group stays whole where a shard has room for it, else it fills the
+roomiest shards one after the other. Documents without links cost no edge wherever they lie, so they fill what is
+left. The law is ``rows``: counts differ by one at most.
+
+Rows follow their group by a join in which groups of more than ``HOT`` rows are broadcast, so that no text's rows meet.
 
 Cases: a null text counts no bytes, has crc32 0 and is linked to nothing; an empty text is a text like any
 other. Rows that repeat a doc_id are placed each on its own. An empty table gives no rows."""
@@ -17,11 +21,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from turnwright.llm.common import as_documents, ranked, write_table
+from turnwright.llm.common import as_documents, ranked, with_facts, write_table
 
 SHARDS = 24
 #: Groups that the driver places after the rounds. Fewer than ``SHARDS`` can fit no shard whole, so that rounds end.
 FEW = 2_000
+#: Rows of a group from which its placement is broadcast.
+HOT = 4_096
 
 _GROUP = ["h1", "text_crc32", "size"]
 
@@ -71,11 +77,18 @@ def assign(docs: DataFrame, shards: int = SHARDS, few: int = FEW) -> DataFrame:
     groups = write_table(groups, "sharding-groups")
     room = list(caps)
     spans = place(groups.where(F.col("members") > part).collect(), room)
-    open_groups = groups.where(F.col("members") <= part)
+    small = groups.where(F.col("members") <= part)
+    labels = small.select(*_GROUP, "members", F.posexplode("near").alias("label", "here")).where("here > 0")
+    labels = write_table(labels, "sharding-labels")
     settled = None
-    left = open_groups.count()
+    left = small.count()
+    round_ = 0
     while left > max(few, shards):
-        # The shard with room for the group that holds most members; ties by a hash of group and shard.
+        round_ += 1
+        # Neighbours' labels, as they are now.
+        counted = [F.sum(F.when(F.col("label") == i, F.col("here")).otherwise(0)) for i in range(shards)]
+        open_groups = labels.groupBy(*_GROUP, "members").agg(F.array(*counted).alias("near"))
+        # The shard with room for the group that most members are labelled with; ties by a hash of group and shard.
         best = F.array_max(
             F.transform(
                 F.sequence(F.lit(0), F.lit(shards - 1)),
@@ -87,35 +100,44 @@ def assign(docs: DataFrame, shards: int = SHARDS, few: int = FEW) -> DataFrame:
                 ),
             )
         )
-        wanted = open_groups.withColumn("shard", best["shard"])
+        wanted = open_groups.withColumn("_best", best).select(*_GROUP, "members", "_best.open", "_best.shard")
         buckets = max(1, left // 20_000)
         wanted = wanted.withColumn("_b", F.pmod(F.xxhash64(*_GROUP), F.lit(buckets)))
         # Groups that fit nowhere count for no shard; the driver splits them.
-        wanted = wanted.withColumn("_rows", F.when(best["open"], F.col("members")).otherwise(0))
+        wanted = wanted.withColumn("_rows", F.when(F.col("open"), F.col("members")).otherwise(0))
         sums = wanted.groupBy("shard", "_b").agg(F.sum("_rows").alias("_s"))
         before = Window.partitionBy("shard").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
         sums = sums.select("shard", "_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
         upto = Window.partitionBy("shard", "_b").orderBy(*_GROUP).rowsBetween(Window.unboundedPreceding, 0)
         moved = wanted.withColumn("_upto", F.sum("_rows").over(upto)).join(sums, ["shard", "_b"])
         fits = (F.col("_rows") > 0) & (F.col("_before") + F.col("_upto") <= F.get(_numbers(room), F.col("shard")))
-        moved = write_table(moved.select(*_GROUP, "members", "near", "shard", fits.alias("fits")), "sharding-moves")
+        moved = write_table(moved.select(*_GROUP, "members", "shard", fits.alias("fits")), "sharding-moves")
         taken = {r["shard"]: r["n"] for r in moved.where("fits").groupBy("shard").agg(F.sum("members").alias("n")).collect()}
-        new = moved.where("fits").select(*_GROUP, "shard")
+        new = moved.where("fits").select(*_GROUP, "members", "shard")
         settled = new if settled is None else settled.union(new)
-        open_groups = moved.where(~F.col("fits")).select(*_GROUP, "members", "near")
         room = [r - taken.get(i, 0) for i, r in enumerate(room)]
-        left = open_groups.count()
-    spans += place(open_groups.collect(), room)
+        # What was refused: members go where their group wanted to, or stay, or look elsewhere.
+        refused = moved.where(~F.col("fits")).select(*_GROUP, "shard")
+        has_room = lambda shard: F.get(_numbers(room), shard) >= F.col("members")  # noqa: B023, E731
+        other = F.pmod(F.xxhash64("h1", "label", F.lit(round_)), F.lit(shards)).cast("int")
+        label = F.when(has_room(F.col("shard")), F.col("shard")).when(has_room(F.col("label")), F.col("label")).otherwise(other)
+        labels = labels.join(refused, _GROUP).select(*_GROUP, "members", label.alias("label"), "here")
+        labels = write_table(labels.groupBy(*_GROUP, "members", "label").agg(F.sum("here").alias("here")), "sharding-labels")
+        left = refused.count()
+    counted = [F.sum(F.when(F.col("label") == i, F.col("here")).otherwise(0)) for i in range(shards)]
+    spans += place(labels.groupBy(*_GROUP, "members").agg(F.array(*counted).alias("near")).collect(), room)
 
     # Members follow their group; all other rows fill the shards up to their caps.
+    # The driver's spans: of less than FEW groups and those beyond a quarter shard, each in a few shards.
     kind = "h1 long, text_crc32 long, size long, first long, last long, home int"
     cuts = F.broadcast(write_table(docs.sparkSession.createDataFrame(spans, kind), "sharding-spans"))
     mine = rows.join(cuts.select(*_GROUP).distinct(), _GROUP, "left_semi")
     within = (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last"))
-    homes = ranked(mine, _GROUP, ["uid"], n, target=5_000).join(cuts, _GROUP).where(within).select("uid", "home")
+    homes = ranked(mine, _GROUP, ["uid"], n).join(cuts, _GROUP).where(within).select("uid", "home")
+    placed = rows.join(homes, "uid", "left")
     if settled is not None:
-        homes = homes.union(rows.join(settled, _GROUP).select("uid", F.col("shard").alias("home")))
-    placed = rows.join(homes, "uid", "left").withColumn("shard", F.col("home").cast("int")).drop("home")
+        placed = with_facts(placed, settled, _GROUP, "members", HOT).withColumn("home", F.coalesce("home", "shard")).drop("shard")
+    placed = placed.withColumn("shard", F.col("home").cast("int")).drop("home")
     placed = write_table(placed, "sharding-placed")
     used = {r["shard"]: r["n"] for r in placed.where("shard is not null").groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
     held = [used.get(i, 0) for i in range(shards)]
