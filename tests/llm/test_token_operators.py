@@ -207,6 +207,42 @@ def test_wavelet_matrix_queries():
         w.access(4000)
 
 
+def test_wavelet_files_open_few_chunks(monkeypatch):
+    """Queries on several chunks, at their edges too; one needs a chunk or two a plane, not the file."""
+    monkeypatch.setattr(wavelet, "CHUNK", 1024)
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 511, 512, 1024, 5000, 8192):
+        ids = rng.integers(0, 40, n).astype(np.uint32) * 7
+        data = wavelet.build(ids, np.array([5]), np.array([n]))
+        w = wavelet.WaveletMatrix(data)
+        assert (w.decode() == ids).all() and w.opened == 0
+        for i in {0, 1, 511, 512, 1023, 1024, n // 2, n - 1} & set(range(n)):
+            w = wavelet.WaveletMatrix(data)
+            assert w.access(i) == ids[i] and w.opened <= 2 * w.levels
+        for token in (0, 7, 273, 280):
+            at = np.flatnonzero(ids == token)
+            assert w.count(token) == len(at) and all(w.rank(token, i) == (at < i).sum() for i in (0, 1, 512, 1024, 1500, n))
+            assert [w.select(token, k) for k in range(len(at))] == at.tolist() and w.select(token, len(at)) == -1
+
+
+def test_wavelet_shards_of_one_id(spark, library):
+    """Nulls and one id on most rows lie in several ranges; starts have no gaps."""
+    rows = [(None, f"none {i}") for i in range(40)] + [(3, "the same text")] * 60 + [(3, f"text {i}") for i in range(60)] + [(i, "x y z") for i in range(4, 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    old, wavelet.RANGE_ROWS = wavelet.RANGE_ROWS, 16
+    try:
+        files = wavelet.write_shards(df)
+        out = wavelet.read_shards(files).toPandas().sort_values("start")
+    finally:
+        wavelet.RANGE_ROWS = old
+    assert files.count() > 6 and len(out) == len(rows)
+    assert out.start.tolist() == (out.n_tokens.cumsum() - out.n_tokens).tolist()
+    names = [-1 if x != x else int(x) for x in out.doc_id]
+    assert names == sorted(-1 if i is None else i for i, _ in rows)
+    crc = lambda t: zlib.crc32(np.append(ids_of(library, t), np.uint32(1)).astype("<u4").tobytes())
+    assert sorted(out.ids_crc32) == sorted(crc(t) for _, t in rows)
+
+
 def test_wavelet_shards(docs, no_docs, library):
     for most in (1 << 22, 100):
         out = wavelet.read_shards(wavelet.write_shards(docs, most=most)).toPandas()
