@@ -1,13 +1,15 @@
 """Near-duplicate vectors by Euclidean p-stable hashing and exact cosine checks.
 
-Vectors of equal bytes and label are one representative with a count. Each representative is normalised and
-projected on Gaussian directions; ``k`` projections, shifted and cut into cells of ``WIDTH``, are one table's key.
-At the distance that belongs to the threshold a projection agrees with probability p_near, between unrelated unit
-vectors with p_far: k grows with the logarithm of the number of vectors so that unrelated pairs stay rare, and
-the number of tables follows so that a pair at the threshold is missed with probability ``MISS`` at most.
-Only buckets of two or more are compared, within one label and one length, in blocks of at most ``BLOCK`` rows,
-by the cosine in double precision. A pair is counted in the first table in which it meets, so that no pairs are
-written: a block gives link counts and the edges of a spanning forest.
+Vectors of equal numbers and label (two 64-bit hashes) are one representative with a count. Each representative is
+normalised and projected on Gaussian directions; ``k`` projections, shifted and cut into cells of ``WIDTH``, are one
+table's key. At the distance that belongs to the threshold a projection agrees with probability p_near, between
+unrelated unit vectors with p_far: k grows with the logarithm of the number of vectors so that unrelated pairs stay rare,
+and the number of tables follows so that a pair at the threshold is missed with probability ``MISS`` at most.
+Only buckets of two or more are compared, within one label and one length, by the cosine in double precision, in blocks
+bounded in rows and bytes. A bucket with the same members as one of an earlier table is left out, and a pair is
+counted in the first table in which it meets, so that no pairs are written: a block gives link counts and the edges of a
+spanning forest. Vectors travel in their own number type. Rows get their counts by the hashes; representatives of more
+than ``HOT`` rows are broadcast, so that no vector's rows meet.
 
 Cases: a vector that is null, empty, zero or holds a null or a number that is not finite links with nothing, nor
 does one without label; it is a component of its own. Rows that repeat a vec_id are vectors each. An empty table
@@ -22,12 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnwright.llm.common import components, prepared, write_table
+from turnwright.llm.common import components, prepared, with_facts, write_table
 
 COSINE = 0.98
 WIDTH = 2.0
 MISS = 1e-4
-BLOCK = 1024
+#: Most rows of a block, and most bytes of its vectors and keys.
+BLOCK = 8192
+BLOCK_BYTES = 8 << 20
+#: Rows of one vector from which its counts are broadcast.
+HOT = 4096
 
 
 def agreement(distance: float, width: float = WIDTH) -> float:
@@ -79,18 +85,20 @@ def link(embeddings: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> D
     """vec_id, n_links, component_id, kept of every row."""
     spark = prepared(embeddings.sparkSession)
     have = {c.lower(): c for c in embeddings.columns}
-    base = embeddings.select(
-        embeddings[have["vec_id"]].cast("long").alias("vec_id"),
-        embeddings[have["label"]].alias("label"),
-        embeddings[have["embedding"]].cast("array<double>").alias("v"),
+    v = embeddings[have["embedding"]]
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    label = embeddings[have["label"]]
+    good = label.isNotNull() & embeddings[have["vec_id"]].isNotNull() & finite & F.exists(v, lambda x: x != 0)
+    key = lambda seed: F.when(F.coalesce(good, F.lit(False)), F.xxhash64(F.lit(seed), label, v))
+    base = embeddings.select(embeddings[have["vec_id"]].cast("long").alias("vec_id"), label.alias("label"), v.alias("v"), key(1).alias("h1"), key(2).alias("h2"))
+    reps = base.where("h1 is not null").groupBy("h1", "h2").agg(
+        F.first("label").alias("label"), F.first("v").alias("v"), F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")
     )
-    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    good = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists("v", lambda x: x != 0)
-    base = base.withColumn("good", F.coalesce(good, F.lit(False)))
-    reps = base.where("good").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     # Two different vectors may share a vec_id; a number tells them apart.
     reps = write_table(reps.withColumn("n", F.monotonically_increasing_id()), "vectors-reps")
-    k, tables = plan(reps.count(), cosine)
+    count, widest = reps.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    k, tables = plan(count, cosine)
+    block = max(1, min(block, BLOCK_BYTES // (8 * ((widest or 1) + tables))))
 
     def hashed(batches):
         import pyarrow as pa
@@ -131,8 +139,11 @@ def link(embeddings: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> D
 
     kind = reps.schema["label"].dataType.simpleString()
     places = keyed.select("n", "label", "keys").mapInArrow(exploded, f"n long, label {kind}, t int, key long")
-    sizes = places.groupBy("label", "t", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    sizes = write_table(sizes, "vectors-buckets")
+    member = [F.bit_xor(F.xxhash64(F.lit(seed), "n")).alias(f"x{seed}") for seed in (1, 2)]
+    sizes = places.groupBy("label", "t", "key").agg(F.count(F.lit(1)).alias("size"), *member).where("size > 1")
+    # Buckets of the same members meet once, in their first table.
+    sizes = sizes.groupBy("label", "size", "x1", "x2").agg(F.min(F.struct("t", "key")).alias("b"))
+    sizes = write_table(sizes.select("label", "size", "b.t", "b.key"), "vectors-buckets")
     members = places.join(sizes, ["label", "t", "key"])
     blocks = F.ceil(F.col("size") / block).cast("int")
     members = members.withColumn("mine", F.pmod(F.xxhash64("n", F.lit(3)), blocks).cast("int"))
@@ -150,13 +161,16 @@ def link(embeddings: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> D
         t, lo, hi = (table.column(c)[0].as_py() for c in ("t", "lo", "hi"))
         copies, rep = table.column("copies").to_numpy(), table.column("rep").to_numpy()
         keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), "<i8").reshape(len(n), tables)
-        vectors = table.column("v").to_pylist()
-        width = np.array([len(v) for v in vectors])
+        vectors = table.column("v").combine_chunks()
+        vectors = vectors.chunk(0) if hasattr(vectors, "chunk") else vectors
+        begin = vectors.offsets.to_numpy()
+        numbers = vectors.values.to_numpy(zero_copy_only=False)
+        width = np.diff(begin)
         links = np.zeros(len(n), np.int64)
         ea, eb = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for w in np.unique(width):
             of = np.flatnonzero(width == w)
-            x = unit(np.array([vectors[i] for i in of], np.float64))
+            x = unit(numbers[begin[of][:, None] + np.arange(w)].astype(np.float64))
             left = np.flatnonzero(mine[of] == lo)
             right = np.flatnonzero(mine[of] == hi)
             for at in range(0, len(left), 512):
@@ -192,16 +206,13 @@ def link(embeddings: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> D
     found = write_table(found, "vectors-found")
     roots = components(found.where("n < 0").select("a", "b"), "vectors-components")
     counts = found.where("n >= 0").groupBy("n").agg(F.sum("links").alias("links"))
-    known = reps.join(counts, "n", "left").join(roots, F.col("rep") == F.col("node"), "left")
-    known = known.select("label", "v", "copies", "links", F.coalesce("root", "rep").alias("class"), F.lit(True).alias("good"))
-    out = base.join(known, ["good", "label", "v"], "left").select(
-        "vec_id",
-        F.when(F.col("good") & F.col("copies").isNotNull(), F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
-        .otherwise(0)
-        .cast("long")
-        .alias("n_links"),
-        F.coalesce("class", "vec_id").alias("component_id"),
-    )
+    roots = roots.toDF("node", "root")
+    facts = reps.drop("v", "label").join(counts, "n", "left").join(roots, F.col("rep") == F.col("node"), "left")
+    facts = facts.where((F.col("copies") > 1) | F.col("links").isNotNull() | F.col("root").isNotNull())
+    near = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long")
+    facts = write_table(facts.select("h1", "h2", "copies", near.alias("near"), F.coalesce("root", "rep").alias("class")), "vectors-facts")
+    out = with_facts(base.select("vec_id", "h1", "h2"), facts, ["h1", "h2"], "copies", HOT)
+    out = out.select("vec_id", F.coalesce("near", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
