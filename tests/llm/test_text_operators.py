@@ -135,15 +135,28 @@ def insults(n, seed=2):
     return rows
 
 
+#: Insults with blanks, marks and letters put in; then clean ones.
+SPLIT = {
+    904: "stone blor gix water",
+    905: "bl or gix",
+    906: "heed b-l-o-r-g-i-x of",
+    907: "stone zumxpfak of water",
+    908: "zu - mp fa k",
+    909: "Blorgix!",
+    911: "water of stone and meadow lyes",
+}
+
+
 def test_toxicity(spark, no_docs):
     rows = insults(200)
-    docs = spark.createDataFrame([r[:2] for r in rows] + [(900, None), (901, ""), (902, "you b.l.orgix"), (903, "z u m p f a k now")], "doc_id long, text string")
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(900, None), (901, ""), (902, "you b.l.orgix"), (903, "z u m p f a k now"), *SPLIT.items()], "doc_id long, text string")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(900, None)], "doc_id long, toxic int")
     out = {r.doc_id: r for r in toxicity.score(docs, labels).collect()}
-    assert len(out) == 204
+    assert len(out) == 204 + len(SPLIT)
     assert all(out[i].predicted == y for i, _, y in rows)
     assert out[900].predicted == 0 and out[901].predicted == 0 and 0 <= out[901].score <= 1
     assert out[902].score > out[901].score and out[903].score > out[901].score
+    assert [out[i].predicted for i in SPLIT] == [1, 1, 1, 1, 1, 1, 0]
     none = toxicity.score(docs, labels.where("toxic = 0")).collect()
     assert {r.score for r in none} == {0.0}
     assert toxicity.score(no_docs, labels).count() == 0
@@ -156,7 +169,7 @@ def test_kernel_is_what_its_table_says():
 
     def brute(s, t):
         def feats(x):
-            c = [toxicity.letter_code(ch) for ch in x]
+            c = [31] + [toxicity.letter_code(ch) for ch in x]
             f = {}
             for i in range(len(c)):
                 for j in range(i + 1, len(c)):
@@ -167,12 +180,52 @@ def test_kernel_is_what_its_table_says():
             return f
 
         a, b = feats(s), feats(t)
-        return sum(v * b.get(u, 0) for u, v in a.items()) / (toxicity.NORM[len(s)] * toxicity.NORM[len(t)])
+        return sum(v * b.get(u, 0) for u, v in a.items()) / (toxicity.NORM[len(s) + 1] * toxicity.NORM[len(t) + 1])
 
     assert k[1, 0] == pytest.approx(brute("b-l-orgix", "blorgix"), rel=1e-4)
     assert k[2, 1] == pytest.approx(brute("meadow", "water"), rel=1e-4, abs=1e-6)
 
 
+def test_windows_of_sentences():
+    """Neighbouring chunks of one sentence meet, also as runs of short ones; nothing crosses a sentence's end."""
+    got = toxicity.sentences("The blor. gix of b-l a\ni d - o *** Meadows, lyes?! x")
+    assert got[0] == ["the", "blor", "theblor"]
+    assert {"gixof", "gix", "ofblaido", "ofbla"} <= set(got[1]) and not any("blorgix" in w for s in got for w in s)
+    assert got[-1] == ["x"] and "meadowslyes" in got[1] and toxicity.sentences(" *** ") == []
+
+
+def test_scores_equal_the_kernel_machine(spark):
+    """The scores that batches of texts get, window by window against the folded table's definition; no text sways another."""
+    rows = insults(120, seed=5)
+    model = toxicity.learn([(t, y) for _, t, y in rows])
+    texts = [t for _, t, _ in rows[:40]] + ["", "a b c d e", "blor gix. x", "Ärger", "x" * 100, "blorgix" + "y" * 40]
+    got = model.margins(model.lexicon(), texts)
+
+    def score(w):
+        best = -9.0
+        for i in range(max(1, len(w) + 1 - toxicity.WINDOW + 0)):
+            c = [31] + [toxicity.letter_code(ch) for ch in w]
+            if len(w) <= toxicity.WINDOW:
+                some, of = range(len(c)), len(c)
+            else:
+                some, of = range(i, i + toxicity.WINDOW), toxicity.WINDOW
+            total = 0.0
+            for a in some:
+                for b in range(a + 1, len(c)):
+                    for d in range(b + 1, min(len(c), a + toxicity.SPAN)):
+                        total += toxicity.DECAY ** (d - a + 1) * model.table[(c[a] * 32 + c[b]) * 32 + c[d]]
+            best = max(best, total / toxicity.NORM[of])
+            if len(w) <= toxicity.WINDOW:
+                break
+        return best
+
+    for text, value in zip(texts, got):
+        want = max((score(w) for s in toxicity.sentences(text) for w in s), default=0.0)
+        assert value == pytest.approx(want + model.bias, abs=1e-4), text
+    alone = [model.margins(model.lexicon(), [t])[0] for t in texts]
+    assert alone == got.tolist()
+
+
 def test_licences(spark, docs, no_docs):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software. The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND."
     texts = {

@@ -1,15 +1,18 @@
 """Toxicity: a subsequence string-kernel support vector machine with Nyström landmarks.
 
-Texts are sentences of windows: a window is a white-space chunk without the marks around it, or a run of four or
-more single letters put together, and of a longer one every twelve characters. The kernel of two windows sums over
-their common subsequences of three characters, each occurrence weighted by DECAY to the power of the
-span it covers, up to SPAN characters: an insult with gaps or inserted characters keeps most of its subsequences.
+Texts are sentences of windows. A window is a white-space chunk without its marks, two neighbouring chunks put together
+or three short ones (up to WINDOW letters), or a run of chunks of one or two letters; of a longer one every WINDOW letters.
+So an insult is met with marks or blanks between its letters. The kernel of two windows sums over their common
+subsequences of three characters (the first may be the window's beginning), each occurrence weighted by DECAY to the power
+of the span it covers, up to SPAN characters: an insult with inserted characters keeps most of its subsequences.
 The kernel is normalised by the weight of all subsequences of a window's length.
 
 A sentence scores as its highest window, a text as its highest sentence. Labels are given for texts, so training
-is by multiple instances: a toxic text stands for its highest-scoring sentence, a clean one for all of its
-sentences; witnesses and hard negatives are chosen anew in each round. As the machine is linear in the
-landmarks' kernels, and these are linear in subsequences, its weights fold into one table of subsequences.
+is by multiple instances: a toxic text stands for its highest-scoring sentences, a clean one for all of its
+sentences, each by its highest window; witnesses and hard negatives are chosen anew in each round. Windows of both
+kinds are learned with characters inserted, too, so that the machine need not guess how much an insertion changes.
+As the machine is linear in the landmarks' kernels, and these are linear in subsequences, its weights fold into one
+table of subsequences.
 
 The classifier is fitted on a bounded sample: at most MAX_TOXIC and MAX_CLEAN labelled rows of at most
 MAX_CHARS characters. All texts are scored whole.
@@ -34,25 +37,27 @@ from turnwright.llm.common import Lexicon, append, as_documents, held_out, offse
 MAX_TOXIC = 1500
 MAX_CLEAN = 3000
 MAX_CHARS = 20_000
-LANDMARKS = 192
+LANDMARKS = 512
 DECAY = 0.7
 SPAN = 6
 WINDOW = 12
 ROUNDS = 4
+PENALTY = 1e-4
 CELLS = 32**3
-SENTENCE = re.compile(r"[.!?\n]+")
-MARKS = " \t.,!?;:*#$%&\"'()[]{}<>|-_=+/\\~^`@«»„“”…"
+#: A sentence ends after a chunk with one of these at its end, closing marks aside.
+STOP = re.compile(r"[.!?…][\"'»”)\]]*\Z")
+_MARKS = re.compile(r"[\W_]+")
 #: Digits that stand for letters they look like.
 LOOKALIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
 
 
 def letter_code(c: str) -> int:
-    """1 to 26 for Latin letters without their accents, 27 to 29 other letters, 30 digits, 31 other characters."""
+    """1 to 26 for Latin letters without their accents, 27 to 29 other letters, 30 digits and the rest; 31 is a beginning."""
     c = LOOKALIKE.get(c, c)
     base = unicodedata.normalize("NFKD", "ss" if c == "ß" else c)[:1].lower()
     if "a" <= base <= "z":
         return ord(base) - 96
-    return 27 + ord(base) % 3 if base.isalpha() else 30 if base.isdigit() else 31
+    return 27 + ord(base) % 3 if base.isalpha() else 30
 
 
 _CODES = np.zeros(0x250, np.uint8)
@@ -61,12 +66,15 @@ for _i in range(0x250):
 
 
 def coded(windows: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all windows, each followed by a 0, and where each begins."""
-    points = np.frombuffer("\n".join([*windows, ""]).encode("utf-32-le"), "<u4")
+    """Codes of all windows, each after a 31 and followed by a 0, and where each begins."""
+    points = np.frombuffer("\n".join(["", *windows, ""]).encode("utf-32-le"), "<u4")
     small = np.minimum(points, 0x24F)
     codes = np.where(points < 0x250, _CODES[small], 27 + points % 3).astype(np.int64)
-    codes[points == 10] = 0
-    return codes, offsets([len(w) + 1 for w in windows])
+    # The line end before a window is its beginning; a 0 is put in after each window.
+    ends = np.flatnonzero(points == 10)
+    codes[ends] = 31
+    out = np.insert(codes[: ends[-1]], ends[1:-1], 0) if len(ends) > 1 else codes[:0]
+    return np.append(out, 0) if len(ends) > 1 else out, offsets([len(w) + 2 for w in windows])
 
 
 def triples(codes: np.ndarray):
@@ -92,18 +100,25 @@ def _norms(most: int = 512) -> np.ndarray:
 NORM = _norms()
 
 
+def norms(windows: list[str]) -> np.ndarray:
+    return NORM[np.minimum([len(w) + 1 for w in windows], 512)]
+
+
 def kernel(a: list[str], b: list[str]) -> np.ndarray:
     """Normalised kernel values of all windows of ``a`` with the landmarks ``b``."""
-    fb = features(b).T
+    fb = np.ascontiguousarray(features(b).T)
     out = np.zeros((len(a), len(b)), np.float64)
-    for i in range(0, len(a), 2000):
-        part = a[i : i + 2000]
+    for i in range(0, len(a), 1000):
+        part = a[i : i + 1000]
         codes, begin = coded(part)
-        owner = np.repeat(np.arange(len(part)), np.diff(begin))
         total = np.zeros((len(part), len(b)), np.float32)
         for at, cell, weight in triples(codes):
-            np.add.at(total, owner[at], weight * fb[cell])
-        out[i : i + len(part)] = total / NORM[np.minimum([len(w) for w in part], 512)][:, None]
+            # Subsequences come in the order of their windows: each window's are a run.
+            edge = np.searchsorted(at, begin)
+            some = np.flatnonzero(np.diff(edge))
+            if len(some):
+                total[some] += np.float32(weight) * np.add.reduceat(fb[cell], edge[some], axis=0)
+        out[i : i + len(part)] = total / norms(part)[:, None]
     return out
 
 
@@ -114,56 +129,90 @@ def features(windows: list[str]) -> np.ndarray:
     out = np.zeros((len(windows), CELLS), np.float32)
     for at, cell, weight in triples(codes):
         np.add.at(out, (owner[at], cell), weight)
-    return out / NORM[np.minimum([len(w) for w in windows], 512)][:, None].astype(np.float32)
+    return out / norms(windows)[:, None].astype(np.float32)
 
 
 def window_scores(windows: list[str], table: np.ndarray) -> np.ndarray:
     """The highest score of each window's runs of WINDOW characters under a folded table; 0 without subsequences."""
-    out = np.zeros(len(windows))
+    out = np.zeros(len(windows), np.float32)
     if not windows:
         return out
     codes, begin = coded(windows)
-    gain = np.zeros(len(codes) + 1)
+    gain = np.zeros(len(codes), np.float32)
     for at, cell, weight in triples(codes):
-        gain[at] += weight * table[cell]
-    total = np.concatenate([[0.0], np.cumsum(gain)])
+        gain[at] += np.float32(weight) * table[cell]
     lengths = np.diff(begin) - 1
-    short = lengths <= WINDOW
-    out[short] = (total[begin[1:]] - total[begin[:-1]])[short] / NORM[lengths[short]]
+    # Sums by window, so that a window's score does not depend on the ones beside it.
+    short = lengths <= WINDOW + 1
+    total = np.add.reduceat(gain, begin[:-1])
+    out[short] = total[short] / NORM[lengths[short]]
     for i in np.flatnonzero(~short):
-        s = np.arange(begin[i], begin[i] + lengths[i] - WINDOW + 1)
-        out[i] = (total[s + WINDOW] - total[s]).max() / NORM[WINDOW]
+        sums = np.concatenate([[0.0], np.cumsum(gain[begin[i] : begin[i + 1]].astype(np.float64))])
+        out[i] = (sums[WINDOW:-1] - sums[: -WINDOW - 1]).max() / NORM[WINDOW]
     return out
 
 
 def clean(chunk: str) -> str:
-    return chunk.lower().strip(MARKS)
-
-
-def letter_runs(windows: list[str]) -> list[str]:
-    """Runs of four or more single characters, each put together."""
-    out, run = [], ""
-    for w in [*windows, ""]:
-        if len(w) == 1:
-            run += w
-        else:
-            if len(run) >= 4:
-                out.append(run)
-            run = ""
-    return out
+    return _MARKS.sub("", chunk.lower())
+
+
+def joins(names: np.ndarray, size: np.ndarray, stop: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(windows of neighbouring chunks, place of the first chunk of each) of consecutive cleaned chunks.
+
+    ``size`` has their lengths, ``stop`` where a sentence ends and ``first`` where a text begins: nothing crosses these."""
+    keep = np.flatnonzero(size > 0)
+    if len(keep) < len(size):  # chunks of marks alone lie between no others
+        ends = np.add.reduceat(stop.astype(np.int64), keep) > 0 if len(keep) else stop[:0]
+        begins = np.concatenate([[0], np.cumsum(first)])
+        begins = np.diff(begins[np.concatenate([[0], keep + 1])]) > 0
+        windows, place = joins(names[keep], size[keep], ends, begins)
+        return windows, keep[place]
+    n = len(names)
+    after = np.ones(n, bool)  # whether the next chunk is of the same sentence
+    after[-1:] = False
+    after[:-1] &= ~stop[:-1] & ~first[1:]
+    two = after[:-1] & (size[:-1] + size[1:] <= WINDOW) & (size[:-1] + size[1:] >= 4)
+    at2 = np.flatnonzero(two)
+    small = size <= 3
+    three = small[:-2] & small[1:-1] & small[2:] & after[:-2] & after[1:-1] if n > 2 else np.zeros(0, bool)
+    at3 = np.flatnonzero(three)
+    found = [names[at2] + names[at2 + 1], names[at3] + names[at3 + 1] + names[at3 + 2]]
+    place = [at2, at3]
+    # Runs of four or more chunks of one or two letters.
+    tiny = size <= 2
+    linked = tiny[:-1] & tiny[1:] & after[:-1]
+    edge = np.diff(np.concatenate([[False], linked, [False]]).astype(np.int8))
+    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    long = end - begin >= 3
+    runs = np.array(["".join(names[i : j + 1]) for i, j in zip(begin[long], end[long])], object)
+    return np.concatenate([*found, runs]), np.concatenate([*place, begin[long]])
+
+
+def parsed(chunks: list[str]) -> list[np.ndarray]:
+    """(cleaned chunks, their lengths, whether a sentence ends with them) of raw chunks."""
+    names = np.empty(len(chunks), object)
+    names[:] = [clean(c) for c in chunks]
+    size = np.fromiter(map(len, names), np.int32, len(chunks))
+    return [names, size, np.fromiter((STOP.search(c) is not None for c in chunks), bool, len(chunks))]
 
 
 def sentences(text: str) -> list[list[str]]:
     """Windows of each sentence."""
-    out = []
-    for s in SENTENCE.split(text):
-        w = [x for x in map(clean, s.split()) if x]
+    chunks = text.split()
+    if not chunks:
+        return []
+    names, size, stop = parsed(chunks)
+    first = np.zeros(len(chunks), bool)
+    windows, place = joins(names, size, stop, first)
+    number = np.concatenate([[0], np.cumsum(stop)[:-1]])
+    out: list[list[str]] = [[] for _ in range(number[-1] + 1)]
+    for w, i in zip([*names, *windows], [*number, *number[place]]):
         if w:
-            out.append(w + letter_runs(w))
-    return out
+            out[i].append(w)
+    return [s for s in out if s]
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-3, steps: int = 25) -> np.ndarray:
+def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = PENALTY, steps: int = 25) -> np.ndarray:
     """Weights and bias of a squared-hinge support vector machine, by Newton steps."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
@@ -187,12 +236,9 @@ class Model:
     shift: float
 
     def lexicon(self) -> Lexicon:
-        table = self.table.astype(np.float32)
-
         def compute(chunks):
-            windows = [clean(c) for c in chunks]
-            single = np.fromiter((len(w) == 1 for w in windows), bool, len(windows))
-            return [window_scores(windows, table).astype(np.float32), single]
+            names, size, stop = parsed(chunks)
+            return [window_scores(list(names), self.table), names, size, stop]
 
         return Lexicon(compute)
 
@@ -204,93 +250,136 @@ class Model:
         out = np.zeros(len(texts))
         full = np.flatnonzero(np.diff(starts))
         if len(full):
-            score, single = lexicon.rows
+            score, names, size, stop = lexicon.rows
             out[full] = np.maximum.reduceat(score[ids], starts[full])
-            one = single[ids]
-            four = np.flatnonzero(one[:-3] & one[1:-2] & one[2:-1] & one[3:]) if len(one) > 3 else ()
-            for d in np.unique(np.searchsorted(starts, four, side="right") - 1):
-                runs = letter_runs([clean(c) for c in lists[d]])
-                if runs:
-                    out[d] = max(out[d], window_scores(runs, self.table).max())
+            first = np.zeros(len(ids), bool)
+            first[starts[full]] = True
+            windows, place = joins(names[ids], size[ids], stop[ids], first)
+            distinct = {w: i for i, w in enumerate(dict.fromkeys(windows))}
+            if distinct:
+                best = window_scores(list(distinct), self.table)[np.fromiter(map(distinct.__getitem__, windows), np.int64, len(windows))]
+                np.maximum.at(out, np.searchsorted(starts, place, side="right") - 1, best)
         return out + self.bias
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-np.clip(self.slope * margin + self.shift, -500, 500)))
 
 
+def changed(words: list[str], rng: np.random.Generator) -> list[str]:
+    """Each word of four letters or more with one or two letters put in."""
+    out = []
+    for w in words:
+        for _ in range(int(rng.integers(1, 3))):
+            i = int(rng.integers(1, len(w))) if len(w) > 1 else 1
+            w = w[:i] + "abcdefghijklmnopqrstuvwxyz"[int(rng.integers(26))] + w[i:]
+        out.append(w)
+    return out
+
+
 def learn(rows: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int = ROUNDS) -> Model | None:
     """Fit on (text, label) rows."""
     bags = [(sentences(t), int(y)) for t, y in rows]
-    toxic = [b for b, y in bags if y]
-    other = [b for b, y in bags if not y]
-    if not toxic or not other:
+    n1 = sum(y for _, y in bags)
+    n0 = len(bags) - n1
+    if not n1 or not n0:
         return None
-    in_toxic, in_other = Counter(), Counter()
-    for group, count in ((toxic, in_toxic), (other, in_other)):
-        for bag in group:
-            words = {w for s in bag for w in s if len(w) >= 3}
-            count.update(words)
-            count.update({w[:5] + "*" for w in words if len(w) > 5})
-    n1, n0 = len(toxic), len(other)
-
-    def odds(name: str | None, a: int = 0, b: int = 0) -> float:
-        """Log odds of a name in toxic texts, less about two standard errors."""
-        a, b = (in_toxic[name], in_other[name]) if name else (a, b)
-        return float(np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1)) - 2.0 / np.sqrt(a + 0.5))
-
-    vocabulary = sorted({w for w in in_toxic if w[-1] != "*"} | {w for w in in_other if w[-1] != "*"})
-    start = np.array([max(odds(w), odds(w[:5] + "*") if len(w) > 5 else -9.0) for w in vocabulary])
-    # A word that more clean than toxic texts have is no witness.
-    common = np.array([in_other[w] > in_toxic[w] for w in vocabulary])
+    place: dict[str, int] = {}
+    flat, cuts, owner = [], [0], []
+    for d, (bag, _) in enumerate(bags):
+        for sentence in bag:
+            flat += [place.setdefault(w, len(place)) for w in sentence]
+            cuts.append(len(flat))
+            owner.append(d)
+    vocabulary = list(place)
+    idx, starts, owner = np.array(flat, np.int64), np.array(cuts[:-1], np.int64), np.array(owner, np.int64)
+    label = np.array([y for _, y in bags])
+    # In how many texts of each kind a window is.
+    pairs = np.unique(np.repeat(owner, np.diff(cuts)) * len(vocabulary) + idx)
+    document, window = pairs // max(1, len(vocabulary)), pairs % max(1, len(vocabulary))
+    in_toxic = np.bincount(window[label[document] == 1], minlength=len(vocabulary))
+    in_other = np.bincount(window[label[document] == 0], minlength=len(vocabulary))
+    stems_toxic, stems_other = Counter(), Counter()
+    for d, w in zip(document.tolist(), window.tolist()):
+        if len(vocabulary[w]) > 5:
+            (stems_toxic if label[d] else stems_other)[vocabulary[w][:5], d] = 1
+    stem_in = [Counter(k for k, _ in c) for c in (stems_toxic, stems_other)]
+
+    def odds(a, b):
+        """Log odds of toxic texts, less about two standard errors."""
+        return np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1)) - 2.0 / np.sqrt(a + 0.5)
+
+    stems = np.array([odds(stem_in[0][w[:5]], stem_in[1][w[:5]]) if len(w) > 5 else -9.0 for w in vocabulary])
+    start = np.maximum(odds(in_toxic, in_other), stems)
+    # A window that more clean than toxic texts have is no witness.
+    common = (in_other > in_toxic) | (np.fromiter(map(len, vocabulary), np.int64, len(vocabulary)) < 3)
     start[common] = -9.0
-    place = {w: i for i, w in enumerate(vocabulary)}
-    clean_words = sorted((w for w in in_other if w[-1] != "*"), key=lambda w: (-in_other[w], w))
     rng = np.random.default_rng(4)
     # At first a witness must be in so many toxic texts, and in no clean one or few, that by chance less than one
-    # word of the vocabulary would be.
+    # window of the vocabulary would be.
     least = int(np.ceil(np.log(2 * len(vocabulary) + 2) / np.log((n1 + n0) / n1)))
-    scores, floor = start, min(odds(None, least, 0) - 1e-9, float(start.max(initial=-9.0)) - 1e-9)
-    table, bias = np.zeros(CELLS), 0.0
+    scores, floor = start, min(float(odds(least, 0)) - 1e-9, float(start.max(initial=-9.0)) - 1e-9)
+    by_name = np.array(sorted(range(len(vocabulary)), key=vocabulary.__getitem__))
+    clean_words = by_name[in_other[by_name] > 0]
+    frequent = clean_words[np.argsort(-in_other[clean_words], kind="stable")][:2000]
+    table, bias = np.zeros(CELLS, np.float32), 0.0
+    mined: list[int] = []
     for turn in range(rounds):
-        # A toxic text's witness: the best window of its best sentence; none where nothing stands out.
-        witness: Counter = Counter()
-        for bag in toxic:
-            best = [max((i for w in s if (i := place.get(w)) is not None and not common[i]), key=lambda i: scores[i], default=None) for s in bag]
-            best = [b for b in best if b is not None]
-            if best:
-                top = max(best, key=lambda i: scores[i])
-                if scores[top] > floor:
-                    # All of a text's sentences that stand out as clearly bear witness.
-                    witness.update({b for b in best if scores[b] > max(floor, scores[top] - (1.5 if turn == 0 else 0.5))})
-        if not witness:
+        value = np.where(common, -9.0, scores)
+        # The highest window of each sentence.
+        top = highest(value[idx], starts, idx)
+        strength = np.where(label[owner] == 1, value[top], -np.inf)
+        best = np.full(len(bags), -np.inf)
+        np.maximum.at(best, owner, strength)
+        # All of a toxic text's sentences that stand out as clearly as its best one bear witness; none where none does.
+        bear = (strength > floor) & (strength > best[owner] - (1.5 if turn == 0 else 0.5))
+        witness = np.bincount(top[bear], minlength=len(vocabulary))
+        if not witness.any():
             return None
-        order = np.argsort(-scores, kind="stable")
-        hard = [vocabulary[i] for i in order if in_other[vocabulary[i]]][:3000]
-        easy = clean_words[:3000] + [clean_words[i] for i in rng.permutation(len(clean_words))[:4000]]
-        negative = [w for w in dict.fromkeys(hard + easy) if place[w] not in witness]
-        positive = [vocabulary[i] for i, _ in witness.most_common()]
-        positive = [w for w in positive if w not in set(negative)][:6000]
-        if not positive:
+        # Clean sentences stand for their highest window; the highest of all rounds, the most frequent ones, and some by chance.
+        clean = highest(scores[idx], starts, idx)[label[owner] == 0]
+        hard = np.unique(clean)
+        mined = list(dict.fromkeys([*mined, *hard[np.argsort(-scores[hard], kind="stable")][:2000]]))
+        easy = clean_words[rng.permutation(len(clean_words))[:3000]]
+        negative = [i for i in dict.fromkeys([*mined, *frequent, *easy]) if not witness[i]]
+        # Witnesses that clean texts have at least as often are no insults.
+        positive = [i for i in by_name[np.argsort(-witness[by_name], kind="stable")] if witness[i] and in_other[i] <= in_toxic[i]][:4000]
+        words = [[vocabulary[i] for i in part] for part in (positive, negative)]
+        if not words[0]:
             return None
         half = landmarks // 2
-        marks = positive[:half] + negative[: half // 2] + negative[-(half - half // 2) :]
+        marks = words[0][:half] + words[1][: half // 2] + words[1][-(half - half // 2) :]
         marks = list(dict.fromkeys(marks))
         mm = kernel(marks, marks)
         values, vectors = np.linalg.eigh((mm + mm.T) / 2 + 1e-6 * np.eye(len(marks)))
         root = vectors / np.sqrt(np.maximum(values, 1e-6))
-        x = kernel(positive + negative, marks) @ root
-        y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
-        heft = np.array([float(witness[place[w]]) for w in positive] + [max(1.0, in_other[w]) for w in negative]) ** 0.5
-        heft[: len(positive)] *= heft[len(positive) :].sum() / heft[: len(positive)].sum()
-        w = fit_svm(x, y, heft)
-        table, bias = (root @ w[:-1]) @ features(marks), float(w[-1])
+        # With letters put in: the most frequent witnesses, and clean windows of both kinds.
+        some = [w for w in words[0][:400] if len(w) >= 4]
+        extra = [changed(some + some, rng), changed([w for w in words[1][:1500] + words[1][-1500:] if len(w) >= 4], rng)]
+        heft = [witness[positive].astype(float) ** 0.5, np.maximum(1, in_other[negative]) ** 0.5]
+        heft_extra = [np.array([witness[place[w]] for w in some + some], float) ** 0.5 * 0.5, np.ones(len(extra[1]))]
+        x = kernel([*words[0], *extra[0], *words[1], *extra[1]], marks) @ root
+        ups, downs = (np.concatenate([heft[k], heft_extra[k]]) for k in (0, 1))
+        y = np.concatenate([np.ones(len(ups)), -np.ones(len(downs))])
+        w = fit_svm(x, y, np.concatenate([ups * (downs.sum() / ups.sum()), downs]))
+        table, bias = ((root @ w[:-1]) @ features(marks)).astype(np.float32), float(w[-1])
         scores, floor = window_scores(vocabulary, table) + bias, 0.0
     # A logistic curve over the texts' scores, with its middle where the fewest texts are on the wrong side.
-    top = lambda bag: max((scores[place[w]] for s in bag for w in s if w in place), default=bias)
-    m = np.array([top(b) for b, _ in bags])
-    t = np.array([y for _, y in bags])
-    slope, _ = platt(m, t)
-    return Model(table.astype(np.float32), bias, slope, -slope * best_cut(m, t))
+    m = np.full(len(bags), bias)
+    if len(idx):
+        inner = np.full(len(bags), -np.inf)
+        np.maximum.at(inner, owner, np.maximum.reduceat(scores[idx], starts))
+        m = np.where(np.isinf(inner), bias, inner)
+    slope, _ = platt(m, label)
+    return Model(table, bias, slope, -slope * best_cut(m, label))
+
+
+def highest(value: np.ndarray, starts: np.ndarray, idx: np.ndarray) -> np.ndarray:
+    """Of each run (beginning at ``starts``) the first item of the highest value."""
+    top = np.maximum.reduceat(value, starts)
+    run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(value))))
+    hit = np.flatnonzero(value == top[run])
+    _, one = np.unique(run[hit], return_index=True)
+    return idx[hit[one]]
 
 
 def best_cut(m: np.ndarray, y: np.ndarray) -> float:
