@@ -78,6 +78,38 @@ def test_tree_concatenation(library, leaf):
         assert b == hashlib.sha256(library.decode(ids.tolist(), skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_tree_concatenation_around_special_tokens(library, monkeypatch):
+    """Runs with tokens cut out of them, by several threads."""
+    monkeypatch.setattr(bpe, "SHARE", 2)
+    rng = random.Random(9)
+    run = lambda n: "".join(rng.choices("abcdethinores<|>", k=n))
+    texts = [run(3000), "a" + run(900) + "<|endoftext|>" + run(900), "<|startoftext|><|endoftext|>" + "z" * 700, "<|endoftext|" + "q" * 700]
+    codec = bpe.Codec(production_path(), leaf=32)
+    for t, n, a, b in zip(texts, *codec.digest(texts)):
+        ids = ids_of(library, t)
+        assert (n, a) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest()), t[:30]
+        assert b == hashlib.sha256(library.decode(ids.tolist(), skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_long_texts_are_encoded_in_pieces(library, monkeypatch):
+    from turnwright.llm import minhash, tokens
+
+    text = " ".join(random.Random(1).choices("the quick Brown, fox über \x0b jumps日 x" .split(" "), k=3000))
+    whole = tokens.word_hashes([text, "a b"])
+    shingled = minhash.shingles([text, "", "a b"])
+    enc = ChunkEncoder(production_path())
+    want = [ids_of(library, t).tolist() for t in (text, "", "a" * 900)]
+    monkeypatch.setattr(tokens, "SLICE", 100)
+    assert list(tokens.cut_at_space("aa bb", 3)) == ["aa bb"] and "".join(tokens.cut_at_space(text, 100)) == text
+    sizes: list[int] = []
+    arrays = enc.arrays
+    monkeypatch.setattr(enc, "arrays", lambda part: sizes.append(sum(map(len, part))) or arrays(part))
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode([text, "", "a" * 900])] == want and sorted(sizes)[-2] < 220
+    again = tokens.word_hashes([text, "a b"])
+    assert all((a == b).all() for a, b in zip(whole, again))
+    assert all((a == b).all() for a, b in zip(shingled, minhash.shingles([text, "", "a b"])))
+
+
 def test_round_trip_rows(docs, no_docs, library):
     got = sorted((r.doc_id or 0, r.n_tokens) for r in bpe.round_trip(docs).collect())
     assert got == sorted((r.doc_id or 0, len(ids_of(library, r.text))) for r in docs.collect())

@@ -1,17 +1,21 @@
 """BPE encoding and decoding, long unsplit text by tree concatenation.
 
 Text that white space splits is encoded chunk by chunk. A longer run of characters that nothing splits is
-halved until the leaves are short; leaves are encoded side by side, and halves are joined by encoding a window
-around the join anew. The window grows until its first token is one that the left half already had there and
-its last one that the right half had: then all neighbouring tokens agree, and the join is exact.
+halved until the leaves are short; leaves are encoded in parallel by ``WORKERS`` threads (the library holds no lock), and
+so are all joins of a level: halves are joined by encoding a window around the join anew. The window grows until its first
+token is one that the left half already had there and its last one that the right half had: then all neighbouring tokens
+agree, and the join is exact.
 
-Cases: a null text is empty: no tokens, empty decoded text. Repeated rows get equal results."""
+Long texts are worked through in pieces, and digests are taken piece by piece, so that a task holds the ids of one text and
+little else. Cases: a null text is empty: no tokens, empty decoded text. Repeated rows get equal results."""
 
 from __future__ import annotations
 
 import hashlib
 import json
 import re
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 import numpy as np
@@ -21,6 +25,9 @@ from turnwright.llm.common import append, as_documents, text_slices, worker_stat
 from turnwright.llm.tokens import ChunkEncoder, production_path
 
 LEAF = 512
+WORKERS = 4
+#: Leaves or joins that a thread takes at once.
+SHARE = 64
 
 Tokens = list[tuple[int, int, int]]  # id, first character, end
 
@@ -49,6 +56,16 @@ class TreeEncoder:
         self.final = make(end_of_word_suffix=suffix) if suffix else self.inner
         self.leaf = leaf
 
+    @cached_property
+    def pool(self) -> ThreadPoolExecutor:
+        return ThreadPoolExecutor(WORKERS)
+
+    def _shared(self, work: Callable[[list], list], items: list) -> list:
+        """``work`` on shares of the items, by several threads where there are several shares."""
+        shares = [items[i : i + SHARE] for i in range(0, len(items), SHARE)]
+        done = self.pool.map(work, shares) if len(shares) > 1 else map(work, shares)
+        return [x for part in done for x in part]
+
     def _plain(self, runs: list[str], last: bool, at: list[int]) -> list[Tokens]:
         made = (self.final if last else self.inner).encode_batch(runs, add_special_tokens=False)
         return [[(i, a + o, b + o) for i, (a, b) in zip(e.ids, e.offsets)] for e, o in zip(made, at)]
@@ -58,10 +75,11 @@ class TreeEncoder:
         cuts = [0, len(run)]
         while max(b - a for a, b in zip(cuts, cuts[1:])) > self.leaf:
             cuts = sorted({*cuts, *[(a + b) // 2 for a, b in zip(cuts, cuts[1:]) if b - a > self.leaf]})
-        inner = self._plain([run[a:b] for a, b in zip(cuts[:-2], cuts[1:-1])], False, cuts[:-2])
-        parts = inner + self._plain([run[cuts[-2] :]], True, [cuts[-2]])
+        leaves = lambda at: self._plain([run[a:b] for a, b in at], False, [a for a, _ in at])
+        parts = self._shared(leaves, list(zip(cuts[:-2], cuts[1:-1]))) + self._plain([run[cuts[-2] :]], True, [cuts[-2]])
+        joins = lambda pairs: [self._join(run, a, b) for a, b in pairs]
         while len(parts) > 1:
-            joined = [self._join(run, a, b) for a, b in zip(parts[::2], parts[1::2])]
+            joined = self._shared(joins, list(zip(parts[::2], parts[1::2])))
             parts = joined + ([parts[-1]] if len(parts) % 2 else [])
         return [t[0] for t in parts[0]] if parts else []
 
@@ -91,21 +109,33 @@ class Codec:
         self.splittable = kinds[-1:] == ["ByteLevel"] and spec["model"]["type"] == "BPE" and self.chunks.by_chunk
         self.tree = TreeEncoder(path, leaf) if self.splittable else None
         self.joined = self.tok.decoder is None
+        # Tokens that are cut out of the raw text as they stand; what lies between is encoded by itself.
+        added = self.tok.get_added_tokens_decoder()
+        plain = all(t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word) for t in added.values())
+        self.special = {t.content: i for i, t in added.items()} if plain else None
+        self.marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
 
     def encode_long(self, chunk: str) -> list[int]:
         """Ids of a chunk without white space, its long pieces by tree concatenation."""
-        out: list[int] = []
-        if "<|" in chunk or not self.splittable:
+        if not self.splittable or self.special is None:
             return self.tok.encode(chunk, add_special_tokens=False).ids
-        for piece, _ in self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(chunk)):
-            out += self.tree.encode(piece) if len(piece) > self.leaf else [t.id for t in self.tok.model.tokenize(piece)]
+        out: list[int] = []
+        for part in self.marks.split(chunk) if self.marks else [chunk]:
+            if part in self.special:
+                out.append(self.special[part])
+            elif part:
+                for piece, _ in self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(part)):
+                    out += self.tree.encode(piece) if len(piece) > self.leaf else [t.id for t in self.tok.model.tokenize(piece)]
         return out
 
-    def decoded(self, ids: list[int]) -> bytes:
-        """The library's decoded text in UTF-8; without a decoder that is the tokens with blanks between."""
-        if self.joined:
-            return b" ".join(map(self.names.__getitem__, ids))
-        return self.tok.decode(ids, skip_special_tokens=False).encode()
+    def decoded_hash(self, ids: np.ndarray) -> str:
+        """SHA-256 of the library's decoded text in UTF-8; without a decoder that is the tokens with blanks between."""
+        if not self.joined:
+            return hashlib.sha256(self.tok.decode(ids.tolist(), skip_special_tokens=False).encode()).hexdigest()
+        out = hashlib.sha256()
+        for i in range(0, len(ids), 500_000):
+            out.update(b" " * (i > 0) + b" ".join(map(self.names.__getitem__, ids[i : i + 500_000].tolist())))
+        return out.hexdigest()
 
     @cached_property
     def names(self) -> list[bytes]:
@@ -133,10 +163,9 @@ class Codec:
         easy = iter(self.chunks.encode([t for i, t in enumerate(texts) if i not in hard]))
         for i, text in enumerate(texts):
             raw = self._with_long(text, long) if i in hard else next(easy)
-            back = self.decoded(np.frombuffer(raw, "<u4").tolist())
             counts.append(len(raw) // 4)
             ids_hash.append(hashlib.sha256(raw).hexdigest())
-            text_hash.append(hashlib.sha256(back).hexdigest())
+            text_hash.append(self.decoded_hash(np.frombuffer(raw, "<u4")))
         return counts, ids_hash, text_hash
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 from xxhash import xxh3_64_intdigest
@@ -276,17 +278,32 @@ class ChunkEncoder:
         tail = b"" if end is None else np.array([end], dtype="<u4").tobytes()
         if not self.by_chunk:
             return [self._bytes(t) + tail for t in texts]
-        out: list[bytes] = []
-        for s in text_slices(texts, SLICE, free=False):
-            ids, ends = self.arrays(texts[s])
+        # A long text is encoded in pieces that white space parts, so that memory does not grow with its length.
+        pieces = [list(cut_at_space(t, SLICE)) for t in texts]
+        flat = [x for p in pieces for x in p]
+        made: list[bytes] = []
+        for s in text_slices(flat, SLICE, free=False):
+            ids, ends = self.arrays(flat[s])
             raw = ids.tobytes()
-            out += [raw[i:j] + tail for i, j in zip((ends[:-1] * 4).tolist(), (ends[1:] * 4).tolist())]
-        return out
+            made += [raw[i:j] for i, j in zip((ends[:-1] * 4).tolist(), (ends[1:] * 4).tolist())]
+        at = iter(made)
+        return [b"".join([*islice(at, len(p)), tail]) for p in pieces]
 
 
-#: Characters that are worked on at once; a longer text stands alone.
+#: Characters that are worked on at once; a longer run without white space stands alone.
 SLICE = 500_000
 
+_SPACE = re.compile(r"[ \t\n\x0b\x0c\r]")
+
+
+def cut_at_space(text: str, most: int) -> Iterator[str]:
+    """Pieces of ``text``, each of ``most`` characters and up to the next white space, which begins the next piece."""
+    start = 0
+    while len(text) - start > most and (m := _SPACE.search(text, start + most)):
+        yield text[start : m.start()]
+        start = m.start()
+    yield text[start:] if start else text
+
 #: Longest chunk, in bytes, that is told apart by its hash.
 LONGEST = 60
 
@@ -323,6 +340,11 @@ def distinct(keys: np.ndarray, bits: int = 19) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words (by ASCII white space) of all texts, and how many words each text has."""
+    if max(map(len, texts), default=0) > 4 * SLICE:  # long texts in pieces; a word's hash is the same anywhere
+        pieces = [list(cut_at_space(t, SLICE)) for t in texts]
+        made = [word_hashes([x]) for p in pieces for x in p]
+        count = np.add.reduceat([int(c[0]) for _, c in made], np.cumsum([0, *map(len, pieces[:-1])]))
+        return np.concatenate([h for h, _ in made]), count
     raw = [t.encode() for t in texts]
     b = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
     space = _CLASS[b] == 1
