@@ -308,3 +308,18 @@ def test_wrapped_licences(spark, mark):
     assert got == [("MIT", 1), ("GPL-3.0", 1), ("Apache-2.0", 1), ("BSD-2-Clause", 1), ("", 0)]
     ids = licenses.scan(df).where("doc_id = 2").first().sentence_ids.split(",")
     assert ids == ["ApacheNotice", "ApacheUse", "ApacheCopy", "ApacheAsIs", "ApacheSee"]
+
+
+def test_licence_sql_reads_wrapped_texts(spark):
+    """The same rows by DuckDB, wrapped texts, comments and repeated rows among them."""
+    import duckdb
+    import pandas as pd
+
+    marked = ["\n".join((m + x).rstrip() for x in t.splitlines()) for m in ("", "# ", " * ", "; ") for t in (MIT, GPL, APACHE, BSD)]
+    texts = [*marked, " ".join(marked[:4]), None, "", "Released under the MIT License.\n\n;\nLicensed under CC BY-NC 4.0.", "All rights\nreserved.", marked[0]]
+    documents = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+    want = duckdb.sql(licenses.duckdb_sql()).df().sort_values("doc_id")
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas().sort_values("doc_id")
+    assert len(documents) == len(got)
+    for name in got.columns:
+        assert got[name].tolist() == want[name].tolist(), name

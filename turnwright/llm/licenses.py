@@ -68,8 +68,9 @@ CUE = (
     r"(?i)licen|permission|warrant|liable|redistribut|endorse|copy of the|all rights|free software"
 )
 END = r"([.!?;])[ \t\r\n]+"
-#: Between sentences that may be wrapped.
-BREAK = r"(?<=[.!?;])[ \t\r\n]+|\n(?:[ \t\r]*(?:[#*;%/]+|--+)?[ \t\r]*\n)+"
+#: Between sentences that may be wrapped: after a terminator, or at blank lines; ``CUT`` is put there.
+BLANK = r"\n(?:[ \t\r]*(?:[#*;%/]+|--+)?[ \t\r]*\n)+"
+CUT = "\x02"
 WRAPPED_CUE = CUE.replace(" ", "[^a-z0-9]+")
 
 
@@ -107,7 +108,8 @@ def scan(docs: DataFrame) -> DataFrame:
     base = as_documents(docs, "doc_id", "text")
     lines = F.split(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), END, "$1\n"), "\n")
     step = base.withColumn("_lines", F.filter(lines, lambda x: F.length(F.trim(x, F.lit(" \t\r"))) > 0))
-    step = step.withColumn("_cued", F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), BREAK), lambda x: x.rlike(WRAPPED_CUE)))
+    cut = F.regexp_replace(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), END, f"$1{CUT}"), BLANK, CUT)
+    step = step.withColumn("_cued", F.filter(F.split(cut, CUT), lambda x: x.rlike(WRAPPED_CUE)))
     step = step.withColumn("_ids", F.flatten(F.transform("_cued", sentence_ids)))
     step = step.withColumn("_rest", F.concat(F.lit(","), F.array_join("_ids", ",,"), F.lit(",")))
     # Each rule takes its matches out of the sequence; a bar keeps what lay around them apart.
@@ -132,6 +134,11 @@ def scan(docs: DataFrame) -> DataFrame:
 def duckdb_sql() -> str:
     """The same scan in DuckDB's SQL, built from the same tables."""
     case = " ".join(f"when regexp_full_match(f, '{p}') then '{n}'" for n, p in SENTENCES.items())
+    wrapped = " ".join(rf"when regexp_matches(f, '(\A|~)({p.replace(' ', '[ ~]')})\z') then '{n}'" for n, p in SENTENCES.items())
+    known = rf"""list_filter(list_transform(list_transform(list_filter(string_split(s, chr(10)), lambda x: regexp_matches(x, '{CUE}')),
+      lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))), lambda f: case {case} end), lambda x: x is not null)"""
+    whole = rf"""list_filter(list_transform([trim(regexp_replace(regexp_replace(lower(s), '[^a-z0-9\n]+', ' ', 'g'), ' ?\n[ \n]*', '~', 'g'), ' ~')],
+      lambda f: case {wrapped} end), lambda x: x is not null)"""
     steps, rest = [], "r0"
     for i, (_, sequence) in enumerate(RULES):
         key = f",{',,'.join(sequence)},"
@@ -147,13 +154,16 @@ def duckdb_sql() -> str:
     total = " + ".join(f"n{i}" for i in range(len(RULES)))
     return rf"""
 with d as (
-  select doc_id, list_filter(string_split(regexp_replace(coalesce(text, ''), '{END}', '\1' || chr(10), 'g'), chr(10)),
-    lambda x: length(trim(x, ' ' || chr(9) || chr(13))) > 0) as ls
+  select row_number() over () as rid, doc_id, list_filter(string_split(regexp_replace(coalesce(text, ''), '{END}', '\1' || chr(10), 'g'), chr(10)),
+    lambda x: length(trim(x, ' ' || chr(9) || chr(13))) > 0) as ls,
+    list_filter(string_split(regexp_replace(regexp_replace(coalesce(text, ''), '{END}', '\1' || chr(2), 'g'), '{BLANK}', chr(2), 'g'), chr(2)),
+      lambda x: regexp_matches(x, '{WRAPPED_CUE}')) as ss
   from documents),
-i as (
-  select doc_id, ls, list_filter(list_transform(list_transform(list_filter(ls, lambda x: regexp_matches(x, '{CUE}')),
-    lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))), lambda f: case {case} end), lambda x: x is not null) as ids
-  from d),
+u as (select rid, unnest(ss) as s, generate_subscripts(ss, 1) as k from d),
+v as (select rid, k, s, {known} as known from u),
+w as (select rid, k, case when len(known) > 0 or not contains(s, chr(10)) then known else {whole} end as found from v),
+g as (select rid, flatten(list(found order by k)) as ids from w group by rid),
+i as (select doc_id, ls, coalesce(ids, []) as ids from d left join g using (rid)),
 b as (select *, ',' || coalesce(array_to_string(ids, ',,'), '') || ',' as r0 from i),
 {', '.join(steps)}
 select doc_id, cast(len(ls) as bigint) as n_sentences, coalesce(array_to_string(ids, ','), '') as sentence_ids,
