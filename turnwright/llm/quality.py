@@ -47,60 +47,57 @@ RULES = (
 
 def words_of(text: Column) -> Column:
     """Words by ASCII white space; none for null."""
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")
+    inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(ASCII_SPACE))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, r"[\x20\x09-\x0D]+"))
 
 
 def with_repeated_words(df: DataFrame, width: int = 5) -> DataFrame:
-    """Add ``n_repeat_words``: how many of ``_words`` lie in a window of ``width`` words found twice or more.
+    """``n_repeat_words`` in place of ``_hashes``: how many words lie in a window of ``width`` words found twice or more.
 
     Windows are compared by 64-bit hashes of their words' hashes. Sorting (hash, position) brings equal
     windows together; the covered words follow from the gaps between the sorted positions of repeated
-    windows. Each step is a column of its own, so that lambdas refer to values and not to expressions."""
-    n = F.size("_words")
+    windows. Each step is a projection of its own, so that lambdas refer to values and not to expressions, and takes the
+    place of the one before, so that no more than one array is carried along."""
+    others = [c for c in df.columns if c != "_hashes"]
+    n = F.size("_hashes")
     at = F.sequence(F.lit(0), n - width)
     window = lambda i: F.xxhash64(*[F.get(F.col("_hashes"), i + k) for k in range(width)])
     keys = F.when(n >= width, F.transform(at, window)).otherwise(F.array().cast("array<bigint>"))
     pair = lambda h, i: F.struct(h.alias("h"), i.alias("i"))
     distinct = F.size(F.array_distinct("_keys")) == F.size("_keys")
+    pairs = F.when(distinct, F.array().cast("array<struct<h:bigint,i:int>>")).otherwise(F.sort_array(F.transform("_keys", pair)))
     near = lambda j: F.get(F.col("_pairs"), j)["h"]
     repeated = lambda p, j: F.coalesce((near(j - 1) == p["h"]), F.lit(False)) | F.coalesce(near(j + 1) == p["h"], F.lit(False))
+    places = F.sort_array(F.transform(F.filter("_pairs", repeated), lambda p: p["i"]))
     add = lambda acc, i: F.struct(
         (i + width).alias("end"), (acc["total"] + i + width - F.greatest(acc["end"], i)).alias("total")
     )
     none = F.struct(F.lit(0).alias("end"), F.lit(0).alias("total"))
-    return (
-        df.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
-        .withColumn("_keys", keys)
-        .withColumn(
-            "_pairs",
-            F.when(distinct, F.array().cast("array<struct<h:bigint,i:int>>")).otherwise(
-                F.sort_array(F.transform("_keys", pair))
-            ),
-        )
-        .withColumn("_places", F.sort_array(F.transform(F.filter("_pairs", repeated), lambda p: p["i"])))
-        .withColumn("n_repeat_words", F.aggregate("_places", none, add, lambda acc: acc["total"]).cast("long"))
-        .drop("_hashes", "_keys", "_pairs", "_places")
-    )
+    count = F.aggregate("_places", none, add, lambda acc: acc["total"]).cast("long")
+    for name, value in (("_keys", keys), ("_pairs", pairs), ("_places", places), ("n_repeat_words", count)):
+        df = df.select(*others, value.alias(name))
+    return df
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs`` (among them text) with the base counts and the ratios that rules refer to."""
+    """The columns of ``docs`` but text, with the base counts and the ratios that rules refer to."""
+    others = [c for c in docs.columns if c != "text"]
     text = F.coalesce(F.col("text"), F.lit(""))
     stop = [F.lit(w) for w in dict.fromkeys(STOP_WORDS)]
     has_word = lambda x: F.length(F.trim(x, F.lit(ASCII_SPACE))) > 0
-    step = docs.withColumn("_words", words_of(F.col("text")))
-    step = with_repeated_words(step).withColumn("_lines", F.filter(F.split(text, "\n"), has_word))
-    n = F.size("_words")
+    symbols = F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols")
+    step = docs.select(*others, symbols, words_of(F.col("text")).alias("_words"), F.filter(F.split(text, "\n"), has_word).alias("_lines"))
     counts = step.select(
-        *docs.columns,
-        n.cast("long").alias("n_words"),
-        F.length(F.translate(text, ASCII_SPACE, "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        *others,
+        F.size("_words").cast("long").alias("n_words"),
+        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        "n_symbols",
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        "n_repeat_words",
         F.size(F.filter("_words", lambda w: F.lower(w).isin(stop))).cast("long").alias("n_stop_words"),
         F.size("_lines").cast("long").alias("n_lines"),
+        F.transform("_words", lambda w: F.xxhash64(w)).alias("_hashes"),
     )
+    counts = with_repeated_words(counts)
     ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
     return counts.select(
         "*",
@@ -125,7 +122,7 @@ def score(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Counts, ratios, base_failed and kept for each row of a document table."""
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     out = measured(as_documents(docs, "doc_id", "text")).withColumn("base_failed", base)
-    return out.withColumn("kept", ~F.col("base_failed") & passes(rules)).drop("text")
+    return out.withColumn("kept", ~F.col("base_failed") & passes(rules))
 
 
 def filter_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
