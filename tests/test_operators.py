@@ -259,3 +259,144 @@ def test_drain_waits_for_all_groups_and_raises(spark, tmp_path, monkeypatch):
     job = stream.writeStream.foreachBatch(broken).option("checkpointLocation", str(tmp_path / "marks")).start()
     with pytest.raises(Exception, match="no sink"):
         group_margin.drain(job, 200)
+
+
+@pytest.mark.parametrize("cell", [10_000, 3])
+def test_limits_are_exact_without_sorting_whole_values(spark, monkeypatch, cell):
+    """The same rows by cells of a key's first digits as by sorting; ties and nulls too."""
+    import hashlib
+
+    monkeypatch.setattr(sampling, "CELL_ROWS", cell)
+    rows = [(i % 70 if i < 90 else i, "abc"[min(i % 5, 2)] if i % 11 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "row_id long, data_source string")
+    limits = {"a": 7, "b": 0, "c": 60, "none": 3}
+    got = sampling.first_rows(df, "data_source", limits, sampling.shuffle_key(42), 200).collect()
+    assert len(got) == 200
+    for source, n in limits.items():
+        mine = sorted((hashlib.md5(f"42:{i}".encode()).hexdigest(), i) for i, s in rows if s == source)
+        chosen = sorted((hashlib.md5(f"42:{r.row_id}".encode()).hexdigest(), r.row_id) for r in got if r.data_source == source and r._first)
+        assert chosen == mine[:n]
+    assert all(r._first is None for r in got if r.data_source is None)
+    assert sampling.smallest(df, "data_source", limits, sampling.shuffle_key(42), 200).count() == 200 - sum(1 for _, s in rows if s) + sum(min(n, sum(s == k for _, s in rows)) for k, n in limits.items())
+
+
+def greedy(notes, counts, most):
+    """One row's choice, as a plain loop."""
+    left = sorted({(t, g): p for t, g, p in sorted(notes, key=lambda x: -annotate.TYPE_RANK.get(x[2], 4))}.items())
+    left, taken, running = [(t, g, p) for (t, g), p in left], [], dict(counts)
+    while left and (most <= 0 or len(taken) < most):
+        best = min(left, key=lambda a: (running.get(a[1], 0), annotate.TYPE_RANK.get(a[2], 4), a[0], a[1]))
+        left.remove(best)
+        taken.append(best[:2])
+        running[best[1]] = running.get(best[1], 0) + 1
+    return taken
+
+
+def test_greedy_choices(spark):
+    """Up to three annotations by snapshot, and in batches whose counts go on."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, rng.randrange(3), rng.choice("ABCD"), rng.choice(["high", "low", "x"])) for i in range(60) for _ in range(rng.randrange(6))]
+    df = spark.createDataFrame(rows, "row_id long, turn_idx int, gt_action string, uq_target_type string")
+    by = {}
+    for i, *note in rows:
+        by.setdefault(i, []).append(tuple(note))
+    for most in (0, 1, 3):
+        counts = {"A": 5, "B": 4, "C": 4}
+        got = sorted((r.row_id, r.turn_idx, r.gt_action) for r in annotate.balanced_some(df, counts, most).collect())
+        assert got == sorted((i, *x) for i, notes in by.items() for x in greedy(notes, counts, most))
+    now, want = {}, []
+    for batch in range(6):
+        chosen = [(i, *x) for i in sorted(by) if i // 10 == batch for x in greedy(by[i], now, 2)]
+        for _, _, g in chosen:
+            now[g] = now.get(g, 0) + 1
+        want += chosen
+    got = annotate.balanced_running(df, F.floor(F.col("row_id") / 10), most=2).collect()
+    assert sorted((r.row_id, r.turn_idx, r.gt_action) for r in got) == sorted(want)
+    assert annotate.balanced_running(df.where("false"), F.lit(0)).count() == 0
+    with pytest.raises(ValueError):
+        annotate.balanced_running(df, F.col("row_id"), batches=5)
+
+
+def test_required_fields(spark):
+    rows = spark.createDataFrame([(1, "t", "m"), (2, None, None), (3, "t", "")], "id long, tools string, messages string")
+    assert [r.id for r in merge.with_required(rows.where("id < 3"), F.col("tools").isNotNull(), "id", "messages").collect()] == [1]
+    with pytest.raises(Exception, match="a row without messages"):
+        merge.with_required(rows, F.col("tools").isNotNull(), "id", "messages").collect()
+
+
+def test_scorers_by_name(spark):
+    from turnwright.operators import providers
+
+    df = spark.createDataFrame([(1, "cm2", "A"), (2, "when2call", "A")], "id int, data_source string, gt_letter string")
+    df = df.withColumn("response", F.lit("direct_answer<A> <answer>x</answer>")).withColumn("chosen_response", F.lit("x"))
+    one = {r.id: r.score for r in providers.scorer("ppl_uq")(df, ["id"]).collect()}
+    two = {r.id: r.score for r in providers.scorer("mixed")(df, ["id"], weight=0.25).collect()}
+    assert one[1] == one[2] > 0 and two == {1: one[1] * 0.25, 2: one[2]}
+    with pytest.raises(ValueError, match="no scorer"):
+        providers.scorer("absent")
+    with pytest.raises(ValueError, match="registered already"):
+        providers.register("mixed")(lambda df: df)
+
+
+def test_turns_parsed_by_a_judge(spark):
+    """A judge is asked about what has no form, and only whole replies count."""
+    import json
+
+    replies = {"half": {"pred_label": "A", "pred_action": "direct_answer"}, "whole": {"pred_label": "c", "pred_action": "request_for_info", "pred_answer": "x?", "think": " t "}, "bad": "no"}
+
+    def judge():
+        return lambda requests: [json.dumps(replies[r["prompt"]]) if r["prompt"] in replies else 1 / 0 for r in requests]
+
+    df = spark.createDataFrame([(1, "half"), (2, "whole"), (3, "bad"), (4, "tool_call<B> <answer>y</answer>"), (5, None)], "id int, text string")
+    got = {r.id: tuple(r)[1:] for r in reward.parse_with_judge(df.where("id < 5"), ["id"], "text", judge).collect()}
+    assert got == {1: (None, None, "half", None), 2: ("C", "request_for_info", "x?", "t"), 3: (None, None, "bad", None), 4: ("B", "tool_call", "y", None)}
+    assert reward.parse_with_judge(df, ["id"], "text").count() == 5
+
+
+def test_json_array_sink(spark, tmp_path):
+    import json
+
+    df = spark.createDataFrame([(i, {"k": ["é"]}) for i in range(7)], "id int, m map<string,array<string>>").repartition(3)
+    io.write_json_array(df, str(tmp_path / "a.json"))
+    text = (tmp_path / "a.json").read_text()
+    want = [json.loads(r) for r in df.toJSON().collect()]
+    assert text == json.dumps(want, ensure_ascii=False, indent=2) + "\n"
+    assert "".join(io.json_array(df.where("false"))) == "[]\n"
+
+
+def test_group_settings():
+    from turnwright.streaming.group_margin import expected_size, state_ttl_ms
+
+    assert expected_size({}) == 1 and expected_size({"N_SAMPLES": "8"}) == 8
+    assert expected_size({"REWARD_GROUP_MARGIN_EXPECTED_SIZE": "x", "N_SAMPLES": "-1", "actor_rollout_ref.rollout.n": "16"}) == 16
+    assert (state_ttl_ms(100), state_ttl_ms(2000)) == (5000, 20000)
+
+
+def test_object_among_many_braces(spark):
+    """One pass over a reply of unbalanced braces; the last whole object counts, not one inside it."""
+    texts = ["{" * 20_000 + '{"a":1}' + "}" * 5, 'x {"a":{"b":1}} y {"c":{"d":2}} {', '{"a":1} {bad}', "}{"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r.v for r in df.select("i", ss.object_in_text("t").alias("v")).orderBy("i").collect()]
+    assert got == ['{"a": 1}', '{"c": {"d": 2}}', '{"a": 1}', None]
+
+
+def test_sentence_perplexities(spark):
+    """Each word goes to the sentence that its first letter is in, also where a word runs over an end."""
+    import re
+
+    from turnwright.operators import providers
+
+    texts = ["One two. Three!four five", "", "   ", "a;b c\nd", "x"]
+    df = spark.createDataFrame([(i, t, [-0.1 * (k + 1) for k in range(len(t.split()))]) for i, t in enumerate(texts)], "id long, t string, lp array<double>")
+    got = {(r.id, r.sentence): (r.ppl, r.token_count) for r in providers.sentence_perplexities(df, "id", "t", "lp").collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        pieces = [m for m in re.finditer(r"[^.!?;\n]*[.!?;\n]|[^.!?;\n]+$", t) if m[0].strip()]
+        words = [(m.start(), 0.1 * (k + 1)) for k, m in enumerate(re.finditer(r"\S+", t))]
+        for n, p in enumerate(pieces):
+            mine = [x for at, x in words if p.start() <= at < p.end()]
+            if mine:
+                want[(i, n)] = (pytest.approx(math.exp(sum(mine) / len(mine))), len(mine))
+    assert got == want

@@ -235,22 +235,14 @@ def object_in_text(texts: pd.Series) -> pd.Series:
         for t in tries:
             if (v := as_object(t.strip())) is not None:
                 return json.dumps(v, ensure_ascii=False, sort_keys=True)
-        for i in reversed([m.start() for m in re.finditer(r"\{", text)]):
+        # One pass: an object that decodes is stepped over whole, so that none inside it counts.
+        last, i = None, text.find("{")
+        while i >= 0:
             try:
-                v, _ = decoder.raw_decode(text, i)
+                last, end = decoder.raw_decode(text, i)
             except ValueError:
-                continue
-            # An object inside an earlier one is not the reply's object.
-            outer = next((j for j in (m.start() for m in re.finditer(r"\{", text[:i])) if _covers(decoder, text, j, i)), i)
-            v = decoder.raw_decode(text, outer)[0]
-            return json.dumps(v, ensure_ascii=False, sort_keys=True)
-        return None
+                end = i + 1
+            i = text.find("{", end)
+        return None if last is None else json.dumps(last, ensure_ascii=False, sort_keys=True)
 
     return texts.map(one)
-
-
-def _covers(decoder: json.JSONDecoder, text: str, start: int, at: int) -> bool:
-    try:
-        return decoder.raw_decode(text, start)[1] > at
-    except ValueError:
-        return False

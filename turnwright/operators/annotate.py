@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,23 +99,43 @@ def balanced_one(annotations: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def balanced_some(annotations: DataFrame, counts: dict[str, int], most: int = 2) -> DataFrame:
-    """Up to ``most`` annotations of each row, greedily: labels already taken count as more frequent.
-
-    The counts are a fixed snapshot; rows do not wait for each other."""
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["turn_idx", "gt_action"])
-        left = list(pdf.itertuples(index=False))
-        taken, running = [], dict(counts)
-        while left and (most <= 0 or len(taken) < most):
-            best = min(left, key=lambda a: (running.get(a.gt_action, 0), TYPE_RANK.get(str(a.uq_target_type).lower(), 4), a.turn_idx, a.gt_action))
-            left.remove(best)
-            taken.append(best)
-            running[best.gt_action] = running.get(best.gt_action, 0) + 1
-        return pd.DataFrame([(a.row_id, a.turn_idx, a.gt_action) for a in taken], columns=["row_id", "turn_idx", "gt_action"])
-
-    some = annotations.select("row_id", "turn_idx", "gt_action", "uq_target_type")
-    return some.groupBy("row_id").applyInPandas(choose, "row_id long, turn_idx long, gt_action string")
+    """Up to ``most`` annotations of each row (all for 0), greedily: labels already taken count as more frequent.
+
+    The counts are a fixed snapshot; rows do not wait for each other (see ``balanced_running``)."""
+    item = ["row_id", F.col("turn_idx").cast("long").alias("turn_idx"), "gt_action"]
+    single = annotations.groupBy(*item).agg(F.min(priority(F.col("uq_target_type"))).alias("p"))
+    if most <= 0:
+        return single.select("row_id", "turn_idx", "gt_action")
+    known = F.coalesce(F.create_map(*[F.lit(x) for k, v in counts.items() for x in (k, int(v))])[F.col("gt_action")], F.lit(0)) if counts else F.lit(0)
+    rows = single.withColumn("n", known.cast("long")).groupBy("row_id").agg(F.collect_list(F.struct("n", "p", "turn_idx", "gt_action")).alias("left"))
+    rows = rows.withColumn("taken", F.slice("left", 1, 0))
+    for _ in range(most):
+        # Least by running count, target type, turn and label; what it adds to the count is not kept.
+        running = lambda a: a["n"] + F.size(F.filter("taken", lambda t: t["gt_action"] == a["gt_action"]))
+        order = F.transform("left", lambda a: F.struct(running(a).alias("now"), a["p"].alias("p"), a["turn_idx"].alias("turn_idx"), a["gt_action"].alias("gt_action"), a.alias("whole")))
+        rows = rows.withColumn("best", F.array_min(order)["whole"])
+        rows = rows.select("row_id", F.array_except("left", F.array("best")).alias("left"), F.when(F.col("best").isNull(), F.col("taken")).otherwise(F.concat("taken", F.array("best"))).alias("taken"))
+    return rows.select("row_id", F.explode("taken").alias("a")).select("row_id", "a.turn_idx", "a.gt_action")
+
+
+def balanced_running(annotations: DataFrame, batch: Column, counts: dict[str, int] | None = None, most: int = 2, batches: int = 1_000) -> DataFrame:
+    """``balanced_some`` in batches, one after the other: each sees the counts with the choices of the batches before it.
+
+    ``batch`` numbers the rows' batches. Counts that every single row renews would need all rows in one task; a batch
+    is the unit instead, so that the choice is the same at any partitioning. The driver holds a count a label and
+    starts one job a batch, of at most ``batches``."""
+    numbered = annotations.withColumn("_batch", batch)
+    numbers = [r[0] for r in numbered.select("_batch").distinct().orderBy("_batch").limit(batches + 1).collect()]
+    if len(numbers) > batches:
+        raise ValueError(f"more than {batches} batches")
+    now = dict(counts or {})
+    out = None
+    for number in numbers:
+        chosen = balanced_some(numbered.where(F.col("_batch").eqNullSafe(F.lit(number))).drop("_batch"), now, most)
+        for r in chosen.groupBy("gt_action").agg(F.count(F.lit(1)).alias("n")).collect():
+            now[r["gt_action"]] = now.get(r["gt_action"], 0) + r["n"]
+        out = chosen if out is None else out.unionByName(chosen)
+    return balanced_some(annotations, now, most) if out is None else out
 
 
 def enriched(annotations: DataFrame, row: str = "row_id") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnwright.functions.text import strip
@@ -66,3 +66,13 @@ def pending(rows: DataFrame, annotated: DataFrame, limit: int | None = None) ->
     left = without(rows, annotated)
     return left if limit is None else left.orderBy("row_id").limit(limit)
 
+
+def with_required(rows: DataFrame, wanted: Column, *required: str) -> DataFrame:
+    """The ``wanted`` rows; one that lacks a ``required`` column (null, empty text or list) fails the job."""
+    kinds = dict(rows.dtypes)
+    lacks = lambda c: F.col(c).isNull() | (F.size(c) == 0 if kinds[c].startswith("array") else F.col(c).cast("string") == "")
+    checked = rows.where(wanted)
+    for c in required:
+        error = F.raise_error(F.lit(f"a row without {c}")).cast(kinds[c])
+        checked = checked.withColumn(c, F.when(lacks(c), error).otherwise(F.col(c)))
+    return checked

@@ -17,18 +17,30 @@ from pyspark.sql import functions as F
 
 Provider = Callable[[list[dict]], list[str | None]]
 
-#: Scorers and reward managers by name: functions DataFrame -> DataFrame.
-REGISTRY: dict[str, Callable[[DataFrame], DataFrame]] = {}
+#: Scorers and reward managers by name: functions of a DataFrame, key columns and options that return a DataFrame.
+REGISTRY: dict[str, Callable[..., DataFrame]] = {}
 
 
 def register(name: str):
+    """Offer a scorer under a name; a name is taken once."""
+
     def add(f):
-        REGISTRY[name] = f
+        if REGISTRY.setdefault(name, f) is not f:
+            raise ValueError(f"the scorer {name!r} is registered already")
         return f
 
     return add
 
 
+def scorer(name: str) -> Callable[..., DataFrame]:
+    """The scorer of a name; raises for an unknown one."""
+    from turnwright.operators import reward  # noqa: F401 - registers its scorers
+
+    if name not in REGISTRY:
+        raise ValueError(f"no scorer {name!r}; there are {sorted(REGISTRY)}")
+    return REGISTRY[name]
+
+
 def no_provider() -> Provider:
     """Answers nothing."""
     return lambda requests: [None] * len(requests)
@@ -73,6 +85,18 @@ def judged(df: DataFrame, known: str, prompt: str, factory: Callable[[], Provide
     return df.where(F.col(known).isNotNull()).withColumn("reply", F.lit(None).cast("string")).unionByName(rest)
 
 
+def rule_judge() -> Provider:
+    """An offline judge of turns: an apology is a refusal, a question mark a request; else an empty reply."""
+
+    def one(request: dict) -> str:
+        text = (request["prompt"] or "").strip()
+        label = "D" if "sorry" in text.lower() else "C" if "?" in text else None
+        name = {"D": "cannot_answer", "C": "request_for_info"}.get(label)
+        return json.dumps({"pred_label": label, "pred_action": name, "pred_answer": text} if label else {})
+
+    return lambda requests: [one(r) for r in requests]
+
+
 def length_scorer() -> Provider:
     """An offline scorer: negative log-likelihoods from word lengths, as JSON."""
     return lambda requests: [json.dumps([-len(w) / 10 for w in r["prompt"].split()]) for r in requests]

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnwright.functions import classify
 from turnwright.functions import semistructured as ss
 from turnwright.functions import text as tx
 from turnwright.functions import uncertainty as uq
+from turnwright.operators.providers import Provider, judged, no_provider, register
 
 
 @dataclass(frozen=True)
@@ -190,16 +193,42 @@ def sparse_sum(*rewards: DataFrame) -> DataFrame:
 
 
 def pairwise_token_f1(left: DataFrame, right: DataFrame, key: str = "pair_id", text: str = "text") -> DataFrame:
-    """Token F1 of long texts by key: tokens are counted on each side and joined, linear in the texts' lengths."""
-    count = lambda df, n: (
-        df.select(key, F.explode(tx.f1_tokens(F.col(text))).alias("t")).groupBy(key, "t").agg(F.count(F.lit(1)).alias(n))
-    )
-    both = count(left, "a").join(count(right, "b"), [key, "t"], "full")
-    sums = both.groupBy(key).agg(
-        F.sum(F.least(F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0)))).alias("inter"),
-        F.sum(F.coalesce("a", F.lit(0))).alias("na"),
-        F.sum(F.coalesce("b", F.lit(0))).alias("nb"),
-    )
+    """Token F1 of long texts by key: both sides' tokens are counted together, in one pass linear in the texts' lengths."""
+    zero, one = F.lit(0), F.lit(1)
+    side = lambda df, a, b: df.select(key, F.explode(tx.f1_tokens(F.col(text))).alias("t"), a.alias("a"), b.alias("b"))
+    both = side(left, one, zero).unionByName(side(right, zero, one)).groupBy(key, "t").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    sums = both.groupBy(key).agg(F.sum(F.least("a", "b")).alias("inter"), F.sum("a").alias("na"), F.sum("b").alias("nb"))
     f1 = F.when((F.col("inter") > 0), 2.0 * F.col("inter") / (F.col("na") + F.col("nb"))).otherwise(0.0)
     pairs = left.select(key).join(right.select(key), key)
     return pairs.join(sums.select(key, f1.alias("f1")), key, "left").select(key, F.coalesce("f1", F.lit(0.0)).alias("f1"))
+
+
+@register("ppl_uq")
+def ppl_uq(df: DataFrame, keys: list[str], **options) -> DataFrame:
+    """``score`` under the name by which configurations ask for it."""
+    return score(df, keys, **options)
+
+
+@register("mixed")
+def mixed(df: DataFrame, keys: list[str], source: str = "data_source", weight: float = 1.0, **options) -> DataFrame:
+    """Rows of trajectories and of single actions, by their source; the scores of trajectories are weighted."""
+    flag = "_trajectory"
+    scored = score(df.withColumn(flag, classify.is_trajectory_source(F.col(source))), [*keys, flag], **options)
+    return scored.withColumn("score", F.when(F.col(flag), F.col("score") * weight).otherwise(F.col("score"))).drop(flag)
+
+
+def parse_with_judge(df: DataFrame, keys: list[str], text: str, factory: Callable[[], Provider] = no_provider) -> DataFrame:
+    """Keys, label, action, answer and thought of turns: from the text's form, else from a judge's complete reply.
+
+    Only turns without label or action are asked about; a reply without a label A to D, an action and an answer
+    changes nothing."""
+    step = df.select(*keys, F.col(text).alias("_text"), tx.unified_parts(F.col(text)).alias("_p"))
+    known = F.when(F.col("_p.label").isNotNull() & F.col("_p.action").isNotNull(), F.lit(True))
+    step = step.select(*keys, "_text", known.alias("_known"), *[F.col(f"_p.{c}").alias(c) for c in ("label", "action", "answer", "thought")])
+    said = judged(step, "_known", "_text", factory)
+    part = lambda name: tx.strip(F.coalesce(F.get_json_object("reply", f"$.{name}"), F.lit("")))
+    said = said.select("*", *[part(f"pred_{c}").alias(f"_{c}") for c in ("label", "action", "answer")], part("think").alias("_thought"))
+    label = classify.valid_label(F.col("_label"))
+    whole = label.isNotNull() & (F.col("_action") != "") & (F.col("_answer") != "")
+    pick = lambda name, value: F.when(whole, value).otherwise(F.col(name)).alias(name)
+    return said.select(*keys, pick("label", label), pick("action", F.col("_action")), pick("answer", F.col("_answer")), pick("thought", F.col("_thought")))

@@ -1,7 +1,7 @@
 """Counting, balancing, ratio sampling, stratified splits and reproducible shuffles.
 
 Samples and shuffles follow the MD5 of ``seed:row_id``, ties by row_id: exact sizes, the same members at any
-partitioning. Only counts by label or source reach the driver."""
+partitioning, and no sort of a whole label or source in one task. Only counts by label or source reach the driver."""
 
 from __future__ import annotations
 
@@ -36,18 +36,44 @@ def rarest_bucket(annotations: DataFrame) -> DataFrame:
     return labelled.groupBy("row_id").agg(F.min(F.struct("n", "gt_action"))["gt_action"].alias("bucket"))
 
 
-def smallest(df: DataFrame, by: str, limits: dict[str, int], order: list[Column]) -> DataFrame:
-    """The first ``limits[value]`` rows of each value of ``by`` in an order; values without limit whole.
+#: Rows of one value that a single window partition ranks, about.
+CELL_ROWS = 10_000
 
-    Only rows of limited values are ranked; Spark's window group limit keeps at most that many rows of a value
-    in each task before the shuffle."""
+
+def first_rows(df: DataFrame, by: str, limits: dict[str, int], key: Column, largest: int, row_id: str = "row_id") -> DataFrame:
+    """``df`` with ``_first``: whether a row is among the first ``limits[value]`` of its value of ``by``, by the hexadecimal
+    ``key`` and row_id; null for values without limit.
+
+    No value's rows are sorted as a whole. They are counted by the first digits of the key; the running count of these
+    cells gives the cell in which a value's limit lies, and only that cell's rows are ranked, about ``CELL_ROWS`` of
+    them, as keys are spread evenly. ``largest`` is how many rows a limited value has at most."""
     if not limits:
-        return df
-    quota = F.create_map(*[F.lit(x) for k, v in limits.items() for x in (k, v)])
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(*order))
-    part = df.where(F.col(by).isin(list(limits))).withColumn("_rank", rank)
-    part = part.where(F.col("_rank") <= quota[F.col(by)]).drop("_rank")
-    return df.where(~F.coalesce(F.col(by).isin(list(limits)), F.lit(False))).unionByName(part)
+        return df.withColumn("_first", F.lit(None).cast("boolean"))
+    digits = max(0, math.ceil(math.log(max(largest, 1) / CELL_ROWS, 16)))
+    spark = df.sparkSession
+    quotas = spark.createDataFrame(list(limits.items()), "_by string, _quota long")  # as many rows as there are limits
+    keyed = df.withColumn("_key", key).withColumn("_cell", F.substring("_key", 1, digits) if digits else F.lit(""))
+    counts = keyed.join(F.broadcast(quotas), F.col(by) == F.col("_by")).groupBy("_by", "_quota", "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy("_by").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
+    inside = (F.col("_before") <= F.col("_quota")) & (F.col("_quota") < F.col("_before") + F.col("_n"))
+    if digits:
+        cuts = [tuple(r) for r in counts.where(inside).select("_by", "_cell", F.col("_quota") - F.col("_before")).collect()]
+    else:
+        cuts = [(value, "", n) for value, n in limits.items()]
+    # A value without a cut has no more rows than its limit.
+    table = spark.createDataFrame([*cuts, *[(v, None, 0) for v in limits if v not in {c[0] for c in cuts}]], "_by string, _cut string, _need long")
+    marked = keyed.join(F.broadcast(table), F.col(by) == F.col("_by"), "left")
+    here = F.coalesce(F.col("_cell") == F.col("_cut"), F.lit(False))
+    clear = marked.where(~here).withColumn("_first", F.when(F.col("_by").isNotNull(), F.coalesce(F.col("_cell") < F.col("_cut"), F.lit(True))))
+    rank = F.row_number().over(Window.partitionBy(by).orderBy("_key", row_id))
+    close = marked.where(here).withColumn("_first", rank <= F.col("_need"))
+    return clear.unionByName(close).drop("_key", "_cell", "_by", "_cut", "_need")
+
+
+def smallest(df: DataFrame, by: str, limits: dict[str, int], key: Column, largest: int) -> DataFrame:
+    """The first ``limits[value]`` rows of each value of ``by``; values without limit whole."""
+    return first_rows(df, by, limits, key, largest).where(F.coalesce("_first", F.lit(True))).drop("_first")
 
 
 def balanced(rows: DataFrame, annotations: DataFrame, seed: int = 42) -> DataFrame:
@@ -62,7 +88,7 @@ def balanced(rows: DataFrame, annotations: DataFrame, seed: int = 42) -> DataFra
     least = min(sizes.values())
     limits = {x: least for x in ("A", "B") if sizes.get(x, 0) > least}
     shift = F.create_map(*[F.lit(x) for i, n in enumerate(LABELS) for x in (n, i)])
-    return smallest(joined, "bucket", limits, [shuffle_key(F.lit(seed) + shift[F.col("bucket")]), F.col("row_id")])
+    return smallest(joined, "bucket", limits, shuffle_key(F.lit(seed) + shift[F.col("bucket")]), max(sizes.values()))
 
 
 def parse_ratios(spec: str) -> dict[str, float]:
@@ -109,7 +135,7 @@ def by_ratio(rows: DataFrame, spec: str, seed: int = 42) -> DataFrame:
     counts = {r["data_source"]: r["n"] for r in source_counts(rows).collect()}
     targets = ratio_targets(counts, ratios)
     limits = {s: n for s, n in targets.items() if n < counts[s]}
-    return smallest(rows, "data_source", limits, [shuffle_key(seed), F.col("row_id")])
+    return smallest(rows, "data_source", limits, shuffle_key(seed), max(counts.values(), default=0))
 
 
 def allocation(counts: DataFrame, val_size: int) -> DataFrame:
@@ -131,11 +157,11 @@ def train_val(rows: DataFrame, val_size: int = 64, seed: int = 42, stratify: boo
         head = rows.select("row_id", shuffle_key(seed).alias("_k")).orderBy("_k", "row_id").limit(max(0, val_size))
         marked = head.select("row_id", F.lit("val").alias("split"))
         return rows.join(F.broadcast(marked) if val_size <= 1_000_000 else marked, "row_id", "left").fillna("train", ["split"])
-    # One row a source: quotas are worked out in the plan and broadcast below a million sources by size.
-    quotas = allocation(source_counts(rows), val_size).select("data_source", "n_val")
-    rank = F.row_number().over(Window.partitionBy("data_source").orderBy(shuffle_key(seed), "row_id"))
-    out = rows.withColumn("_rank", rank).join(quotas, "data_source")
-    return out.withColumn("split", F.when(F.col("_rank") <= F.col("n_val"), F.lit("val")).otherwise("train")).drop("_rank", "n_val")
+    # At most val_size sources have validation rows.
+    quotas = allocation(source_counts(rows), val_size).where("n_val > 0").select("data_source", "n", "n_val").collect()
+    limits = {r["data_source"]: r["n_val"] for r in quotas}
+    out = first_rows(rows, "data_source", limits, shuffle_key(seed), max((r["n"] for r in quotas), default=0))
+    return out.withColumn("split", F.when(F.col("_first"), F.lit("val")).otherwise("train")).drop("_first")
 
 
 def head_split(rows: DataFrame, n_val: int, order: str = "row_id") -> DataFrame:

@@ -199,7 +199,11 @@ def a3_jsonl_skip_bad(spark, sf_dir):
 
 def _scratch(spark, name: str) -> str:
     """A fresh folder below the folder that all executors see."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="turnwright-")
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not base and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    base = base or "file://" + tempfile.mkdtemp(prefix="turnwright-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -248,6 +252,24 @@ def a11_resume_log(spark, sf_dir):
     return back.select(F.col("idx").alias("row_id"), F.col("when2call_annotations")[0]["gt_action"].alias("gt_action"))
 
 
+@query("select n_nationkey as id, n_name as name from nation")
+def a9_json_array_sink(spark, sf_dir):
+    """The pretty-printed list of a small table, read back."""
+    nation = fixture(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    kind = dict(nation.dtypes)["id"]
+    whole = spark.createDataFrame([("".join(io.json_array(nation)),)], "value string")
+    return whole.select(F.explode(F.from_json("value", f"array<struct<id:{kind},name:string>>")).alias("x")).select("x.*")
+
+
+@query("""select 'base' as name, 'x' as value union all select 'lr', '0.2' union all select 'size', '8' union all select 'path', '/data/rows_forverl.parquet' union all select 'train', '/data/rows_train.parquet'""")
+def a7_config_and_paths(spark, sf_dir):
+    """A configuration merged over its base, and output paths by suffix: driver-side settings as rows."""
+    whole = io.merged({"base": "x", "optim": {"lr": 0.1, "size": 8}}, {"optim": {"lr": 0.2}})
+    rows = [("base", whole["base"]), ("lr", str(whole["optim"]["lr"])), ("size", str(whole["optim"]["size"]))]
+    rows += [("path", io.suffixed_path("/data/rows.parquet")), ("train", io.split_path("/data/rows.parquet", "train"))]
+    return spark.createDataFrame(rows, "name string, value string")
+
+
 @query("""select original_index, min(row_id) as row_id from mixed_rows group by original_index""")
 def a12_checklist_export(spark, sf_dir):
     rows = fixture(spark, sf_dir, "mixed_rows").select("original_index", "row_id")
@@ -277,6 +299,12 @@ def f3_union(spark, sf_dir):
     return merge.union(rows.select("row_id", "data_source"), notes.select("row_id", "gt_action"))
 
 
+@query("select id, 'm' || cast(id as varchar) as messages from tool_cells where id % 6 in (0, 1, 2)")
+def e8_required_fields(spark, sf_dir):
+    rows = fixture(spark, sf_dir, "tool_cells").withColumn("messages", F.concat(F.lit("m"), F.col("id").cast("string")))
+    return merge.with_required(rows, F.size(ss.tool_items(F.col("tools"))) > 0, "id", "messages").select("id", "messages")
+
+
 @query("select row_id from mixed_rows where row_id not in (select row_id from mixed_annotations)")
 def f4_anti(spark, sf_dir):
     return merge.without(fixture(spark, sf_dir, "mixed_rows"), fixture(spark, sf_dir, "mixed_annotations")).select("row_id")
@@ -387,6 +415,24 @@ def g10_greedy_topk2(spark, sf_dir):
     return annotate.balanced_some(notes, counts, 2)
 
 
+_BATCH = "case when row_id < 60 then 0 when row_id < 200 then 1 else 2 end"
+
+
+def _running() -> str:
+    """Three batches, each with the counts after the ones before."""
+    steps = ["l as (select unnest(['A', 'B', 'C', 'D']) as gt_action)", "n0 as (select gt_action, 0::bigint as n from l)"]
+    for i in range(3):
+        steps.append(f"p{i} as (select row_id, min({{'n': n, 't': turn_idx, 'g': gt_action}}) as m from mixed_annotations join n{i} using (gt_action) where {_BATCH} = {i} group by row_id)")
+        steps.append(f"n{i + 1} as (select n{i}.gt_action, any_value(n) + count(p{i}.row_id) as n from n{i} left join p{i} on (m).g = n{i}.gt_action group by all)")
+    return "with " + ", ".join(steps) + " " + " union all ".join(f"select row_id, (m).t::bigint as turn_idx, (m).g as gt_action from p{i}" for i in range(3))
+
+
+@query(_running())
+def g10_running_counts(spark, sf_dir):
+    notes = fixture(spark, sf_dir, "mixed_annotations").select("row_id", "turn_idx", "gt_action", F.lit("low").alias("uq_target_type"))
+    return annotate.balanced_running(notes, F.expr(_BATCH), most=1)
+
+
 _GROUP = """g as (select group_key, avg(seq_ppl) filter (where pred_letter = gt_letter) as mc, avg(seq_ppl) filter (where pred_letter <> gt_letter and pred_letter <> '') as mw, count(*) as n from rollouts group by all)"""
 _FILL = f"""{_GROUP}, f as (select r.*, coalesce(case when pred_letter = gt_letter then seq_ppl end, mc, 1e0) as pg, coalesce(case when pred_letter <> gt_letter and pred_letter <> '' then seq_ppl end, mw, 1e0) as pn,
   case when n >= 8 then 'group_rollout:complete' else 'group_rollout:partial' end as margin_source from rollouts r join g using (group_key))"""
@@ -633,6 +679,21 @@ def h8_trajectory_reward(spark, sf_dir):
     return means.select("conv_id", "turn_idx", F.col("end_pos").alias("position"), F.round("score", 4).alias("reward"), "n")
 
 
+@query(f"""with {_PARSED} select conv_id, turn, case when conv_id % 2 = 0 then 0.5e0 else 1e0 end * round((r_fmt + least(2e0, r_align + case when letter is not null and coalesce(pa, '') <> '' then 0.5e0 else 0e0 end) + 0.5e0 * r_cls) / 6.15e0, 4) as score from a""")
+def i7_registered_scorer(spark, sf_dir):
+    source = F.when(F.col("conv_id") % 2 == 0, "cm2_main").otherwise("when2call")
+    rows = fixture(spark, sf_dir, "responses").withColumn("data_source", source)
+    return providers.scorer("mixed")(rows, ["conv_id", "turn"], weight=0.5).select("conv_id", "turn", "score")
+
+
+@query(f"""with {_TM}, s as (select conv_id, turn_idx, coalesce(min_by(content, turn) filter (where contains(content, '<tool_call>')), max_by(content, turn)) as c, bool_or(contains(content, '<tool_call>')) as tool from t where role = 'assistant' group by all),
+k as (select *, case when tool then 'B' when contains(lower(c), 'sorry') then 'D' when contains(c, '?') then 'C' end as label, trim(regexp_replace(c, '<think>.*?</think>', '', 'gis'), ' ' || chr(10)) as bare from s)
+select conv_id, turn_idx, label, case label when 'B' then 'tool_call' when 'C' then 'request_for_info' when 'D' then 'cannot_answer' end as action, case when tool then c when label is null then bare else trim(c, ' ' || chr(10)) end as answer from k""")
+def i4_turn_parse_judged(spark, sf_dir):
+    said = turns.tool_or_last(_marked(spark, sf_dir))
+    return reward.parse_with_judge(said, ["conv_id", "turn_idx"], "content", providers.rule_judge).drop("thought")
+
+
 @query()
 def h9_sentence_ppl(spark, sf_dir):
     msgs = _conversations(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.coalesce("content", F.lit("")).alias("text"))

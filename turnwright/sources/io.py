@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -80,17 +81,20 @@ def write_rows(df: DataFrame, path: str, mode: str = "error") -> None:
     json_stable(df).write.mode(mode).parquet(path)
 
 
-def write_json_array(df: DataFrame, path: str, mode: str = "error") -> None:
-    """JSON lines; a single JSON list is for small results (see ``json_array``)."""
-    df.write.mode(mode).json(path)
+def json_array(df: DataFrame) -> Iterator[str]:
+    """A pretty-printed JSON list, piece by piece and partition by partition: the driver holds one partition at a time."""
+    empty = True
+    for row in df.toJSON().toLocalIterator():
+        text = json.dumps(json.loads(row), ensure_ascii=False, indent=2).replace("\n", "\n  ")
+        yield ("[" if empty else ",") + "\n  " + text
+        empty = False
+    yield "[]\n" if empty else "\n]\n"
 
 
-def json_array(df: DataFrame, most: int = 100_000) -> str:
-    """A pretty-printed JSON list of at most ``most`` rows; raises beyond that."""
-    rows = df.limit(most + 1).toJSON().collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} rows; write JSON lines instead")
-    return json.dumps([json.loads(r) for r in rows], ensure_ascii=False, indent=2) + "\n"
+def write_json_array(df: DataFrame, path: str) -> None:
+    """The list as one file of the driver's; large tables are better written as JSON lines."""
+    with open(path, "w", encoding="utf-8") as out:
+        out.writelines(json_array(df))
 
 
 def write_split(df: DataFrame, path: str, split: str = "split", mode: str = "error") -> list[str]:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,6 +15,20 @@ MEMBERS = "event_id long, group_key string, ppl_gt double, ppl_neg double, margi
 STATE = "event_id array<long>, pred array<string>, gt array<string>, ppl array<double>"
 
 
+def expected_size(settings: Mapping[str, str]) -> int:
+    """How many rollouts a group has, from the first setting that is a positive number; 1 (no groups) without one."""
+    for name in ("REWARD_GROUP_MARGIN_EXPECTED_SIZE", "N_SAMPLES", "actor_rollout_ref.rollout.n"):
+        with contextlib.suppress(ValueError):
+            if (n := int(str(settings.get(name) or "").strip() or 0)) > 0:
+                return n
+    return 1
+
+
+def state_ttl_ms(timeout_ms: int) -> int:
+    """How long a group that nobody completes may be kept at most. Here none is: a group's time-out emits and removes it."""
+    return max(5_000, 10 * timeout_ms)
+
+
 def members(key: str, rows: pd.DataFrame, source: str) -> pd.DataFrame:
     """Margins of all members of one group, as the batch operator fills them."""
     right = (rows.pred == rows.gt) & (rows.pred != "")
