@@ -25,7 +25,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import uuid
-from collections import Counter
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,6 +44,8 @@ WINDOW = 12
 ROUNDS = 4
 PENALTY = 1e-4
 CELLS = 32**3
+#: Windows that are scored at once.
+BATCH = 20_000
 #: A sentence ends after a chunk with one of these at its end, closing marks aside.
 STOP = re.compile(r"[.!?…][\"'»”)\]]*\Z")
 _MARKS = re.compile(r"[\W_]+")
@@ -106,10 +108,12 @@ def norms(windows: list[str]) -> np.ndarray:
 
 def kernel(a: list[str], b: list[str]) -> np.ndarray:
     """Normalised kernel values of all windows of ``a`` with the landmarks ``b``."""
-    fb = np.ascontiguousarray(features(b).T)
-    out = np.zeros((len(a), len(b)), np.float64)
-    for i in range(0, len(a), 1000):
-        part = a[i : i + 1000]
+    fb = np.zeros((CELLS, len(b)), np.float32)
+    for i, row in enumerate(b):
+        fb[:, i] = features([row])[0]
+    out = np.zeros((len(a), len(b)), np.float32)
+    for i in range(0, len(a), 500):
+        part = a[i : i + 500]
         codes, begin = coded(part)
         total = np.zeros((len(part), len(b)), np.float32)
         for at, cell, weight in triples(codes):
@@ -134,6 +138,8 @@ def features(windows: list[str]) -> np.ndarray:
 
 def window_scores(windows: list[str], table: np.ndarray) -> np.ndarray:
     """The highest score of each window's runs of WINDOW characters under a folded table; 0 without subsequences."""
+    if len(windows) > BATCH:
+        return np.concatenate([window_scores(windows[i : i + BATCH], table) for i in range(0, len(windows), BATCH)])
     out = np.zeros(len(windows), np.float32)
     if not windows:
         return out
@@ -214,14 +220,19 @@ def sentences(text: str) -> list[list[str]]:
 
 def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = PENALTY, steps: int = 25) -> np.ndarray:
     """Weights and bias of a squared-hinge support vector machine, by Newton steps."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    ridge = penalty * weight.sum() * np.eye(x.shape[1])
+    n = x.shape[1] + 1
+    w = np.zeros(n)
+    ridge = penalty * weight.sum() * np.eye(n)
     ridge[-1, -1] *= 1e-3
     for _ in range(steps):
-        inside = y * (x @ w) < 1
-        xs, c = x[inside], weight[inside]
-        new = np.linalg.solve(xs.T @ (xs * c[:, None]) + ridge, xs.T @ (c * y[inside]))
+        square, side = np.zeros((n, n)), np.zeros(n)
+        for i in range(0, len(x), 2000):  # so that no copy of all rows is held
+            part = np.hstack([x[i : i + 2000], np.ones((len(x[i : i + 2000]), 1))])
+            inside = y[i : i + 2000] * (part @ w) < 1
+            xs, c = part[inside], weight[i : i + 2000][inside]
+            square += xs.T @ (xs * c[:, None])
+            side += xs.T @ (c * y[i : i + 2000][inside])
+        new = np.linalg.solve(square + ridge, side)
         if np.allclose(new, w, atol=1e-7):
             break
         w = new
@@ -278,37 +289,39 @@ def changed(words: list[str], rng: np.random.Generator) -> list[str]:
 
 def learn(rows: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int = ROUNDS) -> Model | None:
     """Fit on (text, label) rows."""
-    bags = [(sentences(t), int(y)) for t, y in rows]
-    n1 = sum(y for _, y in bags)
-    n0 = len(bags) - n1
+    label = np.array([int(y) for _, y in rows], np.int64)
+    n1 = int(label.sum())
+    n0 = len(label) - n1
     if not n1 or not n0:
         return None
+    # Windows by number; sentences are runs of numbers, so that the driver holds each window's text once.
     place: dict[str, int] = {}
-    flat, cuts, owner = [], [0], []
-    for d, (bag, _) in enumerate(bags):
-        for sentence in bag:
-            flat += [place.setdefault(w, len(place)) for w in sentence]
+    flat, cuts, owner = array("i"), [0], []
+    for d, (text, _) in enumerate(rows):
+        for sentence in sentences(text):
+            flat.extend(place.setdefault(w, len(place)) for w in sentence)
             cuts.append(len(flat))
             owner.append(d)
     vocabulary = list(place)
     idx, starts, owner = np.array(flat, np.int64), np.array(cuts[:-1], np.int64), np.array(owner, np.int64)
-    label = np.array([y for _, y in bags])
-    # In how many texts of each kind a window is.
-    pairs = np.unique(np.repeat(owner, np.diff(cuts)) * len(vocabulary) + idx)
-    document, window = pairs // max(1, len(vocabulary)), pairs % max(1, len(vocabulary))
-    in_toxic = np.bincount(window[label[document] == 1], minlength=len(vocabulary))
-    in_other = np.bincount(window[label[document] == 0], minlength=len(vocabulary))
-    stems_toxic, stems_other = Counter(), Counter()
-    for d, w in zip(document.tolist(), window.tolist()):
-        if len(vocabulary[w]) > 5:
-            (stems_toxic if label[d] else stems_other)[vocabulary[w][:5], d] = 1
-    stem_in = [Counter(k for k, _ in c) for c in (stems_toxic, stems_other)]
+
+    def in_texts(number: np.ndarray, count: int) -> list[np.ndarray]:
+        """In how many toxic and in how many clean texts each number is."""
+        both = np.unique(np.repeat(owner, np.diff(cuts)) * (count + 1) + number[idx])
+        document, name = both // (count + 1), both % (count + 1)
+        return [np.bincount(name[label[document] == y], minlength=count + 1) for y in (1, 0)]
+
+    in_toxic, in_other = (x[:-1] for x in in_texts(np.arange(len(vocabulary)), len(vocabulary)))
+    stem_number: dict[str, int] = {}
+    stem = np.array([stem_number.setdefault(w[:5], len(stem_number)) if len(w) > 5 else -1 for w in vocabulary], np.int64)
+    stem[stem < 0] = len(stem_number)  # a window without stem counts for none
+    stem_toxic, stem_other = in_texts(stem, len(stem_number))
 
     def odds(a, b):
         """Log odds of toxic texts, less about two standard errors."""
         return np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1)) - 2.0 / np.sqrt(a + 0.5)
 
-    stems = np.array([odds(stem_in[0][w[:5]], stem_in[1][w[:5]]) if len(w) > 5 else -9.0 for w in vocabulary])
+    stems = np.where(stem < len(stem_number), odds(stem_toxic, stem_other)[stem], -9.0)
     start = np.maximum(odds(in_toxic, in_other), stems)
     # A window that more clean than toxic texts have is no witness.
     common = (in_other > in_toxic) | (np.fromiter(map(len, vocabulary), np.int64, len(vocabulary)) < 3)
@@ -328,7 +341,7 @@ def learn(rows: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int =
         # The highest window of each sentence.
         top = highest(value[idx], starts, idx)
         strength = np.where(label[owner] == 1, value[top], -np.inf)
-        best = np.full(len(bags), -np.inf)
+        best = np.full(len(rows), -np.inf)
         np.maximum.at(best, owner, strength)
         # All of a toxic text's sentences that stand out as clearly as its best one bear witness; none where none does.
         bear = (strength > floor) & (strength > best[owner] - (1.5 if turn == 0 else 0.5))
@@ -357,16 +370,19 @@ def learn(rows: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int =
         extra = [changed(some + some, rng), changed([w for w in words[1][:1500] + words[1][-1500:] if len(w) >= 4], rng)]
         heft = [witness[positive].astype(float) ** 0.5, np.maximum(1, in_other[negative]) ** 0.5]
         heft_extra = [np.array([witness[place[w]] for w in some + some], float) ** 0.5 * 0.5, np.ones(len(extra[1]))]
-        x = kernel([*words[0], *extra[0], *words[1], *extra[1]], marks) @ root
+        x = kernel([*words[0], *extra[0], *words[1], *extra[1]], marks) @ root.astype(np.float32)
         ups, downs = (np.concatenate([heft[k], heft_extra[k]]) for k in (0, 1))
         y = np.concatenate([np.ones(len(ups)), -np.ones(len(downs))])
         w = fit_svm(x, y, np.concatenate([ups * (downs.sum() / ups.sum()), downs]))
-        table, bias = ((root @ w[:-1]) @ features(marks)).astype(np.float32), float(w[-1])
+        table = np.zeros(CELLS, np.float32)
+        for mark, share in zip(marks, root @ w[:-1]):
+            table += np.float32(share) * features([mark])[0]
+        bias = float(w[-1])
         scores, floor = window_scores(vocabulary, table) + bias, 0.0
     # A logistic curve over the texts' scores, with its middle where the fewest texts are on the wrong side.
-    m = np.full(len(bags), bias)
+    m = np.full(len(rows), bias)
     if len(idx):
-        inner = np.full(len(bags), -np.inf)
+        inner = np.full(len(rows), -np.inf)
         np.maximum.at(inner, owner, np.maximum.reduceat(scores[idx], starts))
         m = np.where(np.isinf(inner), bias, inner)
     slope, _ = platt(m, label)
