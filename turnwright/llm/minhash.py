@@ -276,17 +276,21 @@ def verdicts(base: DataFrame, ids: DataFrame, similarity: float = SIMILARITY) ->
                 made = signatures(doc, sh, times * weights.value.of(sh), len(part))
                 full = np.flatnonzero(np.bincount(doc, minlength=len(part)))
                 row = pa.array(np.repeat(np.array(part, np.int64)[full], BANDS))
-                band = np.tile(np.arange(BANDS, dtype=np.int32), len(full))
-                columns = [b.column("h1").take(row), b.column("h2").take(row), pa.array(band), pa.array(made[full].reshape(-1).view(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "band", "key"])
-
-    banded = write_table(usable.mapInArrow(sign, "h1 long, h2 long, band int, key long"), "minhash-bands")
-    bucket = ["band", "key"]
-    # Buckets of two or more texts.
-    banded = banded.groupBy(*bucket, *text).agg(F.lit(1).alias("_")).drop("_")
-    sizes = banded.groupBy(*bucket).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = banded.join(sizes, bucket).join(exact.select(*text, "node", "bytes"), text).drop(*text)
-    members = write_table(members, "minhash-members")
+                key = made[full] ^ keyed(np.arange(BANDS, dtype=np.uint64), 5)  # a bucket's name, its band included
+                yield pa.RecordBatch.from_arrays([b.column("h1").take(row), pa.array(mix(key).reshape(-1).view(np.int64))], names=["h1", "key"])
+
+    banded = write_table(usable.mapInArrow(sign, "h1 long, key long"), "minhash-bands")
+    # Buckets of two or more texts. Texts go by one of their hashes here: two of one hash would both be members.
+    sizes = banded.groupBy("key").agg(F.min("h1").alias("least"), F.max("h1").alias("most")).where("least <> most").select("key")
+    sizes = write_table(sizes, "minhash-buckets")
+    members = banded.join(broadcast_if_small(sizes, sizes.count()), "key", "left_semi").groupBy("key", "h1").agg(F.lit(1).alias("_")).drop("_")
+    members = write_table(members.join(exact.select("h1", "node", "bytes"), "h1").drop("h1"), "minhash-joined")
+    # Buckets of the same members are one.
+    seen = [F.bit_xor(F.xxhash64(F.lit(seed), "node")).alias(f"x{seed}") for seed in (1, 2)]
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *seen)
+    sizes = sizes.groupBy("size", "x1", "x2").agg(F.min("key").alias("key")).select("key", "size")
+    bucket = ["key"]
+    members = write_table(members.join(broadcast_if_small(sizes, sizes.count()), bucket), "minhash-members")
     central = members.groupBy("node").agg(F.sum("size").alias("mates"))
     led = members.select(*bucket, "node").join(central, "node").groupBy(*bucket)
     leaders = led.agg(F.max(F.struct("mates", (-F.col("node")).alias("minus"))).alias("m")).select(
