@@ -28,11 +28,13 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
 #: Bytes of an Arrow batch between Spark and Python: texts are large, and two workers share an executor's memory.
-BATCH_BYTES = "8388608b"
+BATCH_BYTES = "2097152b"
 
 
 def prepared(spark: SparkSession) -> SparkSession:
     """The session, its workers able to import this package, and Arrow batches small unless they were set."""
+    # Workers give memory back to the system; the default pool keeps it.
+    spark.sparkContext.environment.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key, None) == "67108864b":  # Spark's default
         spark.conf.set(key, BATCH_BYTES)
@@ -76,7 +78,7 @@ def write_table(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
 
 
 #: Chunks that a lexicon works on at once.
-STEP = 20_000
+STEP = 10_000
 
 
 class Lexicon:
@@ -85,7 +87,7 @@ class Lexicon:
     ``compute`` maps a list of new chunks to a list of numpy arrays (one row a chunk each).
     Beyond ``limit`` chunks the store starts anew, so memory stays bounded."""
 
-    def __init__(self, compute: Callable[[list[str]], list[np.ndarray]], limit: int = 250_000):
+    def __init__(self, compute: Callable[[list[str]], list[np.ndarray]], limit: int = 120_000):
         self.compute, self.limit = compute, limit
         self.index: dict[str, int] = {}
         self.rows: list[np.ndarray] = []
@@ -127,7 +129,7 @@ def worker_state(key, make: Callable):
     return _STATE[key]
 
 
-def text_slices(texts: list, most: int = 1_500_000, free: bool = True) -> Iterator[slice]:
+def text_slices(texts: list, most: int = 750_000, free: bool = True) -> Iterator[slice]:
     """Runs of consecutive texts of about ``most`` characters; a longer text stands alone.
 
     After the last one unused memory is released, if ``free``: two workers share an executor with its JVM."""
@@ -261,6 +263,7 @@ def with_facts(rows: DataFrame, facts: DataFrame, key: list[str], size: str, hot
     drop = [f"_k{i}" for i in range(len(key))]
     rows = rows.join(often, match(F.col(key[0])), "left").drop(*drop)
     seldom = facts.where(F.col(size) <= hot).select(*side, packed.alias("_seldom"))
+    seldom = broadcast_if_small(seldom, seldom.count())
     # A row that is settled, or has no key, takes a random one, so that such rows spread out.
     there = F.col("_often").isNull() & F.col(key[0]).isNotNull()
     rows = rows.withColumn("_key", F.when(there, F.col(key[0])).otherwise(F.xxhash64(F.monotonically_increasing_id())))

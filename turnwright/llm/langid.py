@@ -216,7 +216,7 @@ def document_frequencies(batches) -> np.ndarray:
             found[i] = part
         return [found]
 
-    lexicon = Lexicon(compute, limit=200_000)
+    lexicon = Lexicon(compute, limit=80_000)
     for pdf in batches:
         texts = [t or "" for t in pdf["text"]]
         for part in text_slices(texts):

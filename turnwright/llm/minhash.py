@@ -268,7 +268,7 @@ def verdicts(base: DataFrame, ids: DataFrame, similarity: float = SIMILARITY) ->
             names = list(zip(b.column("h1").to_pylist(), b.column("h2").to_pylist()))
             # One of each text that this task has met of late; the rest are told apart later.
             fresh = [i for i, k in enumerate(names) if k not in seen and not seen.add(k)]
-            if len(seen) > 200_000:
+            if len(seen) > 20_000:
                 seen = set()
             for s in text_slices([texts[i] for i in fresh]):
                 part = fresh[s]

@@ -99,7 +99,7 @@ class ChunkEncoder:
     white-space chunks one after the other; the ids of distinct chunks are kept between texts. New chunks go to
     the library many at a time. see ``Store``."""
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 600_000):
         from tokenizers import Tokenizer
 
         self.path, self.limit = path, limit
@@ -291,7 +291,7 @@ class ChunkEncoder:
 
 
 #: Characters that are worked on at once; a longer run without white space stands alone.
-SLICE = 500_000
+SLICE = 200_000
 
 _SPACE = re.compile(r"[ \t\n\x0b\x0c\r]")
 
@@ -317,7 +317,7 @@ _RANDOM = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64)
 _POWERS: list[np.ndarray] = []
 
 
-def distinct(keys: np.ndarray, bits: int = 19) -> tuple[np.ndarray, np.ndarray]:
+def distinct(keys: np.ndarray, bits: int = 17) -> tuple[np.ndarray, np.ndarray]:
     """(places of the distinct keys, number of each key among them): by a table of slots, clashes by sorting."""
     slot = (keys >> np.uint64(64 - bits)).astype(np.int64)
     table = np.zeros(1 << bits, np.int32)
@@ -364,7 +364,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2^64."""
     if not _POWERS or len(_POWERS[0]) < n:
         base = 0x9E3779B97F4A7C15
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         out = []
         for x in (base, pow(base, -1, 1 << 64)):
             p = np.full(size, x, np.uint64)
