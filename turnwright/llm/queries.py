@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnwright.llm import bpe, langid, licenses, minhash, packing, quality, sharding, toxicity, vectors, wavelet
+from turnwright.llm import bpe, branches, curriculum, langid, licenses, minhash, negatives, packing, quality, sharding, toxicity, vectors, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,18 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op11_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curriculum.mixed(table(spark, sf_dir, "documents"))
+
+
+def op12_branch_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return branches.merged(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
@@ -67,6 +79,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_wavelet_shards": op9_wavelet_shards,
     "op10_bpe_round_trip": op10_bpe_round_trip,
+    "op11_curriculum_mix": op11_curriculum_mix,
+    "op12_branch_merge": op12_branch_merge,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 _STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(quality.STOP_WORDS))
@@ -103,4 +118,7 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from b
 """,
     "op6_license_scan": licenses.duckdb_sql(),
+    "op11_curriculum_mix": curriculum.duckdb_sql(),
+    "op12_branch_merge": branches.duckdb_sql(),
+    "op13_hard_negatives": negatives.duckdb_sql(),
 }
