@@ -42,6 +42,8 @@ CHUNK = 4096
 CHUNK_BYTES = 4 << 20
 BLOCK = 1024
 SENT = 64 << 20
+#: Bytes of counts that a task holds.
+HELD = 64 << 20
 #: Scores that are looked at together.
 CELLS = 1 << 20
 
@@ -97,7 +99,7 @@ def blocks(windows: DataFrame, anchors: DataFrame, count: int, kind: str) -> Dat
         width, b = table.column("width")[0].as_py(), table.column("b")[0].as_py()
         n, first, at = np.unique(col("n"), return_index=True, return_inverse=True)
         q = np.array([table.column("q")[int(i)].as_py() for i in first], np.float64).reshape(len(n), width).astype(kind)
-        data = {"n": n, "label": col("label")[first], "q": q, "at": at} | {c: col(c).astype(np.int64) for c in names}
+        data = {"name": (width, b), "n": n, "label": col("label")[first], "q": q, "at": at} | {c: col(c).astype(np.int64) for c in names}
         return pa.table({"width": pa.array([width], pa.int32()), "b": pa.array([b], pa.int32()), "block": pa.array([pickle.dumps(data)], pa.binary())})
 
     mine = windows.select("n", *names).join(anchors.select("n", "label", "q"), "n")
@@ -136,35 +138,47 @@ def bucket_of(block: dict, chunk: dict, i: np.ndarray, j: np.ndarray, s: np.ndar
 
 
 def each_pair(chunks: DataFrame, made: DataFrame, count: int, send: bool, work: Callable, schema: str) -> DataFrame:
-    """``work(chunk, block)``, a dict of arrays, for every block and chunk of one length."""
+    """What ``work`` makes, as dicts of arrays, of the pairs (chunk, block) of one length that a task has."""
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
-            for c, k in zip(b.column("chunk"), b.column("block")):
-                out = work(pickle.loads(c.as_py()), pickle.loads(k.as_py()))
-                yield pa.RecordBatch.from_arrays([pa.array(out[x]) for x in names], names=names)
+        pairs = ((pickle.loads(c.as_py()), pickle.loads(k.as_py())) for b in batches for c, k in zip(b.column("chunk"), b.column("block")))
+        for out in work(pairs):
+            yield pa.RecordBatch.from_arrays([pa.array(out[x]) for x in names], names=names)
 
     dealt = chunks.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
     return dealt.join(F.broadcast(made) if send else made, ["width", "b"]).select("chunk", "block").mapInArrow(run, schema)
 
 
-def histogram(chunk: dict, block: dict, same: bool) -> dict:
-    """n, p, digit, rows: how many rows of each window's bucket have a digit."""
-    keys, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i, j, s in met(chunk, block, same):
-        inside, digit = bucket_of(block, chunk, i, j, s)
-        if inside.any():
-            first = i.min()
-            count = np.bincount(((i[inside] - first) << DIGIT) + digit[inside])
-            some = np.flatnonzero(count)
-            keys.append(some + (first << DIGIT))
-            rows.append(count[some])
-    key = np.concatenate(keys)
-    w = key >> DIGIT
-    return {"n": block["n"][block["at"][w]], "p": block["p"][w].astype(np.int32), "digit": (key & ((1 << DIGIT) - 1)).astype(np.int32), "rows": np.concatenate(rows)}
+def histograms(pairs: Iterator[tuple[dict, dict]], same: bool) -> Iterator[dict]:
+    """n, p, digit, rows: how many rows of each window's bucket have a digit; a task's counts are added up, within ``HELD``."""
+    held: dict[tuple, tuple[dict, np.ndarray]] = {}
+
+    def told() -> Iterator[dict]:
+        for block, counts in held.values():
+            key = np.flatnonzero(counts)
+            w = key >> DIGIT
+            digit = (key & ((1 << DIGIT) - 1)).astype(np.int32)
+            yield {"n": block["n"][block["at"][w]], "p": block["p"][w].astype(np.int32), "digit": digit, "rows": counts[key]}
+        held.clear()
+
+    for chunk, block in pairs:
+        name = tuple(block["name"])
+        if name not in held:
+            size = len(block["at"]) << DIGIT
+            if held and 8 * (size + sum(len(c) for _, c in held.values())) > HELD:
+                yield from told()
+            held[name] = ({c: block[c] for c in ("n", "at", "p")}, np.zeros(size, np.int64))
+        counts = held[name][1]
+        for i, j, s in met(chunk, block, same):
+            inside, digit = bucket_of(block, chunk, i, j, s)
+            if inside.any():
+                first = int(i[0])
+                found = np.bincount(((i[inside] - first) << DIGIT) + digit[inside])
+                counts[first << DIGIT : (first << DIGIT) + len(found)] += found
+    yield from told()
 
 
 def qualifying(chunk: dict, block: dict, same: bool) -> dict:
@@ -200,7 +214,7 @@ def select(windows: DataFrame, anchors: DataFrame, chunks: DataFrame, same: bool
     now = write_table(now, "negatives-windows")
     while not now.where("open").isEmpty():
         made = blocks(now.where("open"), anchors, count, kind)
-        seen = each_pair(chunks, made, count, send, lambda c, b: histogram(c, b, same), "n long, p int, digit int, rows long")
+        seen = each_pair(chunks, made, count, send, lambda pairs: histograms(pairs, same), "n long, p int, digit int, rows long")
         seen = seen.groupBy("n", "p", "digit").agg(F.sum("rows").alias("rows"))
         upto = F.sum("rows").over(Window.partitionBy("n", "p").orderBy("digit"))  # a window's digits: 256 rows at most
         seen = seen.withColumn("upto", upto).join(now.where("open").select("n", "p", "rest"), ["n", "p"])
@@ -222,7 +236,7 @@ def select(windows: DataFrame, anchors: DataFrame, chunks: DataFrame, same: bool
         )
         now = write_table(nxt, "negatives-windows")
     made = blocks(now, anchors, count, kind)
-    found = each_pair(chunks, made, count, send, lambda c, b: qualifying(c, b, same), "n long, p int, score long, vec_id long, copies long")
+    found = each_pair(chunks, made, count, send, lambda pairs: (qualifying(c, b, same) for c, b in pairs), "n long, p int, score long, vec_id long, copies long")
     found = found.groupBy("n", "p", "score", "vec_id").agg(F.sum("copies").alias("copies"))
     before = F.sum("copies").over(Window.partitionBy("n", "p").orderBy(F.desc("score"), "vec_id")) - F.col("copies")
     found = found.withColumn("before", before).join(windows.select("n", "p", "need"), ["n", "p"]).where("before < need")
