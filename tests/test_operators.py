@@ -292,7 +292,7 @@ def greedy(notes, counts, most):
     return taken
 
 
-def test_greedy_choices(spark):
+def test_greedy_choices(spark, tmp_path):
     """Up to three annotations by snapshot, and in batches whose counts go on."""
     import random
 
@@ -312,11 +312,11 @@ def test_greedy_choices(spark):
         for _, _, g in chosen:
             now[g] = now.get(g, 0) + 1
         want += chosen
-    got = annotate.balanced_running(df, F.floor(F.col("row_id") / 10), most=2).collect()
+    got = annotate.balanced_running(df, F.floor(F.col("row_id") / 10), str(tmp_path / "a"), most=2).collect()
     assert sorted((r.row_id, r.turn_idx, r.gt_action) for r in got) == sorted(want)
-    assert annotate.balanced_running(df.where("false"), F.lit(0)).count() == 0
-    with pytest.raises(ValueError):
-        annotate.balanced_running(df, F.col("row_id"), batches=5)
+    assert annotate.balanced_running(df.where("false"), F.lit(0), str(tmp_path / "b")).count() == 0
+    with pytest.raises(Exception, match="without a batch"):
+        annotate.balanced_running(df, F.lit(None), str(tmp_path / "c"))
 
 
 def test_required_fields(spark):
@@ -364,39 +364,3 @@ def test_json_array_sink(spark, tmp_path):
     want = [json.loads(r) for r in df.toJSON().collect()]
     assert text == json.dumps(want, ensure_ascii=False, indent=2) + "\n"
     assert "".join(io.json_array(df.where("false"))) == "[]\n"
-
-
-def test_group_settings():
-    from turnwright.streaming.group_margin import expected_size, state_ttl_ms
-
-    assert expected_size({}) == 1 and expected_size({"N_SAMPLES": "8"}) == 8
-    assert expected_size({"REWARD_GROUP_MARGIN_EXPECTED_SIZE": "x", "N_SAMPLES": "-1", "actor_rollout_ref.rollout.n": "16"}) == 16
-    assert (state_ttl_ms(100), state_ttl_ms(2000)) == (5000, 20000)
-
-
-def test_object_among_many_braces(spark):
-    """One pass over a reply of unbalanced braces; the last whole object counts, not one inside it."""
-    texts = ["{" * 20_000 + '{"a":1}' + "}" * 5, 'x {"a":{"b":1}} y {"c":{"d":2}} {', '{"a":1} {bad}', "}{"]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    got = [r.v for r in df.select("i", ss.object_in_text("t").alias("v")).orderBy("i").collect()]
-    assert got == ['{"a": 1}', '{"c": {"d": 2}}', '{"a": 1}', None]
-
-
-def test_sentence_perplexities(spark):
-    """Each word goes to the sentence that its first letter is in, also where a word runs over an end."""
-    import re
-
-    from turnwright.operators import providers
-
-    texts = ["One two. Three!four five", "", "   ", "a;b c\nd", "x"]
-    df = spark.createDataFrame([(i, t, [-0.1 * (k + 1) for k in range(len(t.split()))]) for i, t in enumerate(texts)], "id long, t string, lp array<double>")
-    got = {(r.id, r.sentence): (r.ppl, r.token_count) for r in providers.sentence_perplexities(df, "id", "t", "lp").collect()}
-    want = {}
-    for i, t in enumerate(texts):
-        pieces = [m for m in re.finditer(r"[^.!?;\n]*[.!?;\n]|[^.!?;\n]+$", t) if m[0].strip()]
-        words = [(m.start(), 0.1 * (k + 1)) for k, m in enumerate(re.finditer(r"\S+", t))]
-        for n, p in enumerate(pieces):
-            mine = [x for at, x in words if p.start() <= at < p.end()]
-            if mine:
-                want[(i, n)] = (pytest.approx(math.exp(sum(mine) / len(mine))), len(mine))
-    assert got == want

@@ -215,34 +215,36 @@ def tool_surface(texts: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.StringType())
 def object_in_text(texts: pd.Series) -> pd.Series:
-    """The JSON object in a model's reply: the whole text, else a fenced block (last first), else the last balanced braces."""
+    """The JSON object in a model's reply: the whole text, else a fenced block (last first), else the last braces that are one.
+
+    Braces are tried from the right, so that of an object inside another the inner one counts. When a brace is tried, none to
+    its right was an object; one with another brace in it is therefore none, either, and each try ends at the next
+    brace outside a string: the work is linear in the text."""
     import re
 
-    decoder = json.JSONDecoder()
+    fence = re.compile(r"```(?:\s*json)?\s*(.*?)\s*```", re.S | re.I)
+    flat = re.compile(r'\{(?:[^{}"]|"(?:[^"\\]|\\.)*+")*+\}', re.S)
 
     def as_object(s):
         try:
             v = json.loads(s)
-        except ValueError:
+        except (ValueError, RecursionError):
             return None
         if isinstance(v, list):
             v = next((x for x in reversed(v) if isinstance(x, dict)), None)
         return v if isinstance(v, dict) else None
 
+    def tries(text):
+        yield text
+        yield from (t.strip() for t in reversed(fence.findall(text)))
+        at = text.rfind("{")
+        while at >= 0:
+            if m := flat.match(text, at):
+                yield m[0]
+            at = text.rfind("{", 0, at)
+
     def one(text):
-        text = (text or "").strip()
-        tries = [text, *reversed(re.findall(r"```(?:json)?\s*(.*?)```", text, re.S | re.I))]
-        for t in tries:
-            if (v := as_object(t.strip())) is not None:
-                return json.dumps(v, ensure_ascii=False, sort_keys=True)
-        # One pass: an object that decodes is stepped over whole, so that none inside it counts.
-        last, i = None, text.find("{")
-        while i >= 0:
-            try:
-                last, end = decoder.raw_decode(text, i)
-            except ValueError:
-                end = i + 1
-            i = text.find("{", end)
-        return None if last is None else json.dumps(last, ensure_ascii=False, sort_keys=True)
+        found = next((v for t in tries((text or "").strip()) if (v := as_object(t)) is not None), None)
+        return None if found is None else json.dumps(found, ensure_ascii=False, sort_keys=True)
 
     return texts.map(one)

@@ -367,6 +367,11 @@ def sentence_spans(text: Column) -> Column:
     return F.aggregate(every(text, "[^.!?;\n]*[.!?;\n]|[^.!?;\n]+$"), zero, step, lambda acc: acc["out"])
 
 
+def raw_sentences(text: Column) -> Column:
+    """(raw, body) of the stretches up to each end mark; the body is stripped, and may be empty."""
+    return F.transform(every(text, "[^.!?;\n]*[.!?;\n]|[^.!?;\n]+$"), lambda x: F.struct(x.alias("raw"), strip(x).alias("body")))
+
+
 def f1_tokens(text: Column) -> Column:
     """Lower-case runs of ASCII letters, digits and underscores."""
     return every(F.lower(F.coalesce(text, F.lit(""))), "[A-Za-z0-9_]+")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from turnwright.functions import classify
 from turnwright.functions import text as tx
 from turnwright.operators.turns import KEY, first_assistant
+from turnwright.sources.io import write_parts
 
 ANNOTATION = (
     "turn_idx int, gt_action string, gt_action_name string, uq_target_type string, reason_type string, rationale string, "
@@ -118,24 +119,26 @@ def balanced_some(annotations: DataFrame, counts: dict[str, int], most: int = 2)
     return rows.select("row_id", F.explode("taken").alias("a")).select("row_id", "a.turn_idx", "a.gt_action")
 
 
-def balanced_running(annotations: DataFrame, batch: Column, counts: dict[str, int] | None = None, most: int = 2, batches: int = 1_000) -> DataFrame:
+def balanced_running(annotations: DataFrame, batch: Column, path: str, counts: dict[str, int] | None = None, most: int = 2) -> DataFrame:
     """``balanced_some`` in batches, one after the other: each sees the counts with the choices of the batches before it.
 
     ``batch`` numbers the rows' batches. Counts that every single row renews would need all rows in one task; a batch
-    is the unit instead, so that the choice is the same at any partitioning. The driver holds a count a label and
-    starts one job a batch, of at most ``batches``."""
-    numbered = annotations.withColumn("_batch", batch)
-    numbers = [r[0] for r in numbered.select("_batch").distinct().orderBy("_batch").limit(batches + 1).collect()]
-    if len(numbers) > batches:
-        raise ValueError(f"more than {batches} batches")
+    is the unit instead, so that the choice is the same at any partitioning. The rows are written below ``path`` once,
+    a folder a batch; a batch reads its own folder, writes its choices beside it and adds what it wrote to the count table, one
+    number a label. The result is what the batches wrote. Rows without a batch raise an error."""
+    known = annotations.withColumn("_batch", F.coalesce(batch.cast("long"), F.raise_error(F.lit("a row without a batch")).cast("long")))
+    rows = write_parts(known, F.col("_batch"), f"{path}/rows").drop("_batch")
     now = dict(counts or {})
-    out = None
+    numbers = sorted(r[0] for r in rows.select("part").distinct().collect())
+    spark = annotations.sparkSession
     for number in numbers:
-        chosen = balanced_some(numbered.where(F.col("_batch").eqNullSafe(F.lit(number))).drop("_batch"), now, most)
-        for r in chosen.groupBy("gt_action").agg(F.count(F.lit(1)).alias("n")).collect():
-            now[r["gt_action"]] = now.get(r["gt_action"], 0) + r["n"]
-        out = chosen if out is None else out.unionByName(chosen)
-    return balanced_some(annotations, now, most) if out is None else out
+        chosen = balanced_some(rows.where(F.col("part") == number).drop("part"), now, most)
+        chosen.write.mode("overwrite").parquet(f"{path}/chosen/batch={number}")
+        for r in spark.read.parquet(f"{path}/chosen/batch={number}").groupBy("gt_action").count().collect():
+            now[r["gt_action"]] = now.get(r["gt_action"], 0) + r["count"]
+    if not numbers:
+        return balanced_some(annotations, now, most)
+    return spark.read.schema("row_id long, turn_idx long, gt_action string, batch long").parquet(f"{path}/chosen").drop("batch")
 
 
 def enriched(annotations: DataFrame, row: str = "row_id") -> DataFrame:

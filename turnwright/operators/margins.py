@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnwright.functions import uncertainty as uq
@@ -69,6 +71,47 @@ def with_random_negatives(fields: DataFrame) -> DataFrame:
     return fields.withColumn("neg_letter", F.when(F.col("neg_type") == "random", pick).otherwise(F.col("neg_letter")))
 
 
-def seen_together(rollouts: DataFrame) -> DataFrame:
-    """Rollouts with their group's size, as a window (for small groups)."""
-    return rollouts.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("group_key")))
+def ladder(
+    rollouts: DataFrame,
+    strict: Callable[[DataFrame], DataFrame] | None = None,
+    mode: str = "default",
+    expected: int = 8,
+    tau: float = 0.1,
+    weight: float = 1.0,
+    digits: int = 6,
+) -> DataFrame:
+    """Runtime fields step by step: own perplexity, then strict scores of routed rows, then group terms for the rest.
+
+    A rollout's own perplexity is that of its side. ``strict`` adds ``strict_ppl`` to rows with ``letter``; only routed
+    rows get it, and only for the side that is still open, so that no call is made for what is known. Rows with an open
+    side after that are the members of the groups: means are theirs alone. The source is ``neutral`` or the route, or
+    that of the group where one was asked. Without groups (``expected`` 1) a side may stay null; the margin is 0 then."""
+    key, gt = F.col("rollout_key"), F.col("gt_letter")
+    way = uq.route(key, mode)
+    rows = rollouts.select("*", way.alias("neg_type"))
+    negative = F.when(F.col("neg_type") == "hard", uq.hard_negative(gt)).when(F.col("neg_type") == "random", uq.random_negative(gt, key))
+    rows = rows.select("*", negative.alias("neg_letter"), F.when(_right(), F.col("seq_ppl")).alias("_gt"), F.when(_wrong(), F.col("seq_ppl")).alias("_neg"))
+    if strict:
+        for side, letter in (("_gt", "gt_letter"), ("_neg", "neg_letter")):
+            ask = F.col(side).isNull() & (F.col("neg_type") != "none") & (F.coalesce(F.col(letter), F.lit("")) != "")
+            scored = strict(rows.where(ask).withColumn("letter", F.col(letter))).withColumn(side, F.col("strict_ppl"))
+            rows = rows.where(~ask).unionByName(scored.select(rows.columns))
+    source = F.when(F.col("neg_type") == "none", F.lit("neutral")).otherwise(F.col("neg_type"))
+    both = F.col("_gt").isNotNull() & F.col("_neg").isNotNull()
+    named = rows.withColumn("margin_source", source)
+    if expected > 1:
+        group = filled(rows.where(~both), expected)
+        group = group.withColumn("_gt", F.coalesce("_gt", "ppl_gt")).withColumn("_neg", F.coalesce("_neg", "ppl_neg"))
+        named = named.where(both).unionByName(group.select(named.columns))
+    margin = F.coalesce(F.round(F.col("_neg") - F.col("_gt"), digits), F.lit(0.0))
+    return named.select(
+        *rollouts.columns,
+        F.lit(tau).alias("tau"),
+        F.lit(weight).alias("lambda"),
+        "neg_type",
+        "neg_letter",
+        F.round("_gt", digits).alias("ppl_gt"),
+        F.round("_neg", digits).alias("ppl_neg"),
+        margin.alias("margin"),
+        "margin_source",
+    )

@@ -6,15 +6,18 @@ worker by a factory, so that clients and models need not be pickled. A failing c
 from __future__ import annotations
 
 import json
-import re
+import uuid
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, as_completed, wait
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnwright.sources.io import write_parts
+
 Provider = Callable[[list[dict]], list[str | None]]
 
 #: Scorers and reward managers by name: functions of a DataFrame, key columns and options that return a DataFrame.
@@ -58,27 +61,66 @@ def rule_labeller() -> Provider:
 
 
 def calls(df: DataFrame, prompt: str, factory: Callable[[], Provider] = no_provider, column: str = "reply", workers: int = 8, batch: int = 32) -> DataFrame:
-    """Add each row's reply; batches go out from a pool of threads, and order is kept."""
+    """Add each row's reply, in the order in which the calls end.
+
+    A pool of ``workers`` threads asks for ``batch`` rows at once. At most twice as many requests as workers are
+    under way, over the whole partition and not by Arrow batch: a slow request holds up no others, and a task holds no
+    more rows than these."""
     schema = df.schema.simpleString()[len("struct<") : -1]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         provider = factory()
 
-        def ask(requests: list[dict]) -> list[str | None]:
+        def ask(rows: pd.DataFrame) -> pd.DataFrame:
+            requests = [{"prompt": p} for p in rows[prompt]]
             try:
-                return provider(requests)
+                replies = provider(requests)
             except Exception:  # noqa: BLE001 - one failed request must not lose the rows
-                return [None] * len(requests)
+                replies = [None] * len(rows)
+            return rows.assign(**{column: pd.Series(replies, index=rows.index, dtype=object)})
 
+        slices = (pdf.iloc[i : i + batch] for pdf in parts for i in range(0, len(pdf), batch))
         with ThreadPoolExecutor(workers) as pool:
-            for pdf in parts:
-                requests = [{"prompt": p} for p in pdf[prompt]]
-                slices = [requests[i : i + batch] for i in range(0, len(requests), batch)]
-                yield pdf.assign(**{column: [r for s in pool.map(ask, slices) for r in s]})
+            flight: set[Future] = set()
+            for rows in slices:
+                flight.add(pool.submit(ask, rows))
+                if len(flight) >= 2 * workers:
+                    done, flight = wait(flight, return_when=FIRST_COMPLETED)
+                    yield from (f.result() for f in done)
+            yield from (f.result() for f in as_completed(flight))
 
     return df.mapInPandas(run, f"{schema}, {column} string".replace(":", " "))
 
 
+def saved_calls(df: DataFrame, key: str, prompt: str, path: str, factory: Callable[[], Provider] = no_provider, every: int = 100_000, column: str = "reply", **options) -> DataFrame:
+    """``calls`` whose replies are saved below ``path`` after about ``every`` rows each, so that a new start asks for the rest only.
+
+    Rows whose key has a saved reply are not asked about; those without a reply are, again. They are written once, a
+    folder a part, and a part's replies are saved when all of it is done. ``df`` may have repeated keys: they share a reply. The result is
+    ``df`` with the saved replies, null where there is none."""
+    spark = df.sparkSession
+
+    def saved() -> DataFrame:
+        try:
+            return spark.read.schema(f"{key} {dict(df.dtypes)[key]}, {column} string").parquet(f"{path}/replies/*")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return df.select(key, F.lit(None).cast("string").alias(column)).where("false")
+
+    asked = df.select(key, prompt).where(F.col(key).isNotNull()).dropDuplicates([key])
+    open_ = asked.join(saved(), key, "left_anti")
+    count = open_.count()
+    if count:
+        run = f"{path}/pending-{uuid.uuid4().hex}"
+        parts = -(-count // every)
+        rows = write_parts(open_, F.pmod(F.xxhash64(key), F.lit(parts)), run)
+        for number in range(parts):
+            mine = calls(rows.where(F.col("part") == number).drop("part"), prompt, factory, column, **options)
+            mine.where(F.col(column).isNotNull()).select(key, column).write.parquet(f"{path}/replies/{uuid.uuid4().hex}")
+    return df.join(saved().groupBy(key).agg(F.min(column).alias(column)), key, "left")
+
+
 def judged(df: DataFrame, known: str, prompt: str, factory: Callable[[], Provider] = no_provider) -> DataFrame:
     """Rows whose ``known`` column is null are asked about; two branches, so that no call is made for the others."""
     rest = calls(df.where(F.col(known).isNull()), prompt, factory)
@@ -102,27 +144,51 @@ def length_scorer() -> Provider:
     return lambda requests: [json.dumps([-len(w) / 10 for w in r["prompt"].split()]) for r in requests]
 
 
-_WORD = re.compile(r"\S+")
+def token_ranges(text: str, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """First and end of every decoded token in the text, looked for from the end of the one before.
+
+    A token that is not found (half a character, say) is taken to stand where the search is."""
+    at, first, end = 0, [], []
+    for piece in pieces:
+        found = text.find(piece, at) if piece else at
+        at = max(found, at) if found >= 0 else at
+        first.append(at)
+        at += len(piece)
+        end.append(at)
+    return np.array(first, np.int64), np.array(end, np.int64)
 
 
-def sentence_perplexities(df: DataFrame, key: str, text: str, logprobs: str) -> DataFrame:
-    """(key, sentence, ppl, token_count): words stand for tokens, each aligned to the sentence that holds it.
+def sentence_perplexities(df: DataFrame, key: str, text: str, pieces: str, nlls: str) -> DataFrame:
+    """(key, sentence, ppl, nll, token_count) of each sentence of ``text`` that a token overlaps.
 
-    ``logprobs`` has one number a word; sentences without a word are left out."""
-    from turnwright.functions.text import sentence_spans
+    ``pieces`` are the texts of its tokens and ``nlls`` their negative log-likelihoods; the shorter list counts. A
+    token that runs over the end of a sentence belongs to both. Sentences run from the end of the one before, white space
+    included, and are numbered from 0 without empty ones."""
+    from turnwright.functions.text import raw_sentences
 
-    spans = df.select(key, F.col(text).alias("_t"), F.col(logprobs).alias("_lp"), sentence_spans(F.col(text)).alias("_s"))
+    kind = dict(df.dtypes)[key]
+    rows = df.select(key, F.col(text).alias("_t"), F.col(pieces).alias("_p"), F.col(nlls).alias("_n"), raw_sentences(F.col(text)).alias("_s"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             out = []
-            for k, t, lp, s in zip(pdf[key], pdf["_t"], pdf["_lp"], pdf["_s"]):
-                starts = np.array([m.start() for m in _WORD.finditer(t or "")][: len(lp)])
-                nll = -np.asarray(lp, float)[: len(starts)]
-                for i, x in enumerate(s):
-                    mine = nll[(starts >= x["first"]) & (starts < x["end"])]
-                    if len(mine):
-                        out.append((k, i, float(np.exp(mine.mean())), len(mine)))
-            yield pd.DataFrame(out, columns=[key, "sentence", "ppl", "token_count"])
-
-    return spans.mapInPandas(run, f"{key} long, sentence int, ppl double, token_count long")
+            for k, t, p, n, s in zip(*[pdf[c] for c in (key, "_t", "_p", "_n", "_s")]):
+                if p is None or n is None or not t:
+                    continue
+                use = min(len(p), len(n))
+                first, end = token_ranges(t, list(p[:use]))
+                upto = np.concatenate([[0.0], np.cumsum(np.asarray(n[:use], float))])
+                begin = 0
+                number = 0
+                for raw in s:
+                    stop = begin + len(raw["raw"])
+                    low, high = np.searchsorted(end, begin, "right"), np.searchsorted(first, stop, "left")
+                    if raw["body"]:
+                        if high > low:
+                            nll = float(upto[high] - upto[low]) / int(high - low)
+                            out.append((k, number, float(np.exp(nll)), nll, int(high - low)))
+                        number += 1
+                    begin = stop
+            yield pd.DataFrame(out, columns=[key, "sentence", "ppl", "nll", "token_count"])
+
+    return rows.mapInPandas(run, f"{key} {kind}, sentence int, ppl double, nll double, token_count long")

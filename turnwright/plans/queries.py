@@ -11,7 +11,7 @@ from turnwright.functions import classify
 from turnwright.functions import semistructured as ss
 from turnwright.functions import text as tx
 from turnwright.functions import uncertainty as uq
-from turnwright.operators import annotate, merge, sampling, turns
+from turnwright.operators import prompts, annotate, merge, sampling, turns
 from turnwright.plans.fixtures import fixture, with_fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -217,6 +217,17 @@ def d24_json_from_text(spark, sf_dir):
     return cells.select("event_id", ss.object_in_text(F.concat(F.lit("Reply: "), "cell")).alias("value"))
 
 
+_NESTED = "concat('Here: {\"n\": {\"id\": ', cast(event_id as varchar(20)), ', \"s\": \"}{\"}, \"cell\": ', cell, '} or ```json {\"bad\": ', case when event_id % 2 = 0 then '```' else '0}```' end)"
+
+
+@query(f"""select event_id, case when event_id % 2 = 1 then '{{"bad": 0}}' when event_id % 6 = 0 then '{{"k": ' || json_extract_string(cell, '$.k') || '}}'
+  else '{{"id": ' || event_id || ', "s": "}}{{"}}' end as value from json_cells""")
+def d24_nested_json(spark, sf_dir):
+    """Objects inside others, with braces in strings: a fenced object first, else the last innermost one."""
+    cells = fixture(spark, sf_dir, "json_cells")
+    return cells.select("event_id", ss.object_in_text(F.expr(_NESTED.replace("varchar(20)", "string"))).alias("value"))
+
+
 @query("""select event_id, cast(json_extract_string(cell, '$.turn_idx') as bigint) as turn_idx, upper(trim(json_extract_string(cell, '$.gt_action'))) as gt_action
 from json_cells where event_id % 6 = 5""")
 def d25_label_parse(spark, sf_dir):
@@ -425,6 +436,15 @@ def e7_overlong(spark, sf_dir):
     return df.where("n_tokens <= 512")
 
 
+@query(r"""select doc_id, source, n_tokens from (select doc_id, source, cast(len(regexp_extract_all(text, '\S+')) as bigint) as n_tokens from documents)
+where n_tokens <= least(640, greatest(1, least(700, 1000) - 256))""")
+def e7_prompt_limit(spark, sf_dir):
+    """Documents as prompts within the limit that a rollout's settings leave beside a response."""
+    settings = {"ROLLOUT_MAX_MODEL_LEN": "700", "ROLLOUT_MAX_BATCHED_TOKENS": "1000"}
+    df = fixture(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return prompts.within_limit(df, prompts.whitespace_length(F.col("text")), prompts.prompt_limit(640, 256, settings)).drop("text")
+
+
 @query("select row_id, data_source from mixed_rows where row_id not in (select row_id from mixed_annotations) order by row_id limit 100")
 def e9_pending(spark, sf_dir):
     rows, notes = fixture(spark, sf_dir, "mixed_rows"), fixture(spark, sf_dir, "mixed_annotations")

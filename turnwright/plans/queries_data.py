@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnwright.functions import classify
@@ -430,7 +430,7 @@ def _running() -> str:
 @query(_running())
 def g10_running_counts(spark, sf_dir):
     notes = fixture(spark, sf_dir, "mixed_annotations").select("row_id", "turn_idx", "gt_action", F.lit("low").alias("uq_target_type"))
-    return annotate.balanced_running(notes, F.expr(_BATCH), most=1)
+    return annotate.balanced_running(notes, F.expr(_BATCH), _scratch(spark, "running"), most=1)
 
 
 _GROUP = """g as (select group_key, avg(seq_ppl) filter (where pred_letter = gt_letter) as mc, avg(seq_ppl) filter (where pred_letter <> gt_letter and pred_letter <> '') as mw, count(*) as n from rollouts group by all)"""
@@ -694,11 +694,24 @@ def i4_turn_parse_judged(spark, sf_dir):
     return reward.parse_with_judge(said, ["conv_id", "turn_idx"], "content", providers.rule_judge).drop("thought")
 
 
-@query()
+_PIECES, _ENDS = r"[ \n]*[^ \n]+|[ \n]+$", r"[^.!?;\n]*[.!?;\n]|[^.!?;\n]+$"
+
+
+@query(rf"""with m as (select conv_id * 1000 + turn as id, coalesce(text, '') as t from conversations),
+p as (select id, unnest(w) as piece, unnest(range(1, len(w) + 1)) as i from (select id, regexp_extract_all(t, '{_PIECES}') as w from m)),
+r as (select id, length(piece) as l, sum(length(piece)) over (partition by id order by i) as e from p),
+q as (select id, unnest(w) as raw, unnest(range(1, len(w) + 1)) as j from (select id, regexp_extract_all(t, '{_ENDS}') as w from m)),
+s as (select id, raw, j, sum(length(raw)) over (partition by id order by j) as e from q),
+k as (select *, row_number() over (partition by id order by j) - 1 as sentence from s where trim(raw, ' ' || chr(9) || chr(10) || chr(13)) <> '')
+select k.id, cast(sentence as int) as sentence, round(exp(avg(l / 10e0)), 9) as ppl, round(avg(l / 10e0), 9) as nll, count(*) as token_count
+from k join r on r.id = k.id and r.e > k.e - length(k.raw) and r.e - r.l < k.e group by k.id, sentence""")
 def h9_sentence_ppl(spark, sf_dir):
+    """Pieces of words with the white space before them stand for a tokenizer's tokens."""
     msgs = _conversations(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.coalesce("content", F.lit("")).alias("text"))
-    words = F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))
-    return providers.sentence_perplexities(msgs.withColumn("lp", F.transform(words, lambda w: -F.length(w) / 10.0)), "id", "text", "lp")
+    msgs = msgs.withColumn("pieces", F.regexp_extract_all("text", F.lit(_PIECES), F.lit(0)))
+    msgs = msgs.withColumn("nlls", F.transform("pieces", lambda w: F.length(w) / 10.0))
+    out = providers.sentence_perplexities(msgs, "id", "text", "pieces", "nlls")
+    return out.withColumn("ppl", F.round("ppl", 9)).withColumn("nll", F.round("nll", 9))
 
 
 # Providers.
@@ -712,10 +725,15 @@ def i1_label(spark, sf_dir):
     return replies.select("conv_id", F.explode(annotate.parse_reply(F.col("reply"))).alias("a")).select("conv_id", "a.turn_idx", "a.gt_action")
 
 
-@query(f"with {_FORMS} select conv_id, turn, coalesce(label, '') as label from u")
+@query(f"""with {_FORMS} select conv_id, turn, coalesce(label, case when contains(lower(response), 'sorry') then 'D' when contains(response, '?') then 'C' end, '') as label, label is null as asked
+from u join (select conv_id, turn, response from responses) using (conv_id, turn)""")
 def i3_judge(spark, sf_dir):
+    """Labels from the text's form, else from the object in a judge's wordy reply."""
     df = fixture(spark, sf_dir, "responses").select("conv_id", "turn", tx.unified_label(F.col("response")).alias("label"), F.col("response").alias("prompt"))
-    return providers.judged(df, "label", "prompt").select("conv_id", "turn", F.coalesce("label", F.lit("")).alias("label"))
+    said = providers.judged(df, "label", "prompt", providers.rule_judge)
+    found = ss.object_in_text(F.concat(F.lit("I think {so}: "), "reply", F.lit(" - certain.")))
+    judged = classify.valid_label(F.get_json_object(found, "$.pred_label"))
+    return said.select("conv_id", "turn", F.coalesce("label", judged, F.lit("")).alias("label"), F.col("label").isNull().alias("asked"))
 
 
 @query(f"select vec_id, cast(len({_LP}[-5:]) as bigint) as n, round(list_sum({_LP}[-5:]), 6) as total from embeddings")
@@ -757,27 +775,64 @@ def j5_runtime_fields(spark, sf_dir):
     return m.select("event_id", "neg_type", "neg_letter", "ppl_gt", "ppl_neg", "margin", "margin_source")
 
 
-@query()
+_STRICT = "exp((length(rollout_key) + 1) / 20e0)"
+
+
+@query(f"""with f as (select *, {_ROUTE} as way, coalesce(case when pred_letter = gt_letter then seq_ppl end, case when {_ROUTE} <> 'none' then {_STRICT} end) as a,
+  coalesce(case when pred_letter <> gt_letter and pred_letter <> '' then seq_ppl end, case when {_ROUTE} <> 'none' then {_STRICT} end) as b from rollouts),
+g as (select group_key, avg(seq_ppl) filter (where pred_letter = gt_letter) as mc, avg(seq_ppl) filter (where pred_letter <> gt_letter and pred_letter <> '') as mw, count(*) as n
+  from f where a is null or b is null group by all),
+l as (select f.*, coalesce(a, mc, 1e0) as pg, coalesce(b, mw, 1e0) as pn, a is null or b is null as open, n from f left join g using (group_key))
+select event_id, way as neg_type, case way when 'hard' then {_HARD} end as hard_letter, way = 'random' as random_other, 0.2e0 as tau, 0.5e0 as lambda, round(pg, 12) as ppl_gt, round(pn, 12) as ppl_neg,
+  round(pn - pg, 12) as margin, case when not open then way when n >= 8 then 'group_rollout:complete' else 'group_rollout:partial' end as margin_source from l""")
+def j5_ladder(spark, sf_dir):
+    """Own perplexity, strict scores of routed rows by an offline scorer, group terms for the rest."""
+
+    def strict(rows: DataFrame) -> DataFrame:
+        asked = providers.calls(rows.withColumn("prompt", F.concat_ws(" ", "rollout_key", "letter")), "prompt", providers.length_scorer)
+        return asked.withColumn("strict_ppl", uq.perplexity(F.from_json("reply", "array<double>")))
+
+    out = margins.ladder(fixture(spark, sf_dir, "rollouts"), strict, tau=0.2, weight=0.5, digits=12)
+    other = (F.col("neg_type") == "random") & F.col("neg_letter").isin(*"ABCD") & (F.col("neg_letter") != F.col("gt_letter"))
+    hard = F.when(F.col("neg_type") == "hard", F.col("neg_letter")).alias("hard_letter")
+    return out.select("event_id", "neg_type", hard, other.alias("random_other"), "tau", "lambda", "ppl_gt", "ppl_neg", "margin", "margin_source")
+
+
+_FOURS = """d as (select *, group_key || '/' || cast(event_id % 16 as varchar) || '/' || cast((row_number() over (partition by group_key, event_id % 16 order by event_id) - 1) // 4 as varchar) as k from rollouts),
+g as (select k, avg(seq_ppl) filter (where pred_letter = gt_letter) as mc, avg(seq_ppl) filter (where pred_letter <> gt_letter and pred_letter <> '') as mw, count(*) as n from d group by k)"""
+
+
+@query(f"""with {_FOURS} select event_id, k as group_key, round(coalesce(case when pred_letter = gt_letter then seq_ppl end, mc, 1e0), 12) as ppl_gt,
+  round(coalesce(case when pred_letter <> gt_letter and pred_letter <> '' then seq_ppl end, mw, 1e0), 12) as ppl_neg,
+  case when n = 4 then 'group_rollout:complete' else 'group_rollout:timeout' end as margin_source from d join g using (k)""")
 def j1_group_wait(spark, sf_dir):
-    """The stream of rollouts, read to its end and written to a table that is read back."""
+    """The stream of rollouts in groups of four, or what is left over, read to its end and written to a table that is read back."""
     from turnwright.streaming.group_margin import drain, group_margins
 
     source, sink, marks = (_scratch(spark, f"stream-{x}") for x in ("in", "out", "marks"))
-    rollouts = fixture(spark, sf_dir, "rollouts")
+    own = Window.partitionBy("group_key", F.col("event_id") % 16).orderBy("event_id")
+    four = F.floor((F.row_number().over(own) - 1) / 4)
+    rollouts = fixture(spark, sf_dir, "rollouts").withColumn("four", four)
+    rollouts = rollouts.withColumn("group_key", F.concat_ws("/", "group_key", F.col("event_id") % 16, "four")).drop("four")
     rollouts.write.parquet(source)
     stream = spark.readStream.schema(rollouts.schema).parquet(source)
     job = group_margins(stream, expected=4, timeout_ms=1000).writeStream.format("parquet").option("path", sink).option("checkpointLocation", marks)
     drain(job.outputMode("append").trigger(processingTime="500 milliseconds").start(), 1000)
-    return spark.read.schema("event_id long, group_key string, ppl_gt double, ppl_neg double, margin_source string").parquet(sink)
+    out = spark.read.schema("event_id long, group_key string, ppl_gt double, ppl_neg double, margin_source string").parquet(sink)
+    return out.withColumn("ppl_gt", F.round("ppl_gt", 12)).withColumn("ppl_neg", F.round("ppl_neg", 12))
 
 
 @query(f"with {_CAND} select conv_id, turn_idx, gt_action from h")
 def j6_resume_stream(spark, sf_dir):
-    from turnwright.streaming.group_margin import label_stream
+    """Messages in three batches, each conversation labelled once it is whole; the log is read back."""
+    from turnwright.streaming.labelling import label_stream, whole_conversations
 
     source, sink, marks = (_scratch(spark, f"label-{x}") for x in ("in", "out", "marks"))
     msgs = fixture(spark, sf_dir, "messages_marked")
-    msgs.write.parquet(source)
-    stream = spark.readStream.schema(msgs.schema).parquet(source)
-    label_stream(stream, lambda batch: annotate.candidates(turns.user_turns(batch)).select("conv_id", "turn_idx", "gt_action"), sink, marks).awaitTermination()
-    return spark.read.parquet(f"{sink}/*")
+    sizes = msgs.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_messages"))
+    msgs = msgs.join(sizes, "conv_id")
+    io.write_parts(msgs, F.col("turn") % 3, source, spread=1)
+    stream = spark.readStream.schema(msgs.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(source)
+    label = lambda batch: annotate.candidates(turns.user_turns(batch)).select("conv_id", "turn_idx", "gt_action")
+    label_stream(whole_conversations(stream), label, sink, marks, "conv_id").awaitTermination()
+    return spark.read.parquet(sink).drop("batch")

@@ -107,6 +107,16 @@ def write_split(df: DataFrame, path: str, split: str = "split", mode: str = "err
     return written
 
 
+def write_parts(df: DataFrame, number: Column, path: str, spread: int = 16) -> DataFrame:
+    """The table with ``part``, written in one pass as a folder a part, so that a part is read alone.
+
+    A part's rows go to ``spread`` files at most, each written by a task of its own."""
+    numbered = df.withColumn("part", number.cast("long"))
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if not dict(df.dtypes)[c].startswith(("map", "variant"))]), F.lit(spread))
+    numbered.repartition("part", salt).write.mode("overwrite").partitionBy("part").parquet(path)
+    return df.sparkSession.read.schema(numbered.schema).parquet(path)
+
+
 def append_log(df: DataFrame, path: str) -> None:
     """Append rows that have annotations to a JSON-lines log."""
     df.where(F.size("when2call_annotations") > 0).write.mode("append").json(path)

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import contextlib
 import time
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Mapping
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from turnwright.streaming.waiting import Wait, with_state_store
 
 MEMBERS = "event_id long, group_key string, ppl_gt double, ppl_neg double, margin_source string"
-STATE = "event_id array<long>, pred array<string>, gt array<string>, ppl array<double>"
+HELD = "event_id long, pred_letter string, gt_letter string, seq_ppl double"
 
 
 def expected_size(settings: Mapping[str, str]) -> int:
@@ -24,56 +26,37 @@ def expected_size(settings: Mapping[str, str]) -> int:
     return 1
 
 
-def state_ttl_ms(timeout_ms: int) -> int:
-    """How long a group that nobody completes may be kept at most. Here none is: a group's time-out emits and removes it."""
-    return max(5_000, 10 * timeout_ms)
+def members(key: tuple, rows: pd.DataFrame, complete: bool) -> pd.DataFrame:
+    """Margins of all members of one group, as the batch operator fills them."""
+    pred, ppl = rows.pred_letter.fillna(""), rows.seq_ppl.astype(float)
+    right = (pred == rows.gt_letter) & (pred != "")
+    wrong = (pred != rows.gt_letter) & (pred != "")
 
+    def side(mine: pd.Series) -> pd.Series:
+        known = ppl[mine & ppl.notna()]
+        return ppl.where(mine).fillna(known.mean() if len(known) else 1.0)
 
-def members(key: str, rows: pd.DataFrame, source: str) -> pd.DataFrame:
-    """Margins of all members of one group, as the batch operator fills them."""
-    right = (rows.pred == rows.gt) & (rows.pred != "")
-    wrong = (rows.pred != rows.gt) & (rows.pred != "")
-    mean = lambda m: rows.ppl[m].mean() if m.any() else 1.0
     return pd.DataFrame(
         {
             "event_id": rows.event_id.astype("int64"),
-            "group_key": key,
-            "ppl_gt": rows.ppl.where(right, mean(right)).astype(float),
-            "ppl_neg": rows.ppl.where(wrong, mean(wrong)).astype(float),
-            "margin_source": source,
+            "group_key": key[0],
+            "ppl_gt": side(right),
+            "ppl_neg": side(wrong),
+            "margin_source": "group_rollout:complete" if complete else "group_rollout:timeout",
         }
     )
 
 
-def waiter(expected: int, timeout_ms: int) -> Callable:
-    """State is a group's members so far, at most ``expected`` - 1; it goes when they are emitted."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        old = dict(zip(("event_id", "pred", "gt", "ppl"), state.get)) if state.exists else {}
-        rows = pd.DataFrame({c: list(old.get(c, [])) for c in ("event_id", "pred", "gt", "ppl")})
-        if state.hasTimedOut:
-            state.remove()
-            yield members(key[0], rows, "group_rollout:timeout")
-            return
-        for b in batches:
-            new = pd.DataFrame({"event_id": b.event_id, "pred": b.pred_letter, "gt": b.gt_letter, "ppl": b.seq_ppl})
-            rows = pd.concat([rows, new], ignore_index=True) if len(rows) else new
-        while len(rows) >= expected:
-            yield members(key[0], rows.iloc[:expected], "group_rollout:complete")
-            rows = rows.iloc[expected:].reset_index(drop=True)
-        if len(rows):
-            state.update(tuple(rows[c].tolist() for c in ("event_id", "pred", "gt", "ppl")))
-            state.setTimeoutDuration(timeout_ms)
-        elif state.exists:
-            state.remove()
-
-    return step
-
-
 def group_margins(stream: DataFrame, expected: int = 8, timeout_ms: int = 2000) -> DataFrame:
-    """Append-mode margins of a stream of (event_id, group_key, pred_letter, gt_letter, seq_ppl)."""
-    grouped = stream.select("event_id", "group_key", "pred_letter", "gt_letter", "seq_ppl").groupBy("group_key")
-    return grouped.applyInPandasWithState(waiter(expected, timeout_ms), MEMBERS, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    """Append-mode margins of a stream of (event_id, group_key, pred_letter, gt_letter, seq_ppl).
+
+    A group is emitted with its ``expected``th member, or ``timeout_ms`` after its first. State: at most
+    ``expected`` - 1 members a group."""
+    with_state_store(stream.sparkSession)
+    held = T._parse_datatype_string(HELD)
+    wait = Wait(held, "event_id", lambda rows: len(rows) >= expected, members, timeout_ms)
+    grouped = stream.select("group_key", *held.names).groupBy("group_key")
+    return grouped.transformWithStateInPandas(wait, MEMBERS, "Append", "ProcessingTime")
 
 
 def drain(job: StreamingQuery, timeout_ms: int) -> None:
@@ -92,12 +75,3 @@ def drain(job: StreamingQuery, timeout_ms: int) -> None:
     if not done:
         raise RuntimeError("the stream was stopped before all groups were emitted")
     job.stop()
-
-
-def label_stream(stream: DataFrame, label: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
-    """Label each micro-batch and append it to a log; a restart resumes after the last batch."""
-
-    def sink(batch: DataFrame, number: int) -> None:
-        label(batch).write.mode("append").parquet(f"{path}/batch={number}")
-
-    return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
