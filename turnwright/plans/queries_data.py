@@ -792,7 +792,7 @@ def j5_ladder(spark, sf_dir):
         asked = providers.calls(rows.withColumn("prompt", F.concat_ws(" ", "rollout_key", "letter")), "prompt", providers.length_scorer)
         return asked.withColumn("strict_ppl", uq.perplexity(F.from_json("reply", "array<double>")))
 
-    out = margins.ladder(fixture(spark, sf_dir, "rollouts"), strict, tau=0.2, weight=0.5, digits=12)
+    out = margins.ladder(fixture(spark, sf_dir, "rollouts"), strict, _scratch(spark, "ladder"), tau=0.2, weight=0.5, digits=12)
     other = (F.col("neg_type") == "random") & F.col("neg_letter").isin(*"ABCD") & (F.col("neg_letter") != F.col("gt_letter"))
     hard = F.when(F.col("neg_type") == "hard", F.col("neg_letter")).alias("hard_letter")
     return out.select("event_id", "neg_type", hard, other.alias("random_other"), "tau", "lambda", "ppl_gt", "ppl_neg", "margin", "margin_source")
