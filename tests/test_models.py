@@ -237,3 +237,26 @@ def test_prompt_limit(spark):
     got = {r.i: r.n_tokens for r in prompts.within_limit(df, prompts.token_length(path)("t"), 4000).collect()}
     size = {i: len(tokenizer.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts) if t is not None}
     assert got == {i: n for i, n in size.items() if n <= 4000} and 3 not in got and 4 not in got
+
+
+def test_mixed_rewards(spark):
+    """Rows by hand: checklists and turns of trajectories, single actions at the last valid token, metrics of either kind."""
+    from turnwright.operators import reward
+
+    rows = [(1, "cm2_main", [1, 1, 1, 1, 0], 2), (2, "when2call", [0, 1, 1, 1, 0], 2), (3, "when2call", [1, 1, 0, 0, 0], 2), (4, "cm2_main", [], 0), (5, "when2call", None, 1)]
+    rows = spark.createDataFrame(rows, "row_id long, data_source string, attention_mask array<int>, prompt_length int")
+    checks = spark.createDataFrame([(1, 0, 0.5), (1, 3, 0.25), (2, 0, 9.0)], "row_id long, position int, reward double")
+    scores = [(1, 0, 3, 0.2, "A", "A", 0), (1, 0, 3, 0.6, "B", "C", 1), (1, 1, 7, 1.0, None, "D", 2), (2, 0, 1, 9.0, "A", "A", 0), (4, 0, 2, None, "A", "A", 0)]
+    scores = spark.createDataFrame(scores, "row_id long, turn_idx int, position int, score double, pred_label string, gt_label string, number int")
+    actions = spark.createDataFrame([(2, 0.7, "x"), (3, None, "y"), (5, 0.1, "z"), (1, 9.0, "no")], "row_id long, score double, letter string")
+    sparse, metrics = reward.mixed_rewards(rows, checks, scores, actions, weight=0.5)
+    got = {(r.row_id, r.position): r.reward for r in sparse.collect()}
+    assert got == {(1, 0): 0.5, (1, 3): pytest.approx(0.45), (1, 7): 0.5, (2, 1): 0.7, (3, 0): 0.0, (5, 0): 0.1}
+    m = {r.row_id: r for r in metrics.collect()}
+    assert set(m) == {1, 2, 3, 4, 5} and all(r.max_num_turns == 1 and r.tool_call_success for r in m.values())
+    one = m[1]
+    assert (one.cm2_when2call_used_annotations, one.cm2_when2call_num_annotations, one.cm2_when2call_raw_sum, one.letter) == (3, 3, 0.7, None)
+    assert (one.cm2_when2call_turns, one.cm2_when2call_scores) == ([0, 1], [0.2, 0.5])
+    assert (one.cm2_when2call_pred_labels, one.cm2_when2call_gt_labels) == (["B", None], ["C", "D"])
+    assert (m[4].cm2_when2call_used_annotations, m[4].cm2_when2call_num_annotations, m[4].cm2_when2call_turns) == (0, 1, [])
+    assert (m[2].score, m[2].letter, m[2].cm2_when2call_used_annotations) == (0.7, "x", None)

@@ -192,6 +192,71 @@ def sparse_sum(*rewards: DataFrame) -> DataFrame:
     return out.groupBy("row_id", "position").agg(F.sum("reward").alias("reward"))
 
 
+def last_valid(attention_mask: Column, prompt_length: Column) -> Column:
+    """Where a response's last token stands: its tokens that are attended to, less one; 0 without any."""
+    own = F.slice(attention_mask, prompt_length + 1, F.greatest(F.size(attention_mask) - prompt_length, F.lit(0)))
+    return F.greatest(F.aggregate(own, F.lit(0), lambda n, m: n + m.cast("int")) - 1, F.lit(0))
+
+
+def turn_rewards(scores: DataFrame, weight: float = 1.0) -> DataFrame:
+    """(row_id, turn_idx, position, reward, n, pred_label, gt_label): the weighted mean of each turn's annotation scores at its end.
+
+    ``scores`` has a row an annotation: row_id, turn_idx, position, score, pred_label, gt_label. Labels are those of the
+    annotation that comes last in ``number``, if there is such a column."""
+    order = F.col("number") if "number" in scores.columns else F.col("gt_label")
+    last = lambda c: F.max_by(c, order).alias(c)
+    mean = F.avg(F.col("score") * weight).alias("reward")
+    return scores.groupBy("row_id", "turn_idx", "position").agg(mean, F.count("score").alias("n"), last("pred_label"), last("gt_label")).where("n > 0")
+
+
+def row_totals(rewards: DataFrame, annotations: DataFrame | None = None) -> DataFrame:
+    """A row's diagnostics from its turns: used_annotations, raw_sum, and the turns with their scores and labels, by turn.
+
+    With ``annotations`` (row_id of every annotation) rows of which none was scored are there, too, and num_annotations."""
+    item = F.struct("turn_idx", F.round("reward", 4).alias("score"), "pred_label", "gt_label")
+    out = rewards.groupBy("row_id").agg(
+        F.sum("n").alias("used_annotations"), F.round(F.sum("reward"), 4).alias("raw_sum"), F.array_sort(F.collect_list(item)).alias("_turns")
+    )
+    if annotations is not None:
+        counts = annotations.groupBy("row_id").agg(F.count(F.lit(1)).alias("num_annotations"))
+        out = counts.join(out, "row_id", "left")
+        out = out.withColumn("used_annotations", F.coalesce("used_annotations", F.lit(0))).withColumn("raw_sum", F.coalesce("raw_sum", F.lit(0.0)))
+    part = lambda name, kind: F.coalesce(F.transform("_turns", lambda t: t[name]), F.array().cast(f"array<{kind}>"))
+    return out.select(
+        *[c for c in out.columns if c != "_turns"],
+        part("turn_idx", "int").alias("turns"),
+        part("score", "double").alias("scores"),
+        part("pred_label", "string").alias("pred_labels"),
+        part("gt_label", "string").alias("gt_labels"),
+    )
+
+
+def mixed_rewards(rows: DataFrame, checklist: DataFrame, scores: DataFrame, actions: DataFrame, weight: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """Sparse rewards (row_id, position, reward) and one row of metrics for every row of a mixed batch.
+
+    ``rows`` has row_id, data_source, attention_mask and prompt_length. A trajectory's reward is that of its checklists
+    (``checklist``: row_id, position, reward, from outside) and ``weight`` times its turns' (``scores``, see ``turn_rewards``). A
+    single action's is its score (``actions``: row_id, score, metrics) at the last valid token. Metrics of trajectories begin
+    with ``cm2_when2call_``; what a branch has no metric for is null, but max_num_turns is 1 and tool_call_success is
+    true. Rows of the wrong kind in ``checklist``, ``scores`` and ``actions`` are left out."""
+    kind = classify.is_trajectory_source(F.col("data_source"))
+    known = rows.select("row_id", kind.alias("_trajectory"), last_valid(F.col("attention_mask"), F.col("prompt_length")).alias("position"))
+    mine = lambda df, flag: df.join(known.where(F.col("_trajectory") == flag).select("row_id"), "row_id", "left_semi")
+    each = turn_rewards(mine(scores, True), weight)
+    ends = actions.join(known.where(~F.col("_trajectory")).select("row_id", "position"), "row_id")
+    sparse = sparse_sum(
+        mine(checklist, True).select("row_id", F.col("position").cast("int").alias("position"), "reward"),
+        each.select("row_id", F.col("position").cast("int").alias("position"), "reward"),
+        ends.select("row_id", "position", F.coalesce("score", F.lit(0.0)).alias("reward")),
+    )
+    totals = row_totals(each, mine(scores, True))
+    totals = totals.select("row_id", *[F.col(c).alias(f"cm2_when2call_{c}") for c in totals.columns if c != "row_id"])
+    metrics = known.select("row_id").join(totals, "row_id", "left").join(mine(actions, False), "row_id", "left")
+    for name, value in (("max_num_turns", F.lit(1)), ("tool_call_success", F.lit(True))):
+        metrics = metrics.withColumn(name, F.coalesce(F.col(name), value) if name in metrics.columns else value)
+    return sparse, metrics
+
+
 def pairwise_token_f1(left: DataFrame, right: DataFrame, key: str = "pair_id", text: str = "text") -> DataFrame:
     """Token F1 of long texts by key: both sides' tokens are counted together, in one pass linear in the texts' lengths."""
     zero, one = F.lit(0), F.lit(1)

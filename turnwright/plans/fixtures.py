@@ -22,15 +22,15 @@ select conv_id, turn,
   case cast((conv_id * 3 + turn) % 6 as int)
     when 0 then concat('<think>source=known fact suggested_action=direct_answer<A></think>', chr(10), 'direct_answer<A>', chr(10), '<answer>', text, '</answer>')
     when 1 then concat('<think>source=tool fits suggested_action=tool_call<B></think>', chr(10), 'tool_call<B>', chr(10), '<answer><tool_call>{"name": "get_item", "arguments": {"id": ', cast(conv_id as varchar(20)), '}}</tool_call></answer>')
-    when 2 then concat('<think>source=gap suggested_action=request_for_info<C></think>', chr(10), 'request_for_info<C>', chr(10), '<answer>Could you provide ', substr(text, 1, 40), '?</answer>')
-    when 3 then concat('<think>source=no access suggested_action=direct_answer<A></think>', chr(10), 'cannot_answer<D>', chr(10), '<answer>Sorry, I cannot do ', substr(text, 1, 40), '</answer>')
+    when 2 then concat('<think>source=gap suggested_action=request_for_info<C></think>', chr(10), 'request_for_info<C>', chr(10), '<answer>Could you provide ', text, '?</answer>')
+    when 3 then concat('<think>source=no access suggested_action=direct_answer<A></think>', chr(10), 'cannot_answer<D>', chr(10), '<answer>Sorry, I cannot do ', text, '</answer>')
     when 4 then text
-    else concat('[uq]internal_uq=0.4 external_uq=0.2 source=legacy note suggested_action=<C>[/uq] [answer]', substr(text, 1, 60), ' request_for_info<C>[/answer]') end as response,
+    else concat('[uq]internal_uq=0.4 external_uq=0.2 source=legacy note suggested_action=<C>[/uq] [answer]', text, ' request_for_info<C>[/answer]') end as response,
   case cast(conv_id % 4 as int)
     when 1 then concat('<tool_call>{"name": "get_item", "arguments": {"id": ', cast(conv_id % 10 as varchar(20)), '}}</tool_call>')
-    when 2 then concat('Could you provide ', substr(text, 1, 60), '?')
-    when 3 then concat('Sorry, I cannot do ', substr(text, 1, 60))
-    else substr(text, 1, 80) end as chosen_response
+    when 2 then concat('Could you provide ', text, '?')
+    when 3 then concat('Sorry, I cannot do ', text)
+    else text end as chosen_response
 from conversations where role = 'assistant'""",
     "rollouts": """
 select event_id, user_id, concat('idx:', cast(user_id as varchar(20))) as group_key,

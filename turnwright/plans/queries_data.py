@@ -640,6 +640,48 @@ def h6_sparse_combine(spark, sf_dir):
     return reward.sparse_sum(each, last).withColumn("reward", F.round("reward", 6))
 
 
+def _batch(spark, sf_dir) -> tuple[DataFrame, ...]:
+    """A mixed batch: every second conversation is a trajectory of scored turns, the others' responses are single actions."""
+    key = (F.col("conv_id") * 1000 + F.col("turn")).alias("row_id")
+    source = F.when(F.col("conv_id") % 2 == 0, "cm2_main").otherwise("when2call").alias("data_source")
+    said = fixture(spark, sf_dir, "responses")
+    mask = F.transform(F.sequence(F.lit(0), F.col("turn") + 9), lambda i: (i < F.col("turn") + F.col("conv_id") % 7).cast("int"))
+    rows = said.select(key, source, mask.alias("attention_mask"), F.col("turn").cast("int").alias("prompt_length"))
+    scored = reward.score(said, ["conv_id", "turn"])
+    actions = scored.select(key, "score", "r_fmt", "letter")
+    # Two annotations on the first turn, one on the second of some rows; the numbers are the scorer's.
+    notes = scored.select(key, "score", "letter", F.explode(F.expr("sequence(0, cast(conv_id % 3 as int))")).alias("number"))
+    turn = F.greatest(F.col("number") - 1, F.lit(0))
+    notes = notes.select("row_id", turn.alias("turn_idx"), (turn * 3 + 2).alias("position"), (F.col("score") / (F.col("number") + 1)).alias("score"), F.col("letter").alias("pred_label"), F.concat(F.lit("g"), "number").alias("gt_label"), "number")
+    checks = said.where("conv_id % 4 <> 2").select(key, F.lit(2).alias("position"), F.lit(0.25).alias("reward"))
+    return rows, checks, notes, actions
+
+
+_MIXED = f"""with {_PARSED}, s as (select conv_id, turn, conv_id * 1000 + turn as row_id, conv_id % 2 = 0 as cm2, letter, round((r_fmt + least(2e0, r_align + case when letter is not null and coalesce(pa, '') <> '' then 0.5e0 else 0e0 end) + 0.5e0 * r_cls) / 6.15e0, 4) as score, r_fmt from a),
+n as (select row_id, greatest(i - 1, 0) as turn_idx, score / (i + 1) as score, letter, i from (select *, unnest(range(0, conv_id % 3 + 1)) as i from s where cm2)),
+t as (select row_id, turn_idx, avg(score * 0.5e0) as reward, count(*) as n, max_by(letter, i) as p, 'g' || max(i) as g from n group by all)"""
+
+
+@query(f"""{_MIXED}, r as (select row_id, turn_idx * 3 + 2 as position, reward from t union all select row_id, 2, 0.25e0 from s where cm2 and conv_id % 4 <> 2
+  union all select row_id, greatest(conv_id % 7 - 1, 0), score from s where not cm2)
+select row_id, cast(position as int) as position, round(sum(reward), 9) as reward from r group by all""")
+def h6_mixed_rewards(spark, sf_dir):
+    """Checklists, weighted turns and single actions as sparse rewards of one batch."""
+    return reward.mixed_rewards(*_batch(spark, sf_dir), weight=0.5)[0].withColumn("reward", F.round("reward", 9))
+
+
+@query(f"""{_MIXED}, w as (select row_id, sum(n) as used, round(sum(reward), 4) as raw, string_agg(turn_idx || ':' || coalesce(p, '') || ':' || g, ',' order by turn_idx) as turns from t group by row_id)
+select row_id, cast(used as bigint) as used_annotations, cast(used as bigint) as num_annotations, raw as raw_sum, turns, case when not cm2 then score end as score, case when not cm2 then round(r_fmt, 4) end as r_fmt, 1 as max_num_turns, true as tool_call_success
+from s left join w using (row_id)""")
+def g13_row_totals(spark, sf_dir):
+    """Metrics of the same batch: totals and used annotations of trajectories, the scorer's own for single actions."""
+    m = reward.mixed_rewards(*_batch(spark, sf_dir), weight=0.5)[1]
+    own = lambda c: F.col(f"cm2_when2call_{c}")
+    each = F.zip_with(own("turns"), F.zip_with(own("pred_labels"), own("gt_labels"), lambda p, g: F.concat(F.coalesce(p, F.lit("")), F.lit(":"), g)), lambda t, x: F.concat(t.cast("string"), F.lit(":"), x))
+    names = [own(c).alias(c) for c in ("used_annotations", "num_annotations", "raw_sum")]
+    return m.select("row_id", *names, F.array_join(each, ",").alias("turns"), "score", "r_fmt", "max_num_turns", "tool_call_success")
+
+
 @query(r"""with t as (select doc_id, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_]+')) as w from documents), c as (select doc_id, w, count(*) as n from t group by all), z as (select doc_id, sum(n) as n from c group by all),
 i as (select a.doc_id, sum(least(a.n, b.n)) as k from c a join c b on b.doc_id = a.doc_id + 1 and a.w = b.w group by all)
 select d.doc_id as pair_id, round(coalesce(2e0 * i.k / (x.n + y.n), 0), 6) as f1 from documents d join documents e on e.doc_id = d.doc_id + 1 left join i on i.doc_id = d.doc_id left join z x on x.doc_id = d.doc_id left join z y on y.doc_id = e.doc_id""")
