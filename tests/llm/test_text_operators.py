@@ -162,6 +162,19 @@ def test_toxicity(spark, no_docs):
     assert toxicity.score(no_docs, labels).count() == 0
 
 
+def test_toxicity_with_a_frequent_id(spark):
+    """Rows of one clean id, more than the whole sample, leave the scores of the others as they were."""
+    from pyspark.sql import functions as F
+
+    rows = insults(200)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int").unionByName(spark.createDataFrame([(7_001, 0)], "doc_id long, toxic int"))
+    often = spark.range(60_000).select(F.lit(7_001).cast("long").alias("doc_id"), F.concat(F.lit("stone and water "), (F.col("id") % 50).cast("string")).alias("text"))
+    model = toxicity.train(docs.unionByName(often).repartition(6), labels, F.lit(False))
+    margins = model.margins(model.lexicon(), [t for _, t, _ in rows])
+    assert all((p >= 0.5) == bool(y) for p, (_, _, y) in zip(model.probability(margins), rows))
+
+
 def test_kernel_is_what_its_table_says():
     marks = ["blorgix", "water", "ab"]
     k = toxicity.kernel(["blorgix", "b-l-orgix", "meadow", ""], marks)
