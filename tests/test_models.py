@@ -260,3 +260,46 @@ def test_mixed_rewards(spark):
     assert (one.cm2_when2call_pred_labels, one.cm2_when2call_gt_labels) == (["B", None], ["C", "D"])
     assert (m[4].cm2_when2call_used_annotations, m[4].cm2_when2call_num_annotations, m[4].cm2_when2call_turns) == (0, 1, [])
     assert (m[2].score, m[2].letter, m[2].cm2_when2call_used_annotations) == (0.7, "x", None)
+
+
+def test_token_ids(spark):
+    from turnwright.functions import uncertainty as uq
+
+    cells = ["[1,2]", "[[3,4],[5]]", "[[[6]]]", '{"input_ids":[7,"8"," +9 "]}', '{"input_ids":[[1.9,-2.5,true]]}', "[]", "[[]]", "[1,null]", '["x"]', '{"other":[1]}', "5", '"[1]"', "bad", None, '[{"a":1}]', "[1e400]"]
+    want = [[1, 2], [3, 4], [6], [7, 8, 9], [1, -2, 1]] + [[]] * 11
+    df = spark.createDataFrame(list(enumerate(cells)), "i int, c string")
+    assert [r.v for r in df.select("i", uq.token_ids(F.col("c")).alias("v")).orderBy("i").collect()] == want
+
+
+def test_sequence_summary(spark):
+    from turnwright.functions import uncertainty as uq
+
+    rows = [([-1.0, -3.0, -5.0], [1, 0, 1]), ([-1.0, -3.0], [1, 1, 1]), ([-1.0], [0]), ([], []), (None, None), ([-2.0, -4.0], [1])]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, lp array<double>, mask array<int>")
+    got = [tuple(r.s) for r in df.select("i", uq.sequence_summary(F.col("lp"), F.col("mask")).alias("s")).orderBy("i").collect()]
+    want = [(3.0, math.exp(3), 2), (2.0, math.exp(2), 2), (0.0, 0.0, 0), (0.0, 0.0, 0), (0.0, 0.0, 0), (2.0, math.exp(2), 1)]
+    assert got == [pytest.approx(w) for w in want]
+    assert tuple(df.select(uq.sequence_summary(F.col("lp")).alias("s")).first().s) == pytest.approx((3.0, math.exp(3), 3))
+
+
+def test_enriched_rows(spark):
+    from turnwright.operators import annotate
+
+    rows = [
+        (1, 0, "b", None, '{"name": "f", "arguments": "{\\"x\\": 1}"}', None, False),
+        (1, None, None, "D", "Sorry.", "kept", None),
+        (2, 3, "E", None, "as it is", None, None),
+        (2, 4, None, None, None, None, None),
+        (3, 5, "A", None, None, "from target", None),
+    ]
+    df = spark.createDataFrame(rows, "row_id long, turn_idx int, gt_action string, label string, chosen_response string, target_answer string, use_uq_reward boolean")
+    df = df.withColumn("number", F.lit(9)).withColumn("extra", F.col("row_id") * 2)
+    got = {(r.row_id, r.turn_idx): r for r in annotate.enriched_rows(df).collect()}
+    block = '<tool_call>\n{"arguments": {"x": 1}, "name": "f"}\n</tool_call>'
+    part = lambda r: (r.gt_action, r.gt_action_name, r.chosen_response, r.target_answer, r.called_tool_name, r.rollout_key, r.use_uq_reward)
+    assert part(got[(1, 0)]) == ("B", "tool_call", block, block, "f", "cm2:1:turn:0", False)
+    assert part(got[(1, None)]) == ("D", "cannot_answer", "Sorry.", "kept", "", "cm2:1:turn:9", True)
+    assert part(got[(2, 3)]) == ("E", None, "as it is", None, None, None, None)
+    assert part(got[(2, 4)]) == (None,) * 7
+    assert part(got[(3, 5)]) == ("A", "direct_answer", "from target", "from target", "", "cm2:3:turn:5", True)
+    assert all(r.extra == 2 * r.row_id for r in got.values())

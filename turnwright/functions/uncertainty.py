@@ -28,6 +28,45 @@ def unmasked(logprobs: Column, mask: Column) -> Column:
     return F.transform(kept, lambda x: x["lp"])
 
 
+def sequence_summary(logprobs: Column, mask: Column | None = None) -> Column:
+    """(sequence_nll, sequence_ppl, token_count) of the tokens whose mask is not 0; zeros without any.
+
+    The shorter of list and mask counts; without a mask all tokens do."""
+    both = None if mask is None else F.least(F.size(logprobs), F.size(mask))
+    kept = logprobs if mask is None else unmasked(F.slice(logprobs, 1, both), F.slice(mask, 1, both))
+    n = F.greatest(F.coalesce(F.size(kept), F.lit(0)), F.lit(0))
+    nll = F.when(n > 0, -total(kept) / n).otherwise(F.lit(0.0))
+    return F.struct(nll.alias("sequence_nll"), F.when(n > 0, F.exp(nll)).otherwise(F.lit(0.0)).alias("sequence_ppl"), n.cast("long").alias("token_count"))
+
+
+#: How many lists may lie around a list of token ids.
+ID_DEPTH = 4
+
+
+def token_ids(cell: Column) -> Column:
+    """Token ids of a tokenizer's output in JSON: a list, the first of nested lists, or that under ``input_ids``.
+
+    Numbers are cut to whole ones and texts of whole numbers read; anything else makes the list empty, as does a
+    cell that is no list."""
+    value = F.try_parse_json(cell)
+    value = F.when(F.schema_of_variant(value).startswith("OBJECT"), F.try_variant_get(value, "$.input_ids", "variant")).otherwise(value)
+    for _ in range(ID_DEPTH):
+        first = F.try_variant_get(value, "$[0]", "variant")
+        value = F.when(F.schema_of_variant(first).startswith("ARRAY"), first).otherwise(value)
+
+    def one(x: Column) -> Column:
+        shape = F.schema_of_variant(x)
+        text = F.trim(F.try_variant_get(x, "$", "string"))
+        whole = F.when(text.rlike(r"\A[+-]?[0-9]+\z"), text.try_cast("long"))
+        number = F.try_variant_get(x, "$", "double")
+        return F.when(shape == "STRING", whole).when(shape == "BOOLEAN", F.try_variant_get(x, "$", "boolean").cast("long")).when(
+            shape == "BIGINT", F.try_variant_get(x, "$", "long")
+        ).when((shape == "DOUBLE") | shape.startswith("DECIMAL"), number.try_cast("long"))
+
+    ids = F.transform(F.try_variant_get(value, "$", "array<variant>"), one)
+    return F.when(F.exists(ids, lambda x: x.isNull()), F.array().cast("array<bigint>")).otherwise(F.coalesce(ids, F.array().cast("array<bigint>")))
+
+
 def option_perplexity(logprobs: Column) -> Column:
     """Perplexity of the softmax over answer options; NaN for fewer than four."""
     top = F.array_max(logprobs)

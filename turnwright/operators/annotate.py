@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnwright.functions import classify
+from turnwright.functions import semistructured as ss
 from turnwright.functions import text as tx
 from turnwright.operators.turns import KEY, first_assistant
 from turnwright.sources.io import write_parts
@@ -19,10 +20,18 @@ ANNOTATION = (
 TYPE_RANK = {"high": 0, "medium": 1, "low": 2, "ambiguous": 3}
 
 
-def candidates(turned: DataFrame) -> DataFrame:
+# Why an observed turn is a candidate, with a tool call and without.
+RATIONALES = (
+    "The observed assistant next action is a concrete tool call with available arguments.",
+    "The observed assistant next action is a non-tool response at this turn.",
+)
+
+
+def candidates(turned: DataFrame, tools: DataFrame | None = None) -> DataFrame:
     """One annotation a turn from its first assistant message; turns without one, or with an empty one, have none.
 
-    A tool call is B with its calls as the answer; any other text is classified by its markers."""
+    A tool call is B with its calls as the answer; any other text is classified by its markers. ``tools`` has the
+    sorted ``tool_names`` of each conv_id; a turn that cannot answer names them as relevant."""
     said = first_assistant(turned).withColumn("content", F.coalesce("content", F.lit("")))
     calls = tx.tool_calls(F.col("content"))
     step = said.select(*KEY, "turn", "content", calls.alias("calls"), tx.without_think(F.col("content")).alias("body"))
@@ -32,6 +41,7 @@ def candidates(turned: DataFrame) -> DataFrame:
     step = step.select("*", has.alias("has"), kind.alias("kind"))
     pick = lambda tool, field: F.when(F.col("has"), F.lit(tool)).otherwise(F.col(f"kind.{field}"))
     blocks = F.array_join(tx.every(F.col("content"), tx.TOOL_BLOCK), "")
+    none = F.array().cast("array<string>")
     out = step.select(
         *KEY,
         pick("B", "label").alias("gt_action"),
@@ -39,12 +49,17 @@ def candidates(turned: DataFrame) -> DataFrame:
         F.when(F.col("has") | F.col("kind.label").isin("C", "D"), F.lit("medium")).otherwise("low").alias("uq_target_type"),
         pick("observed_ready_to_execute", "reason").alias("reason_type"),
         F.when(F.col("has"), blocks).otherwise(F.col("body")).alias("target_answer"),
-        F.when(F.col("has"), F.transform("calls", lambda c: c["name"])).otherwise(F.array().cast("array<string>")).alias("relevant_tools"),
+        F.when(F.col("has"), F.lit(RATIONALES[0])).otherwise(F.lit(RATIONALES[1])).alias("rationale"),
+        F.when(F.col("has"), F.filter(F.transform("calls", lambda c: c["name"]), lambda n: n != "")).otherwise(none).alias("relevant_tools"),
+        none.alias("missing_slots"),
         F.when(F.col("has"), F.lit("execute_now")).otherwise("respond_now").alias("timing_tag"),
         pick("call_tool_now", "hint").alias("recovery_hint"),
         F.lit(True).alias("use_uq_reward"),
-    )
-    return out
+    ).withColumn("chosen_response", F.col("target_answer"))
+    if tools is None:
+        return out
+    named = F.when(F.col("gt_action") == "D", F.coalesce("tool_names", none)).otherwise(F.col("relevant_tools"))
+    return out.join(tools.select("conv_id", "tool_names"), "conv_id", "left").withColumn("relevant_tools", named).drop("tool_names").select(out.columns)
 
 
 def normal_form(annotation: Column) -> Column:
@@ -151,6 +166,34 @@ def enriched(annotations: DataFrame, row: str = "row_id") -> DataFrame:
     )
 
 
+def enriched_rows(annotations: DataFrame, row: str = "row_id") -> DataFrame:
+    """All annotations with their own columns, those of a label A to D enriched, the others as they are.
+
+    Of an enriched one: label and its name, the answer as ``chosen_response`` (a tool answer in the form of blocks) and,
+    where it is null, as ``target_answer``, the first tool that the answer calls, rollout key and reward flag (true where
+    it is null). A turn number that is missing is the annotation's place, if there is a column ``number``."""
+    have = set(annotations.columns)
+    label = classify.valid_label(F.coalesce(*[tx.blank_to_null(F.col(c)) for c in ("gt_action", "label") if c in have]))
+    body = F.coalesce(*[tx.blank_to_null(F.col(c)) for c in ("chosen_response", "target_answer", "reference_answer") if c in have], F.lit(""))
+    step = annotations.withColumn("_label", label).withColumn("_answer", F.when(F.col("_label") == "B", ss.tool_surface(body)).otherwise(body))
+    # An answer without blocks may be a call as it is.
+    blocks = F.when(F.lower("_answer").contains("<tool_call>"), F.col("_answer")).otherwise(F.concat(F.lit("<tool_call>"), F.col("_answer"), F.lit("</tool_call>")))
+    turn = F.coalesce(*[F.col(c).cast("string") for c in ("turn_idx", "number") if c in have], F.lit("0"))
+    old = lambda c, kind: F.col(c).cast(kind) if c in have else F.lit(None).cast(kind)
+    good = F.col("_label").isNotNull()
+    new = {
+        "gt_action": F.col("_label"),
+        "gt_action_name": tx.action_of_letter(F.col("_label")),
+        "chosen_response": F.col("_answer"),
+        "target_answer": F.coalesce(old("target_answer", "string"), F.col("_answer")),
+        "called_tool_name": F.coalesce(tx.strip(F.get(tx.tool_calls(blocks), F.lit(0))["name"]), F.lit("")),
+        "rollout_key": F.concat(F.lit("cm2:"), F.col(row).cast("string"), F.lit(":turn:"), turn),
+    }
+    values = [F.when(good, v).otherwise(old(n, "string")).alias(n) for n, v in new.items()]
+    flag = F.when(good, F.coalesce(old("use_uq_reward", "boolean"), F.lit(True))).otherwise(old("use_uq_reward", "boolean"))
+    return step.select(*[c for c in annotations.columns if c not in new and c != "use_uq_reward"], *values, flag.alias("use_uq_reward"))
+
+
 def annotated_only(rows: DataFrame, annotations: DataFrame) -> DataFrame:
     """Trajectory rows with at least one annotation of a valid label."""
     good = annotations.where(classify.valid_label(F.col("gt_action")).isNotNull()).select("row_id").distinct()

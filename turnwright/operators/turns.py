@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnwright.functions import text as tx
 from turnwright.functions.text import strip
 
 KEY = ["conv_id", "turn_idx"]
@@ -32,17 +33,18 @@ def turn_array(messages: Column) -> Column:
 
 
 def summary(turned: DataFrame) -> DataFrame:
-    """First user text that is not empty, assistant and tool texts, and tool-call blocks of each turn."""
+    """First user text that is not empty, assistant and tool texts, and the calls of all assistant texts, of each turn."""
     text = F.coalesce(F.col("content"), F.lit(""))
     at = lambda role: (F.col("role") == role) & (text != "")
     listed = lambda role: F.transform(
         F.array_sort(F.collect_list(F.when(at(role), F.struct("turn", text.alias("t"))))), lambda s: s["t"]
     )
-    return turned.groupBy(*KEY).agg(
+    out = turned.groupBy(*KEY).agg(
         F.coalesce(F.min_by(text, F.when(at("user"), F.col("turn"))), F.lit("")).alias("user_text"),
         listed("assistant").alias("assistant_texts"),
         listed("tool").alias("tool_texts"),
     )
+    return out.withColumn("tool_calls", F.flatten(F.transform("assistant_texts", tx.tool_calls)))
 
 
 def prompt_prefix(turned: DataFrame) -> DataFrame:

@@ -80,6 +80,11 @@ per_response("d5_suggested", tx.suggested_letter, _SUGGESTED)
 per_response("d6_suggested_category", tx.category, _CATEGORY)
 per_response("d7_letter", tx.letter, _LETTER)
 per_response("d8_category", tx.category, _CATEGORY)
+per_response(
+    "d9_judge_text",
+    tx.judge_text,
+    "coalesce(nullif(trim(regexp_replace(" + _ANSWER + r", '(direct_answer|tool_call|request_for_info|cannot_answer)\s*<[ABCD]>\s*$', '', 'i'), ' ' || chr(10)), ''), " + _ANSWER + ", trim(response, ' ' || chr(10)))",
+)
 per_response(
     "d9_plain_tail",
     tx.without_blocks,
@@ -279,6 +284,15 @@ def d31_token_ids(spark, sf_dir):
     return fixture(spark, sf_dir, "embeddings").select("vec_id", total.alias("n_ids"), F.size(ids).cast("long").alias("n"))
 
 
+@query("""select event_id, case event_id % 5 when 0 then [event_id, 2] when 1 then [event_id] when 2 then [event_id, 7] when 3 then [7, event_id] else [] end as ids from events""")
+def d31_nested_ids(spark, sf_dir):
+    """Flat, nested and named lists of ids; a list with something else in it is empty."""
+    n, k = F.col("event_id").cast("string"), F.col("event_id") % 5
+    forms = ("[{}, 2.9]", "[[[{}], [5]]]", '{{"input_ids": [[{}, " 7 "]]}}', "[7, {}]", '[1, {}, null, "x"]')
+    cell = F.coalesce(*[F.when(k == i, F.concat(*[x for p in [f.replace("{{", "{").replace("}}", "}").split("{}")] for x in (F.lit(p[0]), n, F.lit(p[1]))])) for i, f in enumerate(forms)])
+    return fixture(spark, sf_dir, "events").select("event_id", uq.token_ids(cell).alias("ids"))
+
+
 # Conversations and turns.
 
 
@@ -315,6 +329,14 @@ def c2_turn_summary(spark, sf_dir):
     return s.select("conv_id", "turn_idx", "user_text", F.size("assistant_texts").cast("long").alias("n_assistant"), tools.cast("long").alias("n_tool_calls"), total.cast("long").alias("n_chars"))
 
 
+@query(f"""with {_TM} select conv_id, turn_idx, coalesce(string_agg('tool_' || (conv_id % 4) || ':' || conv_id, ',' order by turn) filter (where role = 'assistant' and contains(content, '<tool_call>')), '') as calls from t group by all""")
+def c2_turn_calls(spark, sf_dir):
+    """Names and arguments of the calls of each turn's assistant messages, in order."""
+    s = turns.summary(_marked(spark, sf_dir))
+    one = lambda c: F.concat(c["name"], F.lit(":"), F.get_json_object(c["arguments"], "$.id"))
+    return s.select("conv_id", "turn_idx", F.array_join(F.transform("tool_calls", one), ",").alias("calls"))
+
+
 @query(f"""with {_TC}, cut as (select conv_id, turn_idx, coalesce(min(turn) filter (where role = 'user'), max(turn)) as c from t group by all)
 select cut.conv_id, cut.turn_idx, count(*) as n_msgs, sum(length(content))::bigint as n_chars
 from cut join t on t.conv_id = cut.conv_id and t.turn <= cut.c group by all""")
@@ -386,6 +408,18 @@ def e12_candidates(spark, sf_dir):
     return annotate.candidates(_marked(spark, sf_dir)).select("conv_id", "turn_idx", "gt_action", "reason_type", "uq_target_type", "target_answer")
 
 
+@query(f"""with {_CAND}, n as (select conv_id, list_sort(list_distinct(list(regexp_extract(content, '"name":"([^"]*)"', 1)) filter (where contains(content, '"name":"')))) as names from messages_marked group by conv_id)
+select h.conv_id, turn_idx, gt_action, array_to_string(case gt_action when 'B' then ['tool_' || (conv_id % 4)] when 'D' then coalesce(names, []) else [] end, ',') as relevant_tools, 0 as n_slots,
+  case gt_action when 'B' then 'The observed assistant next action is a concrete tool call with available arguments.' else 'The observed assistant next action is a non-tool response at this turn.' end as rationale,
+  body as chosen_response from h join n using (conv_id)""")
+def e12_relevant_tools(spark, sf_dir):
+    """Candidates with the tools they call, or all of the conversation's where they cannot answer."""
+    calls = fixture(spark, sf_dir, "messages_marked").select("conv_id", F.explode_outer(tx.tool_calls(F.coalesce("content", F.lit("")))).alias("c"))
+    tools = calls.groupBy("conv_id").agg(F.array_sort(F.collect_set("c.name")).alias("tool_names"))
+    out = annotate.candidates(_marked(spark, sf_dir), tools)
+    return out.select("conv_id", "turn_idx", "gt_action", F.array_join("relevant_tools", ",").alias("relevant_tools"), F.size("missing_slots").alias("n_slots"), "rationale", "chosen_response")
+
+
 @query(f"""with {_CAND}, l as (select unnest(['A', 'B', 'C', 'D']) as gt_action) select l.gt_action, count(h.conv_id) as n from l left join h using (gt_action) group by all""")
 def g2_turn_label_counts(spark, sf_dir):
     return sampling.label_counts(annotate.candidates(_marked(spark, sf_dir)))

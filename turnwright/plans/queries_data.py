@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnwright.functions import classify
+from turnwright.functions import classify, nested
 from turnwright.functions import semistructured as ss
 from turnwright.functions import text as tx
 from turnwright.functions import uncertainty as uq
@@ -154,6 +154,38 @@ def b19_enrich(spark, sf_dir):
     return annotate.enriched(notes)
 
 
+@query("""with m as (select row_id, turn_idx, gt_action, row_id % 3 as k, '{"name": "f' || (row_id % 7) || '", "arguments": {"x": ' || row_id || '}}' as call from mixed_annotations),
+n as (select *, case k when 0 then 'X' else gt_action end as g from m)
+select row_id, cast(turn_idx as bigint) as turn_idx, g as gt_action, case g when 'A' then 'direct_answer' when 'B' then 'tool_call' when 'C' then 'request_for_info' when 'D' then 'cannot_answer' end as gt_action_name,
+  case when g = 'X' then call when g = 'B' then '<tool_call>' || chr(10) || '{"arguments": {"x": ' || row_id || '}, "name": "f' || (row_id % 7) || '"}' || chr(10) || '</tool_call>' else call end as chosen_response,
+  case when g <> 'X' then 'f' || (row_id % 7) end as called_tool_name, case when g <> 'X' then 'cm2:' || row_id || ':turn:' || turn_idx end as rollout_key, case when g <> 'X' then true end as use_uq_reward from n""")
+def b19_tool_answers(spark, sf_dir):
+    """Annotations whose answers are calls: labelled ones enriched, the others passed through."""
+    notes = fixture(spark, sf_dir, "mixed_annotations").withColumn("turn_idx", F.col("turn_idx").cast("long"))
+    call = F.concat(F.lit('{"name": "f'), F.col("row_id") % 7, F.lit('", "arguments": {"x": '), "row_id", F.lit("}}"))
+    notes = notes.withColumn("chosen_response", call).withColumn("gt_action", F.when(F.col("row_id") % 3 == 0, "X").otherwise(F.col("gt_action")))
+    return annotate.enriched_rows(notes).drop("target_answer")
+
+
+_STEPS = """'{{"id":' || event_id || ',"steps":[{{"args":{},"depends_on":' || {} || ',"sub":{{"deep":{{"depends_on":' || {} || ',"x":{}}}}}}}]}}'"""
+
+
+@query("select event_id, " + _STEPS.format("null", """case event_id % 4 when 0 then '[]' when 1 then '["s1"]' when 2 then '["s1",null]' else '[{"depends_on":null}]' end""", "'[' || replace(props, ' ', '') || ']'", "null") + " as cell from events")
+def b6_nested_cells(spark, sf_dir):
+    """Steps that depend on others, five levels deep: lists for what they depend on, null for empty objects."""
+    depends = """case event_id % 4 when 0 then 'null' when 1 then '"s1"' when 2 then '["s1",{}]' else '{"depends_on":null}' end"""
+    cells = fixture(spark, sf_dir, "events").select("event_id", F.expr(_STEPS.format("{}", depends, "props", "{}")).alias("cell"))
+    return nested.rewritten(cells, "cell", nested.depends_as_list, nested.empty_as_null)
+
+
+@query("""select event_id, '{"by":{"' || user_id || '":[{"at":"' || strftime(ts, '%Y-%m-%d') || '","none":null,"type":"' || event_type || '","value":' || coalesce(cast(case when event_id % 5 <> 0 then event_id + 0.5e0 end as varchar), 'null') || '}]}}' as cell from events""")
+def b4_nested_values(spark, sf_dir):
+    """Maps with number keys, dates and numbers that are not finite, in a list in a map in a record."""
+    inner = F.struct(F.to_date("ts").alias("at"), F.lit(None).cast("binary").alias("none"), F.col("event_type").alias("type"), F.when(F.col("event_id") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("event_id") + 0.5).alias("value"))
+    df = fixture(spark, sf_dir, "events").select("event_id", F.struct(F.create_map("user_id", F.array(inner)).alias("by")).alias("record"))
+    return df.select("event_id", nested.json_text(df, "record").alias("cell"))
+
+
 @query("select id, coalesce(lower(trim(flag)) in ('1', 'true', 'yes', 'on'), false) as flag from extra_cells")
 def b20_bool(spark, sf_dir):
     return fixture(spark, sf_dir, "extra_cells").select("id", classify.truthy(F.col("flag")).alias("flag"))
@@ -524,6 +556,14 @@ def h10_masked_ppl(spark, sf_dir):
     return df.select("vec_id", F.round(uq.perplexity(uq.unmasked(F.col("lp"), F.col("mask"))), 6).alias("value"))
 
 
+@query(f"""with m as (select vec_id, list_filter({_LP}, lambda x, i: (i - 1) % 7 <> 0 and vec_id % 9 <> 0) as lp from embeddings)
+select vec_id, round(coalesce(-list_sum(lp) / nullif(len(lp), 0), 0), 9) as sequence_nll, round(coalesce(exp(-list_sum(lp) / nullif(len(lp), 0)), 0), 9) as sequence_ppl, cast(len(lp) as bigint) as token_count from m""")
+def h10_sequence_summary(spark, sf_dir):
+    mask = F.transform("lp", lambda x, i: ((i % 7 != 0) & (F.col("vec_id") % 9 != 0)).cast("int"))
+    s = _logprobs(spark, sf_dir).withColumn("s", uq.sequence_summary(F.col("lp"), mask))
+    return s.select("vec_id", *[F.round(f"s.{c}", 9).alias(c) for c in ("sequence_nll", "sequence_ppl")], "s.token_count")
+
+
 @query("select event_id, round(greatest(0e0, least(1e0, value)), 6) as value, isfinite(value) as finite from events")
 def h11_clamp(spark, sf_dir):
     v = F.col("value")
