@@ -336,3 +336,49 @@ def test_licence_sql_reads_wrapped_texts(spark):
     assert len(documents) == len(got)
     for name in got.columns:
         assert got[name].tolist() == want[name].tolist(), name
+
+
+LICENCE_TEXTS = {
+    "MIT": ["All rights reserved\n" + MIT, "Copyright A. N. Author\nAll rights reserved\n" + MIT.split("\n\n", 2)[2], "This project is licensed under the MIT license."],
+    "Apache-2.0": [
+        "                              Apache License\n                        Version 2.0, January 2004\n                     http://www.apache.org/licenses/\n\n"
+        "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n1. Definitions.",
+        "// SPDX-License-Identifier: Apache-2.0",
+    ],
+    "GPL-2.0": [GPL.replace("version 3", "version 2"), "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\nPreamble", "/* SPDX-License-Identifier: GPL-2.0-or-later */"],
+    "GPL-3.0": ["GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", "The code is distributed under the GNU GPLv3."],
+    "LGPL-2.1": [GPL.replace("version 3", "version 2.1").replace("GNU General", "GNU Lesser General").replace("program", "library")],
+    "AGPL-3.0": [GPL.replace("GNU General", "GNU Affero General"), "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007"],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\n"
+        "copyright notice and this permission notice appear in all copies.\n\n"
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES\nWITH REGARD TO THIS SOFTWARE.'
+    ],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the\nterms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software, either in source code form."],
+    "Zlib": [
+        "This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable.\n\n"
+        "Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications.\n\n1. The origin of this software must not be misrepresented; you must not."
+    ],
+    "BSL-1.0": ["Boost Software License - Version 1.0 - August 17th, 2003\n\nPermission is hereby granted, free of charge, to any person or organization\nobtaining a copy of the software and accompanying documentation."],
+    "": ["The licence of this project is not decided.", "This project is not licensed under the MIT license.", "all rights reserved\x03by\x03 nobody\x02"],
+}
+
+
+def test_standard_licence_texts(spark):
+    """Known lines do not hide the wrapped sentences around them; names, titles and SPDX lines; equal to the SQL."""
+    import duckdb
+    import pandas as pd
+
+    spdx = [(name, f"# SPDX-License-Identifier: {name}") for name in licenses.NAMES]
+    cases = [(name, text) for name, texts in LICENCE_TEXTS.items() for text in texts] + spdx
+    assert len(licenses.NAMES) >= 25
+    df = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(cases)], "doc_id long, text string")
+    got = licenses.scan(df).toPandas().sort_values("doc_id")
+    for (name, text), found, n in zip(cases, got["licenses"], got["n_matches"]):
+        assert (found, n) == (name, 1 if name else 0), text
+    documents = pd.DataFrame({"doc_id": range(len(cases)), "text": [text for _, text in cases]})
+    want = duckdb.sql(licenses.duckdb_sql()).df().sort_values("doc_id")
+    assert len(documents) == len(got)
+    for name in got.columns:
+        assert got[name].tolist() == want[name].tolist(), name
