@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from turnwright.llm import langid, licenses, quality, toxicity
 
@@ -114,6 +115,18 @@ def test_language_scores_equal_plain_regression(spark):
         assert got[i]._lang == m.languages[int(p.argmax())] and got[i]._score == pytest.approx(p.max(), rel=1e-3)
 
 
+def test_languages_of_one_row_and_shared_weights(spark):
+    """A language's only row is learned; where cells share weights the model is small and still tells languages apart."""
+    assert langid.fifths(np.array([1, 0, 1, 1, 1, 1, 0, 2, 1])).tolist() == [False] * 5 + [True] + [False] * 3
+    words = [f"{chr(0x4E00 + 7 * n)}{chr(0x4E03 + 7 * n)}{chr(0x4E01 + 7 * n)}" for n in range(20)]
+    df = spark.createDataFrame([(n, f"{w} " * 12, f"l{n:02}") for n, w in enumerate(words)], "doc_id long, text string, lang string")
+    nothing = F.lit(False)
+    assert [r._lang == r.lang for r in langid.identify(df, langid.train(df, nothing)).collect()] == [True] * 20
+    small = langid.train(df, nothing, max_weights=20 * 1024)
+    assert small.table.shape == (1024, 20)
+    assert np.mean([r._lang == r.lang for r in langid.identify(df, small).collect()]) >= 0.9
+
+
 def test_label_and_id_are_no_inputs(spark):
     df = spark.createDataFrame(corpus(120), "doc_id long, text string, lang string")
     model = langid.train(df, langid.held_out(2, 4))

@@ -4,7 +4,9 @@ Features are hashed n-grams of each lower-cased white-space chunk with a space b
 Document frequencies cover every document that may be learned from; the weights are fitted by
 follow-the-regularised-leader with elastic-net penalties on a bounded, documented sample of those
 rows, and a temperature is fitted on a part of the sample that the weights did not see. The languages are those of the
-sample, which has about as many rows of each: all of them up to the sample's size.
+sample, which has about as many rows of each: all of them up to the sample's size. Every fifth row of a language goes to
+the temperature, so that a language of few rows keeps them for its weights. With more than MAX_WEIGHTS / WIDTH languages
+several cells share a weight, so that the model's size is bounded.
 
 Cases: a null text, or one without a letter (number signs such as "²" or "Ⅷ" are none), is ``und`` with score 0. Where
 nothing can be learned (no language given) every text is ``und``. Repeated rows get equal predictions, and count once
@@ -27,6 +29,9 @@ WIDTH = 1 << 15
 ORDERS = (2, 3, 4)
 #: Most rows that the classifier is fitted on, as many of each language as there are.
 MAX_TRAIN_ROWS = 3000
+#: Most weights (cells times languages) of a model; and most numbers in a worker's store of chunks.
+MAX_WEIGHTS = 1 << 24
+MAX_STORE = 1 << 23
 _WORD = re.compile(r"[^\W\d_]")
 
 
@@ -123,20 +128,24 @@ def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]
-    table: np.ndarray  # width x languages: idf times weight
+    table: np.ndarray  # width x languages: idf times weight; the weight alone where cells share it
     bias: np.ndarray
     temperature: float
+    shared_idf: np.ndarray | None = None  # the cells' idf where they share weights
 
     def lexicon(self) -> Lexicon:
         def compute(chunks):
             cells, owner = gram_cells(chunks)
             n = len(chunks)
+            at, factor = cells, 1.0
+            if self.shared_idf is not None:
+                at, factor = cells & (len(self.table) - 1), self.shared_idf[cells]
             logit = np.stack(
-                [np.bincount(owner, self.table[cells, c], minlength=n) for c in range(len(self.languages))], 1
+                [np.bincount(owner, self.table[at, c] * factor, minlength=n) for c in range(len(self.languages))], 1
             )
             return [logit.astype(np.float32), np.bincount(owner, minlength=n).astype(np.int32)]
 
-        return Lexicon(compute)
+        return Lexicon(compute, limit=max(2000, min(120_000, MAX_STORE // len(self.languages))))
 
     def probabilities(self, lexicon: Lexicon, texts: list[str]) -> np.ndarray:
         """One row a text; a text without n-grams gets equal shares."""
@@ -159,7 +168,16 @@ class Model:
 SCALE = 20.0
 
 
-def train(docs: DataFrame, held: Column, max_rows: int = MAX_TRAIN_ROWS) -> Model | None:
+def fifths(labels: np.ndarray) -> np.ndarray:
+    """Which rows are a fifth, tenth and so on of their label."""
+    order = np.argsort(labels, kind="stable")
+    starts = offsets(np.bincount(labels))[:-1]
+    out = np.zeros(len(labels), bool)
+    out[order] = (np.arange(len(labels)) - starts[labels[order]]) % 5 == 4
+    return out
+
+
+def train(docs: DataFrame, held: Column, max_rows: int = MAX_TRAIN_ROWS, max_weights: int = MAX_WEIGHTS) -> Model | None:
     """Fit on rows that are not held out and have a language; None if there are none."""
     prepared(docs.sparkSession)
     known = as_documents(docs, "doc_id", "text", "lang").where(~held & F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -191,16 +209,26 @@ def train(docs: DataFrame, held: Column, max_rows: int = MAX_TRAIN_ROWS) -> Mode
     rows = sorted(rows, key=lambda r: (r.k, r.lang))
     names = tuple(sorted({r.lang for r in rows}))
     number = {name: i for i, name in enumerate(names)}
+    width = WIDTH
+    while width > 1 and width * len(names) > max_weights:
+        width //= 2
     data = []
     for r in rows:
         at = np.frombuffer(bytes(r.at), "<u2").astype(np.int64)
-        data.append((at, np.frombuffer(bytes(r.x), "<f4").astype(np.float64) * idf[at] * SCALE))
+        x = np.frombuffer(bytes(r.x), "<f4").astype(np.float64) * idf[at] * SCALE
+        if width < WIDTH:
+            cells, place = np.unique(at & (width - 1), return_inverse=True)
+            at, x = cells, np.bincount(place, x, minlength=len(cells))
+        data.append((at, x))
     y = np.array([number[r.lang] for r in rows])
-    tune = np.arange(len(rows)) % 5 == 4
-    fit = np.flatnonzero(~tune) if (~tune).any() else np.arange(len(rows))
-    w, bias = fit_ftrl([data[i] for i in fit], y[fit], len(names))
+    tune = fifths(y)
+    fit = np.flatnonzero(~tune)
+    w, bias = fit_ftrl([data[i] for i in fit], y[fit], len(names), width)
     logits = np.array([data[i][1] @ w[data[i][0]] + bias for i in np.flatnonzero(tune)]).reshape(-1, len(names))
-    return Model(names, (idf[:, None] * w).astype(np.float32), bias, fit_temperature(logits, y[tune]))
+    temperature = fit_temperature(logits, y[tune])
+    if width < WIDTH:
+        return Model(names, w.astype(np.float32), bias, temperature, idf.astype(np.float32))
+    return Model(names, (idf[:, None] * w).astype(np.float32), bias, temperature)
 
 
 def document_frequencies(batches) -> np.ndarray:
