@@ -133,69 +133,79 @@ def test_packing(docs, no_docs, library):
     assert packing.pack(no_docs).count() == 0
 
 
+def walked(rows, library, size, targets=None, unit=None):
+    """Deficit round-robin served round by round, a queue at a time: (doc_id, start, length, sequence, offset) of all pieces."""
+    from pyspark.sql import SparkSession
+    from pyspark.sql import functions as F
+
+    unit = unit or size // 4
+    queues = {}
+    for doc, text, source in rows:
+        n = len(ids_of(library, text)) + 1
+        name = packing.queue_name(source)
+        queues.setdefault(name, []).extend((doc, at, min(unit, n - at)) for at in range(0, n, unit))
+    names = SparkSession.getActiveSession().createDataFrame([(q,) for q in queues], "queue string")
+    part = {r.queue: r.c for r in names.select("queue", packing.covered().alias("c")).collect()}
+    total = {q: sum(n for _, _, n in units) for q, units in queues.items()}
+    aim = {packing.queue_name(s): t for s, t in (targets or {}).items()}
+    first = [q for q in queues if aim.get(q, 0) > 0]
+    order = []
+    for group in (first, [q for q in queues if q not in first]):
+        weight = {q: aim[q] if q in first else total[q] for q in group}
+        turn, left, spent = 0, {q: list(queues[q]) for q in group}, dict.fromkeys(group, 0)
+        while any(left.values()):
+            turn += 1
+            for q in sorted(group):
+                # Credit is what the queue has earned in all rounds, less what it has served.
+                credit = turn * (size * weight[q] / sum(weight.values())) - spent[q]
+                while left[q] and part[q] * left[q][0][2] < credit:
+                    doc, at, n = left[q].pop(0)
+                    order.append((turn, q, doc, at, n))
+                    spent[q] += n
+                    credit -= n
+    out, position, last = [], 0, None
+    for turn, q, doc, at, n in order:
+        while n:
+            sequence, offset = divmod(position, size)
+            take = min(n, size - offset)
+            if last == (turn, doc, at, sequence) and at:
+                out[-1][2] += take
+            else:
+                out.append([doc, at, take, sequence, offset])
+            position, at, n = position + take, at + take, n - take
+            last = (turn, doc, at, sequence)
+    return sorted(map(tuple, out))
+
+
+def pieces(out):
+    return sorted((r.doc_id, r.start, r.length, r.sequence_id, r.offset) for r in out.collect())
+
+
+@pytest.mark.parametrize("size, unit", [(128, None), (64, 5), (300, 300), (4096, None)])
+@pytest.mark.parametrize("targets", [None, {"hot": 0.5, None: 0.5}, {"s1": 1.0, "nobody": 3.0}])
+def test_packing_equals_rounds_one_by_one(spark, library, size, unit, targets):
+    rows = [(i, "word " * (1 + i * 7 % 90), ["hot", "hot", None, f"s{i % 7}"][i % 4]) for i in range(160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
+    assert pieces(packing.pack(df, size=size, targets=targets, unit=unit)) == walked(rows, library, size, targets, unit)
+
+
 def test_every_window_keeps_the_mixture(spark):
+    """What a source has got by the end of any sequence is its share, but for one unit of it and of each other source."""
     rows = [(i, "word " * (20 + i % 13), "hot" if i % 3 else f"s{i % 4}") for i in range(400)]
-    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), size=128).toPandas()
-    share = out.groupby("queue").length.sum() / out.length.sum()
-    table = out.pivot_table(index="sequence_id", columns="queue", values="length", aggfunc="sum", fill_value=0)
-    short = share[share != share.max()].index
-    assert (abs(table[short].iloc[:-1] - 128 * share[short]) < 1.0001).all().all()
-    assert (abs(table[short].iloc[:-1].cumsum() - np.outer(np.arange(1, len(table)), 128 * share[short])) < 1.0001).all().all()
-
-
-MANY = {71: 40, 300: 7, 2000: 3}
-
-
-@pytest.mark.parametrize("totals", [[10, 0, 5], [1000, 3, 1], [7], [64] * 5, [4096 * 3, 4096], [3920] * 63, [10**7, 1, 2, 3], *([n] * k for k, n in MANY.items())])
-@pytest.mark.parametrize("targets", [None, [0.5, 0.25, 0.25, 0.1, 0.9]])
-@pytest.mark.parametrize("size", [64, 100, 4096])
-def test_schedule_serves_all_once(totals, targets, size):
-    given = None if targets is None else [targets[i] if i < len(targets) else 0.0 for i in range(len(totals))]
-    plan = packing.make_schedule(totals, size, given)
-    served = np.zeros(len(totals), np.int64)
-    for p in plan.phases:
-        far = p.last - p.first
-        windows = np.arange(far + 1) if far < 5000 else np.unique(np.concatenate([np.arange(2000), np.arange(far - 2000, far + 1)]))
-        steps = plan.served(p, windows)
-        assert (np.diff(steps, axis=0) >= 0).all() and steps[0].tolist() == served.tolist() == p.base.tolist()
-        assert (np.diff(steps.sum(1)) <= size * np.diff(windows)).all() and (p.last == p.first + 1 or (np.diff(steps.sum(1)) == size * np.diff(windows)).all())
-        served = steps[-1]
-        assert served.tolist() == p.upto.tolist()
-    assert served.tolist() == totals
-
-
-@pytest.mark.parametrize("queues", [1, 3, 71, 700])
-def test_cut_gives_each_token_one_place(queues):
-    """All documents of all queues, in small and large windows, against a walk through the windows."""
-    rng = np.random.default_rng(queues)
-    lengths = rng.integers(1, 90, 900)
-    queue = np.concatenate([np.arange(queues), rng.zipf(1.6, 900) % queues])[:900].astype(np.int64)
-    begin = np.zeros(900, np.int64)
-    totals = [0] * queues
-    for i, q in enumerate(queue):
-        begin[i] = totals[q]
-        totals[q] += int(lengths[i])
-    for size in (50, 256, 8192):
-        for targets in (None, [1.0 / (i + 1) if i < 3 else 0.0 for i in range(queues)]):
-            plan = packing.make_schedule(totals, size, targets)
-            doc, start, stop, window, offset = packing.cut(plan, queue, begin, begin + lengths)
-            seen = np.zeros((int(window.max()) + 1, size), np.int64)
-            got = [np.zeros(n, np.int64) for n in lengths]
-            for d, a, b, w, o in zip(doc, start, stop, window, offset):
-                seen[w, o : o + b - a] += 1
-                got[d][a - begin[d] : b - begin[d]] += 1
-                assert 0 <= o and o + b - a <= size
-            assert all((g == 1).all() for g in got) and seen.max() == 1
-            fill = seen.sum(1)
-            assert all((seen[w, : fill[w]] == 1).all() for w in range(len(seen))) and fill.sum() == lengths.sum()
-            assert (fill[:-1] == size).all() if targets is None else True
-
-
-def test_small_sources_are_not_searched_window_by_window():
-    """A document of a source that has a billionth of all tokens lies in windows far apart."""
-    plan = packing.make_schedule([10**13, 1000], 4096)
-    doc, start, stop, window, offset = packing.cut(plan, np.array([1]), np.array([0]), np.array([1000]))
-    assert (stop - start).sum() == 1000 and 60 <= len(doc) <= 70 and window.max() - window.min() > 10**9
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    for unit in (1, 32):
+        out = packing.pack(df, size=128, unit=unit).toPandas()
+        share = out.groupby("queue").length.sum() / out.length.sum()
+        table = out.pivot_table(index="sequence_id", columns="queue", values="length", aggfunc="sum", fill_value=0)
+        away = abs(table.iloc[:-1].cumsum() - np.outer(np.arange(1, len(table)), 128 * share[table.columns]))
+        assert (away <= unit * (len(share) + 1) + 128 * share[table.columns]).all().all()
+
+
+def test_documents_are_whole_where_a_sequence_has_room(spark):
+    rows = [(i, "word " * (20 + i % 50), ["hot", f"s{i % 40}"][i % 2]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    out = packing.pack(df).toPandas()
+    assert len(out) <= 2000 + out.sequence_id.nunique()
 
 
 def test_targets_hold_while_sources_last(spark):
@@ -203,7 +213,7 @@ def test_targets_hold_while_sources_last(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     out = packing.pack(df, size=100, targets={"a": 0.8, "b": 0.2}).toPandas()
     first = out[out.sequence_id < 20].groupby("queue").length.sum()
-    assert first["=a"] == 1600 and first["=b"] == 400 and out.length.sum() == 200 * 31
+    assert abs(first["=a"] - 1600) <= 2 * 31 and abs(first["=b"] - 400) <= 2 * 31 and out.length.sum() == 200 * 31
 
 
 def test_targets_hold_among_many_sources(spark):
@@ -211,15 +221,18 @@ def test_targets_hold_among_many_sources(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
     out = packing.pack(df, size=4096, targets={"a": 0.75, None: 0.25}).toPandas()
     first = out[out.sequence_id < 2].groupby("queue").length.sum()
-    assert first["=a"] == 6144 and first["null"] == 2048 and out.length.sum() == 900 * 31
+    assert abs(first["=a"] - 6144) <= 2 * 31 and abs(first["null"] - 2048) <= 2 * 31 and out.length.sum() == 900 * 31
 
 
 def test_many_sources(spark):
-    rows = [(i, "word " * (1 + i % 4), f"s{i % 5000}") for i in range(6000)]
+    """20,000 sources, as fast as few: queues are rows, not numbers that the driver or a task goes through."""
+    rows = [(i, "word " * (1 + i % 4), f"s{i % 20000}") for i in range(24000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
     out = packing.pack(df, size=4096).toPandas()
-    assert out.length.sum() == sum(2 + i % 4 for i in range(6000)) and out.queue.nunique() == 5000
+    assert out.length.sum() == sum(2 + i % 4 for i in range(24000)) and out.queue.nunique() == 20000
     assert (out.groupby("sequence_id").length.sum().iloc[:-1] == 4096).all()
+    middle = out[out.sequence_id < out.sequence_id.max() // 2]
+    assert 0.45 < middle.length.sum() / out.length.sum() < 0.5 and middle.queue.nunique() > 8000
     more = packing.pack(df, size=4096, targets={"s7": 0.5, "s9": 0.5}).toPandas()
     first = more[more.queue.isin(["=s7", "=s9"])]
     assert set(first.sequence_id) == {0} and more.length.sum() == out.length.sum()

@@ -1,230 +1,55 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
-Each source is a queue of its documents' token ids in storage order. Windows of ``size`` tokens are served from the
-queues one quantum (``quantum`` tokens) at a time; a queue's credit grows with its share of what is served, a quantum
-worth of credit is served, and what it has earned beyond that is its deficit, carried on. Windows are cut out of
-this service one after the other; a quantum may lie across a cut.
-
-The service has a closed form. By the end of the first x tokens a queue has been served its share of x, rounded to
-whole quanta; the queue of the largest share takes what the others leave. With so many queues that their rounding might
-take more than a window has left, the later ones (shares ascend) are measured against what the earlier ones have left:
-of its first x tokens, the quanta numbered floor(x / quantum) and less. So what any queue has been served by the end of
-any window follows from the totals alone, whatever partition a document lies in: deficits carry across windows and
-partitions without a sequential pass. Counts never fall, each window is full, and a queue strays from its share by about
-a quantum, for any number of queues and any size of window. Within a window the queues' tokens lie one after the other.
-
-With shares equal to the queues' parts of all tokens (the default) all queues end together. With given
-targets a queue may end early; the rest then share its credit in proportion (two more phases of the schedule for each
-such queue). Queues without target wait until those with one have ended.
+Each source is a queue of its documents in storage order. A document is served whole, or, where it has more than ``unit``
+tokens, in units of so many. In every round each queue earns credit: its share of ``size`` tokens. A queue serves its next
+unit in the round in which its credit covers a part of that unit; the part is fixed for a queue and drawn from the hash of
+its name, so that queues of one document do not all wait for the last round. What was served beyond the credit, or earned
+beyond what was served, is the queue's deficit and carried on; it never exceeds one unit.
+
+As credit never lapses, a unit's round follows from the tokens before it in its queue alone: no pass goes from round to
+round. Rounds are numbered for each unit on its own, units are dealt by round, and a unit's place is the tokens of the rounds
+before (a running sum over rounds, in two steps) and of the units before it in its round (by queue, then in the queue's
+order). Places are cut into sequences of ``size`` tokens, whatever round or partition they come from. Costs do not depend on
+the number of queues, ids move once, and the driver holds four numbers.
+
+With shares equal to the queues' parts of all tokens (the default) all queues end together. With given targets a
+queue may end early; then rounds have fewer tokens and the rest keep their proportions. Queues without target wait until those
+with one have ended, and are mixed by their parts of what is left.
 
 Cases: a null text is empty and has only the end id. A null source is a queue of its own, and so is every other
-source, however many there are; the driver keeps one number a source. Repeated rows are packed each. An empty table
-gives no pieces. Sequences are full but the last one (and where targets end a phase none is left open)."""
+source, however many there are. Repeated rows are packed each. An empty table gives no pieces. Sequences are full but
+the last one."""
 
 from __future__ import annotations
 
 import zlib
-from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnwright.llm.common import as_documents, prepared, text_slices, write_table
+from turnwright.llm.common import as_documents, broadcast_if_small, prepared, text_slices, write_table
 from turnwright.llm.tokens import encoder, production_path
 
 SEQUENCE = 4096
 END = 2
-#: A queue is served at least so many parts of a window at once, so that documents of small sources are not cut to single
-#: tokens; with many queues the quantum grows, so that a window has about SHREDS of them at most.
-QUANTA = 256
-SHREDS = 16
+#: A unit has at most so many parts of a sequence: shorter documents are served whole.
+UNITS = 4
+#: Rounds whose running sum one task works out.
+SUPER = 4096
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string"
 )
 
 
-def quantum(queues: int, size: int) -> int:
-    """Tokens that a queue is served at once."""
-    return max(1, size // QUANTA, SHREDS * queues // size)
-
-
-@dataclass(frozen=True)
-class Phase:
-    """Windows first..last-1, before which the queues have been served ``base`` and after which ``upto``.
-
-    ``order`` has the queues that are served, by share; ``whole`` tells whether a queue's ``share`` is one of all tokens, or of
-    what it and the ones after it get; ``most`` is the tokens that it has and ``rest`` those that they have. Without
-    ``order`` one window serves all up to ``upto``."""
-
-    first: int
-    last: int
-    base: np.ndarray
-    upto: np.ndarray
-    order: tuple[int, ...] = ()
-    whole: tuple[bool, ...] = ()
-    share: tuple[float, ...] = ()
-    most: tuple[int, ...] = ()
-    rest: tuple[int, ...] = ()
-
-
-def split(rates: np.ndarray, left: np.ndarray | None, size: int, quantum: int) -> tuple[tuple, ...]:
-    """order, whole, share, most and rest of a phase; without ``left`` no queue ends."""
-    order = [int(q) for q in np.argsort(rates, kind="stable") if rates[q] > 0]
-    some = rates[order] / rates[order].sum()
-    after = np.cumsum(some[::-1])[::-1]
-    # A window leaves something for the rest, also where all of so many queues are rounded up.
-    whole = np.append(after[1:], 0.0) * size >= quantum * (np.arange(len(order)) + 1.0)
-    whole = np.logical_and.accumulate(whole)
-    share = np.where(whole, some, some / after)
-    if left is None:
-        return tuple(order), tuple(whole.tolist()), tuple(share.tolist()), (ENDLESS,) * len(order), (ENDLESS,) * len(order)
-    rest = np.cumsum(left[order][::-1])[::-1] - left[order]
-    return tuple(order), tuple(whole.tolist()), tuple(share.tolist()), tuple(left[order].tolist()), tuple(rest.tolist())
-
-
-#: More tokens than any queue has.
-ENDLESS = 1 << 60
-
-
-class Schedule:
-    """What the queues have been served by the end of each window."""
-
-    def __init__(self, size: int, quantum: int):
-        self.size, self.quantum = size, quantum
-        self.phases: list[Phase] = []
-
-    def served(self, p: Phase, windows: np.ndarray) -> np.ndarray:
-        """Tokens of every queue served by the end of ``windows`` windows of the phase."""
-        k = np.asarray(windows, np.int64)
-        if not p.order:
-            return np.where(k[:, None] > 0, p.upto, p.base)
-        out = np.repeat(p.base[None, :], len(k), 0)
-        x, u = k * self.size, self.quantum
-        quanta = lambda n, share: np.floor(n * share + 0.5).astype(np.int64)
-        for q, whole, share, most, rest in zip(p.order[:-1], p.whole, p.share, p.most, p.rest):
-            if whole:
-                own = quanta(k * (self.size / u), share) * u
-            else:
-                block = x // u
-                first = quanta(block, share)
-                own = u * first + (x - u * block) * (quanta(block + 1, share) - first)
-            own = np.clip(own, x - rest, most)
-            out[:, q] += own
-            x = x - own
-        out[:, p.order[-1]] += x
-        return out
-
-    def window_of(self, p: Phase, at: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """The window of the phase that serves token ``at`` of queue ``q``, by bisection: counts never fall."""
-        low, high = np.zeros(len(at), np.int64), np.full(len(at), p.last - p.first - 1)
-        while True:
-            open_ = np.flatnonzero(low < high)
-            if not len(open_):
-                return low
-            mid = (low[open_] + high[open_]) // 2
-            need, place = np.unique(mid + 1, return_inverse=True)
-            done = self.served(p, need)[place, q[open_]] > at[open_]
-            high[open_] = np.where(done, mid, high[open_])
-            low[open_] = np.where(done, low[open_], mid + 1)
-
-
-def make_schedule(totals: list[int], size: int = SEQUENCE, targets: list[float] | None = None) -> Schedule:
-    """The phases for queues of ``totals`` tokens; at most two for each queue that has a target."""
-    u = quantum(len(totals), size)
-    out = Schedule(size, u)
-    base, left = np.zeros(len(totals), np.int64), np.array(totals, np.int64)
-    want = None if targets is None else np.array(targets, np.float64)
-    window = 0
-
-    def add(windows: int, upto: np.ndarray, *how: tuple) -> None:
-        nonlocal window, base, left
-        out.phases.append(Phase(window, window + windows, base, upto, *how))
-        window, base, left = window + windows, upto, left - (upto - base)
-
-    while left.any():
-        part = None if want is None else np.where(left > 0, want, 0.0)
-        if part is None or not part.sum() > 0:
-            # All that is left, in proportion: the queues end together.
-            how = split(left.astype(np.float64), left, size, u)
-            windows = int(left.sum()) // size
-            if windows:
-                add(windows, out.served(Phase(0, 0, base, base, *how), np.array([windows]))[0], *how)
-            if left.any():
-                add(1, base + left)
-            break
-        how = split(part, None, size, u)
-        plan = Phase(0, 0, base, base, *how)
-        fits = lambda w: (out.served(plan, np.array([w]))[0] - base <= left).all()  # noqa: B023, E731
-        low, high = 0, int(left.sum()) // size
-        while low < high:  # most windows that no queue is too short for
-            mid = (low + high + 1) // 2
-            low, high = (mid, high) if fits(mid) else (low, mid - 1)
-        if low:
-            add(low, out.served(plan, np.array([low]))[0], *how)
-        if left.any():  # one window in which a queue ends: what there is of each quota, then of the rest
-            quota = out.served(Phase(0, 0, base * 0, base, *how), np.array([1]))[0]
-            got = np.minimum(quota, left)
-            spare = size - int(got.sum())
-            more = left - got
-            got = got + np.clip(spare - (np.cumsum(more) - more), 0, more)
-            add(1, base + got)
-    return out
-
-
-def cut(schedule: Schedule, queue: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(document, first, last, window, offset) of all pieces of documents that fill [begin, end) of their queues."""
-    out = []
-    u = schedule.quantum
-    for p in schedule.phases:
-        mine = np.flatnonzero(np.minimum(end, p.upto[queue]) > np.maximum(begin, p.base[queue]))
-        if not len(mine):
-            continue
-        q = queue[mine]
-        a, b = np.maximum(begin[mine], p.base[q]), np.minimum(end[mine], p.upto[q])
-        first, last = np.split(schedule.window_of(p, np.concatenate([a, b - 1]), np.concatenate([q, q])), 2)
-        # A document is in all windows from first to last, or, where its queue is seldom served, in those of its quanta.
-        rank_a, rank_b = (a - p.base[q]) // u, (b - 1 - p.base[q]) // u
-        seldom = (last - first + 1 > 2 * (rank_b - rank_a + 1)) if p.order else np.zeros(len(mine), bool)
-        count = np.where(seldom, 0, last - first + 1)
-        row = np.repeat(np.arange(len(mine)), count)
-        w = first[row] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        if seldom.any():
-            quanta = np.where(seldom, rank_b - rank_a + 1, 0)
-            r = np.repeat(np.arange(len(mine)), quanta)
-            e = rank_a[r] + np.arange(quanta.sum()) - np.repeat(np.cumsum(quanta) - quanta, quanta)
-            start, stop = np.maximum(p.base[q[r]] + e * u, a[r]), np.minimum(p.base[q[r]] + (e + 1) * u, b[r])
-            one = schedule.window_of(p, np.concatenate([start, stop - 1]), np.concatenate([q[r], q[r]]))
-            head, tail = np.split(one, 2)
-            spans = tail - head + 1
-            rr = np.repeat(np.arange(len(r)), spans)
-            ww = head[rr] + np.arange(spans.sum()) - np.repeat(np.cumsum(spans) - spans, spans)
-            both = np.unique(np.stack([r[rr], ww]), axis=1)
-            row, w = np.concatenate([row, both[0]]), np.concatenate([w, both[1]])
-            order = np.lexsort((w, row))
-            row, w = row[order], w[order]
-        need = np.unique(np.concatenate([w, w + 1]))
-        table = schedule.served(p, need)
-        at, nxt = np.searchsorted(need, w), np.searchsorted(need, w + 1)
-        start, stop = np.maximum(a[row], table[at, q[row]]), np.minimum(b[row], table[nxt, q[row]])
-        # Queues are served in order; what earlier ones got in this window lies before.
-        gained = np.cumsum(np.diff(table, axis=0, append=table[-1:]), axis=1)
-        before = np.where(q[row] > 0, gained[at, np.maximum(q[row] - 1, 0)], 0)
-        good = stop > start  # a window may give a queue nothing
-        columns = (mine[row], start, stop, w + p.first, before + start - table[at, q[row]])
-        out.append(tuple(x[good] for x in columns))
-    if not out:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
-    return tuple(np.concatenate(x) for x in zip(*out))
-
-
 def queue_name(source: str | None) -> str:
     return "null" if source is None else f"={source}"
 
 
-def tokenized(docs: DataFrame, path: str, end: int) -> DataFrame:
-    """Written table: part, queue, doc_id, ids (16 or 32 bits each), n_tokens, and tokens before in part and queue."""
+def tokenized(docs: DataFrame, path: str, end: int, unit: int) -> DataFrame:
+    """Written table of units: doc_id, queue, part, tokens before in part and queue, start in the document, n, the
+    document's tokens, ids (16 or 32 bits each)."""
     base = as_documents(docs, "doc_id", "text", "source")
     queue = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
     frame = base.select("doc_id", queue.alias("queue"), "text")
@@ -242,28 +67,75 @@ def tokenized(docs: DataFrame, path: str, end: int) -> DataFrame:
             texts = [t or "" for t in b.column("text").to_pylist()]
             names = b.column("queue").to_pylist()
             for s in text_slices(texts):
-                made = enc.encode(texts[s], end)
-                counts = [len(x) // 4 for x in made]
-                before = []
-                for q, n in zip(names[s], counts):
-                    before.append(seen.get(q, 0))
-                    seen[q] = before[-1] + n
-                ids = [np.frombuffer(x, "<u4").astype(kind).tobytes() for x in made]
-                n = len(made)
+                row, before, start, length, total, ids = [], [], [], [], [], []
+                for i, made in enumerate(enc.encode(texts[s], end), s.start):
+                    have = np.frombuffer(made, "<u4").astype(kind)
+                    first = seen.get(names[i], 0)
+                    seen[names[i]] = first + len(have)
+                    for at in range(0, len(have), unit):
+                        piece = have[at : at + unit]
+                        row.append(i)
+                        before.append(first + at)
+                        start.append(at)
+                        length.append(len(piece))
+                        total.append(len(have))
+                        ids.append(piece.tobytes())
+                take = pa.array(row, pa.int64())
+                longs = [pa.array(x, pa.int64()) for x in (before, start, length, total)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        b.column("doc_id").slice(s.start, n),
-                        b.column("queue").slice(s.start, n),
-                        pa.array([part] * n, pa.int32()),
-                        pa.array(before, pa.int64()),
-                        pa.array(counts, pa.int64()),
+                        b.column("doc_id").take(take),
+                        b.column("queue").take(take),
+                        pa.array([part] * len(row), pa.int32()),
+                        *longs,
                         pa.array(ids, pa.binary()),
                     ],
-                    names=["doc_id", "queue", "part", "before", "n_tokens", "ids"],
+                    names=["doc_id", "queue", "part", "before", "start", "n", "doc_tokens", "ids"],
                 )
 
-    schema = "doc_id long, queue string, part int, before long, n_tokens long, ids binary"
-    return write_table(frame.mapInArrow(run, schema), "packing-tokens", "lz4")
+    schema = "doc_id long, queue string, part int, before long, start long, n long, doc_tokens long, ids binary"
+    return write_table(frame.mapInArrow(run, schema), "packing-units", "lz4")
+
+
+def credits(parts: DataFrame, size: int, targets: dict[str | None, float] | None) -> DataFrame:
+    """queue, part, tokens of the queue before the part, credit a round, and the round in which the queue begins."""
+    queue = Window.partitionBy("queue")
+    before = F.sum("n").over(queue.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    want = F.lit(0.0)
+    if targets:
+        pairs = [F.lit(x) for s, t in targets.items() for x in (queue_name(s), float(t))]
+        want = F.coalesce(F.create_map(*pairs)[F.col("queue")], F.lit(0.0))
+    table = parts.select(
+        "queue", "part", F.coalesce(before, F.lit(0)).alias("begin"), F.sum("n").over(queue).alias("total"), want.alias("want")
+    )
+    each = parts.groupBy("queue").agg(F.sum("n").alias("total")).select("total", want.alias("want"))
+    aimed = F.col("want") > 0
+    wanted, rest = each.agg(F.sum(F.when(aimed, F.col("want"))), F.sum(F.when(~aimed, F.col("total")))).first()
+    credit = F.when(aimed, size * F.col("want") / F.lit(wanted or 1.0)).otherwise(
+        size * F.col("total").cast("double") / F.lit(float(rest or 1))
+    )
+    last = each.where(aimed).agg(F.max(F.floor(F.col("total") / credit) + 1)).first()[0]
+    return table.select(
+        "queue", "part", "begin", credit.alias("credit"), F.when(aimed, 0).otherwise(F.lit(last or 0)).cast("long").alias("later")
+    )
+
+
+def covered() -> Column:
+    """The part of a unit that a queue's credit must cover before it is served: 0 to 1, by the queue's name."""
+    steps = 1 << 20
+    return F.pmod(F.xxhash64("queue"), F.lit(steps)) / F.lit(float(steps))
+
+
+def rounds_before(units: DataFrame) -> tuple[DataFrame, int]:
+    """round and the tokens of all rounds before it; and how many rounds there are."""
+    sums = write_table(units.groupBy("round").agg(F.sum("n").alias("n")), "packing-rounds")
+    sums = sums.withColumn("super", F.floor(F.col("round") / SUPER))
+    upto = lambda w, by: w.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    supers = sums.groupBy("super").agg(F.sum("n").alias("s"))
+    supers = supers.select("super", F.coalesce(F.sum("s").over(upto(Window.partitionBy(), "super")), F.lit(0)).alias("first"))
+    inside = F.coalesce(F.sum("n").over(upto(Window.partitionBy("super"), "round")), F.lit(0))
+    out = sums.select("super", "round", inside.alias("inside")).join(supers, "super")
+    return out.select("round", (F.col("first") + F.col("inside")).alias("rounds_first")), sums.count()
 
 
 def pack(
@@ -272,60 +144,66 @@ def pack(
     size: int = SEQUENCE,
     end: int = END,
     targets: dict[str | None, float] | None = None,
+    unit: int | None = None,
 ) -> DataFrame:
     """Pieces of all documents; ``targets`` gives shares by source, else each has its part of all tokens."""
-    spark = prepared(docs.sparkSession)
-    tokens = tokenized(docs, path or production_path(), end)
-    parts = write_table(tokens.groupBy("queue", "part").agg(F.sum("n_tokens").alias("n")), "packing-parts")
-    totals = {r["queue"]: r["n"] for r in parts.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
-    names = sorted(totals)
-    shares = None
-    if targets is not None:
-        by = {queue_name(s): t for s, t in targets.items()}
-        shares = [float(by.get(q, 0.0)) for q in names]
-    schedule = make_schedule([totals[q] for q in names], size, shares)
-    # Where each part of a queue begins: a running sum over its parts, one row for each part.
-    over = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    begins = parts.select("queue", "part", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("begin"))
-    number = {q: i for i, q in enumerate(names)}
-    placed = tokens.join(begins, ["queue", "part"])
-    shared = spark.sparkContext.broadcast((schedule, number))
+    prepared(docs.sparkSession)
+    units = tokenized(docs, path or production_path(), end, unit or max(1, size // UNITS))
+    parts = write_table(units.groupBy("queue", "part").agg(F.sum("n").alias("n")), "packing-parts")
+    begins = broadcast_if_small(credits(parts, size, targets), parts.count())
+    begin = (F.col("begin") + F.col("before")).alias("begin")
+    number = F.col("later") + F.floor((F.col("begin") + F.col("before") + covered() * F.col("n")) / F.col("credit"))
+    dealt = units.join(begins, ["queue", "part"]).select(
+        "doc_id", "queue", number.alias("round"), begin, "start", "n", "doc_tokens", "ids"
+    )
+    before, rounds = rounds_before(dealt)
+    served = Window.partitionBy("round").orderBy("queue", "begin").rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumn("within", F.coalesce(F.sum("n").over(served), F.lit(0)))
+    placed = placed.join(broadcast_if_small(before, rounds), "round")
+    placed = placed.withColumn("position", F.col("rounds_first") + F.col("within"))
 
     def run(batches):
+        """Units cut at the ends of sequences; neighbours of one document, sequence and round are one piece."""
         import pyarrow as pa
 
-        schedule, number = shared.value
-        for b in batches:
-            if not b.num_rows:
-                continue
-            n = b.column("n_tokens").to_numpy(zero_copy_only=False)
-            begin = b.column("begin").to_numpy(zero_copy_only=False) + b.column("before").to_numpy(zero_copy_only=False)
-            queue = np.array([number[q] for q in b.column("queue").to_pylist()], np.int64)
-            row, start, stop, window, offset = cut(schedule, queue, begin, begin + n)  # in the order of the phases
-            order = np.argsort(row, kind="stable")
-            row, start, stop, window, offset = (x[order] for x in (row, start, stop, window, offset))
-            start, stop = start - begin[row], stop - begin[row]
-            crc, at, ids = [], -1, b""
-            binary = b.column("ids")
-            for r, i, j in zip(row.tolist(), (start * 4).tolist(), (stop * 4).tolist()):
-                if r != at:
-                    raw = binary[r].as_py()
-                    ids = np.frombuffer(raw, "<u2" if len(raw) == 2 * n[r] else "<u4").astype("<u4").tobytes()
-                    at = r
-                crc.append(zlib.crc32(ids[i:j]))
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column("doc_id").take(take),
-                    pa.array(start),
-                    pa.array(stop - start),
-                    pa.array(crc, pa.int64()),
-                    pa.array(n[row]),
-                    pa.array(window),
-                    pa.array(offset),
-                    b.column("queue").take(take),
-                ],
+        names = ["doc_id", "queue", "round", "begin", "start", "n", "doc_tokens", "position"]
+        held = None
+
+        def table(rows):
+            columns = list(zip(*rows)) if rows else [()] * 8
+            kinds = [pa.int64()] * 7 + [pa.string()]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds)],
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue"],
             )
 
-    return placed.mapInArrow(run, PIECES)
+        for b in batches:
+            rows = []
+            binary = b.column("ids")
+            lists = [b.column(c).to_pylist() for c in names]
+            for i, (doc, queue, turn, begin, start, n, total, position) in enumerate(zip(*lists)):
+                raw = binary[i].as_py()
+                ids = np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype("<u4").tobytes()
+                done = 0
+                while done < n:
+                    sequence, offset = divmod(position + done, size)
+                    take = min(n - done, size - offset)
+                    data = ids[4 * done : 4 * (done + take)]
+                    mark = (turn, queue, begin + done, sequence)
+                    if held and start + done and held[1] == mark:
+                        row = held[0]
+                        row[2] += take
+                        row[3] = zlib.crc32(data, row[3])
+                    else:
+                        if held:
+                            rows.append(held[0])
+                        row = [doc, start + done, take, zlib.crc32(data), total, sequence, offset, queue]
+                    done += take
+                    held = (row, (turn, queue, begin + done, sequence))
+            yield table(rows)
+        if held:
+            yield table([held[0]])
+
+    return placed.select(
+        "doc_id", "queue", "round", "begin", "start", "n", "doc_tokens", "position", "ids"
+    ).mapInArrow(run, PIECES)
