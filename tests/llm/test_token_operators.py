@@ -225,7 +225,7 @@ def test_targets_hold_among_many_sources(spark):
 
 
 def test_many_sources(spark):
-    """20,000 sources, as fast as few: queues are rows, not numbers that the driver or a task goes through."""
+    """20,000 sources: queues are rows, not numbers that the driver or a task goes through."""
     rows = [(i, "word " * (1 + i % 4), f"s{i % 20000}") for i in range(24000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
     out = packing.pack(df, size=4096).toPandas()

@@ -10,7 +10,7 @@ As credit never lapses, a unit's round follows from the tokens before it in its
 round. Rounds are numbered for each unit on its own, units are dealt by round, and a unit's place is the tokens of the rounds
 before (a running sum over rounds, in two steps) and of the units before it in its round (by queue, then in the queue's
 order). Places are cut into sequences of ``size`` tokens, whatever round or partition they come from. Costs do not depend on
-the number of queues, ids move once, and the driver holds four numbers.
+the number of queues, ids move once, and the driver holds a few numbers; a task that encodes keeps one for each queue it meets.
 
 With shares equal to the queues' parts of all tokens (the default) all queues end together. With given targets a
 queue may end early; then rounds have fewer tokens and the rest keep their proportions. Queues without target wait until those
