@@ -87,6 +87,28 @@ def test_rows_do_not_join_an_expired_group(spark, tmp_path, monkeypatch):
     assert waiting.with_state_store(spark) is spark
 
 
+def test_groups_share_keys_of_state(spark, tmp_path):
+    """State grows with the buckets and not with the groups; each group still waits for its own members, ids stay exact."""
+    source, out, marks = (str(tmp_path / x) for x in ("in", "out", "marks"))
+    big = 2**53 + 1
+    member = lambda i: (None if i == 7 else big + 2 * i, None if i == 5 else f"g{i % 300}", "A", "A", float(i + 1))
+    put(spark, [member(i) for i in range(300)], ROLLOUTS, source, 0)
+
+    def run():
+        job = start(group_margins(feed(spark, ROLLOUTS, source), 2, 600_000, buckets=4), out, marks)
+        job.awaitTermination()
+        return max(s["numRowsTotal"] for p in job.recentProgress for s in p["stateOperators"])
+
+    assert 4 <= run() <= 40
+    assert spark.read.schema("event_id long").parquet(out).count() == 0
+    put(spark, [member(i) for i in range(300, 600)], ROLLOUTS, source, 1)
+    run()
+    got = {r.event_id: r.margin_source for r in spark.read.parquet(out).collect()}
+    # The group of null has one member, as has the group of the other one that its key once was.
+    want = {None if i == 7 else big + 2 * i for i in range(600)} - {big + 10, big + 610}
+    assert set(got) == want and set(got.values()) == {"group_rollout:complete"}
+
+
 MESSAGES = "conv_id long, turn long, role string, content string, n_messages long"
 
 

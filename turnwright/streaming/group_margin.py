@@ -4,17 +4,16 @@ from __future__ import annotations
 
 import contextlib
 import time
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from turnwright.streaming.waiting import Wait, with_state_store
+from turnwright.streaming.waiting import BUCKETS, Wait, in_groups
 
 MEMBERS = "event_id long, group_key string, ppl_gt double, ppl_neg double, margin_source string"
-HELD = "event_id long, pred_letter string, gt_letter string, seq_ppl double"
+HELD = "event_id long, group_key string, pred_letter string, gt_letter string, seq_ppl double"
 
 
 def expected_size(settings: Mapping[str, str]) -> int:
@@ -26,37 +25,26 @@ def expected_size(settings: Mapping[str, str]) -> int:
     return 1
 
 
-def members(key: tuple, rows: pd.DataFrame, complete: bool) -> pd.DataFrame:
+def members(rows: list[tuple], complete: bool) -> Iterator[tuple]:
     """Margins of all members of one group, as the batch operator fills them."""
-    pred, ppl = rows.pred_letter.fillna(""), rows.seq_ppl.astype(float)
-    right = (pred == rows.gt_letter) & (pred != "")
-    wrong = (pred != rows.gt_letter) & (pred != "")
-
-    def side(mine: pd.Series) -> pd.Series:
-        known = ppl[mine & ppl.notna()]
-        return ppl.where(mine).fillna(known.mean() if len(known) else 1.0)
-
-    return pd.DataFrame(
-        {
-            "event_id": rows.event_id.astype("int64"),
-            "group_key": key[0],
-            "ppl_gt": side(right),
-            "ppl_neg": side(wrong),
-            "margin_source": "group_rollout:complete" if complete else "group_rollout:timeout",
-        }
-    )
-
-
-def group_margins(stream: DataFrame, expected: int = 8, timeout_ms: int = 2000) -> DataFrame:
+    source = "group_rollout:complete" if complete else "group_rollout:timeout"
+    sides = []
+    for right in (True, False):
+        own = [ppl if pred and (pred == gt) is right and ppl is not None and ppl == ppl else None for _, _, pred, gt, ppl in rows]
+        known = [ppl for ppl in own if ppl is not None]
+        other = sum(known) / len(known) if known else 1.0
+        sides.append([other if ppl is None else ppl for ppl in own])
+    for (event_id, key, *_), right, wrong in zip(rows, *sides):
+        yield event_id, key, right, wrong, source
+
+
+def group_margins(stream: DataFrame, expected: int = 8, timeout_ms: int = 2000, buckets: int = BUCKETS) -> DataFrame:
     """Append-mode margins of a stream of (event_id, group_key, pred_letter, gt_letter, seq_ppl).
 
     A group is emitted with its ``expected``th member, or ``timeout_ms`` after its first. State: at most
     ``expected`` - 1 members a group."""
-    with_state_store(stream.sparkSession)
-    held = T._parse_datatype_string(HELD)
-    wait = Wait(held, "event_id", lambda rows: len(rows) >= expected, members, timeout_ms)
-    grouped = stream.select("group_key", *held.names).groupBy("group_key")
-    return grouped.transformWithStateInPandas(wait, MEMBERS, "Append", "ProcessingTime")
+    held, out = map(T._parse_datatype_string, (HELD, MEMBERS))
+    return in_groups(stream, Wait(held, out, "group_key", "event_id", lambda rows: len(rows) >= expected, members, timeout_ms), buckets)
 
 
 def drain(job: StreamingQuery, timeout_ms: int) -> None:

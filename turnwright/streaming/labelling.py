@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from turnwright.streaming.waiting import Wait, start_available, with_state_store
+from turnwright.streaming.waiting import Wait, in_groups, start_available
 
 
 def whole_conversations(stream: DataFrame, key: str = "conv_id", name: str = "turn", size: str = "n_messages", timeout_ms: int = 600_000) -> DataFrame:
@@ -20,21 +19,18 @@ def whole_conversations(stream: DataFrame, key: str = "conv_id", name: str = "tu
     Messages may come in any order and over any number of batches; one that comes again takes the place of the first.
     What is still missing ``timeout_ms`` after the first message is not waited for (``whole`` is false then). State:
     the messages of conversations that are not complete."""
-    with_state_store(stream.sparkSession)
-    kept = T.StructType([f for f in stream.schema if f.name != key])
-    out = T.StructType([*stream.schema, T.StructField("whole", T.BooleanType())])
+    kept = stream.schema
+    out = T.StructType([*kept, T.StructField("whole", T.BooleanType())])
     at = kept.names.index(size)
 
     def full(rows: dict) -> bool:
         last = next(reversed(rows.values()))
         return last[at] is not None and len(rows) >= last[at]
 
-    def finish(group: tuple, rows: pd.DataFrame, complete: bool) -> pd.DataFrame:
-        rows.insert(0, key, group[0])
-        return rows.assign(whole=complete)[out.names]
+    def finish(rows: list[tuple], complete: bool) -> Iterator[tuple]:
+        return ((*r, complete) for r in rows)
 
-    wait = Wait(kept, name, full, finish, timeout_ms)
-    return stream.groupBy(key).transformWithStateInPandas(wait, out, "Append", "ProcessingTime")
+    return in_groups(stream, Wait(kept, out, key, name, full, finish, timeout_ms))
 
 
 def write_batch(df: DataFrame, number: int, path: str) -> None:
