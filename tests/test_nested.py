@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnwright.functions import nested
+from turnwright.functions import uncertainty as uq
 
 
 def tree(rng, depth):
@@ -60,3 +61,12 @@ def test_json_safe(spark):
     got = [[None if v is None else json.loads(v) for v in r] for r in df.select(*[nested.json_text(df, c).alias(c) for c in df.columns]).collect()]
     one = {"1": {"x": None, "d": "2024-01-02", "deep": [{"true": "ff00"}, None]}, "2": None}
     assert got == [[one, "2024-01-02 03:04:05", None, "é\n", None], [None] * 5]
+
+
+def test_token_ids_parse_a_cell_once(spark):
+    """The steps into nested lists are bound: the cell is parsed at one place of the plan, whatever it holds."""
+    cells = ["[1, 2.9]", "[[[4], [5]]]", '{"input_ids": [[6, " 7 "]]}', '[1, null, "x"]', "{}", "[]", "broken [", None]
+    df = spark.createDataFrame(list(enumerate(cells)), "i int, cell string")
+    out = df.select("i", uq.token_ids(F.col("cell")).alias("ids"))
+    assert out._jdf.queryExecution().analyzed().toString().count("try_parse_json") == 1
+    assert [r.ids for r in out.orderBy("i").collect()] == [[1, 2], [4], [6, 7], [], [], [], [], []]

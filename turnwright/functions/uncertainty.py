@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from turnwright.functions.text import bound
+
 NAN = float("nan")
 
 
@@ -48,11 +50,12 @@ def token_ids(cell: Column) -> Column:
 
     Numbers are cut to whole ones and texts of whole numbers read; anything else makes the list empty, as does a
     cell that is no list."""
-    value = F.try_parse_json(cell)
-    value = F.when(F.schema_of_variant(value).startswith("OBJECT"), F.try_variant_get(value, "$.input_ids", "variant")).otherwise(value)
+    # Each step is bound: a step that names the one before it twice would double the work at every level.
+    named = lambda v: F.when(F.schema_of_variant(v).startswith("OBJECT"), F.try_variant_get(v, "$.input_ids", "variant")).otherwise(v)
+    value = bound(named, F.try_parse_json(cell))
     for _ in range(ID_DEPTH):
-        first = F.try_variant_get(value, "$[0]", "variant")
-        value = F.when(F.schema_of_variant(first).startswith("ARRAY"), first).otherwise(value)
+        inner = lambda v, first: F.when(F.schema_of_variant(first).startswith("ARRAY"), first).otherwise(v)
+        value = bound(lambda v: bound(inner, v, F.try_variant_get(v, "$[0]", "variant")), value)  # noqa: B023
 
     def one(x: Column) -> Column:
         shape = F.schema_of_variant(x)
@@ -64,7 +67,8 @@ def token_ids(cell: Column) -> Column:
         ).when((shape == "DOUBLE") | shape.startswith("DECIMAL"), number.try_cast("long"))
 
     ids = F.transform(F.try_variant_get(value, "$", "array<variant>"), one)
-    return F.when(F.exists(ids, lambda x: x.isNull()), F.array().cast("array<bigint>")).otherwise(F.coalesce(ids, F.array().cast("array<bigint>")))
+    none = F.array().cast("array<bigint>")
+    return bound(lambda xs: F.when(F.exists(xs, lambda x: x.isNull()), none).otherwise(F.coalesce(xs, none)), ids)
 
 
 def option_perplexity(logprobs: Column) -> Column:
