@@ -395,3 +395,22 @@ def test_standard_licence_texts(spark):
     assert len(documents) == len(got)
     for name in got.columns:
         assert got[name].tolist() == want[name].tolist(), name
+
+
+def test_a_step_does_not_keep_another_steps_store(spark):
+    """Workers drop what an earlier step kept before vectors are summed; texts do not come back from Python."""
+    from turnwright.llm import common
+
+    def seed(batches):
+        common.worker_state("store of another step", lambda: [0])
+        yield from batches
+
+    def kept(batches):
+        return np.full(32, len(common._STATE) + 0 * sum(map(len, batches)))
+
+    rows = spark.range(0, 80, 1, 8)
+    rows.mapInPandas(seed, "id long").count()
+    assert common.summed_vector(rows, kept, 32).sum() == 0
+    df = spark.createDataFrame(corpus(60), "doc_id long, text string, lang string")
+    out = langid.identify(df, langid.train(df, langid.held_out(2, 4)))
+    assert out.columns == ["doc_id", "lang", "_lang", "_score"] and out.count() == 60

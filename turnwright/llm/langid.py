@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnwright.llm.common import Lexicon, append, as_documents, boxed, broadcast_if_small, held_out, offsets, prepared, summed_vector, text_slices, worker_state
+from turnwright.llm.common import Lexicon, append, as_documents, boxed, broadcast_if_small, forget, held_out, offsets, prepared, summed_vector, text_slices, worker_state
 
 WIDTH = 1 << 15
 ORDERS = (2, 3, 4)
@@ -194,6 +194,7 @@ def train(docs: DataFrame, held: Column, max_rows: int = MAX_TRAIN_ROWS, max_wei
     chosen = distinct.select("lang", "k", order.alias("o")).orderBy("o", "k", "lang").limit(max_rows).select("lang", "k")
 
     def features(batches):
+        forget()
         for pdf in batches:
             out = []
             for k, text, lang in zip(pdf["k"], pdf["text"], pdf["lang"]):
@@ -262,7 +263,7 @@ def document_frequencies(batches) -> np.ndarray:
 
 
 def identify(frame: DataFrame, model: Model | None) -> DataFrame:
-    """``frame`` with _lang and _score, from its column text."""
+    """``frame`` with _lang and _score in place of its column text, which need not come back from Python."""
     shared = prepared(frame.sparkSession).sparkContext.broadcast(model)
     key = uuid.uuid4().hex
 
@@ -280,8 +281,7 @@ def identify(frame: DataFrame, model: Model | None) -> DataFrame:
                 score[part] = np.where(good, p[np.arange(len(p)), best], 0.0)
         return lang, score
 
-    return append(frame, "_lang string, _score double", predict, "text")
-
+    return append(frame, "_lang string, _score double", predict, "text", drop=True)
 
 
 def detect(docs: DataFrame) -> DataFrame:
