@@ -58,6 +58,15 @@ def test_calls_are_bounded_and_do_not_wait_for_slow_ones(spark, tmp_path):
     assert order != sorted(order) and set(order[:30]) != set(range(30))
 
 
+def test_answered_rows_go_back_together(spark):
+    """Requests stay small, and their rows do not become a batch each on the way back; other columns are unchanged."""
+    df = spark.range(0, 900, 1, 1).selectExpr("id", "concat('p', id) as prompt", "if(id % 2 = 0, id, null) as half", "array(named_struct('a:b', id)) as cell")
+    asked = providers.calls(df, "prompt", lambda: lambda requests: [str(len(requests))] * len(requests), batch=8)
+    sizes = asked.select("id").mapInArrow(lambda parts: (b.from_pydict({"n": [b.num_rows]}) for b in parts), "n long")
+    assert {r.reply for r in asked.collect()} <= {"8", "4"} and asked.drop("reply").exceptAll(df).count() == 0
+    assert max(r.n for r in sizes.collect()) > 100
+
+
 def test_saved_replies_outlive_a_failure(spark, tmp_path):
     """A run that dies keeps the parts that were done; the next one asks for the others only."""
     rows = [(i, f"p{i}") for i in range(60)] + [(5, "p5"), (None, "none")]

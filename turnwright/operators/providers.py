@@ -6,6 +6,7 @@ worker by a factory, so that clients and models need not be pickled. A failing c
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, as_completed, wait
@@ -15,11 +16,16 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from turnwright.sources.io import write_parts
 
 Provider = Callable[[list[dict]], list[str | None]]
 
+#: Answered rows go back to Spark so many at a time, or what a second has brought: a batch costs as much as many rows.
+GATHER = 1000
+
 #: Scorers and reward managers by name: functions of a DataFrame, key columns and options that return a DataFrame.
 REGISTRY: dict[str, Callable[..., DataFrame]] = {}
 
@@ -65,31 +71,48 @@ def calls(df: DataFrame, prompt: str, factory: Callable[[], Provider] = no_provi
 
     A pool of ``workers`` threads asks for ``batch`` rows at once. At most twice as many requests as workers are
     under way, over the whole partition and not by Arrow batch: a slow request holds up no others, and a task holds no
-    more rows than these."""
-    schema = df.schema.simpleString()[len("struct<") : -1]
+    more rows than these and the GATHER rows that go back to Spark together. Other columns pass as Arrow data."""
+    schema = T.StructType([*df.schema.fields, T.StructField(column, T.StringType())])
+    at, kind, names = df.columns.index(prompt), to_arrow_type(T.StringType()), schema.names
+
+    def run(parts: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         provider = factory()
 
-        def ask(rows: pd.DataFrame) -> pd.DataFrame:
-            requests = [{"prompt": p} for p in rows[prompt]]
+        def ask(rows: pa.RecordBatch) -> pa.RecordBatch:
+            requests = [{"prompt": p} for p in rows.column(at).to_pylist()]
             try:
                 replies = provider(requests)
             except Exception:  # noqa: BLE001 - one failed request must not lose the rows
-                replies = [None] * len(rows)
-            return rows.assign(**{column: pd.Series(replies, index=rows.index, dtype=object)})
-
-        slices = (pdf.iloc[i : i + batch] for pdf in parts for i in range(0, len(pdf), batch))
-        with ThreadPoolExecutor(workers) as pool:
-            flight: set[Future] = set()
-            for rows in slices:
-                flight.add(pool.submit(ask, rows))
-                if len(flight) >= 2 * workers:
-                    done, flight = wait(flight, return_when=FIRST_COMPLETED)
-                    yield from (f.result() for f in done)
-            yield from (f.result() for f in as_completed(flight))
-
-    return df.mapInPandas(run, f"{schema}, {column} string".replace(":", " "))
+                replies = [None] * len(requests)
+            return pa.RecordBatch.from_arrays([*rows.columns, pa.array(replies, type=kind, from_pandas=True)], names=names)
+
+        def together(answered: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ready: list[pa.RecordBatch] = []
+            began = time.monotonic()
+            for rows in answered:
+                ready.append(rows)
+                if sum(r.num_rows for r in ready) >= GATHER or time.monotonic() > began + 1:
+                    yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
+                    ready, began = [], time.monotonic()
+            if ready:
+                yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
+
+        def answered() -> Iterator[pa.RecordBatch]:
+            slices = (b.slice(i, batch) for b in parts for i in range(0, b.num_rows, batch))
+            with ThreadPoolExecutor(workers) as pool:
+                flight: set[Future] = set()
+                for rows in slices:
+                    flight.add(pool.submit(ask, rows))
+                    if len(flight) >= 2 * workers:
+                        done, flight = wait(flight, return_when=FIRST_COMPLETED)
+                        yield from (f.result() for f in done)
+                yield from (f.result() for f in as_completed(flight))
+
+        yield from together(answered())
+
+    return df.mapInArrow(run, schema)
 
 
 def saved_calls(df: DataFrame, key: str, prompt: str, path: str, factory: Callable[[], Provider] = no_provider, every: int = 100_000, column: str = "reply", **options) -> DataFrame:
