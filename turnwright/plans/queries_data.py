@@ -913,8 +913,9 @@ def j6_resume_stream(spark, sf_dir):
     msgs = fixture(spark, sf_dir, "messages_marked")
     sizes = msgs.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_messages"))
     msgs = msgs.join(sizes, "conv_id")
-    io.write_parts(msgs, F.col("turn") % 3, source, spread=1)
-    stream = spark.readStream.schema(msgs.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(source)
+    # A third of the files a batch: a file a batch would be written by one task, however large it is.
+    files = len(io.write_parts(msgs, F.col("turn") % 3, source).inputFiles())
+    stream = spark.readStream.schema(msgs.schema).option("maxFilesPerTrigger", max(1, -(-files // 3))).option("recursiveFileLookup", "true").parquet(source)
     label = lambda batch: annotate.candidates(turns.user_turns(batch)).select("conv_id", "turn_idx", "gt_action")
     label_stream(whole_conversations(stream), label, sink, marks, "conv_id").awaitTermination()
     return spark.read.parquet(sink).drop("batch")
