@@ -53,6 +53,23 @@ def test_cells_are_rewritten_at_every_depth(spark):
     assert nested.rewritten(df.where("false"), "cell", nested.empty_as_null).count() == 0
 
 
+def test_cells_are_rewritten_by_compiled_code(spark):
+    """One parse a rule and no lambda functions, which Spark interprets; what looks like a rule's place in a string stays."""
+    look = {"a": "depends_on", "b": '"depends_on":null{}', 'x"depends_on': None, "depends_on ": {}, "c": '\\"' * 100_000}
+    deep = {"e": {}}
+    for _ in range(nested.DEEPEST - 3):
+        deep = {"k": deep}
+    trees = [look, {"depends_on": deep}, [{"depends_on": [{"depends_on": "x"}, None, {}]}] * 2000, {"depends_on": "é{}"}, "depends_on", {}]
+    texts = [json.dumps(t) for t in trees] + [r'{"depends\u005fon" : 1}', " 1e5 ", '{"depends_on":NaN}']
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, cell string")
+    out = nested.rewritten(df, "cell", nested.depends_as_list, nested.empty_as_null)
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "lambda" not in plan and plan.count("try_parse_json") == 2
+    got = [r.cell for r in out.orderBy("i").collect()]
+    assert [json.loads(g) for g in got[: len(trees)]] == [without_empty(with_lists(t)) for t in trees]
+    assert got[len(trees) :] == ['{"depends_on":[1]}', "100000", '{"depends_on":NaN}']
+
+
 def test_json_safe(spark):
     schema = "m map<int,struct<x:double,d:date,deep:array<map<boolean,binary>>>>, t timestamp, n void, s string, f float"
     when = datetime.datetime(2024, 1, 2, 3, 4, 5, tzinfo=datetime.timezone.utc)

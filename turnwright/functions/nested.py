@@ -1,7 +1,7 @@
 """Nested JSON cells rewritten at every depth by one projection: no shuffle, no Python worker.
 
-A cell is walked by an expression that calls itself for the children of a VARIANT value, as often as the deepest
-cell needs. Objects come out with their keys in order of code points, as VARIANT keeps them."""
+A cell is put into the form that VARIANT gives, without spaces and with its keys in order of code points; rules then replace
+what they find between its strings, in one pass of a pattern over the text."""
 
 from __future__ import annotations
 
@@ -11,18 +11,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Deeper cells make plans that are too large; they raise an error.
+#: Deeper cells raise an error; patterns find the end of objects of so many levels.
 DEEPEST = 40
 
-#: What becomes of a value: takes its key (null in a list), the value and its text so far. A rule puts the text into its
-#: result once: twice would double the expression at every level.
-Rule = Callable[[Column, Column, Column], Column]
+#: Makes a JSON text of another, which has no spaces between its parts; null stays null.
+Rule = Callable[[Column], Column]
 
+#: A string from behind its first quotation mark. Patterns repeat possessively: Java then loops instead of calling itself,
+#: so that long cells need no deep stack, and each character is passed once.
+_STRING = r'(?:[^"\\]++|\\.)*+"'
 
-def quoted(text: Column) -> Column:
-    """A text as a JSON string."""
-    listed = F.to_json(F.array(text))
-    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+def _object(levels: int) -> str:
+    """Pattern of an object that holds others, so many levels in all."""
+    inner = f"|{_object(levels - 1)}" if levels > 1 else ""
+    return rf'\{{(?:[^{{}}"]++|"{_STRING}{inner})*+\}}'
+
+
+#: A pattern goes on where its last match ended, and takes what stays as it is as its first group.
+_EMPTY = rf'\G((?:[^"{{]++|\{{(?!\}})|"{_STRING})*+)\{{\}}'
+_SINGLE = rf'\G((?:[^"]++|"(?!depends_on":[^\[]){_STRING})*+)"depends_on":(?:null|([^"\[{{][^,}}\]]*+|"{_STRING}|{_object(DEEPEST)}))'
 
 
 def nesting(cell: Column) -> Column:
@@ -36,50 +44,28 @@ def nesting(cell: Column) -> Column:
     return F.aggregate(F.filter(F.split(marks, ""), lambda c: c != ""), zero, step, lambda acc: acc["most"])
 
 
-def children(value: Column) -> Column:
-    """(key, value) of an object's fields or, without keys, a list's items; null for anything else."""
-    fields = F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
-    items = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda x: F.struct(F.lit(None).cast("string").alias("key"), x.alias("value")))
-    return F.coalesce(fields, items)
-
-
-def rebuilt(value: Column, depth: int, rule: Rule, name: Column | None = None) -> Column:
-    """JSON text of a VARIANT, each of whose values ``rule`` may change, from below."""
-    name = F.lit(None).cast("string") if name is None else name
-    if depth <= 0:
-        return rule(name, value, F.to_json(value))
-    shape = F.schema_of_variant(value)
-    is_object, is_list = shape.startswith("OBJECT"), shape.startswith("ARRAY")
-    key = lambda c: F.when(c["key"].isNotNull(), F.concat(quoted(c["key"]), F.lit(":"))).otherwise("")
-    body = F.array_join(F.transform(children(value), lambda c: F.concat(key(c), rebuilt(c["value"], depth - 1, rule, c["key"]))), ",")
-    # The body stands in the expression once, so that its size grows with the depth and no faster.
-    text = F.concat(F.when(is_object, "{").when(is_list, "["), body, F.when(is_object, "}").otherwise("]"))
-    return rule(name, value, F.coalesce(text, F.to_json(value)))
-
-
-def empty_as_null(name: Column, value: Column, text: Column) -> Column:
+def empty_as_null(text: Column) -> Column:
     """Empty objects become null."""
-    return F.when(F.schema_of_variant(value) == "OBJECT<>", F.lit("null")).otherwise(text)
+    return F.regexp_replace(text, _EMPTY, "$1null")
 
 
-def depends_as_list(name: Column, value: Column, text: Column) -> Column:
+def depends_as_list(text: Column) -> Column:
     """``depends_on`` becomes a list: of nothing for null, of the value if it is none."""
-    here = name == "depends_on"
-    # A single value is taken as it is, also where it is an object.
-    single = here & ~F.schema_of_variant(value).startswith("ARRAY")
-    return F.when(here & F.is_variant_null(value), F.lit("[]")).when(single, F.concat(F.lit("["), F.to_json(value), F.lit("]"))).otherwise(text)
+    # A single value is taken as it is, also where it is an object; for null the second group is empty.
+    return F.regexp_replace(text, _SINGLE, '$1"depends_on":[$2]')
 
 
 def rewritten(df: DataFrame, cell: str, *rules: Rule) -> DataFrame:
     """``df`` with the JSON texts of a column rewritten by rules, one after the other; what does not parse stays.
 
-    One pass finds how deep the cells are."""
-    depth = df.agg(F.max(F.when(F.try_parse_json(cell).isNotNull(), nesting(F.col(cell))))).first()[0] or 0
+    One pass looks for cells that are too deep; only those with more brackets than levels are looked into."""
+    opened = F.length(cell) - F.length(F.replace(F.replace(F.col(cell), F.lit("[")), F.lit("{")))
+    deep = F.when(opened > DEEPEST, F.when(F.try_parse_json(cell).isNotNull(), nesting(F.col(cell))))
+    depth = df.agg(F.max(deep)).first()[0] or 0
     if depth > DEEPEST:
         raise ValueError(f"cells of {depth} levels; at most {DEEPEST} are rewritten")
     for rule in rules:
-        value = F.try_parse_json(cell)
-        df = df.withColumn(cell, F.when(value.isNull(), F.col(cell)).otherwise(rebuilt(value, depth, rule)))
+        df = df.withColumn(cell, F.coalesce(rule(F.to_json(F.try_parse_json(cell))), F.col(cell)))
     return df
 
 
